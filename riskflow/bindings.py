@@ -85,10 +85,10 @@ def _sql_pick(idx: str, values: list) -> str:
 TXN_SQL = f"""
 SELECT event_id AS txn_id, user_id AS card, event_type AS channel, value AS amount,
        CAST(floor(epoch(ts)) AS BIGINT) AS t,
-       CAST(json_extract_string(props, '$.k') AS INTEGER) AS addr,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS addr,
        {_sql_pick('event_id % 7', P_EMAIL_DOMAINS)} AS p_email,
        {_sql_pick('event_id % 5', R_EMAIL_DOMAINS)} AS r_email,
-       CAST(((value >= 120 AND event_id % 3 = 0) OR event_id % 61 = 0) AS INTEGER) AS is_fraud,
+       CAST(((value >= 120 AND event_id % 3 = 0) OR event_id % 61 = 0) AS BIGINT) AS is_fraud,
        least(1.0, value / 200.0) AS score,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 4 END AS "D1"
 FROM events

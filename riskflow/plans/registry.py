@@ -66,6 +66,7 @@ def register(name: str, sql: str | None = None, ops: tuple = ()):
 def load_all() -> dict[str, Entry]:
     """Import every query module so their decorators run."""
     from riskflow.plans import (  # noqa: F401
+        aggregate_queries,
         feature_queries,
     )
     return REGISTRY
