@@ -68,6 +68,7 @@ def load_all() -> dict[str, Entry]:
     from riskflow.plans import (  # noqa: F401
         aggregate_queries,
         rule_queries,
+        vector_queries,
         feature_queries,
     )
     return REGISTRY
