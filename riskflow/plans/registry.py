@@ -70,5 +70,6 @@ def load_all() -> dict[str, Entry]:
         rule_queries,
         vector_queries,
         feature_queries,
+        library_queries,
     )
     return REGISTRY
