@@ -339,14 +339,20 @@ def coordinated_clusters(df: DataFrame, min_score: float = 0.6, min_size: int =
     return out.filter(F.col("n") >= min_size)
 
 
+def _half_up(c: str, d: int) -> Column:
+    """Half-up rounding of the binary value (same arithmetic in any engine)."""
+    s = 10.0 ** d
+    return F.floor(F.col(c) * s + 0.5) / s
+
+
 def compact_rows(df: DataFrame, n: int = 30, t: str = "t", id_col: str = "txn_id") -> DataFrame:
     """RU-13: the analyst listing of the latest ``n`` rows, rounded."""
     from riskflow.functions.features import hour_bucket
     return (df.orderBy(F.col(t).desc(), F.col(id_col).desc()).limit(n)
               .select(F.col(id_col).cast("string").alias("TransactionID"),
-                      F.round("amount", 2).alias("amount"),
+                      _half_up("amount", 2).alias("amount"),
                       F.floor(F.col("card") / 1000).cast("long").alias("card_bin"),
                       F.coalesce(F.col("channel"), F.lit("?")).alias("channel"),
                       hour_bucket(t).alias("hour"),
-                      F.round("score", 3).alias("score"),
+                      _half_up("score", 3).alias("score"),
                       F.coalesce(F.col("card_txn_count_24h"), F.lit(0)).cast("long").alias("velocity_24h")))

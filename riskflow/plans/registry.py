@@ -2,9 +2,14 @@
 where SQL can express it, an independent DuckDB oracle text.
 
 Outputs are normalised the same way on the Spark side for every query:
-doubles (and arrays of doubles) rounded to 9 then 6 digits (two stages, so
-summation-order noise below 1e-9 cannot flip a half-way tie), small integers
+doubles (and arrays of doubles) rounded to 9 then 6 digits, small integers
 widened to long.  The oracle SQL applies the same rounding explicitly.
+
+Rounding is plain IEEE arithmetic, ``floor(x * 10^d + 0.5) / 10^d``, written
+identically in both engines: Spark's ``round`` rounds the shortest decimal
+text of a double while DuckDB rounds its binary value, so the two disagree on
+values such as 64.0827035.  The first stage (9 digits) absorbs
+summation-order noise, the second gives the compared value.
 """
 
 from __future__ import annotations
@@ -30,19 +35,28 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+def round_col(c, digits: int = DIGITS):
+    """Two-stage IEEE half-up rounding; magnitudes beyond long range pass through."""
+    a = F.abs(c)
+    s1, s2 = 10.0 ** (digits + 3), 10.0 ** digits
+    two = F.floor(F.floor(c * s1 + 0.5) / s1 * s2 + 0.5) / s2
+    one = F.floor(c * s2 + 0.5) / s2
+    return F.when(a < 1e9, two).when(a < 9e12, one).otherwise(c)
+
+
 def normalise(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         dt = f.dataType
         if isinstance(dt, (T.DoubleType, T.FloatType)):
-            c = F.round(F.round(c.cast("double"), digits + 3), digits)
+            c = round_col(c.cast("double"), digits)
         elif isinstance(dt, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(dt, T.BooleanType):
             c = c.cast("long")
         elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x: F.round(F.round(x.cast("double"), digits + 3), digits))
+            c = F.transform(c, lambda x: round_col(x.cast("double"), digits))
         elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.IntegerType, T.ShortType)):
             c = c.cast("array<bigint>")
         cols.append(c.alias(f.name))

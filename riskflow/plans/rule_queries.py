@@ -236,9 +236,9 @@ def q_triage(spark, sf):
 
 
 @register("compact_rows", ops=("RU-13",), sql=feat_query("""
-SELECT CAST(txn_id AS VARCHAR) AS "TransactionID", round(amount, 2) AS amount,
+SELECT CAST(txn_id AS VARCHAR) AS "TransactionID", floor(amount * 100.0 + 0.5) / 100.0 AS amount,
        CAST(floor(card / 1000) AS BIGINT) AS card_bin, coalesce(channel, '?') AS channel,
-       CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, round(score, 3) AS score,
+       CAST(floor((t % 86400) / 3600) AS BIGINT) AS hour, floor(score * 1000.0 + 0.5) / 1000.0 AS score,
        CAST(coalesce(card_txn_count_24h, 0) AS BIGINT) AS velocity_24h
 FROM feat WHERE score >= 0.6 ORDER BY t DESC, txn_id DESC LIMIT 30""", ["amount", "score"]))
 def q_compact(spark, sf):

@@ -7,11 +7,18 @@ from riskflow.bindings import with_txn
 DIGITS = 6
 
 
+def round_sql(c: str, digits: int = DIGITS) -> str:
+    """The Spark side's two-stage IEEE rounding (see ``registry.round_col``)."""
+    s1, s2 = f"{10.0 ** (digits + 3)!r}", f"{10.0 ** digits!r}"
+    return (f"CASE WHEN abs({c}) < 1e9 THEN floor(floor({c} * {s1} + 0.5) / {s1} * {s2} + 0.5) / {s2} "
+            f"WHEN abs({c}) < 9e12 THEN floor({c} * {s2} + 0.5) / {s2} ELSE {c} END")
+
+
 def rounded(sql: str, cols: list[str] | tuple, digits: int = DIGITS) -> str:
     """Wrap ``sql`` so the listed double columns are rounded like the Spark side."""
     if not cols:
         return sql
-    rep = ", ".join(f"round(round({c}, {digits + 3}), {digits}) AS {c}" for c in cols)
+    rep = ", ".join(f"{round_sql(c, digits)} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) _q"
 
 
