@@ -85,5 +85,6 @@ def load_all() -> dict[str, Entry]:
         vector_queries,
         feature_queries,
         library_queries,
+        model_queries,
     )
     return REGISTRY
