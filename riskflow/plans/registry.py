@@ -82,6 +82,7 @@ def load_all() -> dict[str, Entry]:
     from riskflow.plans import (  # noqa: F401
         aggregate_queries,
         rule_queries,
+        stream_queries,
         vector_queries,
         feature_queries,
         library_queries,
