@@ -87,5 +87,6 @@ def load_all() -> dict[str, Entry]:
         feature_queries,
         library_queries,
         model_queries,
+        case_queries,
     )
     return REGISTRY
