@@ -35,11 +35,27 @@ def zscore(amount: Column, mean: Column, std: Column) -> Column:
 
 def attach_card_stats(df: DataFrame, key: str = "card", amount: str = "amount",
                       id_col: str = "txn_id", product: str = "channel", addr: str = "addr",
-                      prefix: str | None = None) -> DataFrame:
-    """JN-2 + WN-3: left-join the key profile back and add the amount z-score."""
+                      prefix: str | None = None, how: str = "join") -> DataFrame:
+    """JN-2 + WN-3: the key profile next to every row, and the amount z-score.
+
+    ``how="join"``: partial/final aggregate joined back (skew-tolerant: a hot
+    key is merged from map-side partial buffers).  ``how="window"``: the same
+    numbers as whole-partition window aggregates, which reuse the exchange and
+    sort of the velocity windows on the same key - one shuffle for the whole
+    feature build; distinct counts are ``size(collect_set)`` (bounded by the
+    key's distinct values)."""
     p = prefix or key
-    prof = card_profile(df, key, amount, id_col, product, addr, prefix)
-    out = df.join(prof, key, "left")
+    if how == "window":
+        w = Window.partitionBy(key)
+        out = df.select("*",
+                        F.avg(amount).over(w).alias(f"{p}_amt_mean"),
+                        F.stddev_samp(amount).over(w).alias(f"{p}_amt_std"),
+                        F.count(id_col).over(w).alias(f"{p}_total_txns"),
+                        F.size(F.collect_set(product).over(w)).cast("long").alias(f"{p}_distinct_products"),
+                        F.size(F.collect_set(addr).over(w)).cast("long").alias(f"{p}_distinct_addr"))
+    else:
+        prof = card_profile(df, key, amount, id_col, product, addr, prefix)
+        out = df.join(prof, key, "left")
     return out.withColumn(f"{p}_amt_zscore",
                           zscore(F.col(amount), F.col(f"{p}_amt_mean"), F.col(f"{p}_amt_std")))
 

@@ -54,8 +54,10 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
         w = Window.partitionBy(key).orderBy(F.col(t))
         wl = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col))
         since = F.coalesce(F.col(t) - F.lag(t).over(wl), F.lit(-1).cast("long"))
-        return df.select("*", *_velocity_cols(w, windows, prefix, id_col, amount),
-                         since.alias(since_name))
+        # the (key, t, id) window first: its sort also satisfies the (key, t)
+        # RANGE frames, so the whole block is one exchange and one sort
+        return df.select("*", since.alias(since_name)).select(
+            "*", *_velocity_cols(w, windows, prefix, id_col, amount))
 
     span = int(split_seconds)
     if span < max(windows.values()):

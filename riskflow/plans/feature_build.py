@@ -31,7 +31,9 @@ def build_features(txn: DataFrame, scope: str = "global", split_seconds: int | N
     df = email_features(df)
     df = velocity(df, windows=windows, split_seconds=split_seconds)
     if scope == "global":
-        df = attach_card_stats(df)
+        # plain plan: profile on the velocity window's partitioning (one
+        # exchange); skew-split plan: partial aggregate + join (hot keys merge)
+        df = attach_card_stats(df, how="window" if split_seconds is None else "join")
     elif scope == "prior":
         df = prior_profile(df, split_seconds=split_seconds)
     else:

@@ -299,3 +299,25 @@ def q_top_terms(spark, sf):
     df = B.transactions(spark, sf).filter(F.col("p_email").isNotNull())
     return (df.groupBy("p_email").agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.col("n").desc(), "p_email").limit(5))
+
+
+# ---------------------------------------------------------------- SL-3 / ST-3 / PF-10
+@register("sorted_demo_sample", ops=("SL-3", "ST-3", "PF-10"), sql=txn_query("""
+SELECT txn_id, is_fraud, strftime(TIMESTAMP '2017-12-01 00:00:00' + to_seconds(t - 1704067200), '%Y-%m-%d %H:%M:%S') AS event_time
+FROM (SELECT *, row_number() OVER (PARTITION BY is_fraud ORDER BY md5('42:' || CAST(txn_id AS VARCHAR)), txn_id) AS rn
+      FROM txn WHERE is_fraud IN (0, 1))
+WHERE (is_fraud = 1 AND rn <= 250) OR (is_fraud = 0 AND rn <= 4750)"""))
+def q_sorted_sample(spark, sf):
+    """The demo sample: 5,000 rows at a 5% fraud rate, event timestamps on the
+    reference origin, written globally sorted by time (range-partitioned sort,
+    parallel write) and read back."""
+    from riskflow.operators.sampling import sample_to_rate
+    from riskflow.session import scratch_path
+    s = sample_to_rate(B.transactions(spark, sf), 5000, 0.05)
+    s = s.withColumn("t_rel", F.col("t") - F.lit(1704067200)).withColumn(
+        "event_ts", FE.event_timestamp("t_rel"))
+    path = scratch_path(spark, "demo-sample")
+    s.orderBy("event_ts", "txn_id").write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select("txn_id", "is_fraud",
+                       F.date_format("event_ts", "yyyy-MM-dd HH:mm:ss").alias("event_time"))

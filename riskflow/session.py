@@ -62,3 +62,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base.replace("file:", ""), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing ``df`` as Parquet into the shared checkpoint
+    folder and reading it back: reliable like ``checkpoint()`` (survives
+    executor loss), but columnar, so later readers prune columns and skip the
+    row deserialisation of an RDD checkpoint."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

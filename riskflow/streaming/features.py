@@ -2,10 +2,14 @@
 
 ``transformWithStateInPandas`` keeps, per card:
 
-* a list state of the last 7 days of (t, amount, txn_id) - evicted on write,
-  so state per card is bounded by its 7-day volume;
-* a value state with the running count / sum / sum of squares and last time;
-* two map states with the channels and addresses already seen.
+* the last 7 days of (t, amount, txn_id) - evicted on write, so state per
+  card is bounded by its 7-day volume;
+* the running count / sum / sum of squares and the last time;
+* the channels and addresses already seen (bounded by their distinct values).
+
+All of it lives in ONE value state per card: every state access is a round
+trip between the Python worker and the JVM, so a card costs one read and one
+write per micro-batch.
 
 Each micro-batch of a card is sorted by (t, txn_id) and scored against the
 history, so with events arriving in time order the output equals the batch
@@ -26,6 +30,74 @@ from riskflow.operators.windows import DEFAULT_WINDOWS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+STATE_SCHEMA = ("hist_t array<bigint>, hist_a array<double>, hist_i array<bigint>, n bigint, "
+                "s double, q double, last_t bigint, chans array<string>, addrs array<bigint>")
+
+
+def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, prefix: str,
+                     passthrough: list[str]):
+    """Score one card's micro-batch against its state; returns (output rows,
+    new state).  Pure NumPy over the card's rows: searchsorted windows, prefix
+    sums, running sets."""
+    batch = batch.sort_values(["t", "txn_id"], kind="stable")
+    if st0 is None:
+        h_t = np.zeros(0, np.int64); h_a = np.zeros(0); h_i = np.zeros(0, np.int64)
+        n0, s0, q0, last_t, chans, addrs = 0, 0.0, 0.0, None, set(), set()
+    else:
+        h_t = np.asarray(st0[0], dtype=np.int64); h_a = np.asarray(st0[1], dtype=np.float64)
+        h_i = np.asarray(st0[2], dtype=np.int64)
+        n0, s0, q0, last_t = int(st0[3]), float(st0[4]), float(st0[5]), st0[6]
+        chans, addrs = set(st0[7] or []), set(st0[8] or [])
+    b_t = batch["t"].to_numpy(dtype=np.int64)
+    b_a = batch["amount"].to_numpy(dtype=np.float64)
+    b_i = batch["txn_id"].to_numpy(dtype=np.int64)
+    all_t = np.concatenate([h_t, b_t])
+    all_a = np.concatenate([h_a, b_a])
+    all_i = np.concatenate([h_i, b_i])
+    order = np.lexsort((all_i, all_t))
+    st, sa, si = all_t[order], all_a[order], all_i[order]
+    csum = np.concatenate([[0.0], np.cumsum(sa)])
+    out = {"txn_id": b_i, "card": np.full(len(batch), card, dtype=np.int64), "t": b_t}
+    for c in passthrough:
+        out[c] = batch[c].to_numpy()
+    for w, sec in windows.items():
+        lo = np.searchsorted(st, b_t - sec, side="left")
+        hi = np.searchsorted(st, b_t - 1, side="right")
+        out[f"{prefix}_txn_count_{w}"] = (hi - lo).astype(np.int64)
+        out[f"{prefix}_amt_sum_{w}"] = np.where(hi > lo, csum[hi] - csum[lo], 0.0)
+        out[f"{prefix}_amt_max_{w}"] = np.array(
+            [sa[a:b].max() if b > a else 0.0 for a, b in zip(lo, hi)], dtype=np.float64)
+    prev_t = np.concatenate([[last_t if last_t is not None else -1], b_t[:-1]])
+    since = b_t - prev_t
+    if last_t is None:
+        since[0] = -1
+    out[f"{prefix}_seconds_since_last"] = since.astype(np.int64)
+    # prior profile: totals before each row = state totals + batch prefix
+    n = n0 + np.arange(len(batch))
+    s = s0 + np.concatenate([[0.0], np.cumsum(b_a)[:-1]])
+    q = q0 + np.concatenate([[0.0], np.cumsum(b_a * b_a)[:-1]])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(n > 0, s / np.maximum(n, 1), b_a)
+        var = np.where(n > 1, np.maximum(0.0, (q - s * s / np.maximum(n, 1)) / np.maximum(n - 1, 1)), 0.0)
+    std = np.where(n > 1, np.sqrt(var), 0.0)
+    out[f"{prefix}_amt_mean"] = mean
+    out[f"{prefix}_amt_std"] = std
+    out[f"{prefix}_amt_zscore"] = np.where(std > 0, (b_a - mean) / np.where(std > 0, std, 1.0), 0.0)
+    out[f"{prefix}_total_txns"] = n.astype(np.int64)
+    for col, seen, name, conv in (("channel", chans, "channel", str), ("addr", addrs, "addr", int)):
+        counts = np.empty(len(batch), dtype=np.int64)
+        for k, v in enumerate(batch[col].tolist()):
+            counts[k] = len(seen)
+            if v is not None and not (isinstance(v, float) and np.isnan(v)):
+                seen.add(conv(v))
+        out[f"{prefix}_distinct_{name}"] = counts
+    keep = st >= int(st.max()) - span          # evict beyond the longest window
+    new_state = (st[keep].tolist(), sa[keep].tolist(), si[keep].tolist(),
+                 int(n0 + len(batch)), float(s0 + b_a.sum()), float(q0 + (b_a * b_a).sum()),
+                 int(b_t[-1]), sorted(chans), sorted(addrs))
+    return pd.DataFrame(out), new_state
+
+
 def output_schema(windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
                   passthrough: list[tuple[str, str]] = ()) -> str:
     cols = ["txn_id long", "card long", "t long"] + [f"{n} {t}" for n, t in passthrough]
@@ -48,89 +120,29 @@ class CardFeatureProcessor(StatefulProcessor):
         self.prefix = prefix
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hist = handle.getListState("hist", "t long, amount double, txn_id long")
-        self.prof = handle.getValueState("prof", "n long, s double, q double, last_t long, last_id long")
-        self.chan = handle.getMapState("chan", "v string", "seen boolean")
-        self.addr = handle.getMapState("addr", "v long", "seen boolean")
+        self.state = handle.getValueState("card", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["t", "txn_id"], kind="stable")
-        hist = list(self.hist.get()) if self.hist.exists() else []
-        h_t = np.array([h[0] for h in hist], dtype=np.int64)
-        h_a = np.array([h[1] for h in hist], dtype=np.float64)
-        h_i = np.array([h[2] for h in hist], dtype=np.int64)
-        p = self.prof.get() if self.prof.exists() else (0, 0.0, 0.0, None, None)
-        n0, s0, q0, last_t = int(p[0]), float(p[1]), float(p[2]), p[3]
-        b_t = batch["t"].to_numpy(dtype=np.int64)
-        b_a = batch["amount"].to_numpy(dtype=np.float64)
-        b_i = batch["txn_id"].to_numpy(dtype=np.int64)
-        all_t = np.concatenate([h_t, b_t])
-        all_a = np.concatenate([h_a, b_a])
-        order = np.lexsort((np.concatenate([h_i, b_i]), all_t))
-        st, sa = all_t[order], all_a[order]
-        csum = np.concatenate([[0.0], np.cumsum(sa)])
-        out = {"txn_id": b_i, "card": np.full(len(batch), key[0], dtype=np.int64), "t": b_t}
-        for c in self.passthrough:
-            out[c] = batch[c].to_numpy()
-        for w, sec in self.windows.items():
-            lo = np.searchsorted(st, b_t - sec, side="left")
-            hi = np.searchsorted(st, b_t - 1, side="right")
-            out[f"{self.prefix}_txn_count_{w}"] = (hi - lo).astype(np.int64)
-            out[f"{self.prefix}_amt_sum_{w}"] = np.where(hi > lo, csum[hi] - csum[lo], 0.0)
-            out[f"{self.prefix}_amt_max_{w}"] = np.array(
-                [sa[a:b].max() if b > a else 0.0 for a, b in zip(lo, hi)], dtype=np.float64)
-        since = np.empty(len(batch), dtype=np.int64)
-        prev = last_t
-        for k in range(len(batch)):
-            since[k] = -1 if prev is None else int(b_t[k]) - int(prev)
-            prev = b_t[k]
-        out[f"{self.prefix}_seconds_since_last"] = since
-        # prior profile: totals before each row = state totals + batch prefix
-        n = n0 + np.arange(len(batch))
-        s = s0 + np.concatenate([[0.0], np.cumsum(b_a)[:-1]])
-        q = q0 + np.concatenate([[0.0], np.cumsum(b_a * b_a)[:-1]])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mean = np.where(n > 0, s / np.maximum(n, 1), b_a)
-            var = np.where(n > 1, np.maximum(0.0, (q - s * s / np.maximum(n, 1)) / np.maximum(n - 1, 1)), 0.0)
-        std = np.where(n > 1, np.sqrt(var), 0.0)
-        out[f"{self.prefix}_amt_mean"] = mean
-        out[f"{self.prefix}_amt_std"] = std
-        out[f"{self.prefix}_amt_zscore"] = np.where(std > 0, (b_a - mean) / np.where(std > 0, std, 1.0), 0.0)
-        out[f"{self.prefix}_total_txns"] = n.astype(np.int64)
-        for col, state, name in (("channel", self.chan, "channel"), ("addr", self.addr, "addr")):
-            seen_new = set()
-            counts = np.empty(len(batch), dtype=np.int64)
-            base = sum(1 for _ in state.keys()) if state.exists() else 0
-            vals = batch[col].tolist()
-            for k, v in enumerate(vals):
-                counts[k] = base + len(seen_new)
-                if v is None or (isinstance(v, float) and np.isnan(v)):
-                    continue
-                key_v = (str(v),) if col == "channel" else (int(v),)
-                if key_v[0] not in seen_new and not state.containsKey(key_v):
-                    seen_new.add(key_v[0])
-            for v in seen_new:
-                state.updateValue((v,), (True,))
-            out[f"{self.prefix}_distinct_{name}"] = counts
-        # state update: evict history older than the longest window
-        cut = int(st.max()) - self.span
-        keep = st >= cut
-        ids_sorted = np.concatenate([h_i, b_i])[order]
-        self.hist.clear()
-        self.hist.put([(int(a), float(b), int(c)) for a, b, c in zip(st[keep], sa[keep], ids_sorted[keep])])
-        self.prof.update((int(n0 + len(batch)), float(s0 + b_a.sum()), float(q0 + (b_a * b_a).sum()),
-                          int(b_t[-1]), int(b_i[-1])))
-        yield pd.DataFrame(out)
+        st0 = self.state.get() if self.state.exists() else None
+        out, new_state = score_card_batch(key[0], pd.concat(list(rows), ignore_index=True), st0,
+                                          self.windows, self.span, self.prefix, self.passthrough)
+        self.state.update(new_state)
+        yield out
 
     def close(self) -> None:
         pass
 
 
 def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
-                         passthrough: list[str] = ()) -> DataFrame:
+                         passthrough: list[str] = (), engine: str = "applyInPandasWithState") -> DataFrame:
     """SS-1/SS-2 on a streaming DataFrame of transactions (txn_id, card, t,
     amount, channel, addr, plus ``passthrough`` columns copied to the output).
-    Sets the RocksDB state store (state on local disk, bounded memory)."""
+
+    ``engine="applyInPandasWithState"`` ships each card's state with its rows
+    in the Arrow batch (one round trip per batch of groups);
+    ``engine="transformWithState"`` uses the newer processor API, whose state
+    calls are round trips per card.  Both keep state in RocksDB (local disk,
+    bounded memory) and give the same rows."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = ["txn_id", "card", "t", "amount", "channel", "addr"]
@@ -138,9 +150,24 @@ def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, pre
     cols = events.select(*base, *extra)
     types = dict(cols.dtypes)
     pt = [(c, types[c]) for c in extra]
-    return cols.groupBy("card").transformWithStateInPandas(
-        statefulProcessor=CardFeatureProcessor(windows, prefix, tuple(pt)),
-        outputStructType=output_schema(windows, prefix, pt), outputMode="Append", timeMode="None")
+    windows = dict(windows)
+    if engine == "transformWithState":
+        return cols.groupBy("card").transformWithStateInPandas(
+            statefulProcessor=CardFeatureProcessor(windows, prefix, tuple(pt)),
+            outputStructType=output_schema(windows, prefix, pt), outputMode="Append", timeMode="None")
+    span = max(windows.values())
+    names = [n for n, _ in pt]
+
+    def fn(key, pdfs, state):
+        st0 = state.get if state.exists else None
+        out, new_state = score_card_batch(key[0], pd.concat(list(pdfs), ignore_index=True), st0,
+                                          windows, span, prefix, names)
+        state.update(new_state)
+        yield out
+
+    return cols.groupBy("card").applyInPandasWithState(
+        fn, outputStructType=output_schema(windows, prefix, pt), stateStructType=STATE_SCHEMA,
+        outputMode="Append", timeoutConf="NoTimeout")
 
 
 def stream_engineer(events: DataFrame) -> DataFrame:

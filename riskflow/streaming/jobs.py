@@ -133,11 +133,10 @@ def late_router(delay_seconds: int):
     def fn(df: DataFrame, batch_id: int, out: str) -> None:
         spark = df.sparkSession
         wm_path = os.path.join(out, "_watermark")
-        try:
+        prev = None
+        if batch_id > 0:   # batch 0 has no earlier watermark (and no folder yet)
             prev = spark.read.parquet(wm_path).filter(F.col("batch_id") < batch_id) \
                         .agg(F.max("max_t")).first()[0]
-        except Exception:  # noqa: BLE001 - first batch
-            prev = None
         wm = None if prev is None else prev - delay_seconds
         late = F.lit(False) if wm is None else (F.col("t") < F.lit(wm))
         tagged = df.withColumn("late", late)
