@@ -306,7 +306,7 @@ def islands(df: DataFrame, key: str, gap: int, t: str = "t", id_col: str = "txn_
 
 
 def coordinated_clusters(df: DataFrame, min_score: float = 0.6, min_size: int = 3,
-                         windows: dict | None = None, split_seconds: int | None = None) -> DataFrame:
+                         windows: dict | None = None, split_seconds: int | None = 86400) -> DataFrame:
     """RU-12: groups of >= ``min_size`` flagged rows sharing structure, each
     a gaps-and-islands run: same BIN prefix within 1 h, same channel within
     10 min, same amount band within 10 min.  Plus same hour of day across

@@ -8,9 +8,9 @@ Skew: a key (card) may hold a third of all rows.  Plain ``partitionBy(key)``
 makes that key one task.  The ``split_seconds`` forms partition by
 ``(key, floor(t / split))`` instead and make every bucket self-sufficient:
 
-* RANGE frames (velocity): each row is also copied, as context, into the next
-  bucket; with ``split >= longest window`` every frame lies in its own bucket
-  plus the previous one.
+* RANGE frames (velocity): each row is also copied, as narrow context, into
+  the ceil(W / split) following buckets, so every frame lies inside one
+  (key, bucket) partition.
 * running aggregates (prior profile): additive partial sums per bucket are
   cumulated over the (small) per-bucket table and added back as offsets.
 * gaps (time since last): the last time of the previous non-empty bucket comes
@@ -45,7 +45,9 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
     ``RANGE [-W, -1]`` seconds (same-second peers excluded, S1) and seconds
     since the previous row (-1 when first; ties broken by ``id_col``, S2).
 
-    ``split_seconds`` (>= longest window) enables the skew-safe bucketed plan.
+    ``split_seconds`` enables the skew-safe bucketed plan (any bucket size:
+    each row is also copied, narrow, into the ceil(W / split) later buckets its
+    windows can reach).
     """
     windows = windows or DEFAULT_WINDOWS
     prefix = prefix or key
@@ -60,17 +62,19 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
             "*", *_velocity_cols(w, windows, prefix, id_col, amount))
 
     span = int(split_seconds)
-    if span < max(windows.values()):
-        raise ValueError("split_seconds must cover the longest window")
+    reach = -(-max(windows.values()) // span)          # buckets a window can look back
     b = F.floor(F.col(t) / span)
     orig = df.withColumn("_vb", b).withColumn("_ctx", F.lit(False))
-    ctx = (df.select(key, t, amount, id_col)
-             .withColumn("_vb", b + 1).withColumn("_ctx", F.lit(True)))
+    # narrow context copies of each row into the `reach` following buckets
+    ctx = (df.select(key, t, amount, id_col, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_o"))
+             .withColumn("_vb", b + F.col("_o")).drop("_o")
+             .withColumn("_ctx", F.lit(True)))
     both = orig.unionByName(ctx, allowMissingColumns=True)
     w = Window.partitionBy(key, "_vb").orderBy(F.col(t))
     wl = Window.partitionBy(key, "_vb").orderBy(F.col(t), F.col(id_col))
-    out = both.select("*", *_velocity_cols(w, windows, prefix, id_col, amount),
-                      (F.col(t) - F.lag(t).over(wl)).alias("_gap")).filter(~F.col("_ctx"))
+    out = (both.select("*", (F.col(t) - F.lag(t).over(wl)).alias("_gap"))
+               .select("*", *_velocity_cols(w, windows, prefix, id_col, amount))
+               .filter(~F.col("_ctx")))
     # last time of the previous non-empty bucket, from a table of (key, bucket) rows
     per_bucket = df.groupBy(key, b.alias("_vb")).agg(F.max(t).alias("_bmax"))
     prev = per_bucket.select(key, "_vb", F.lag("_bmax").over(
@@ -80,6 +84,25 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
     return out.withColumn(since_name, since).drop("_vb", "_ctx", "_gap", "_prev_t")
 
 
+def row_numbers(df: DataFrame, key: str, t: str = "t", id_col: str = "txn_id",
+                split_seconds: int | None = None, name: str = "rn") -> DataFrame:
+    """Exact 1-based position of each row within its key by (t, id).  With
+    ``split_seconds`` the numbering runs per (key, time bucket) and adds the
+    row counts of the key's earlier buckets (a small per-bucket table), so a
+    hot key is numbered by many tasks."""
+    if split_seconds is None:
+        w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col))
+        return df.withColumn(name, F.row_number().over(w))
+    b = F.floor(F.col(t) / int(split_seconds))
+    x = df.withColumn("_rb", b)
+    w = Window.partitionBy(key, "_rb").orderBy(F.col(t), F.col(id_col))
+    cnt = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_c"))
+    wb = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select(key, "_rb", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
+    return (x.withColumn("_in", F.row_number().over(w)).join(off, [key, "_rb"], "left")
+             .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_rb", "_in", "_off"))
+
+
 def velocity_sql(windows: dict | None = None, key: str = "card", t: str = "t",
                  amount: str = "amount", id_col: str = "txn_id", prefix: str | None = None) -> str:
     """Oracle select-list for :func:`velocity` (DuckDB / ANSI RANGE frames)."""

@@ -17,16 +17,25 @@ from riskflow.operators.profiles import attach_card_stats
 from riskflow.operators.windows import DEFAULT_WINDOWS, prior_profile, velocity
 
 
-def build_features(txn: DataFrame, scope: str = "global", split_seconds: int | None = None,
+AUTO = "auto"
+
+
+def build_features(txn: DataFrame, scope: str = "global", split_seconds: int | str | None = AUTO,
                    windows: dict | None = None) -> DataFrame:
     """Engineered features for every transaction.
 
     ``scope="global"`` reproduces the batch pipeline (per-card statistics over
     the whole table, S3); ``scope="prior"`` uses only strictly earlier rows, the
-    live-path semantics (S4).  ``split_seconds`` switches the per-card windows to
-    the skew-safe bucketed plan (see ``operators.windows``).
+    live-path semantics (S4).
+
+    ``split_seconds`` (default: the longest window) partitions the per-card
+    windows by (card, time bucket), so a card holding a third of all rows is
+    still many tasks; ``None`` gives the single-exchange plan (one shuffle,
+    one sort, the profile on the same partitioning) for data without hot keys.
     """
     windows = windows or DEFAULT_WINDOWS
+    if split_seconds == AUTO:
+        split_seconds = max(windows.values())
     df = time_features(txn)
     df = email_features(df)
     df = velocity(df, windows=windows, split_seconds=split_seconds)

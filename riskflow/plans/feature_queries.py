@@ -51,6 +51,15 @@ def q_velocity_split(spark, sf):
                       split_seconds=7 * 86400).drop("amount")
 
 
+@register("velocity_split_daily", ops=("WN-1", "WN-2", "H1"), sql=txn_query(
+    f"SELECT txn_id, card, t,\n       {W.velocity_sql()}\nFROM txn", VEL_DOUBLES))
+def q_velocity_split_daily(spark, sf):
+    """Day buckets, each row copied into the 7 following days: finer splitting
+    of a hot card for the price of 8 narrow copies."""
+    return W.velocity(B.transactions(spark, sf).select("txn_id", "card", "t", "amount"),
+                      split_seconds=86400).drop("amount")
+
+
 # ---------------------------------------------------------------- AG-1
 @register("card_profile", ops=("AG-1",), sql=txn_query("""
 SELECT card, avg(amount) AS card_amt_mean, stddev_samp(amount) AS card_amt_std,
@@ -81,13 +90,23 @@ _FEATURE_COLS = ["txn_id", "card", "t", "amount", "score"] + [
     "card_distinct_products", "card_distinct_addr", "card_amt_zscore"]
 
 
-@register("features_global", ops=("WN-1", "WN-2", "AG-1", "JN-2", "WN-3"), sql=txn_query(
+@register("features_global", ops=("WN-1", "WN-2", "AG-1", "JN-2", "WN-3", "H1"), sql=txn_query(
     "SELECT " + ", ".join(_FEATURE_COLS) + " FROM (" + _FEATURE_SQL_BODY + ") x",
     VEL_DOUBLES + ["amount", "score", "card_amt_mean", "card_amt_std", "card_amt_zscore"]))
 def q_features_global(spark, sf):
+    """The default (skew-safe) feature build."""
     return build_features(B.transactions(spark, sf)).select(*_FEATURE_COLS)
 
 
+@register("features_single_exchange", ops=("WN-1", "WN-2", "AG-1", "JN-2", "WN-3"), sql=txn_query(
+    "SELECT " + ", ".join(_FEATURE_COLS) + " FROM (" + _FEATURE_SQL_BODY + ") x",
+    VEL_DOUBLES + ["amount", "score", "card_amt_mean", "card_amt_std", "card_amt_zscore"]))
+def q_features_single(spark, sf):
+    """The one-shuffle plan (no hot keys assumed): windows and profile share
+    one exchange and one sort."""
+    return build_features(B.transactions(spark, sf), split_seconds=None).select(*_FEATURE_COLS)
+
+
 # ---------------------------------------------------------------- WN-11 prior scope
 _PRIOR_SQL = """
 SELECT txn_id, card, t,

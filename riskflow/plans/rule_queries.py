@@ -172,7 +172,7 @@ FROM flagged GROUP BY 2 HAVING count(DISTINCT card) >= 3 AND count(*) >= 3"""
 @register("coordinated_clusters", ops=("RU-12",), sql=txn_query(
     _ISLAND_SQL, ["amount_sum"], extra_ctes="flagged AS (SELECT * FROM txn WHERE score >= 0.3)"))
 def q_clusters(spark, sf):
-    return R.coordinated_clusters(B.transactions(spark, sf), min_score=0.3)
+    return R.coordinated_clusters(B.transactions(spark, sf), min_score=0.3, split_seconds=None)
 
 
 @register("coordinated_clusters_split", ops=("RU-12", "H1"), sql=txn_query(

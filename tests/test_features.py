@@ -99,3 +99,15 @@ def test_one_row_card_std(spark, txn_schema):
     f = {r["txn_id"]: r for r in build_features(make_txn(spark, rows, txn_schema)).collect()}
     assert f[1]["card_amt_std"] is None and f[1]["card_amt_zscore"] == 0.0
     assert f[2]["card_amt_std"] == 0.0 and f[3]["card_amt_zscore"] == 0.0
+
+
+def test_daily_split_and_row_numbers(spark):
+    from riskflow.operators.windows import row_numbers
+    txn = B.transactions(spark, SF01)
+    cols = ["txn_id", "card_txn_count_7d", "card_amt_sum_7d", "card_amt_max_24h", "card_seconds_since_last"]
+    plain = velocity(txn).select(*cols)
+    daily = velocity(txn, split_seconds=3 * 3600).select(*cols)   # 56 context copies per row
+    assert plain.exceptAll(daily).count() == 0 and daily.exceptAll(plain).count() == 0
+    a = row_numbers(txn, "card").select("txn_id", "rn")
+    b = row_numbers(txn, "card", split_seconds=86400).select("txn_id", "rn")
+    assert a.exceptAll(b).count() == 0
