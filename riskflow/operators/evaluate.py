@@ -85,15 +85,16 @@ def score_table(df: DataFrame, score: str = "score", label: str = "is_fraud",
            .groupBy(F.col(score).alias("s"))
            .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
                 F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).cast("long").alias("neg")))
-    # bucket edges at approximate quantiles of the distinct scores (scalar subquery)
+    # bucket edges at approximate quantiles of the distinct scores: ONE scalar
+    # subquery; bucket = number of edges below s, found by the position of s
+    # in the sorted (edges + s) array (no higher-order function, which may not
+    # hold a subquery, and no per-edge references to it)
     qs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     edges = d.select(F.percentile_approx("s", qs, 10000)).scalar()
-    # bucket 0 holds the highest scores: count edges strictly above s
-    # (a subquery may not sit inside a higher-order function, so unroll the count)
-    above = [F.when(F.element_at(edges, i) > F.col("s"), 1).otherwise(0) for i in range(1, buckets)]
-    d = d.withColumn("b", sum(above[1:], above[0]) if above else F.lit(0))
+    d = d.withColumn("b", F.array_position(F.sort_array(F.concat(edges, F.array(F.col("s")))), F.col("s")) - 1)
     tot = d.groupBy("b").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
+    # higher buckets hold higher scores: offsets accumulate from the top bucket down
+    wb = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # <= buckets rows
     off = tot.select("b", F.coalesce(F.sum("bp").over(wb), F.lit(0)).alias("op"),
                      F.coalesce(F.sum("bn").over(wb), F.lit(0)).alias("on"),
                      F.sum("bp").over(Window.partitionBy()).alias("P"),
