@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.sampling import time_split
+from riskflow.operators.windows import rolling_lists
 
 # The reference's 16 step features, on our column names.
 SEQ_FEATURES = [
@@ -54,8 +55,7 @@ def scaled_windows(feats: DataFrame, model_means, model_stds, features=SEQ_FEATU
     first step)."""
     step = F.array(*[((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s)
                      for c, m, s in zip(features, model_means, model_stds)])
-    w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col)).rowsBetween(-(n - 1), 0)
-    x = feats.withColumn("_seq", F.collect_list(step).over(w))
+    x = rolling_lists(feats, key, step, n, t, id_col, split_seconds=86400, name="_seq")
     if complete_only:
         x = x.filter(F.size("_seq") == n)
     else:

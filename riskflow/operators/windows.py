@@ -200,14 +200,14 @@ def top_k_per_group(df: DataFrame, key, k: int, order: list[Column]) -> DataFram
 
 
 def sequences(df: DataFrame, key: str, features: list[str], n: int = 10, t: str = "t",
-              id_col: str = "txn_id", complete_only: bool = True) -> DataFrame:
+              id_col: str = "txn_id", complete_only: bool = True,
+              split_seconds: int | None = 86400) -> DataFrame:
     """WN-5: rolling windows of the last ``n`` rows per key (current included),
-    as ``array<array<double>>``.  ``complete_only`` keeps windows of size ``n``;
-    otherwise WN-6 left-pads with the first step."""
-    w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col)).rowsBetween(-(n - 1), 0)
+    as ``array<array<double>>`` (skew-safe via ``rolling_lists``).
+    ``complete_only`` keeps windows of size ``n``; otherwise WN-6 left-pads
+    with the first step."""
     step = F.array(*[F.col(c).cast("double") for c in features])
-    seq = F.collect_list(step).over(w)
-    out = df.withColumn("seq", seq)
+    out = rolling_lists(df, key, step, n, t, id_col, split_seconds=split_seconds, name="seq")
     if complete_only:
         return out.filter(F.size("seq") == n)
     return out.withColumn("seq", pad_sequence(F.col("seq"), n))
@@ -216,3 +216,28 @@ def sequences(df: DataFrame, key: str, features: list[str], n: int = 10, t: str
 def pad_sequence(seq: Column, n: int) -> Column:
     """WN-6: left-pad a sequence to ``n`` steps by repeating its first step."""
     return F.concat(F.array_repeat(F.element_at(seq, 1), F.greatest(F.lit(0), F.lit(n) - F.size(seq))), seq)
+
+
+def rolling_lists(df: DataFrame, key: str, step: Column, n: int, t: str = "t", id_col: str = "txn_id",
+                  split_seconds: int | None = 86400, rows_per_bucket: int = 4096,
+                  name: str = "seq") -> DataFrame:
+    """WN-5: per row, the list of ``step`` values of its key's last ``n`` rows
+    (current included), in (t, id) order.
+
+    Skew-safe: rows are numbered per key (``row_numbers``), cut into buckets
+    of ``rows_per_bucket`` consecutive rows, and the last ``n - 1`` rows of
+    each bucket are copied as context into the next one, so every frame lies
+    in one (key, bucket) partition - a hot key becomes many tasks.  With
+    ``split_seconds=None`` it is the plain ``rowsBetween(-(n-1), 0)`` window."""
+    if split_seconds is None:
+        w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col)).rowsBetween(-(n - 1), 0)
+        return df.withColumn(name, F.collect_list(step).over(w))
+    B = max(int(rows_per_bucket), n)
+    x = row_numbers(df, key, t, id_col, split_seconds, "_rn").withColumn("_step", step)
+    x = x.withColumn("_sb", F.floor((F.col("_rn") - 1) / B)).withColumn("_ctx", F.lit(False))
+    ctx = (x.filter(F.pmod(F.col("_rn") - 1, F.lit(B)) >= B - (n - 1))
+            .select(key, "_rn", "_step", (F.col("_sb") + 1).alias("_sb"), F.lit(True).alias("_ctx")))
+    both = x.unionByName(ctx, allowMissingColumns=True)
+    w = Window.partitionBy(key, "_sb").orderBy("_rn").rowsBetween(-(n - 1), 0)
+    return (both.withColumn(name, F.collect_list("_step").over(w)).filter(~F.col("_ctx"))
+                .drop("_rn", "_step", "_sb", "_ctx"))

@@ -179,9 +179,11 @@ FROM (SELECT txn_id, list_concat(list_transform(range(10 - len(s)), lambda i: s[
                                               ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s FROM feat))"""))
 def q_padded(spark, sf):
     f = _feat(spark, sf)
-    w = Window.partitionBy("card").orderBy("t", "txn_id").rowsBetween(-9, 0)
-    from riskflow.operators.windows import pad_sequence
-    s = f.select("txn_id", pad_sequence(F.collect_list("amount").over(w), 10).alias("seq"))
+    from riskflow.operators.windows import pad_sequence, rolling_lists
+    # small row buckets so the test data exercises the context copies
+    r = rolling_lists(f.select("txn_id", "card", "t", "amount"), "card", F.col("amount"), 10,
+                      rows_per_bucket=16)
+    s = r.select("txn_id", pad_sequence(F.col("seq"), 10).alias("seq"))
     return s.withColumn("current_rank", 1 + F.size(F.filter("seq", lambda x: x > F.element_at("seq", 10))))
 
 

@@ -2,8 +2,8 @@
 
 ``transformWithStateInPandas`` keeps, per card:
 
-* the last 7 days of (t, amount, txn_id) - evicted on write, so state per
-  card is bounded by its 7-day volume;
+* the last 7 days as per-second (count, sum, max) - evicted on write, so the
+  state of any card, however busy, is bounded by the seconds in 7 days;
 * the running count / sum / sum of squares and the last time;
 * the channels and addresses already seen (bounded by their distinct values).
 
@@ -30,43 +30,88 @@ from riskflow.operators.windows import DEFAULT_WINDOWS
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-STATE_SCHEMA = ("hist_t array<bigint>, hist_a array<double>, hist_i array<bigint>, n bigint, "
-                "s double, q double, last_t bigint, chans array<string>, addrs array<bigint>")
+STATE_SCHEMA = ("sec array<bigint>, sec_n array<bigint>, sec_s array<double>, sec_m array<double>, "
+                "n bigint, s double, q double, last_t bigint, chans array<string>, addrs array<bigint>")
+
+
+def _range_max(arr: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """max(arr[lo:hi]) per query (0 when empty) with a sparse table: O(m log m)
+    to build, O(1) per query - a hot card's long windows stay cheap."""
+    out = np.zeros(len(lo))
+    m = len(arr)
+    if m == 0:
+        return out
+    table = [arr]
+    k = 1
+    while (1 << k) <= m:
+        prev, half = table[-1], 1 << (k - 1)
+        table.append(np.maximum(prev[:-half], prev[half:]))
+        k += 1
+    length = hi - lo
+    ok = length > 0
+    lv = np.zeros(len(lo), dtype=np.int64)
+    lv[ok] = np.floor(np.log2(length[ok])).astype(np.int64)
+    for level in np.unique(lv[ok]):
+        sel = ok & (lv == level)
+        t = table[level]
+        out[sel] = np.maximum(t[lo[sel]], t[hi[sel] - (1 << level)])
+    return out
+
+
+def _per_second(t: np.ndarray, a: np.ndarray):
+    """Collapse rows to per-second (second, count, sum, max)."""
+    if len(t) == 0:
+        return t, np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    order = np.argsort(t, kind="stable")
+    t, a = t[order], a[order]
+    uniq, start = np.unique(t, return_index=True)
+    cnt = np.diff(np.append(start, len(t)))
+    return uniq, cnt.astype(np.int64), np.add.reduceat(a, start), np.maximum.reduceat(a, start)
 
 
 def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, prefix: str,
                      passthrough: list[str]):
     """Score one card's micro-batch against its state; returns (output rows,
-    new state).  Pure NumPy over the card's rows: searchsorted windows, prefix
-    sums, running sets."""
+    new state).
+
+    The history is kept per SECOND (count, sum, max) over the longest window:
+    windows are whole-second RANGE frames that exclude the current second, so
+    per-second aggregates give exactly the row-level answer while the state
+    of even the busiest card is bounded by the seconds in 7 days."""
     batch = batch.sort_values(["t", "txn_id"], kind="stable")
     if st0 is None:
-        h_t = np.zeros(0, np.int64); h_a = np.zeros(0); h_i = np.zeros(0, np.int64)
+        h_s = np.zeros(0, np.int64); h_n = np.zeros(0, np.int64); h_sum = np.zeros(0); h_max = np.zeros(0)
         n0, s0, q0, last_t, chans, addrs = 0, 0.0, 0.0, None, set(), set()
     else:
-        h_t = np.asarray(st0[0], dtype=np.int64); h_a = np.asarray(st0[1], dtype=np.float64)
-        h_i = np.asarray(st0[2], dtype=np.int64)
-        n0, s0, q0, last_t = int(st0[3]), float(st0[4]), float(st0[5]), st0[6]
-        chans, addrs = set(st0[7] or []), set(st0[8] or [])
+        h_s = np.asarray(st0[0], dtype=np.int64); h_n = np.asarray(st0[1], dtype=np.int64)
+        h_sum = np.asarray(st0[2], dtype=np.float64); h_max = np.asarray(st0[3], dtype=np.float64)
+        n0, s0, q0, last_t = int(st0[4]), float(st0[5]), float(st0[6]), st0[7]
+        chans, addrs = set(st0[8] or []), set(st0[9] or [])
     b_t = batch["t"].to_numpy(dtype=np.int64)
     b_a = batch["amount"].to_numpy(dtype=np.float64)
     b_i = batch["txn_id"].to_numpy(dtype=np.int64)
-    all_t = np.concatenate([h_t, b_t])
-    all_a = np.concatenate([h_a, b_a])
-    all_i = np.concatenate([h_i, b_i])
-    order = np.lexsort((all_i, all_t))
-    st, sa, si = all_t[order], all_a[order], all_i[order]
-    csum = np.concatenate([[0.0], np.cumsum(sa)])
+    # merge history seconds with this batch's seconds
+    bs, bn, bsum, bmax = _per_second(b_t, b_a)
+    sec = np.concatenate([h_s, bs]); cnt = np.concatenate([h_n, bn])
+    ssum = np.concatenate([h_sum, bsum]); smax = np.concatenate([h_max, bmax])
+    order = np.argsort(sec, kind="stable")
+    sec, cnt, ssum, smax = sec[order], cnt[order], ssum[order], smax[order]
+    if len(sec) and np.any(sec[1:] == sec[:-1]):          # a second seen in both: fold
+        uniq, start = np.unique(sec, return_index=True)
+        cnt, ssum = np.add.reduceat(cnt, start), np.add.reduceat(ssum, start)
+        smax = np.maximum.reduceat(smax, start)
+        sec = uniq
+    ccnt = np.concatenate([[0], np.cumsum(cnt)])
+    csum = np.concatenate([[0.0], np.cumsum(ssum)])
     out = {"txn_id": b_i, "card": np.full(len(batch), card, dtype=np.int64), "t": b_t}
     for c in passthrough:
         out[c] = batch[c].to_numpy()
-    for w, sec in windows.items():
-        lo = np.searchsorted(st, b_t - sec, side="left")
-        hi = np.searchsorted(st, b_t - 1, side="right")
-        out[f"{prefix}_txn_count_{w}"] = (hi - lo).astype(np.int64)
+    for w, secs in windows.items():
+        lo = np.searchsorted(sec, b_t - secs, side="left")
+        hi = np.searchsorted(sec, b_t - 1, side="right")
+        out[f"{prefix}_txn_count_{w}"] = (ccnt[hi] - ccnt[lo]).astype(np.int64)
         out[f"{prefix}_amt_sum_{w}"] = np.where(hi > lo, csum[hi] - csum[lo], 0.0)
-        out[f"{prefix}_amt_max_{w}"] = np.array(
-            [sa[a:b].max() if b > a else 0.0 for a, b in zip(lo, hi)], dtype=np.float64)
+        out[f"{prefix}_amt_max_{w}"] = _range_max(smax, lo, hi)
     prev_t = np.concatenate([[last_t if last_t is not None else -1], b_t[:-1]])
     since = b_t - prev_t
     if last_t is None:
@@ -91,8 +136,8 @@ def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, p
             if v is not None and not (isinstance(v, float) and np.isnan(v)):
                 seen.add(conv(v))
         out[f"{prefix}_distinct_{name}"] = counts
-    keep = st >= int(st.max()) - span          # evict beyond the longest window
-    new_state = (st[keep].tolist(), sa[keep].tolist(), si[keep].tolist(),
+    keep = sec >= int(sec.max()) - span          # evict beyond the longest window
+    new_state = (sec[keep].tolist(), cnt[keep].tolist(), ssum[keep].tolist(), smax[keep].tolist(),
                  int(n0 + len(batch)), float(s0 + b_a.sum()), float(q0 + (b_a * b_a).sum()),
                  int(b_t[-1]), sorted(chans), sorted(addrs))
     return pd.DataFrame(out), new_state

@@ -52,3 +52,14 @@ def test_dedup_within_watermark(spark):
     n = B.table(spark, SF001, "events").count()
     out = J.run_to_table(J.dedup(_stream(spark, duplicate_next=True)), "t-dedup")
     assert out.count() == n and out.select("txn_id").distinct().count() == n
+
+
+def test_range_max_sparse_table():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    arr = rng.random(1000)
+    lo = rng.integers(0, 1000, 500)
+    hi = np.minimum(lo + rng.integers(0, 300, 500), 1000)
+    got = SF._range_max(arr, lo, hi)
+    want = np.array([arr[a:b].max() if b > a else 0.0 for a, b in zip(lo, hi)])
+    assert np.array_equal(got, want)
