@@ -229,7 +229,7 @@ def _grid_values_sql():
 
 
 @register("threshold_sweep", ops=("AG-19",), sql=txn_query(f"""
-SELECT g.i, g.threshold,
+SELECT CAST(g.i AS BIGINT) AS i, g.threshold,
        CAST(sum(CASE WHEN x.score >= g.threshold AND x.is_fraud = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
        CAST(sum(CASE WHEN x.score >= g.threshold AND x.is_fraud = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
        sum(CASE WHEN x.score >= g.threshold AND x.is_fraud = 1 THEN 1 ELSE 0 END)

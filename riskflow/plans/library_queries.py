@@ -79,13 +79,14 @@ def _jac(a, b):
 
 @register("near_duplicates_first", ops=("X-2", "X-3", "ST-2", "JN-7", "H5"), sql=cases_query(f""",
 {_SETS}
-SELECT s.case_id, s.category, min(o.case_id) AS first_similar
+SELECT s.case_id, s.category, coalesce(min(o.case_id), -1) AS first_similar
 FROM sets s LEFT JOIN sets o
   ON o.category = s.category AND o.case_id < s.case_id
  AND ({_jac('s.ind', 'o.ind')} >= 0.65 OR {_jac('s.tt', 'o.tt')} >= 0.75)
 GROUP BY s.case_id, s.category"""))
 def q_near_dup(spark, sf):
-    return L.first_similar_earlier(_cases(spark, sf))
+    """-1 when no earlier similar case exists."""
+    return L.first_similar_earlier(_cases(spark, sf)).fillna(-1, ["first_similar"])
 
 
 @register("title_token_pairs", ops=("JN-7", "ST-2", "H5"), sql=cases_query(f""",
@@ -252,7 +253,7 @@ def q_export(spark, sf):
 
 
 @register("case_library_json_roundtrip", ops=("IO-5", "IO-6"), sql=cases_query("""
-SELECT category, count(*) AS n_cases, sum(len(indicators)) AS n_indicators FROM cases GROUP BY category"""))
+SELECT category, count(*) AS n_cases, CAST(sum(len(indicators)) AS BIGINT) AS n_indicators FROM cases GROUP BY category"""))
 def q_json_roundtrip(spark, sf):
     """Write the case library as JSON files to the shared scratch folder, read
     it back with a declared schema (PERMISSIVE, corrupt rows dropped)."""
