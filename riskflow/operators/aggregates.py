@@ -168,7 +168,7 @@ def log_histogram(df: DataFrame, bins: int = 30, amount: str = "amount",
     hi = F.log10(df.select(F.max(amount)).scalar())
     x = F.log10(F.col(amount))
     nb = bins - 1
-    pos = (x - lo) / (hi - lo) * nb
+    pos = (x - lo) / F.nullif(hi - lo, F.lit(0.0)) * nb      # one distinct amount: no bins
     b = F.when(F.col(amount) == F.pow(F.lit(10.0), hi), nb - 1).otherwise(F.floor(pos))
     binned = (df.filter(F.col(amount) > 0)
                 .withColumn("bin", b.cast("int"))

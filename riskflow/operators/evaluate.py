@@ -114,11 +114,13 @@ def ranking_metrics(df: DataFrame, score: str = "score", label: str = "is_fraud"
     (trapezoids from (0, 0)) and recall at FPR targets (S12 ``mode="at_least"``:
     the first ROC point, by descending threshold, whose FPR >= target)."""
     st = score_table(df, score, label, buckets)
-    tpr = F.col("tp") / F.col("P")
-    fpr = F.col("fp") / F.col("N")
+    # (ANSI mode: a zero denominator would raise; no positives / negatives -> null)
+    P, N = F.nullif(F.col("P"), F.lit(0)), F.nullif(F.col("N"), F.lit(0))
+    tpr = F.col("tp") / P
+    fpr = F.col("fp") / N
     prev_tp = F.col("tp") - F.col("pos")
-    ap_term = (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    auc_term = (F.col("neg") / F.col("N")) * ((F.col("tp") + prev_tp) / F.col("P")) / 2
+    ap_term = (F.col("pos") / P) * (F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)))
+    auc_term = (F.col("neg") / N) * ((F.col("tp") + prev_tp) / P) / 2
     aggs = [F.sum(ap_term).alias("average_precision"), F.sum(auc_term).alias("roc_auc"),
             F.max("P").alias("positives"), F.max("N").alias("negatives")]
     for tgt in fpr_targets:
@@ -135,8 +137,8 @@ def recall_at_fpr_at_most(df: DataFrame, target: float, score: str = "score",
                           label: str = "is_fraud", buckets: int = 64) -> DataFrame:
     """ML-4 ``mode="at_most"``: best recall among points whose FPR <= target."""
     st = score_table(df, score, label, buckets)
-    return st.agg(F.coalesce(F.max(F.when(F.col("fp") / F.col("N") <= target,
-                                          F.col("tp") / F.col("P"))), F.lit(0.0))
+    P, N = F.nullif(F.col("P"), F.lit(0)), F.nullif(F.col("N"), F.lit(0))
+    return st.agg(F.coalesce(F.max(F.when(F.col("fp") / N <= target, F.col("tp") / P)), F.lit(0.0))
                   .alias("recall"))
 
 

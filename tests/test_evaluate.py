@@ -59,3 +59,15 @@ def test_no_positives_guard(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.9)], "is_fraud int, score double")
     c = EV.confusion(df, 0.5).first()
     assert c["catch_rate"] == 0.0 and c["fp_rate"] == 0.5
+
+
+def test_guards_no_positives_no_negatives(spark):
+    only_neg = spark.createDataFrame([(0, 0.2), (0, 0.7)], "is_fraud int, score double")
+    r = EV.ranking_metrics(only_neg).first()
+    assert r["average_precision"] is None and r["roc_auc"] is None
+    only_pos = spark.createDataFrame([(1, 0.2), (1, 0.7)], "is_fraud int, score double")
+    r2 = EV.ranking_metrics(only_pos).first()
+    assert r2["average_precision"] == 1.0
+    one = spark.createDataFrame([(0, 5.0), (1, 5.0)], "is_fraud int, amount double")
+    from riskflow.operators.aggregates import log_histogram
+    assert log_histogram(one).count() >= 0
