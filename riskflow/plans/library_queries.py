@@ -144,20 +144,21 @@ SELECT src, id,
             WHEN json_valid(c) THEN []::VARCHAR[]
             ELSE [c] END AS items
 FROM (SELECT 'props' AS src, event_id AS id, CAST(props AS VARCHAR) AS c FROM events
-      UNION ALL SELECT 'line', doc_id, string_split(text, chr(10))[1] FROM documents
-      UNION ALL SELECT 'list', doc_id, CAST(to_json(list_slice(string_split(string_split(text, chr(10))[1], ' '), 1, 3)) AS VARCHAR) FROM documents
+      UNION ALL SELECT 'text', doc_id, text FROM documents
+      UNION ALL SELECT 'list', doc_id, CAST(to_json(string_split(text, chr(10))) AS VARCHAR) FROM documents
       UNION ALL SELECT 'blank', doc_id, CASE WHEN doc_id % 2 = 0 THEN '' ELSE NULL END FROM documents)""")
 def q_list_from_text(spark, sf):
+    """Inputs: event props (JSON objects -> []), whole document texts (not JSON
+    -> [text]), every document's lines as a JSON list (-> the lines), blanks."""
     ev = B.table(spark, sf, "events").select(F.lit("props").alias("src"), F.col("event_id").alias("id"),
                                              F.col("props").alias("c"))
     docs = B.table(spark, sf, "documents")
-    first = F.split(F.col("text"), "\n")[0]
-    line = docs.select(F.lit("line").alias("src"), F.col("doc_id").alias("id"), first.alias("c"))
+    text = docs.select(F.lit("text").alias("src"), F.col("doc_id").alias("id"), F.col("text").alias("c"))
     lst = docs.select(F.lit("list").alias("src"), F.col("doc_id").alias("id"),
-                      F.to_json(F.slice(F.split(first, " "), 1, 3)).alias("c"))
+                      F.to_json(F.split(F.col("text"), "\n")).alias("c"))
     blank = docs.select(F.lit("blank").alias("src"), F.col("doc_id").alias("id"),
                         F.when(F.col("doc_id") % 2 == 0, F.lit("")).cast("string").alias("c"))
-    allc = ev.unionByName(line).unionByName(lst).unionByName(blank)
+    allc = ev.unionByName(text).unionByName(lst).unionByName(blank)
     return allc.select("src", "id", L.list_from_text(F.col("c")).alias("items"))
 
 
@@ -244,11 +245,12 @@ def q_case_docs(spark, sf):
 SELECT coalesce(CAST(CASE WHEN doc_id % 10 = 0 THEN NULL ELSE doc_id END AS VARCHAR),
                 'case_' || substr(sha256(coalesce(c, '')), 1, 12)) AS id,
        list_filter(list_transform(string_split(coalesce(c, ''), ','), lambda x: trim(x)), lambda x: x <> '') AS indicators
-FROM (SELECT doc_id, string_split(text, chr(10))[1] AS c FROM documents)""")
+FROM (SELECT doc_id, text AS c FROM documents)""")
 def q_export(spark, sf):
+    """Whole texts split on commas (every tenth id withheld to exercise the fallback)."""
     docs = B.table(spark, sf, "documents").select(
         F.when(F.col("doc_id") % 10 == 0, F.lit(None)).otherwise(F.col("doc_id")).alias("case_id"),
-        F.split(F.col("text"), "\n")[0].alias("indicators_csv"))
+        F.col("text").alias("indicators_csv"))
     return L.export_cases(docs).select("id", "indicators")
 
 

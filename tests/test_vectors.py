@@ -33,3 +33,14 @@ def test_rescale_guards(spark):
     assert got[0] == 0.0 and abs(got[1] - 0.5) < 1e-12 and got[2] == 1.0 and got[3] == 0.0
     same = [r[0] for r in df.select(V.rescale("c", 0.5, 0.5)).collect()]
     assert same[:3] == [0.5, 0.5, 0.5]
+
+
+def test_gate_verdict_monotone(spark):
+    """Raising either signal never moves a verdict towards in-domain."""
+    from pyspark.sql import functions as F
+    from riskflow.operators.gate import verdict
+    rank = {"in_domain": 0, "borderline": 1, "out_of_domain": 2}
+    xs = [i / 20 for i in range(21)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    v = [r[0] for r in df.orderBy("x").select(verdict(F.col("x"), 0.3, 0.7)).collect()]
+    assert all(rank[a] <= rank[b] for a, b in zip(v, v[1:]))
