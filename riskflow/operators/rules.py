@@ -102,8 +102,18 @@ def candidate_rules(features: DataFrame, label: str = "is_fraud",
     return rules
 
 
-def propose_rules(features: DataFrame, label: str = "is_fraud") -> DataFrame:
-    """RU-2: candidate rules with measured catch / FPR / lift and severity."""
+def propose_rules(features: DataFrame, label: str = "is_fraud", materialize_input: bool = True) -> DataFrame:
+    """RU-2: candidate rules with measured catch / FPR / lift and severity.
+
+    Three passes read the features (thresholds, top domains, measurement), so
+    the input is first written once as a Parquet table in the shared folder
+    (only the columns the rules use) instead of being recomputed per pass."""
+    if materialize_input:
+        from riskflow.session import materialize
+        cols = sorted({c for fam in NUMERIC_FAMILIES.values() for c in fam}
+                      | {"p_email", "p_email_is_highrisk", "emails_match", "p_email_isnull",
+                         "r_email_is_highrisk", "D1", "is_night", label})
+        features = materialize(features.select(*[c for c in cols if c in features.columns]), "rule-input")
     return evaluate_rules(features, candidate_rules(features, label), label)
 
 
