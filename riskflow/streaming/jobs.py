@@ -59,15 +59,38 @@ def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger:
                  .option("recursiveFileLookup", "true").parquet(path))
 
 
+def _state_partitions(spark: SparkSession) -> int:
+    """Partitions of a new stream's state: at most the cluster's cores (each
+    is a state store per micro-batch; more than cores only adds overhead)."""
+    cur = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
+        cores = cur
+    return max(1, min(cur, cores))
+
+
+def _start_with_state_partitions(spark: SparkSession, start):
+    """Start a query with the state partition count above (it is fixed in the
+    checkpoint at the first start), then restore the session setting."""
+    cur = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(_state_partitions(spark)))
+    try:
+        q = start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", cur)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available into a Parquet file
     sink under the shared folder; return the written table as a batch frame."""
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     ck = scratch_path(spark, f"{name}-ck")
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ck)
-               .trigger(availableNow=True).start(out))
-    q.awaitTermination()
+    _start_with_state_partitions(spark, lambda: (
+        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ck)
+              .trigger(availableNow=True).start(out)))
     return spark.read.parquet(out)
 
 
@@ -76,9 +99,9 @@ def run_foreach(stream: DataFrame, name: str, fn) -> str:
     spark = stream.sparkSession
     out = scratch_path(spark, f"{name}-out")
     ck = scratch_path(spark, f"{name}-ck")
-    q = (stream.writeStream.foreachBatch(lambda d, b: fn(d, b, out))
-               .option("checkpointLocation", ck).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _start_with_state_partitions(spark, lambda: (
+        stream.writeStream.foreachBatch(lambda d, b: fn(d, b, out))
+              .option("checkpointLocation", ck).trigger(availableNow=True).start()))
     return out
 
 
