@@ -52,7 +52,9 @@ def normalised(vec: Column) -> Column:
 
 def _pca_parts(df: DataFrame, vec: str):
     """Mean and all principal axes (descending variance) of the normalised vectors."""
-    x = df.select(array_to_vector(normalised(F.col(vec))).alias("v"))
+    from riskflow.session import materialize
+    x = materialize(df.select(normalised(F.col(vec)).alias("a")), "pca-input").select(
+        array_to_vector("a").alias("v"))
     mean = np.array(x.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray())
     d = len(mean)
     model = PCA(k=d, inputCol="v", outputCol="p").fit(x)

@@ -83,10 +83,17 @@ def with_class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     return df.withColumn("weight", F.when(F.col(label) == 1, w).otherwise(F.lit(1.0)))
 
 
+def _training_table(df: DataFrame, name: str) -> DataFrame:
+    """Iterative learners read their input many times: write it once as a
+    compact Parquet table in the shared folder (lineage cut, few files)."""
+    from riskflow.session import materialize
+    return materialize(df, name)
+
+
 def train_classifier(df: DataFrame, features: list[str], label: str = "is_fraud",
                      kind: str = "gbt", max_iter: int = 30, seed: int = 42) -> PipelineModel:
     """ML-1: class-weighted boosted trees (``kind="gbt"``) or logistic regression."""
-    data = with_class_weight(align_schema(df, features, keep=[label]), label)
+    data = _training_table(with_class_weight(align_schema(df, features, keep=[label]), label), "train")
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     if kind == "gbt":
         clf = GBTClassifier(labelCol=label, weightCol="weight", maxIter=max_iter, maxDepth=5, seed=seed)
@@ -109,8 +116,8 @@ def tune(df: DataFrame, features: list[str], label: str = "is_fraud", parallelis
     """ML-5: grid search maximising area under PR on a validation split
     (``TrainValidationSplit``, models fitted in parallel).  Returns one row per
     grid point with its metric."""
-    data = with_class_weight(align_schema(df, features, keep=[label]), label) \
-        .withColumn(label, F.col(label).cast("double"))
+    data = _training_table(with_class_weight(align_schema(df, features, keep=[label]), label)
+                           .withColumn(label, F.col(label).cast("double")), "tune")
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=seed)
     grid = (ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.maxIter, [10, 20])
@@ -257,7 +264,7 @@ def fit_linear_explainer(df: DataFrame, features: list[str], label: str = "is_fr
     stds = [float(stats[f"s_{i}"]) if stats[f"s_{i}"] else 1.0 for i in range(len(features))]
     z = aligned.select(F.col(label).cast("double").alias(label), *[
         ((F.col(c) - means[i]) / stds[i]).alias(c) for i, c in enumerate(features)])
-    z = with_class_weight(z, label)
+    z = _training_table(with_class_weight(z, label), "explainer")
     va = VectorAssembler(inputCols=features, outputCol="features")
     lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, standardization=False)
     m = lr.fit(va.transform(z))
@@ -342,7 +349,8 @@ def cluster_nearest(df: DataFrame, features: list[str], id_col: str = "txn_id",
                         *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
     z = F.array(*[((F.col(c) - (stats[f"m{i}"] or 0.0)) / (stats[f"s{i}"] or 1.0))
                   for i, c in enumerate(features)])
-    x = aligned.select(id_col, array_to_vector(z).alias("features"))
+    x = _training_table(aligned.select(id_col, z.alias("z")), "kmeans").select(
+        id_col, array_to_vector("z").alias("features"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(x)
     centers = model.clusterCenters()
     pred = model.transform(x)

@@ -95,7 +95,10 @@ def fit_sequence_model(feats: DataFrame, label: str = "is_fraud", rank: int = 8,
     legitimate windows of the held-out range.  Returns the model and the
     windows with their split."""
     means, stds = _scaler(time_split(feats, 0.2, t).filter(F.col("split") == "train"), features, label)
-    win = time_split(scaled_windows(feats, means, stds, features, n, key, t, id_col), 0.2, t)
+    from riskflow.session import materialize
+    # windows are read for the mean, the PCA, the threshold and the scoring: write once
+    win = materialize(time_split(scaled_windows(feats, means, stds, features, n, key, t, id_col), 0.2, t)
+                      .select(id_col, key, t, label, "split", "window"), "seq-windows")
     train = win.filter((F.col("split") == "train") & (F.col(label) == 0)) \
                .select(array_to_vector("window").alias("v"))
     from pyspark.ml.stat import Summarizer
@@ -139,6 +142,9 @@ def score_windows(win: DataFrame, m: SequenceModel, top_steps: int = 3) -> DataF
 def sweep_sequence_params(feats: DataFrame, ranks=(4, 8), lengths=(5, 10), label: str = "is_fraud"):
     """ML-14: each (rank, window length) trial scored by ML-12 on the held-out
     range; a small driver loop over a bounded grid, each trial a Spark job."""
+    from riskflow.session import materialize
+    cols = sorted(set(SEQ_FEATURES) | {"card", "t", "txn_id", label})
+    feats = materialize(feats.select(*cols), "sweep-features")   # every trial reads it twice
     rows = []
     for n in lengths:
         for r in ranks:
