@@ -20,6 +20,7 @@ come first; repeated ids keep all their rows; other input columns are ignored.""
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -31,18 +32,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.llm.textcore import HashIndex, ranges, run_hashes, slices, utf8
 from riskflow.session import scratch_path
 
 MAGIC = b"DAC1"
 RANK_BITS = 512
-SEGMENT_IDS = 1 << 18
-CACHE_WORDS = 300_000
-
-# White space of the byte-level vocabulary's pattern (Unicode White_Space); fixed value.
-_WS = "\t-\r \x85\xa0  -     　"
-#: Pieces that the byte-level pre-tokeniser never joins: a run of other
-#: characters with one leading blank, or white space up to that blank.
-PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+SEGMENT_BYTES = 1 << 20  # text bytes of one segment (a longer document stands alone)
+CACHE_PIECES = 1_500_000  # kept per worker process: about 100 MB
+
+#: UTF-8 of the Unicode white space beyond ASCII; texts with it are encoded whole.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def _classes() -> np.ndarray:
+    """Byte classes: 0 other, 1 ASCII letter, 2 digit, 3 sign, 4 apostrophe, 5 white space."""
+    c = np.zeros(256, dtype=np.uint8)
+    for b in range(128):
+        ch = chr(b)
+        c[b] = 1 if ch.isalpha() else 2 if ch.isdigit() else 4 if ch == "'" else 3 if 33 <= b < 127 else 0
+    c[[9, 10, 11, 12, 13, 32]] = 5
+    return c
+
+
+_CLASS = _classes()
+#: Class pairs between which the byte-level pre-tokeniser always cuts.
+_CUT = np.zeros((6, 6), dtype=bool)
+for _p, _c in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2)):
+    _CUT[_p, _c] = True
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions where pieces of a run of texts start: cuts that the
+    byte-level pre-tokeniser makes for sure.  A blank before a word belongs to
+    the word; the white space before that is a piece of its own."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    cls = _CLASS[data]
+    ws = cls == 5
+    head = np.zeros(n + 1, dtype=bool)
+    head[offsets] = True
+    cut = head[:n].copy()
+    prev_ws, prev = ws[:-1], data[:-1]
+    inner = ~prev_ws & ws[1:]
+    inner |= ~ws[1:] & prev_ws & (prev != 32)
+    inner |= _CUT[cls[:-1], cls[1:]]
+    last = np.zeros(n - 1, dtype=bool)  # the last of two or more white-space bytes before a word
+    last[:-1] = prev_ws[:-1] & ws[1:-1] & ~ws[2:] & ~head[2:n]
+    cut[1:] |= inner | last
+    return np.flatnonzero(cut)
 
 
 def encode_dac(ids: np.ndarray) -> bytes:
@@ -112,7 +150,7 @@ class Dac:
 
 
 class PieceEncoder:
-    """Ids of whole texts through the tokenizers library; distinct pieces are
+    """Ids of whole texts through the tokenizers library.  Distinct pieces are
     encoded once and kept in a bounded per-process table."""
 
     _loaded: dict = {}
@@ -124,41 +162,69 @@ class PieceEncoder:
         return cls._loaded[path]
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line_end = self._ids(["\n"])[0]
+        if len(self.line_end) != 1:
+            raise ValueError("the vocabulary has no id for a line end")
+        self.index = HashIndex(CACHE_PIECES)
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index.clear()
         self.flat = np.zeros(0, dtype=np.uint32)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
-        if len(self.index) > CACHE_WORDS:
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece).  Words go as one text, a line a
+        word (a line end is always a piece of its own); white space goes alone."""
+        words = [i for i, w in enumerate(pieces) if not w.isspace()]
+        blank = [i for i, w in enumerate(pieces) if w.isspace()]
+        lens = np.zeros(len(pieces), dtype=np.int64)
+        ids = np.array(self._ids(["\n".join([pieces[i] for i in words])])[0] if words else [], dtype=np.uint32)
+        cut = ids == self.line_end[0]
+        if words:
+            lens[words] = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1
+        alone = self._ids([pieces[i] for i in blank])
+        lens[blank] = [len(x) for x in alone]
+        order = np.array(words + blank, dtype=np.int64)
+        begin = np.empty(len(pieces), dtype=np.int64)
+        begin[order] = np.cumsum(lens[order]) - lens[order]
+        flat = np.concatenate([ids[~cut], np.array([t for x in alone for t in x], dtype=np.uint32)])
+        return flat[ranges(begin, lens)], lens
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text) of a run of UTF-8 texts."""
+        data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
+        if WIDE_SPACE.search(data):
+            alone = self._ids([bytes(data[a:b]).decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:])])
+            return (np.array([t for x in alone for t in x], dtype=np.uint32),
+                    np.array([len(x) for x in alone], dtype=np.int64))
+        if self.index.size > CACHE_PIECES:
             self._clear()
-        pieces = [PIECE.findall(t) for t in texts]
-        index = self.index
-        new = [w for w in dict.fromkeys(w for p in pieces for w in p if w not in index)]
-        if new:
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for e in ids for x in e), np.uint32, int(lens.sum()))])
-            index.update(zip(new, range(len(index), len(index) + len(new))))
+        start = piece_starts(data, offsets)
+        length = np.diff(start, append=len(data))
+        h = run_hashes(data, start, length)
+        at = self.index.find(h)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, first, inverse = np.unique(h[missing], return_index=True, return_inverse=True)
+            where = missing[first]
+            flat, lens = self._encode_new(
+                [bytes(data[s:s + n]).decode("utf-8") for s, n in zip(start[where].tolist(), length[where].tolist())])
+            at[missing] = self.index.add(new)[inverse]
+            self.flat = np.concatenate([self.flat, flat])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter((index[w] for p in pieces for w in p), np.int64, int(counts.sum()))
-        begin, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.cumsum(size)
-        out = self.flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        total = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return out, np.diff(total[bounds])
+        size = self.ends[at + 1] - self.ends[at]
+        out = self.flat[ranges(self.ends[at], size)]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return out, np.diff(total[np.searchsorted(start, offsets)])
 
 
 _SEGMENT = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()),
@@ -170,20 +236,21 @@ def _writer(path: str, end_id: int):
         enc = PieceEncoder.get(path)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            size = np.cumsum(np.fromiter((len(t.as_buffer()) if t.is_valid else 0 for t in texts), np.int64, len(texts)))
-            lo = 0
-            while lo < len(texts):  # about SEGMENT_IDS ids or fewer, at least one document
-                base = size[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(size, base + 2 * SEGMENT_IDS, "right")))
-                flat, counts = enc.encode([t or "" for t in texts.slice(lo, hi - lo).to_pylist()])
-                flat = np.insert(flat, np.cumsum(counts), end_id)
+            ids = batch.column(0)
+            data, off = utf8(batch.column(1))
+            for lo, hi in slices(off, SEGMENT_BYTES):
+                flat, counts = enc.encode(data, off[lo:hi + 1])
                 ends = np.cumsum(counts + 1)
+                out = np.empty(len(flat) + len(counts), dtype=np.uint32)
+                inside = np.ones(len(out), dtype=bool)
+                inside[ends - 1] = False
+                out[inside] = flat
+                out[~inside] = end_id
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()),
-                     pa.array([len(flat)], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([ends], pa.list_(pa.int64())), pa.array([encode_dac(flat)], pa.binary())], schema=_SEGMENT)
-                seq, before, lo = seq + 1, before + len(flat), hi
+                     pa.array([len(out)], pa.int64()), pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
+                     pa.array([ends], pa.list_(pa.int64())), pa.array([encode_dac(out)], pa.binary())], schema=_SEGMENT)
+                seq, before = seq + 1, before + len(out)
     return run
 
 

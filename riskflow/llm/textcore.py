@@ -185,3 +185,83 @@ class Lookup:
 def signed(x: np.ndarray) -> np.ndarray:
     """uint64 as Spark's signed long."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+class HashIndex:
+    """Numbers 64-bit hashes 0, 1, .. in an open-addressing table kept in
+    arrays, so that millions of look-ups are a few vector operations."""
+
+    def __init__(self, capacity: int):
+        self.bits = max(10, int(2 * capacity - 1).bit_length())
+        self.capacity = capacity
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, dtype=U64)
+        self.vals = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.size = 0
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return (h >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash or -1.  (A hash of 0 reads as 1.)"""
+        h = np.where(h == 0, U64(1), h)
+        mask = len(self.keys) - 1
+        at = self._home(h)
+        out = self.vals[at]
+        key = self.keys[at]
+        todo = np.flatnonzero((key != h) & (key != 0))
+        out[key == 0] = -1
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & mask
+            key = self.keys[at]
+            hit = key == h[todo]
+            out[todo[hit]] = self.vals[at[hit]]
+            out[todo[key == 0]] = -1
+            more = ~hit & (key != 0)
+            todo, at = todo[more], at[more]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Number distinct hashes that are not in the table; their numbers."""
+        if self.size + len(h) > len(self.keys) * 3 // 4:
+            self._grow(self.size + len(h))
+        numbers = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self._put(np.where(h == 0, U64(1), h), numbers)
+        self.size += len(h)
+        return numbers
+
+    def _put(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at, todo = self._home(h), np.arange(len(h))
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[todo[free]]
+            won = free & (self.keys[at] == h[todo])
+            self.vals[at[won]] = numbers[todo[won]]
+            todo, at = todo[~won], (at[~won] + 1) & mask
+
+    def _grow(self, need: int) -> None:
+        keys, vals = self.keys, self.vals
+        self.bits = int(2 * need - 1).bit_length()
+        self.keys = np.zeros(1 << self.bits, dtype=U64)
+        self.vals = np.full(1 << self.bits, -1, dtype=np.int32)
+        used = keys != 0
+        self._put(keys[used], vals[used])
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], .., begin[0] + size[0] - 1, begin[1], .."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mixed polynomial hash of each run of consecutive bytes that tile ``data``."""
+    if not len(start):
+        return np.zeros(0, dtype=U64)
+    off = np.arange(len(data)) - np.repeat(start, size)
+    terms = (data.astype(U64) + U64(1)) * powers(int(size.max()))[off]
+    return mix(np.add.reduceat(terms, start) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
