@@ -9,7 +9,7 @@ banded candidates; the rest is confirmed on full shingle sets.
 Equal sets collapse to one representative first.  In a bucket every member is
 compared with the bucket's smallest id; only buckets whose members are then
 still in different components are compared block against block, inside tasks,
-and only pairs that the sketches cannot rule out are emitted.
+on full sets, and emit at most one link for two components.
 
 Defined results: null text = empty; no words = empty set, linked with nothing;
 rows with a null id keep ``component_id`` null and ``kept`` true; rows that
@@ -24,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.llm.graph import connected_components
-from riskflow.llm.textcore import SPACE_WORDS, U64, Words, mix, shingles, signed, slices, utf8
+from riskflow.llm.textcore import SPACE_WORDS, U64, Words, mix, ranges, shingles, signed, slices, utf8
 from riskflow.session import materialize
 
 PERMS = 128
 SKETCH_BITS = 512
-BLOCK = 1024  # members of one block in the bucket comparison
+BLOCK = 1024  # members of one block in the bucket comparison ..
+BLOCK_SHINGLES = 2_000_000  # .. and the shingles of them all
 
 
 def tune_bands(threshold: float, perms: int = PERMS, miss: float = 1e-6) -> tuple[int, int]:
@@ -146,23 +147,39 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     return materialize(full.mapInArrow(_verifier(num, den), "a bigint, b bigint"), "nd-links")
 
 
-def _cross(limit: int, num: int, den: int):
-    """Pairs of different components in one cell of a bucket's block grid that
-    sizes and sketches cannot rule out."""
+def _cross(num: int, den: int):
+    """Links between different components in one cell of a bucket's block
+    grid, by exact set sizes: members outside the cell's commonest component
+    count their shared shingles with all others through an inverted list.  At
+    most one link a pair of components is emitted."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         bi, bj = int(key[1]), int(key[2])
-        sk = np.stack(pdf["sketch"].to_list()).astype(np.int64).view(U64)
-        rep, label, n, blk = (pdf[c].to_numpy() for c in ("rep", "label", "n", "blk"))
-        left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+        sets = [np.frombuffer(s, dtype=U64) for s in pdf["s"]]
+        rep, label, blk = (pdf[c].to_numpy().copy() for c in ("rep", "label", "blk"))
+        lens = np.array([len(s) for s in sets], dtype=np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        same = np.concatenate([[False], flat[order][1:] == flat[order][:-1]])
+        group = np.cumsum(~same) - 1
+        begin = np.flatnonzero(~same)
+        size = np.diff(begin, append=len(flat))
+        owner = np.repeat(np.arange(len(sets)), lens)[order]
+        of = np.empty(len(flat), dtype=np.int64)
+        of[order] = group
+        ends = np.cumsum(lens)
+        names, counts = np.unique(label, return_counts=True)
         out = []
-        for i in left:
-            j = right[(label[right] != label[i]) & (rep[right] > rep[i] if bi == bj else True)]
-            j = j[(den * np.minimum(n[j], n[i]) >= num * np.maximum(n[j], n[i]))]
-            j = j[np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1) <= limit]
-            if len(j):
-                out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], axis=1))
-        got = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+        for x in np.flatnonzero(label != names[counts.argmax()]):
+            other = (label != label[x]) & (True if bi == bj else blk != blk[x])
+            if not other.any():
+                continue
+            g = of[ends[x] - lens[x]:ends[x]]
+            both = np.bincount(owner[ranges(begin[g], size[g])], minlength=len(sets))
+            for y in np.flatnonzero(other & (den * both >= num * (lens[x] + lens - both))):
+                if label[y] != label[x]:
+                    out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                    label[label == label[y]] = label[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
     return run
 
 
@@ -202,23 +219,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same_id = twice.join(repeated.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = materialize(_verify(star, docs, k, num, den).union(same_id), "nd-all-links")
     labels = connected_components(links)
-    # buckets whose members are still apart: block against block, screened by sketch
+    # buckets whose members are still apart: block against block on full sets
     apart = (members.where("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-             .withColumn("label", F.coalesce("label", "rep")))
-    mixed = apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"),
-                                     F.first("c").alias("size")).where("x <> y").select("key", "size")
-    rest = (apart.select("key", "rep", "label").join(mixed, "key")
-            .withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int"))
-            .withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            .select("key", "rep", "label", "blk", F.least("blk", "other").alias("bi"),
-                    F.greatest("blk", "other").alias("bj")))
-    rest = rest.join(light, "rep")
-    more = (rest.groupBy("key", "bi", "bj").applyInPandas(_cross(limit, num, den), "a bigint, b bigint").distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    more = materialize(more, "nd-cross")
-    if not more.isEmpty():
-        labels = connected_components(links.union(_verify(more, docs, k, num, den)))
+             .withColumn("label", F.coalesce("label", "rep")).join(light.select("rep", "n"), "rep"))
+    mixed = (apart.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c"),
+                                      F.sum("n").alias("total"), F.sum(F.xxhash64("rep") % (1 << 40)).alias("who"))
+             .where("x <> y").groupBy("c", "total", "who").agg(F.min("key").alias("key")))  # equal buckets count once
+    mixed = mixed.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("nb"))
+    rest = materialize(apart.select("key", "rep", "label").join(mixed, "key"), "nd-rest")
+    if not rest.isEmpty():
+        sets = docs.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(
+            _set_maker(k), "id bigint, s binary").withColumnRenamed("id", "rep")
+        cells = (rest.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+                 .select("key", "rep", "label", "blk", F.least("blk", "other").alias("bi"),
+                         F.greatest("blk", "other").alias("bj")).join(sets, "rep"))
+        more = materialize(cells.groupBy("key", "bi", "bj").applyInPandas(_cross(num, den), "a bigint, b bigint"), "nd-cross")
+        labels = connected_components(links.union(more))
     rep_label = (classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
                  .select("h1", "h2", "n", F.coalesce("label", "rep").alias("component")))
     out = sig.select("id", "h1", "h2", "n").join(rep_label, ["h1", "h2", "n"], "left")

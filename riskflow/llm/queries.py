@@ -32,5 +32,53 @@ def op9_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_dac_tokens, op9_odd_sketch_near_dups)}
-ORACLES: dict[str, str] = {}
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best integer inner products of every 20th vector against all others."""
+    from riskflow.llm.topk import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"), k=20, scale=64)
+
+
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, embedding FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+    SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS dim,
+           unnest(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS w FROM v),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+    FROM c AS q JOIN c ON q.dim = c.dim AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from riskflow.llm.html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op5_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the overlaps."""
+    from riskflow.llm.decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template matches of every document."""
+    from riskflow.llm.licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_dac_tokens, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op9_odd_sketch_near_dups,
+    op10_license_scan)}
+ORACLES = {"op3_exact_top_k": OP3_SQL}
