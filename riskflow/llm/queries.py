@@ -25,6 +25,20 @@ def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of more than 50 words that an earlier document holds."""
+    from riskflow.llm.passages import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line equals up to one edit."""
+    from riskflow.llm.lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_equal", "n_near", "text")
+
+
 def op9_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets have a similarity of 0.85 or more."""
     from riskflow.llm.odd_sketch import near_duplicates
@@ -79,6 +93,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_dac_tokens, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op9_odd_sketch_near_dups,
+    op1_dac_tokens, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op7_passage_dedup, op8_line_dedup, op9_odd_sketch_near_dups,
     op10_license_scan)}
 ORACLES = {"op3_exact_top_k": OP3_SQL}
