@@ -46,6 +46,13 @@ def op9_odd_sketch_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from two thirds of the labelled ids."""
+    from riskflow.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best integer inner products of every 20th vector against all others."""
     from riskflow.llm.topk import top_k
@@ -93,6 +100,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_dac_tokens, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op7_passage_dedup, op8_line_dedup, op9_odd_sketch_near_dups,
+    op1_dac_tokens, op2_toxicity, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op7_passage_dedup, op8_line_dedup, op9_odd_sketch_near_dups,
     op10_license_scan)}
 ORACLES = {"op3_exact_top_k": OP3_SQL}
