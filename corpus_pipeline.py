@@ -2,30 +2,76 @@
 
 ``STAGES`` lists (name, function); every function takes (spark, docs, sf_dir)
 and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.  ``run`` applies them to ``documents``."""
+stage's ``docs``.  All but the last return the columns of ``documents``; ``run``
+applies them to ``documents``.
+
+Rows with a null doc_id pass the deduplicating and decontaminating stages
+unchanged; null and empty texts stay null and empty and have no ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskflow.session import materialize
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts toxic go; it learns from the
+    labelled documents that are not held out."""
+    from riskflow.llm.toxicity import fit, score_texts
+
+    scorer = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_texts(docs, scorer).where("predicted = 0").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line of the corpus equals up to one edit go; a
+    document whose every line went goes with them.  ``n_chars`` follows the text."""
+    from riskflow.llm.lines import dedup_lines
+
+    cut = dedup_lines(docs).where("n_lines = 0 or n_lines > n_equal + n_near")
+    n_chars = F.when(F.col("n_equal") + F.col("n_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8) stays."""
     from riskflow.llm.odd_sketch import near_duplicates
 
-    kept = near_duplicates(docs, k=5, num=80, den=100).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    gone = near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    from riskflow.llm.decontaminate import find_leaks
+
+    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every remaining text, and whether they decode to it."""
+    from riskflow.llm.pieces import decode_texts, encode_texts
+    from riskflow.llm.queries import tokenizer_file
+
+    model = tokenizer_file("piece_bpe_32k.model")
+    out = decode_texts(encode_texts(docs, model), model)
+    return out.withColumn("exact", F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")).withColumn(
+        "n_tokens", F.size("token_ids").cast("long")).drop("decoded")
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+          ("decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
-#: The stages fit models, decode lattices and follow components, which SQL cannot express.
+#: The stages fit a model, decode lattices and follow components, which SQL
+#: cannot express; tests compare them with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, with their token ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

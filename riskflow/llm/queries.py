@@ -25,6 +25,13 @@ def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text under the piece vocabulary, and whether they decode to it."""
+    from riskflow.llm.pieces import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of more than 50 words that an earlier document holds."""
     from riskflow.llm.passages import repeated_passages
@@ -100,6 +107,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_dac_tokens, op2_toxicity, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op7_passage_dedup, op8_line_dedup, op9_odd_sketch_near_dups,
+    op1_dac_tokens, op2_toxicity, op3_exact_top_k, op4_html_main_text, op5_bm25_decontamination, op6_sentencepiece, op7_passage_dedup, op8_line_dedup, op9_odd_sketch_near_dups,
     op10_license_scan)}
 ORACLES = {"op3_exact_top_k": OP3_SQL}
