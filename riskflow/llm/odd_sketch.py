@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.llm.filters import bitmap, keys_of, marked
 from riskflow.llm.graph import connected_components
 from riskflow.llm.textcore import SPACE_WORDS, U64, Words, mix, ranges, shingles, signed, slices, utf8
 from riskflow.session import materialize
@@ -115,12 +116,18 @@ def _signer(k: int, perms: int, rows: int, bands: int):
     return run
 
 
-def _set_maker(k: int):
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, s): shingle sets of the documents in ``ids`` (and of the few that
+    share a bit with one), made in the scan without moving texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids))
+
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(marked(sent.value, keys_of(batch.column(0)))))
             sets = [s.tobytes() for s in _sets(*utf8(batch.column(1)), k)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
-    return run
+
+    return materialize(docs.where("id is not null").mapInArrow(run, "id bigint, s binary"), "nd-sets")
 
 
 def _verifier(num: int, den: int):
@@ -137,14 +144,11 @@ def _verifier(num: int, den: int):
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the threshold."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(
-        docs.join(ids, "id", "left_semi").mapInArrow(_set_maker(k), "id bigint, s binary"), "nd-sets")
     full = (pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b"))
-    return materialize(full.mapInArrow(_verifier(num, den), "a bigint, b bigint"), "nd-links")
+    return full.mapInArrow(_verifier(num, den), "a bigint, b bigint")
 
 
 def _cross(num: int, den: int):
@@ -209,6 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("c")).where("c > 1")
     members = materialize(keyed.join(shared, "key").select("key", "center", "c", "rep"), "nd-members")
     light = reps.select("rep", "n", "sketch")
+    sets = _sets_of(docs, members.select("rep").distinct(), k)
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     star = (star.join(light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
             .join(light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
@@ -217,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twice = real.join(classes, ["h1", "h2", "n"]).select("id", "rep")
     repeated = twice.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y")
     same_id = twice.join(repeated.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = materialize(_verify(star, docs, k, num, den).union(same_id), "nd-all-links")
+    links = materialize(_verify(star, sets, num, den).union(same_id), "nd-all-links")
     labels = connected_components(links)
     # buckets whose members are still apart: block against block on full sets
     apart = (members.where("c > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -228,12 +233,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = mixed.select("key", F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     rest = materialize(apart.select("key", "rep", "label").join(mixed, "key"), "nd-rest")
     if not rest.isEmpty():
-        sets = docs.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInArrow(
-            _set_maker(k), "id bigint, s binary").withColumnRenamed("id", "rep")
         cells = (rest.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
                  .select("key", "rep", "label", "blk", F.least("blk", "other").alias("bi"),
-                         F.greatest("blk", "other").alias("bj")).join(sets, "rep"))
+                         F.greatest("blk", "other").alias("bj"))
+                 .join(sets.withColumnRenamed("id", "rep"), "rep"))
         more = materialize(cells.groupBy("key", "bi", "bj").applyInPandas(_cross(num, den), "a bigint, b bigint"), "nd-cross")
         labels = connected_components(links.union(more))
     rep_label = (classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
