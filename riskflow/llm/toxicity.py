@@ -157,7 +157,7 @@ def _hashes(text_words: Words) -> tuple[np.ndarray, np.ndarray]:
     for n in PREFIXES:
         long = np.flatnonzero(lens >= n)
         head = sums[w.cum[:-1][long] + n] - sums[w.cum[:-1][long]]
-        out.append(mix(head + U64(n) * U64(0x8CB92BA72F3D8DD7)))
+        out.append(mix(head + np.full(1, n, dtype=U64) * U64(0x8CB92BA72F3D8DD7)))
         doc.append(w.doc[long])
     return np.concatenate(out), np.concatenate(doc)
 
