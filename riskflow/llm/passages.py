@@ -34,7 +34,7 @@ from riskflow.llm.graph import connected_components
 from riskflow.llm.textcore import SPACE_WORDS, Words, shingles, signed, slices, utf8
 from riskflow.session import materialize
 
-ANCHOR = 8
+ANCHOR = 16
 WINDOW = 20
 SHINGLE = 5
 CONTEXT = 96  # words compared at a time
@@ -107,26 +107,32 @@ def grow(a: np.ndarray, b: np.ndarray, s: int, e: int, ks: int, ke: int) -> tupl
     return s - left, e + right, ks - left, ke + right
 
 
+def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) -> list[tuple]:
+    """Result rows of the spans of one pair that hold."""
+    out = []
+    for s, e, ks, ke in spans:
+        p, q = np.unique(shingles(wa[s:e], SHINGLE)), np.unique(shingles(wb[ks:ke], SHINGLE))
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        share = both / (len(p) + len(q) - both)
+        if share >= overlap:
+            out.append((a, s, e, b, ks, share))
+            continue
+        n = min(e - s, ke - ks)  # else the equal runs on the span's diagonal
+        same = np.concatenate([[False], wa[s:s + n] == wb[ks:ks + n], [False]]).astype(np.int8)
+        for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
+            if hi - lo >= min_words:
+                out.append((a, s + lo, s + hi, b, ks + lo, 1.0))
+    return out
+
+
 def _verifier(min_words: int, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
-            for a, b, s, e, ks, ke, x, y in zip(*(batch.column(c) for c in ("id", "kid", "s", "e", "ks", "ke", "wa", "wb"))):
+            for a, b, spans, x, y in zip(*(batch.column(c) for c in ("id", "kid", "spans", "wa", "wb"))):
                 wa, wb = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                s, e, ks, ke = grow(wa, wb, s.as_py(), e.as_py(), ks.as_py(), ke.as_py())
-                if e - s < min_words:
-                    continue
-                p, q = np.unique(shingles(wa[s:e], SHINGLE)), np.unique(shingles(wb[ks:ke], SHINGLE))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                share = both / (len(p) + len(q) - both)
-                if share >= overlap:
-                    out.append((a.as_py(), s, e, b.as_py(), ks, share))
-                    continue
-                n = min(e - s, ke - ks)  # else the equal runs on the span's diagonal
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], wa[s:s + n] == wb[ks:ks + n], [False]]).astype(np.int8)))
-                for lo, hi in edge.reshape(-1, 2).tolist():
-                    if hi - lo >= min_words:
-                        out.append((a.as_py(), s + lo, s + hi, b.as_py(), ks + lo, 1.0))
+                grown = {grow(wa, wb, r["s"], r["e"], r["ks"], r["ke"]) for r in spans.as_py()}
+                out += _verified(a.as_py(), b.as_py(), wa, wb, [g for g in grown if g[1] - g[0] >= min_words], min_words, overlap)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 5 + [pa.float64()])],
                 names=["doc_id", "start_word", "end_word", "keep_doc_id", "keep_start_word", "similarity"])
@@ -158,7 +164,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 [batch.column(0), pa.array([h.tobytes() for _, h in _docs(batch)], pa.binary())], names=["id", "w"])
 
     held = materialize(src.mapInArrow(words, "id bigint, w binary").dropDuplicates(["id"]), "pg-words")
-    found = (spans.join(held.withColumnRenamed("w", "wa"), "id")
+    each = spans.groupBy("id", "kid").agg(F.collect_list(F.struct("s", "e", "ks", "ke")).alias("spans"))
+    found = (each.join(held.withColumnRenamed("w", "wa"), "id")
              .join(held.select(F.col("id").alias("kid"), F.col("w").alias("wb")), "kid")
              .mapInArrow(_verifier(min_words, overlap), "doc_id bigint, start_word bigint, end_word bigint, keep_doc_id bigint, "
                                                         "keep_start_word bigint, similarity double").distinct())
