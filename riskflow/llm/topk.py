@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
-STRIPE = 256  # queries of one dense score array
+STRIPE = 256  # queries of one dense score array ..
+SLAB = 512  # .. and its rows that are filled at a time
 _LONG = 2 ** 63 - 1
 
 
@@ -43,18 +44,16 @@ def score_cell(q: np.ndarray, c: np.ndarray) -> np.ndarray:
         lambda m: m.astype(kind))
     q, c = to(q), to(c)
     acc = np.zeros((len(c), len(q)), dtype=kind)
-    for d in range(q.shape[1]):
-        rows = np.flatnonzero(c[:, d])
-        asked = np.flatnonzero(q[:, d])
-        if not len(rows) or not len(asked):
-            continue
-        if len(asked) == len(q):
-            if len(rows) == len(c):
-                acc += c[:, d, None] * q[None, :, d]
+    for lo in range(0, len(c), SLAB):
+        part, score = c[lo:lo + SLAB], acc[lo:lo + SLAB]
+        term = np.empty_like(score)
+        for d in range(q.shape[1]):
+            if 2 * np.count_nonzero(part[:, d]) >= len(part):  # nearly every row has a posting
+                np.multiply(part[:, d, None], q[None, :, d], out=term)
+                np.add(score, term, out=score)
             else:
-                acc[rows] += c[rows, d, None] * q[None, :, d]
-        else:
-            acc[np.ix_(rows, asked)] += c[rows, d, None] * q[None, asked, d]
+                rows = np.flatnonzero(part[:, d])
+                score[rows] += part[rows, d, None] * q[None, :, d]
     return acc if kind is not object else np.clip(acc, -_LONG - 1, _LONG).astype(np.int64)
 
 
@@ -69,20 +68,21 @@ def _cell(k: int):
         qid, q = ids[is_query], w[is_query]
         out = []
         for lo in range(0, len(q) if len(c) else 0, STRIPE):
-            scores = score_cell(q[lo:lo + STRIPE], c)
-            for j in range(scores.shape[1]):
-                s = scores[:, j].astype(np.int64)
-                own = cid == qid[lo + j]
-                left = len(s) - int(own.sum())
-                if left <= 0:
+            scores = np.ascontiguousarray(score_cell(q[lo:lo + STRIPE], c).T)
+            lows = np.searchsorted(cid, qid[lo:lo + STRIPE], "left")
+            highs = np.searchsorted(cid, qid[lo:lo + STRIPE], "right")
+            for j in range(len(scores)):
+                own = cid[lows[j]:highs[j]]  # the query's own rows stand together
+                s = scores[j] if not len(own) else np.delete(scores[j], slice(lows[j], highs[j]))
+                m = min(k, len(s))
+                if not m:
                     continue
-                s[own] = -_LONG - 1
-                m = min(k, left)
                 cut = np.partition(s, len(s) - m)[len(s) - m]
-                sure = np.flatnonzero((s > cut) & ~own)
-                tied = np.flatnonzero((s == cut) & ~own)[:m - len(sure)]
-                at = np.concatenate([sure, tied])
-                out.append((np.full(len(at), qid[lo + j]), cid[at], s[at]))
+                sure = np.flatnonzero(s > cut)
+                at = np.concatenate([sure, np.flatnonzero(s == cut)[:m - len(sure)]])
+                s = s[at]
+                at = at + len(own) * (at >= lows[j])
+                out.append((np.full(len(at), qid[lo + j]), cid[at], s.astype(np.int64)))
         cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols)))
     return run
