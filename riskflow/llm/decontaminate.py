@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm.textcore import ALNUM_WORDS, Lookup, Words, shingles, slices, utf8
 
-BLOCK_ITEMS = 4
+BLOCK_ITEMS = 2
 
 
 def _words_of(text: str) -> np.ndarray:
@@ -111,7 +111,7 @@ class Bm25Index:
         pos, term = self.find.find(w.hash)
         if not len(pos):
             return []
-        stride = max(min_window // 2, self.longest)
+        stride = max(min_window // 2, self.longest)  # a window is two strides
         place = pos - w.first[w.doc[pos]]
         # windows of two strides, one stride apart: a word is in the window that starts in its stride and the one before
         win = place // stride
@@ -154,7 +154,7 @@ def _shards(bench: DataFrame, id_col: str, text_col: str, items: int, chars: int
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", *, share: float = 0.6, overlap: float = 0.8, k: int = 5, window: int = 256,
+               item_text: str = "text", *, share: float = 0.6, overlap: float = 0.8, k: int = 5, window: int = 0,
                shard_items: int = 2000, shard_chars: int = 4_000_000) -> DataFrame:
     """(id, item_id, overlap, question_overlap, answer_overlap) of every text and
     item with ``overlap`` or more of the item's k-word shingles in the text."""
