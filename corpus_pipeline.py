@@ -53,13 +53,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every remaining text, and whether they decode to it."""
-    from riskflow.llm.pieces import decode_texts, encode_texts
+    from riskflow.llm.pieces import encode_texts
     from riskflow.llm.queries import tokenizer_file
 
-    model = tokenizer_file("piece_bpe_32k.model")
-    out = decode_texts(encode_texts(docs, model), model)
-    return out.withColumn("exact", F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")).withColumn(
-        "n_tokens", F.size("token_ids").cast("long")).drop("decoded")
+    return encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup),

@@ -122,6 +122,7 @@ class _Blocks(HTMLParser):
         self.state = (0, 0, 0, 0)  # hidden, frame, named, main
         self.links = 0
         self.page_main = 0
+        self.silent = 0  # open tags whose content is no text
         self._new()
 
     def _new(self):
@@ -136,33 +137,39 @@ class _Blocks(HTMLParser):
         if tag == "a":
             self.links = 1
             return
-        named = 0
+        if tag in HIDDEN_TAGS and tag not in VOID_TAGS:
+            if tag in BLOCK_TAGS:
+                self._end()
+            self.open.append((tag, self.state))
+            self.silent += 1
+            return
+        named = hidden = 0
         for name, value in attrs:
             if value and name in ("class", "id", "role") and FRAME_NAMES.search(value):
                 named = 1
-            elif name in ("hidden",) or name == "aria-hidden" and value == "true":
-                named = 1
-        if tag not in BLOCK_TAGS and tag not in HIDDEN_TAGS and not named:
+            elif name == "hidden" or name == "aria-hidden" and value == "true":
+                hidden = 1
+        if tag not in BLOCK_TAGS and not named and not hidden:
             if tag == "br":
                 self.now[0].append(" ")
             return
+        self._end()
         if tag in BLOCK_TAGS:
-            self._end()
             self.links = 0
         if tag in VOID_TAGS:
             return
         if tag in ("p", "li", "option", "td", "th", "tr", "dd", "dt"):
             self._close_same(tag)
         if tag == "body":
-            while self.open and self.open[-1][0] in ("head", "title"):
-                self.state = self.open.pop()[1]
+            while self.open and self.open[-1][0] in HIDDEN_TAGS:
+                self._leave(len(self.open) - 1)
         h, f, n, m = self.state
         self.open.append((tag, self.state))
         if tag in ("body", "html", "article", "main"):
             named = 0  # a whole page or article is never furniture by its name
         if tag in MAIN_TAGS and not (h or f or n):
             m = self.page_main = 1
-        self.state = (h or int(tag in HIDDEN_TAGS), f or int(tag in FRAME_TAGS), n or named, m)
+        self.state = (h or hidden, f or int(tag in FRAME_TAGS), n or named, m)
         self.now[3] = self.state
 
     def _close_same(self, tag):
@@ -171,8 +178,7 @@ class _Blocks(HTMLParser):
                  "blockquote", "nav", "footer", "aside", "form", "header", "figure")
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                self.state = self.open[i][1]
-                del self.open[i:]
+                self._leave(i)
                 return
             if self.open[i][0] in walls:
                 return
@@ -188,15 +194,21 @@ class _Blocks(HTMLParser):
             if tag in BLOCK_TAGS:
                 self._end()
             return
-        self._end() if tag in BLOCK_TAGS else None
+        if tag not in HIDDEN_TAGS or tag in BLOCK_TAGS:
+            self._end()
+        self._leave(i)
+        if not self.now[2]:
+            self._new()
+
+    def _leave(self, i):
+        """Close the i-th open container and all inside it."""
+        self.silent -= sum(t in HIDDEN_TAGS for t, _ in self.open[i:])
         self.state = self.open[i][1]
         del self.open[i:]
-        if tag in BLOCK_TAGS:
-            self._new()
-        else:
-            self._end()
 
     def handle_data(self, data):
+        if self.silent:
+            return
         n = len(data) - data.count(" ") if not data.isspace() else 0
         self.now[0].append(data)
         self.now[2] += n

@@ -31,12 +31,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskflow.llm.textcore import HashIndex, ranges, run_hashes, slices, utf8
 
 MARK = "▁"
 CACHE_WORDS = 1_000_000  # kept per worker process: about 60 MB
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 300_000
 
 
 class Vocabulary:
@@ -210,18 +211,29 @@ class Vocabulary:
 
 
 def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids``."""
-    @F.pandas_udf("array<int>")
-    def tokens(t: pd.Series) -> pd.Series:
-        vocab = Vocabulary.get(model_path)
-        data, off = utf8(pa.array(t, pa.string(), from_pandas=True))
-        out = []
-        for lo, hi in slices(off):
-            ids, counts = vocab.encode(data, off[lo:hi + 1])
-            out += np.split(ids.astype(np.int32), np.cumsum(counts)[:-1])
-        return pd.Series(out, dtype=object)
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``exact`` (the ids decode
+    to the text); columns of these names are replaced.  Rows go out in slices of
+    about 1 MB of text, so memory follows the longest text, not the batch."""
+    docs = docs.drop("token_ids", "n_tokens", "exact")
+    at = docs.columns.index(text_col)
 
-    return docs.withColumn("token_ids", tokens(F.col(text_col).cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]):
+        vocab = Vocabulary.get(model_path)
+        for batch in batches:
+            data, off = utf8(batch.column(at))
+            for lo, hi in slices(off):
+                ids, counts = vocab.encode(data, off[lo:hi + 1])
+                back = vocab.decode(ids, counts)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                exact = [back[i] == data[off[lo + i]:off[lo + i + 1]].tobytes() for i in range(hi - lo)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))),
+                     pa.array(counts), pa.array(exact, pa.bool_())], names=[*part.schema.names, "token_ids", "n_tokens", "exact"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])
+    return docs.mapInArrow(run, schema)
 
 
 def decode_texts(docs: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFrame:
