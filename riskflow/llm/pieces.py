@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from riskflow.llm.textcore import HashIndex, ranges, run_hashes, slices, utf8
 
 MARK = "▁"
-CACHE_WORDS = 1_000_000  # kept per worker process: about 60 MB
-CACHE_PAIRS = 300_000
+CACHE_WORDS = 300_000  # kept while a task runs: about 30 MB
+CACHE_PAIRS = 100_000  # .. and 30 MB
 
 
 class Vocabulary:
@@ -230,6 +230,7 @@ def encode_texts(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32))),
                      pa.array(counts), pa.array(exact, pa.bool_())], names=[*part.schema.names, "token_ids", "n_tokens", "exact"])
+        vocab._clear()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_tokens", T.LongType()), T.StructField("exact", T.BooleanType())])

@@ -141,7 +141,7 @@ def decode(seen: str, model: np.ndarray) -> str:
 class Restorer:
     """Restores suspicious stretches; a bounded table keeps what was decoded."""
 
-    def __init__(self, model: np.ndarray, keep: int = 100_000):
+    def __init__(self, model: np.ndarray, keep: int = 20_000):
         self.decode = lru_cache(maxsize=keep)(lambda s: decode(s, model))
 
     def __call__(self, text: str) -> str:
