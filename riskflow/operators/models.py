@@ -11,6 +11,8 @@ number of features / categories.
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -143,38 +145,45 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- PF-13..15
+# Attribution families, first match on the name wins.
+FAMILIES = [
+    ("^D[0-9]+$", "device_identity"),
+    ("^C[0-9]+$", "card_counter"),
+    ("^V[0-9]+$", "engineered"),
+    ("^M[0-9]+$", "verification"),
+    ("[aA][mM][tT]|^amount$", "amount"),
+    ("txn_count|txn_hour|is_night|seconds_since", "behavioral_velocity_timing"),
+    ("^addr|^dist", "geographic"),
+    ("^card", "card_metadata"),
+    ("email", "email"),
+]
+# Report categories, first match on the lower-cased name wins.
+CATEGORIES = [
+    ("txn_count|velocity|freq", "Velocity"),
+    ("amt.*(zscore|ratio|mean|std)|(zscore|ratio|mean|std).*amt", "Amount anomaly"),
+    ("transactionamt|^amt$|^amount$", "Amount"),
+    ("^card", "Card"),
+    ("emaildomain|^p_email|^r_email", "Email"),
+    ("^addr|^dist[12]$", "Address / geo"),
+    ("^device|^id_", "Device / identity"),
+    ("transactiondt|hour|dow|day_of_week", "Time"),
+    ("^product", "Channel"),
+    ("^[vcdm][0-9]", "Anonymized (Vesta engineered)"),
+]
+
+
+def _first_match(name: Column, table: list[tuple[str, str]], default: str) -> Column:
+    return F.coalesce(*[F.when(name.rlike(pattern), value) for pattern, value in table], F.lit(default))
+
+
 def feature_family(name: Column) -> Column:
-    """PF-13: attribution family of a feature name (first matching rule)."""
-    n = name
-    return (F.when(n.rlike("^D[0-9]+$"), "device_identity")
-             .when(n.rlike("^C[0-9]+$"), "card_counter")
-             .when(n.rlike("^V[0-9]+$"), "engineered")
-             .when(n.rlike("^M[0-9]+$"), "verification")
-             .when(F.lower(n).contains("amt") | (n == "amount"), "amount")
-             .when(n.contains("txn_count") | n.contains("txn_hour") | n.contains("is_night")
-                   | n.contains("seconds_since"), "behavioral_velocity_timing")
-             .when(n.startswith("addr") | n.startswith("dist"), "geographic")
-             .when(n.startswith("card"), "card_metadata")
-             .when(n.contains("email"), "email")
-             .otherwise("other"))
+    """PF-13: attribution family of a feature name."""
+    return _first_match(name, FAMILIES, "other")
 
 
 def importance_category(name: Column) -> Column:
-    """PF-14: dashboard category of a feature name (ordered rules)."""
-    n = F.lower(name)
-    return (F.when(n.contains("txn_count") | n.contains("velocity") | n.contains("freq"), "Velocity")
-             .when(n.contains("amt") & (n.contains("zscore") | n.contains("ratio") | n.contains("mean")
-                                         | n.contains("std")), "Amount anomaly")
-             .when(n.contains("transactionamt") | (n == "amt") | (n == "amount"), "Amount")
-             .when(n.startswith("card"), "Card")
-             .when(n.contains("emaildomain") | n.startswith("p_email") | n.startswith("r_email"), "Email")
-             .when(n.startswith("addr") | (n == "dist1") | (n == "dist2"), "Address / geo")
-             .when(n.startswith("device") | n.startswith("id_"), "Device / identity")
-             .when(n.contains("transactiondt") | n.contains("hour") | n.contains("dow")
-                   | n.contains("day_of_week"), "Time")
-             .when(n.startswith("productcd") | n.startswith("product"), "Channel")
-             .when(n.rlike("^[vcdm]([0-9]|[0-9][0-9])"), "Anonymized (Vesta engineered)")
-             .otherwise("Other"))
+    """PF-14: report category of a feature name."""
+    return _first_match(F.lower(name), CATEGORIES, "Other")
 
 
 # Display names of the engineered features (our column names).
@@ -294,7 +303,7 @@ def attribute(df: DataFrame, ex: LinearExplainer, id_col: str = "txn_id", k: int
         feature_family(s["feature"]).alias("family")))
     fam_of = {}
     for c in ex.features:
-        fam_of.setdefault(_family_py(c), []).append(c)
+        fam_of.setdefault(next((f for p, f in FAMILIES if re.search(p, c)), "other"), []).append(c)
     fam_cols = {f: sum((F.col(f"_c_{c}") for c in cs[1:]), F.col(f"_c_{cs[0]}")) for f, cs in fam_of.items()}
     pos = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.greatest(s["shap"], F.lit(0.0)))
     neg = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.least(s["shap"], F.lit(0.0)))
@@ -313,30 +322,6 @@ def attribute(df: DataFrame, ex: LinearExplainer, id_col: str = "txn_id", k: int
         + F.col("total_negative_contribution"))
 
 
-def _family_py(n: str) -> str:
-    """Driver-side twin of :func:`feature_family` for grouping a fixed name list."""
-    import re
-    if re.fullmatch(r"D[0-9]+", n):
-        return "device_identity"
-    if re.fullmatch(r"C[0-9]+", n):
-        return "card_counter"
-    if re.fullmatch(r"V[0-9]+", n):
-        return "engineered"
-    if re.fullmatch(r"M[0-9]+", n):
-        return "verification"
-    if "amt" in n.lower() or n == "amount":
-        return "amount"
-    if any(t in n for t in ("txn_count", "txn_hour", "is_night", "seconds_since")):
-        return "behavioral_velocity_timing"
-    if n.startswith(("addr", "dist")):
-        return "geographic"
-    if n.startswith("card"):
-        return "card_metadata"
-    if "email" in n:
-        return "email"
-    return "other"
-
-
 # ----------------------------------------------------------------------------- ML-13 / WN-9
 def cluster_nearest(df: DataFrame, features: list[str], id_col: str = "txn_id", max_k: int = 400,
                     seed: int = 42) -> DataFrame:

@@ -72,35 +72,35 @@ def run_chain(spark: SparkSession, stages: list[tuple[str, Callable[[], DataFram
 
 # ----------------------------------------------------------------------------- RU-9
 MIN_POSITIVE_SHAP, MAX_NEGATIVE_SHAP = 0.05, -0.3
-# Checklist questions by feature (our names), then by family.
+# Checklist questions by feature, then by family.
 FEATURE_QUESTIONS = [
-    ("amount", "Verify the transaction amount is consistent with the cardholder's typical spending"),
-    ("card_amt_zscore", "Confirm the amount fits this card's typical spending range"),
-    ("card_txn_count_1h", "Check whether the cardholder is making rapid back-to-back purchases"),
-    ("card_txn_count_24h", "Review the card's 24-hour transaction count for unusual volume"),
-    ("card_seconds_since_last", "Check the gap since the card's previous transaction"),
-    ("is_night", "Verify whether the cardholder typically transacts at night"),
-    ("txn_hour", "Check whether the transaction time fits the cardholder's pattern"),
-    ("p_email_is_highrisk", "Verify the purchaser's email domain reputation"),
-    ("r_email_is_highrisk", "Verify the recipient's email domain reputation"),
-    ("emails_match", "Check whether purchaser and recipient emails match"),
+    ("amount", "Does the cardholder usually spend such amounts?"),
+    ("card_amt_zscore", "Is the amount within this card's range?"),
+    ("card_txn_count_1h", "Did the cardholder make all purchases of the last hour?"),
+    ("card_txn_count_24h", "Is the number of transactions of the last day normal for this card?"),
+    ("card_seconds_since_last", "Is the time since the previous transaction plausible?"),
+    ("is_night", "Does the cardholder buy at night?"),
+    ("txn_hour", "Does the cardholder buy at this hour?"),
+    ("p_email_is_highrisk", "Is the purchaser's e-mail provider trustworthy?"),
+    ("r_email_is_highrisk", "Is the recipient's e-mail provider trustworthy?"),
+    ("emails_match", "Do purchaser and recipient share an e-mail provider?"),
 ]
 FAMILY_QUESTIONS = [
-    ("device_identity", "Verify whether this card has been used on this device before"),
-    ("card_counter", "Review the card's recent usage counters for unusual activity"),
-    ("engineered", "Cross-check this transaction against the card's full transaction history"),
-    ("verification", "Confirm address/identity match flags through manual review"),
-    ("amount", "Verify the amount is consistent with the cardholder's pattern"),
-    ("behavioral_velocity_timing", "Review velocity and timing for this card's recent activity"),
-    ("geographic", "Verify geographic consistency between billing, shipping, and IP"),
-    ("card_metadata", "Cross-check card metadata against expected patterns"),
-    ("email", "Verify email reputation for both purchaser and recipient"),
+    ("device_identity", "Is the device known for this card?"),
+    ("card_counter", "Are the card's counters in their usual range?"),
+    ("engineered", "Does the transaction fit the card's history?"),
+    ("verification", "Do address and identity checks hold on a second look?"),
+    ("amount", "Does the amount fit the cardholder's habits?"),
+    ("behavioral_velocity_timing", "Are the pace and the time of recent use normal?"),
+    ("geographic", "Do billing place, delivery place and origin agree?"),
+    ("card_metadata", "Do the card's data agree with its issuer's?"),
+    ("email", "Are both e-mail addresses trustworthy?"),
 ]
 AUTO_FAMILIES = ("amount", "email")
 BASELINE_CHECKS = [
-    "Confirm cardholder is reachable for verification",
-    "Check for recent disputes or chargebacks on this card",
-    "Verify the card is not on the issuer's hot-list or watch list",
+    "Can the cardholder be reached?",
+    "Were there disputes on this card lately?",
+    "Has the issuer blocked or flagged the card?",
 ]
 
 

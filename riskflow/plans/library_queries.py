@@ -43,18 +43,18 @@ def _specific(x: str) -> str:
 
 
 _REASON = f"""CASE
-  WHEN {wc('narrative')} < 80 THEN 'narrative too short (' || {wc('narrative')} || ' words)'
-  WHEN {wc('narrative')} > 220 THEN 'narrative too long (' || {wc('narrative')} || ' words)'
-  WHEN len(indicators) < 4 THEN 'need 4+ indicators, got ' || len(indicators)
-  WHEN len(indicators) > 8 THEN 'too many indicators (' || len(indicators) || ')'
+  WHEN {wc('narrative')} < 80 THEN 'narrative_short:' || {wc('narrative')}
+  WHEN {wc('narrative')} > 220 THEN 'narrative_long:' || {wc('narrative')}
+  WHEN len(indicators) < 4 THEN 'indicators_few:' || len(indicators)
+  WHEN len(indicators) > 8 THEN 'indicators_many:' || len(indicators)
   WHEN len(indicator_explanations) <> len(indicators)
-    THEN 'indicator_explanations length mismatch (' || len(indicator_explanations) || ' vs ' || len(indicators) || ')'
-  WHEN len(list_filter(indicator_explanations, lambda x: {wc('x')} < 4)) > 0 THEN 'explanations too short or non-string'
+    THEN 'explanations_count:' || len(indicator_explanations) || '/' || len(indicators)
+  WHEN len(list_filter(indicator_explanations, lambda x: {wc('x')} < 4)) > 0 THEN 'explanation_short'
   WHEN len(list_filter(indicators, lambda x: NOT {_specific('x')})) > 1
-    THEN 'too many vague indicators (' || len(list_filter(indicators, lambda x: NOT {_specific('x')})) || ')'
-  WHEN {wc('title')} < 4 OR {wc('title')} > 16 THEN 'title word count out of range (' || {wc('title')} || ')'
-  WHEN {wc('summary')} < 10 THEN 'summary too short'
-  WHEN {wc('reasoning')} < 10 THEN 'reasoning too short'
+    THEN 'indicators_vague:' || len(list_filter(indicators, lambda x: NOT {_specific('x')}))
+  WHEN {wc('title')} < 4 OR {wc('title')} > 16 THEN 'title_length:' || {wc('title')}
+  WHEN {wc('summary')} < 10 THEN 'summary_short'
+  WHEN {wc('reasoning')} < 10 THEN 'reasoning_short'
 END"""
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +56,13 @@ RUN_LOG_SCHEMA = T.StructType([
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_TXN_SCHEMA) -> DataFrame:
-    """IO-1: header CSV with a declared schema (columns matched by name order)."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """IO-1: header CSV, the schema's columns picked by header name whatever
+    their order and whatever other columns stand beside them; a column that the
+    header lacks and a value that does not parse are null."""
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    have = set(raw.columns)
+    return raw.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType))
+                        .alias(f.name) for f in schema.fields])
 
 
 def read_features(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -113,10 +119,12 @@ def read_log(spark: SparkSession, path: str, hours: float, as_of: datetime,
     """IO-8: rows of the last ``hours`` before ``as_of`` (passed in, never
     ``now()``, so results repeat); an empty typed frame when the log is absent.
     The date partition filter prunes whole folders."""
+    dated = schema if "dt" in schema.fieldNames() else T.StructType([*schema.fields, T.StructField("dt", T.DateType())])
     try:
-        df = spark.read.schema(schema.add("dt", T.DateType()) if "dt" not in schema.fieldNames()
-                               else schema).parquet(path)
-    except Exception:  # noqa: BLE001 - absent log
+        df = spark.read.schema(dated).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     lo = F.lit(as_of) - F.expr(f"make_dt_interval(0, 0, 0, {float(hours) * 3600})")
     return (df.filter(F.col("dt") >= F.to_date(lo))
