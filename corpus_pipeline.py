@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.llm.textcore import text_batches
 from riskflow.session import materialize
 
 
@@ -21,6 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled documents that are not held out."""
     from riskflow.llm.toxicity import fit, score_texts
 
+    text_batches(spark)
     scorer = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_texts(docs, scorer).where("predicted = 0").select(*docs.columns)
 
@@ -30,6 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document whose every line went goes with them.  ``n_chars`` follows the text."""
     from riskflow.llm.lines import dedup_lines
 
+    text_batches(spark)
     cut = dedup_lines(docs).where("n_lines = 0 or n_lines > n_equal + n_near")
     n_chars = F.when(F.col("n_equal") + F.col("n_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*docs.columns)
@@ -39,6 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, 0.8) stays."""
     from riskflow.llm.odd_sketch import near_duplicates
 
+    text_batches(spark)
     gone = near_duplicates(docs, k=5, num=80, den=100).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -47,6 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents that hold a benchmark item go."""
     from riskflow.llm.decontaminate import find_leaks
 
+    text_batches(spark)
     leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
@@ -56,6 +61,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     from riskflow.llm.pieces import encode_texts
     from riskflow.llm.queries import tokenizer_file
 
+    text_batches(spark)
     return encode_texts(docs, tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+TEXT_ROWS = 512  # rows of one Arrow batch of whole texts
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 _INV_INT = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -265,3 +267,12 @@ def run_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     off = np.arange(len(data)) - np.repeat(start, size)
     terms = (data.astype(U64) + U64(1)) * powers(int(size.max()))[off]
     return mix(np.add.reduceat(terms, start) + size.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def text_batches(spark) -> None:
+    """Keep Arrow batches of whole texts small (a session setting; results do
+    not depend on it): the default of 10,000 rows holds tens of MB of text in
+    the JVM's buffers and in each Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
