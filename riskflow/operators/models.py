@@ -61,16 +61,13 @@ def fit_dictionary(df: DataFrame, cols: list[str]) -> DataFrame:
     return d.withColumn("code", (F.dense_rank().over(w) - 1).cast("int"))
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, cols: list[str],
-                     broadcast_max_rows: int = 1_000_000) -> DataFrame:
+def apply_dictionary(df: DataFrame, dictionary: DataFrame, cols: list[str]) -> DataFrame:
     """PF-5: replace each categorical column by its code; unseen or null -> -1.
-    The dictionary is broadcast only after its row count is checked."""
-    small = dictionary.count() <= broadcast_max_rows
+    Adaptive execution picks the join by the dictionary's measured size."""
     out = df
     for c in cols:
         d = dictionary.filter(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
-        d = F.broadcast(d) if small else d
         out = (out.join(d, F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
                   .withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(MISSING_CAT)))
                   .drop(f"_v_{c}"))
