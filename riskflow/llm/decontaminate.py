@@ -5,8 +5,12 @@ Index: items are the documents of BM25 (k1, b as parameters, idf over the
 items); postings by item number, cut into blocks that keep their largest
 impact.  Query: a passage, i.e. a window of the training text's distinct words;
 windows overlap by at least the longest item, so a leaked item lies whole in one
-of them.  A passage retrieves all items whose score reaches ``share`` of the
-item's score against itself.  Upper bounds of all passages against all item
+of them.  A passage retrieves all items whose score reaches the item's score
+against itself less the most that verification forgives: a passage that lost w
+distinct words of an item lost w or more of its shingles (k - 1 fewer if the
+item repeats a shingle), so an item that verifies misses at most the words of
+``1 - overlap`` of its shingles, and these weigh at most as much as its
+heaviest words.  No item that a passage holds to ``overlap`` is missed.  Upper bounds of all passages against all item
 blocks are summed first; WAND with block maxima scores only where a bound
 reaches a threshold.  Retrieved items are verified exactly: share of the
 question's and of the answer's five-word shingles (the item's first line and
@@ -43,7 +47,7 @@ def _words_of(text: str) -> np.ndarray:
 class Bm25Index:
     """Postings with block maxima over one shard of items."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float, k: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, str]], overlap: float, k: int, k1: float = 1.2, b: float = 0.75):
         items = [(i, _words_of(t or ""), t or "") for i, t in items]
         items = [x for x in items if len(x[1])]
         self.ids = [x[0] for x in items]
@@ -61,7 +65,12 @@ class Bm25Index:
             self.impact[np.searchsorted(self.vocab, w), j] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[j] / lens.mean()))
         df = (self.impact > 0).sum(axis=1)
         self.impact *= np.log(1 + (len(items) - df + 0.5) / (df + 0.5))[:, None].astype(np.float32)
-        self.goal = share * self.impact.sum(axis=0) - 1e-4  # an item against itself, with room for rounding
+        self.goal = np.zeros(len(items))
+        for j, (_, words, _) in enumerate(items):
+            distinct, width = len(self.parts[j][2][0]), self.parts[j][2][1]
+            lost = int((1 - overlap) * distinct + 1e-9) + (k - 1 if distinct < len(words) - width + 1 else 0)
+            weights = np.sort(self.impact[:, j].astype(float))[::-1]
+            self.goal[j] = weights[lost:].sum() - 1e-4  # with room for rounding
         pad = -len(items) % BLOCK_ITEMS
         blocks = np.pad(self.impact, ((0, 0), (0, pad))).reshape(len(self.vocab), -1, BLOCK_ITEMS)
         self.block_max = blocks.max(axis=2)
@@ -154,7 +163,7 @@ def _shards(bench: DataFrame, id_col: str, text_col: str, items: int, chars: int
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", *, share: float = 0.6, overlap: float = 0.8, k: int = 5, window: int = 0,
+               item_text: str = "text", *, overlap: float = 0.8, k: int = 5, window: int = 0,
                shard_items: int = 2000, shard_chars: int = 4_000_000) -> DataFrame:
     """(id, item_id, overlap, question_overlap, answer_overlap) of every text and
     item with ``overlap`` or more of the item's k-word shingles in the text."""
@@ -166,7 +175,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
         sent = spark.sparkContext.broadcast(shard)
 
         def run(batches: Iterator[pa.RecordBatch]):
-            index = Bm25Index(sent.value, share, k)
+            index = Bm25Index(sent.value, overlap, k)
             for batch in batches:
                 ids, out = batch.column(0), []
                 data, off = utf8(batch.column(1))
