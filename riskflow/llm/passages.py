@@ -15,6 +15,12 @@ both texts, and verified: exact Jaccard of five-word shingles of at least
 A star to the earliest document, not all pairs, is formed: a passage of n
 documents gives n - 1 removals, each with the document that keeps it.
 
+The earliest document of a key may hold only a shorter piece.  So places whose
+key three or more documents hold, and that no verified passage covers, get a
+second pass with longer keys: first PARTS long keys a place, together part of
+each run of ``min_words`` words around it, then those runs themselves where a
+long key met.  Equal runs of ``min_words`` words are thus never missed.
+
 Defined results: null or empty text has no passage; words are runs of other
 than ASCII white space, A-Z lower-cased; repeats inside one document and rows
 with a null id are not reported; rows that share an id count as one document
@@ -38,6 +44,7 @@ ANCHOR = 16
 WINDOW = 20
 SHINGLE = 5
 CONTEXT = 96  # words compared at a time
+PARTS = 4
 
 
 def window_minima(h: np.ndarray, window: int) -> np.ndarray:
@@ -139,6 +146,76 @@ def _verifier(min_words: int, overlap: float):
     return run
 
 
+def _long_keys(min_words: int):
+    """Keys around open places: every run of ``min_words`` words that holds a
+    place's anchor holds the stretch of one of the place's PARTS keys."""
+    step = -(-(min_words - ANCHOR + 1) // PARTS)
+    size = min_words - step + 1
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
+            for i, places, w in zip(*(batch.column(c) for c in ("id", "places", "w"))):
+                h = shingles(np.frombuffer(w.as_buffer(), np.uint64), size)
+                pos = np.array([r["pos"] for r in places.as_py()], dtype=np.int64)
+                opened = np.array([r["open"] for r in places.as_py()], dtype=bool)
+                for part in range(PARTS):
+                    at = pos - part * step
+                    ok = (at >= 0) & (at < len(h))
+                    out.append((signed(h[at[ok]]), np.full(ok.sum(), i.as_py()), at[ok], opened[ok]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "id", "at", "open"])
+    return run
+
+
+def _full_runs(min_words: int):
+    """The runs of ``min_words`` words that hold a long key's stretch."""
+    step = -(-(min_words - ANCHOR + 1) // PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)]
+            for i, places, w in zip(*(batch.column(c) for c in ("id", "places", "w"))):
+                h = shingles(np.frombuffer(w.as_buffer(), np.uint64), min_words)
+                rows = places.as_py()
+                at = (np.array([r["at"] for r in rows], dtype=np.int64)[:, None] - np.arange(step)).ravel()
+                opened = np.repeat(np.array([r["open"] for r in rows], dtype=bool), step)
+                ok = (at >= 0) & (at < len(h))
+                start = np.unique(at[ok])
+                out.append((signed(h[start]), np.full(len(start), i.as_py()), start, np.isin(start, at[ok & opened])))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["key", "id", "at", "open"])
+    return run
+
+
+def _second_spans(hits: DataFrame, found: DataFrame, held: DataFrame, min_words: int) -> DataFrame:
+    """Spans of equal runs between documents of which neither is the earliest
+    of the keys in the run, for places that ``found`` does not cover."""
+    schema = "key bigint, id bigint, at bigint, open boolean"
+    cover = found.select(F.col("doc_id").alias("id"), "start_word", "end_word").distinct()
+    hit = hits.where("id <> kid").select("key", "id", F.col("pos").cast("long").alias("pos"))
+    uncovered = hit.join(cover, [hit.id == cover.id, hit.pos >= cover.start_word, hit.pos + ANCHOR <= cover.end_word], "left_anti")
+    wanted = uncovered.groupBy("key").agg(F.max("id").alias("last"))  # partners come before an open place
+    several = hit.groupBy("key").agg((F.min("id") < F.max("id")).alias("several")).where("several").select("key")
+    near = hit.join(wanted, "key").where("id <= last").drop("last").join(several, "key", "left_semi")
+    near = (near.join(uncovered.select("key", "id", "pos", F.lit(True).alias("open")), ["key", "id", "pos"], "left")
+            .select("id", "pos", F.coalesce("open", F.lit(False)).alias("open")))
+
+    def met(keys: DataFrame, name: str) -> DataFrame:
+        keys = materialize(keys, name)
+        first = (keys.groupBy("key").agg(F.min(F.struct("id", "at")).alias("k"), F.max(F.when(F.col("open"), F.col("id"))).alias("last"))
+                 .where("k.id < last").select("key", F.col("k.id").alias("kid"), F.col("k.at").alias("kat")))
+        return keys.join(first, "key")
+
+    def with_words(places: DataFrame) -> DataFrame:
+        return places.join(held, "id")
+
+    longer = met(with_words(near.groupBy("id").agg(F.collect_set(F.struct("pos", "open")).alias("places")))
+                 .mapInArrow(_long_keys(min_words), schema), "pg-long")
+    runs = met(with_words(longer.groupBy("id").agg(F.collect_set(F.struct("at", "open")).alias("places")))
+               .mapInArrow(_full_runs(min_words), schema), "pg-runs")
+    return runs.where("open and id > kid").select("id", "kid", F.col("at").alias("s"), (F.col("at") + min_words).alias("e"),
+                                                  F.col("kat").alias("ks"), (F.col("kat") + min_words).alias("ke"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_words: int = 51,
                       overlap: float = 0.8) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, keep_doc_id, keep_start_word,
@@ -164,12 +241,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 [batch.column(0), pa.array([h.tobytes() for _, h in _docs(batch)], pa.binary())], names=["id", "w"])
 
     held = materialize(src.mapInArrow(words, "id bigint, w binary").dropDuplicates(["id"]), "pg-words")
-    each = spans.groupBy("id", "kid").agg(F.collect_list(F.struct("s", "e", "ks", "ke")).alias("spans"))
-    found = (each.join(held.withColumnRenamed("w", "wa"), "id")
-             .join(held.select(F.col("id").alias("kid"), F.col("w").alias("wb")), "kid")
-             .mapInArrow(_verifier(min_words, overlap), "doc_id bigint, start_word bigint, end_word bigint, keep_doc_id bigint, "
-                                                        "keep_start_word bigint, similarity double").distinct())
-    found = materialize(found, "pg-found")
+
+    def verified(spans: DataFrame, name: str) -> DataFrame:
+        each = spans.groupBy("id", "kid").agg(F.collect_list(F.struct("s", "e", "ks", "ke")).alias("spans"))
+        rows = (each.join(held.withColumnRenamed("w", "wa"), "id")
+                .join(held.select(F.col("id").alias("kid"), F.col("w").alias("wb")), "kid")
+                .mapInArrow(_verifier(min_words, overlap), "doc_id bigint, start_word bigint, end_word bigint, keep_doc_id bigint, "
+                                                           "keep_start_word bigint, similarity double").distinct())
+        return materialize(rows, name)
+
+    found = verified(spans, "pg-found")
+    found = found.union(verified(_second_spans(hits, found, held, min_words), "pg-found-long"))
     label = connected_components(found.select(F.col("keep_doc_id").alias("a"), F.col("doc_id").alias("b")))
     # a span inside another span of the same document says nothing new
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "keep_doc_id", "keep_start_word").rowsBetween(

@@ -191,6 +191,13 @@ def test_passages_catch_repeats_and_leave_clean_documents(spark, docs_of):
         assert r.n_words > 50 and (r.similarity < 1 or a == b[:len(a)]) and r.keep_doc_id < r.doc_id
     assert {r.doc_id for r in got} == {103, 106, 109, 104, 107, 110, 201, 202}
     assert {r.cluster_id for r in got if r.doc_id in (103, 106, 109)} == {100}
+    # every key of a passage of two documents lies in shorter pieces that earlier documents hold
+    for n, edge in ((60, 0), (51, 30), (90, 200)):
+        p = prose(n).split(" ")
+        pieces = [(i, prose(20) + " " + " ".join(p[i:i + 45]) + " " + prose(20)) for i in range(0, n - 30, 3)]
+        pair = [(i, prose(edge) + f" l{i} " + " ".join(p) + f" r{i} " + prose(edge // 2)) for i in (500, 501, 502)]
+        hit = [(r.doc_id, r.keep_doc_id, r.n_words == n) for r in repeated_passages(docs_of(pieces + pair)).collect()]
+        assert set(hit) >= {(501, 500, True), (502, 500, True)}, (n, edge, hit)
     assert repeated_passages(docs_of([])).count() == 0
 
 
