@@ -114,6 +114,12 @@ def grow(a: np.ndarray, b: np.ndarray, s: int, e: int, ks: int, ke: int) -> tupl
     return s - left, e + right, ks - left, ke + right
 
 
+def _inner(s: int, e: int, n: int, min_words: int) -> tuple[int, int]:
+    """First and last anchor place whose runs of ``min_words`` words all lie in
+    the span (a text of ``n`` words has none beyond its ends)."""
+    return s + (min_words - ANCHOR if s else 0), e - (min_words if e < n else ANCHOR)
+
+
 def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) -> list[tuple]:
     """Result rows of the spans of one pair that hold."""
     out = []
@@ -122,13 +128,14 @@ def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) ->
         both = len(np.intersect1d(p, q, assume_unique=True))
         share = both / (len(p) + len(q) - both)
         if share >= overlap:
-            out.append((a, s, e, b, ks, share))
+            equal = e - s == ke - ks and bool((wa[s:e] == wb[ks:ke]).all())
+            out.append((a, s, e, b, ks, share) + (_inner(s, e, len(wa), min_words) if equal else (None, None)))
             continue
         n = min(e - s, ke - ks)  # else the equal runs on the span's diagonal
         same = np.concatenate([[False], wa[s:s + n] == wb[ks:ks + n], [False]]).astype(np.int8)
         for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
             if hi - lo >= min_words:
-                out.append((a, s + lo, s + hi, b, ks + lo, 1.0))
+                out.append((a, s + lo, s + hi, b, ks + lo, 1.0) + _inner(s + lo, s + hi, len(wa), min_words))
     return out
 
 
@@ -141,8 +148,8 @@ def _verifier(min_words: int, overlap: float):
                 grown = {grow(wa, wb, r["s"], r["e"], r["ks"], r["ke"]) for r in spans.as_py()}
                 out += _verified(a.as_py(), b.as_py(), wa, wb, [g for g in grown if g[1] - g[0] >= min_words], min_words, overlap)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 5 + [pa.float64()])],
-                names=["doc_id", "start_word", "end_word", "keep_doc_id", "keep_start_word", "similarity"])
+                [pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2)],
+                names=["doc_id", "start_word", "end_word", "keep_doc_id", "keep_start_word", "similarity", "inner_from", "inner_to"])
     return run
 
 
@@ -186,9 +193,21 @@ def _full_runs(min_words: int):
     return run
 
 
+def _only(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id a bitmap of ``ids`` marks, before any exchange."""
+    needed = held.sparkSession.sparkContext.broadcast(bitmap(ids.distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(marked(needed.value, keys_of(batch.column(0)))))
+
+    return held.mapInArrow(run, held.schema)
+
+
 def _second_spans(hits: DataFrame, found: DataFrame, held: DataFrame, min_words: int) -> DataFrame:
     """Spans of equal runs between documents of which neither is the earliest
-    of the keys in the run, for places that ``found`` does not cover."""
+    of the keys in the run, for places that ``found`` does not cover.  A partner
+    whose run equals an earlier document's is left to that document."""
     schema = "key bigint, id bigint, at bigint, open boolean"
     cover = found.select(F.col("doc_id").alias("id"), "start_word", "end_word").distinct()
     hit = hits.where("id <> kid").select("key", "id", F.col("pos").cast("long").alias("pos"))
@@ -196,8 +215,10 @@ def _second_spans(hits: DataFrame, found: DataFrame, held: DataFrame, min_words:
     wanted = uncovered.groupBy("key").agg(F.max("id").alias("last"))  # partners come before an open place
     several = hit.groupBy("key").agg((F.min("id") < F.max("id")).alias("several")).where("several").select("key")
     near = hit.join(wanted, "key").where("id <= last").drop("last").join(several, "key", "left_semi")
-    near = (near.join(uncovered.select("key", "id", "pos", F.lit(True).alias("open")), ["key", "id", "pos"], "left")
-            .select("id", "pos", F.coalesce("open", F.lit(False)).alias("open")))
+    inner = found.where("inner_from <= inner_to").select(F.col("doc_id").alias("id"), "inner_from", "inner_to").distinct()
+    partners = near.join(inner, [near.id == inner.id, near.pos >= inner.inner_from, near.pos <= inner.inner_to], "left_anti")
+    places = partners.select("id", "pos", F.lit(False).alias("open")).union(uncovered.join(several, "key", "left_semi").select("id", "pos", F.lit(True)))
+    places = materialize(places.groupBy("id", "pos").agg(F.max("open").alias("open")), "pg-open")
 
     def met(keys: DataFrame, name: str) -> DataFrame:
         keys = materialize(keys, name)
@@ -206,10 +227,11 @@ def _second_spans(hits: DataFrame, found: DataFrame, held: DataFrame, min_words:
         return keys.join(first, "key")
 
     def with_words(places: DataFrame) -> DataFrame:
-        return places.join(held, "id")
+        return places.join(_only(held, places.select("id")), "id")
 
-    longer = met(with_words(near.groupBy("id").agg(F.collect_set(F.struct("pos", "open")).alias("places")))
+    longer = met(with_words(places.groupBy("id").agg(F.collect_set(F.struct("pos", "open")).alias("places")))
                  .mapInArrow(_long_keys(min_words), schema), "pg-long")
+    longer = materialize(longer, "pg-longer")
     runs = met(with_words(longer.groupBy("id").agg(F.collect_set(F.struct("at", "open")).alias("places")))
                .mapInArrow(_full_runs(min_words), schema), "pg-runs")
     return runs.where("open and id > kid").select("id", "kid", F.col("at").alias("s"), (F.col("at") + min_words).alias("e"),
@@ -244,14 +266,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def verified(spans: DataFrame, name: str) -> DataFrame:
         each = spans.groupBy("id", "kid").agg(F.collect_list(F.struct("s", "e", "ks", "ke")).alias("spans"))
-        rows = (each.join(held.withColumnRenamed("w", "wa"), "id")
-                .join(held.select(F.col("id").alias("kid"), F.col("w").alias("wb")), "kid")
+        rows = (each.join(_only(held, spans.select("id")).withColumnRenamed("w", "wa"), "id")
+                .join(_only(held, spans.select("kid")).select(F.col("id").alias("kid"), F.col("w").alias("wb")), "kid")
                 .mapInArrow(_verifier(min_words, overlap), "doc_id bigint, start_word bigint, end_word bigint, keep_doc_id bigint, "
-                                                           "keep_start_word bigint, similarity double").distinct())
+                                                           "keep_start_word bigint, similarity double, inner_from bigint, inner_to bigint").distinct())
         return materialize(rows, name)
 
     found = verified(spans, "pg-found")
-    found = found.union(verified(_second_spans(hits, found, held, min_words), "pg-found-long"))
+    second = materialize(_second_spans(hits, found, held, min_words), "pg-second")
+    found = found.union(verified(second, "pg-found-long")).drop("inner_from", "inner_to")
     label = connected_components(found.select(F.col("keep_doc_id").alias("a"), F.col("doc_id").alias("b")))
     # a span inside another span of the same document says nothing new
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "keep_doc_id", "keep_start_word").rowsBetween(
