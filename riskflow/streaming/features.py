@@ -14,7 +14,8 @@ write per micro-batch.
 Each micro-batch of a card is sorted by (t, txn_id) and scored against the
 history, so with events arriving in time order the output equals the batch
 ``velocity`` + ``prior_profile`` (tests/test_streaming.py).  Events of a card
-arriving after later ones are scored in arrival order (SURVEY H6); late
+arriving after later ones see the history that has arrived, and their time since
+last counts from the latest earlier event of the longest window; late
 events past the watermark are routed aside by ``late_router``.
 """
 
@@ -114,10 +115,14 @@ def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, p
         out[f"{prefix}_txn_count_{w}"] = (ccnt[hi] - ccnt[lo]).astype(np.int64)
         out[f"{prefix}_amt_sum_{w}"] = np.where(hi > lo, csum[hi] - csum[lo], 0.0)
         out[f"{prefix}_amt_max_{w}"] = _range_max(smax, lo, hi)
-    prev_t = np.concatenate([[last_t if last_t is not None else -1], b_t[:-1]])
-    since = b_t - prev_t
-    if last_t is None:
-        since[0] = -1
+    # the latest earlier event by time, in the history or in the batch
+    none = np.iinfo(np.int64).min
+    prev_t = np.concatenate([[none], b_t[:-1]])
+    if len(h_s):
+        at = np.searchsorted(h_s, b_t, side="right") - 1
+        prev_t = np.maximum(prev_t, np.where(at >= 0, h_s[np.maximum(at, 0)], none))
+    known = prev_t != none
+    since = np.where(known, b_t - np.where(known, prev_t, 0), -1)
     out[f"{prefix}_seconds_since_last"] = since.astype(np.int64)
     # prior profile: totals before each row = state totals + batch prefix
     n = n0 + np.arange(len(batch))
@@ -141,7 +146,7 @@ def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, p
     keep = sec >= int(sec.max()) - span          # evict beyond the longest window
     new_state = (sec[keep].tolist(), cnt[keep].tolist(), ssum[keep].tolist(), smax[keep].tolist(),
                  int(n0 + len(batch)), float(s0 + b_a.sum()), float(q0 + (b_a * b_a).sum()),
-                 int(b_t[-1]), sorted(chans), sorted(addrs))
+                 int(b_t[-1] if last_t is None else max(last_t, b_t[-1])), sorted(chans), sorted(addrs))
     return pd.DataFrame(out), new_state
 
 

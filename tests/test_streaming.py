@@ -63,3 +63,13 @@ def test_range_max_sparse_table():
     got = SF._range_max(arr, lo, hi)
     want = np.array([arr[a:b].max() if b > a else 0.0 for a, b in zip(lo, hi)])
     assert np.array_equal(got, want)
+
+
+def test_out_of_order_event_keeps_the_latest_time():
+    import pandas as pd
+    state, got = None, []
+    for t in ([1000, 5000], [2000], [6000]):
+        batch = pd.DataFrame({"t": t, "txn_id": t, "amount": 1.0, "channel": "web", "addr": 1})
+        out, state = SF.score_card_batch(1, batch, state, {"1h": 3600}, 604800, "card", [])
+        got += out["card_seconds_since_last"].tolist()
+    assert got == [-1, 4000, 1000, 1000] and state[7] == 6000
