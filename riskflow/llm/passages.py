@@ -19,7 +19,9 @@ The earliest document of a key may hold only a shorter piece.  So places whose
 key three or more documents hold, and that no verified passage covers, get a
 second pass with longer keys: first PARTS long keys a place, together part of
 each run of ``min_words`` words around it, then those runs themselves where a
-long key met.  Equal runs of ``min_words`` words are thus never missed.
+long key met.  Equal runs of ``min_words`` words are thus found whatever shorter
+pieces come before; not covered is a run whose key the earliest document holds
+at several places, as only the first of them is compared.
 
 Defined results: null or empty text has no passage; words are runs of other
 than ASCII white space, A-Z lower-cased; repeats inside one document and rows
