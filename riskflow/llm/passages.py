@@ -4,13 +4,17 @@ across documents, whole paragraphs or parts of them.
 Method: a paragraph is every window of ``window`` consecutive ANCHOR-word
 shingles, taken at every word, so a passage inside a longer text is a paragraph
 too.  Each paragraph's MinHash is a one-row band, tuned for recall: the windows
-of a run of equal words hold equal shingles, so runs of window + ANCHOR - 1
-words share a band key for certain, edited passages share one in every unedited
-stretch of that length.  (Neighbouring windows mostly share their minimum, which
-is emitted once.)  Paragraphs with a key of several documents are joined to the
-key's earliest document, chained to candidate spans, extended word by word on
-both texts, and verified: exact Jaccard of five-word shingles of at least
-``overlap`` for the span, else for its runs of equal words.  Components of the verified pairs cluster the removals.
+of a run of equal words hold equal shingles, so runs of window + ANCHOR - 1 = 25
+words share a band key for certain.  A passage of 51 words or more without
+repeated shingles whose Jaccard is 0.8 has such a run: an edit of it costs 8 or
+more of the lost shingles (0.8 times for the other text's), a fifth of them may
+be lost, so it has one edit up to 83 words, and its longer side 25 words.
+(Neighbouring windows mostly share their minimum, which is emitted once.)
+Paragraphs with a key of several documents are joined to the key's earliest
+document.  The equal runs of both texts along the hits, and those past edits
+beside them, are chained; the longest spans from run to run of exact Jaccard of
+five-word shingles of at least ``overlap`` are the passages, so a passage begins
+and ends with equal words.  Components of the verified pairs cluster the removals.
 
 A star to the earliest document, not all pairs, is formed: a passage of n
 documents gives n - 1 removals, each with the document that keeps it.
@@ -42,9 +46,12 @@ from riskflow.llm.graph import connected_components
 from riskflow.llm.textcore import SPACE_WORDS, Words, shingles, signed, slices, utf8
 from riskflow.session import materialize
 
-ANCHOR = 16
-WINDOW = 20
+ANCHOR = 10
+WINDOW = 16
 SHINGLE = 5
+GAP = 56  # words between hits of one chain
+REACH = 16  # words that an edit may take
+END = 6  # words at a passage's end that are looked through for equal ones behind an edit
 CONTEXT = 96  # words compared at a time
 PARTS = 4
 
@@ -82,38 +89,121 @@ def _anchors(min_words: int):
 
 
 def _chains(batches: Iterator[pa.RecordBatch]):
-    """Runs of hits of one pair with little shift and small gaps, and the parts
-    of such a run that have no shift (a run that a batch cuts in two is
-    extended to the whole from both parts)."""
+    """Runs of hits of one pair without shift and with small gaps (a run that a
+    batch cuts in two is extended to the whole from both parts)."""
     for batch in batches:
         a, b, p, q = (batch.column(c).to_numpy().astype(np.int64) for c in ("id", "kid", "pos", "kpos"))
         if not len(a):
             continue
-        new, part = np.ones(len(a), dtype=bool), np.ones(len(a), dtype=bool)
-        shift = np.abs((p[1:] - q[1:]) - (p[:-1] - q[:-1]))
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > 2 * WINDOW + ANCHOR) | (shift > ANCHOR)
-        part[1:] = new[1:] | (shift > 0)
-        s = np.concatenate([np.flatnonzero(new), np.flatnonzero(part)])
-        e = np.concatenate([np.append(np.flatnonzero(x)[1:], len(a)) - 1 for x in (new, part)])
-        s, e = np.unique(np.stack([s, e]), axis=1)
+        part = np.ones(len(a), dtype=bool)
+        part[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (p[1:] - p[:-1] > GAP) | (p[1:] - q[1:] != p[:-1] - q[:-1])
+        s = np.flatnonzero(part)
+        e = np.append(s[1:], len(a)) - 1
         yield pa.RecordBatch.from_arrays(
             [pa.array(x) for x in (a[s], b[s], p[s], p[e] + ANCHOR, q[s], q[e] + ANCHOR)],
             names=["id", "kid", "s", "e", "ks", "ke"])
 
 
-def grow(a: np.ndarray, b: np.ndarray, s: int, e: int, ks: int, ke: int) -> tuple[int, int, int, int]:
-    """The span extended on both sides as far as the words are equal."""
-    def run(x, y):
-        n, at = min(len(x), len(y)), 0
-        while at < n:
-            diff = np.flatnonzero(x[at:min(n, at + CONTEXT)] != y[at:min(n, at + CONTEXT)])
-            if len(diff):
-                return at + int(diff[0])
-            at += CONTEXT
-        return n
-    left = run(a[:s][::-1], b[:ks][::-1])
-    right = run(a[e:], b[ke:])
-    return s - left, e + right, ks - left, ke + right
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """Words at the start of both that are equal."""
+    n, at = min(len(x), len(y)), 0
+    while at < n:
+        diff = np.flatnonzero(x[at:min(n, at + CONTEXT)] != y[at:min(n, at + CONTEXT)])
+        if len(diff):
+            return at + int(diff[0])
+        at += CONTEXT
+    return n
+
+
+def _walk(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int, int, int, int]]:
+    """Equal runs (s, e, ks, ke) from (x, y) on, each a shingle or longer and
+    at most REACH words past the run before."""
+    out = []
+    while min(len(a) - x, len(b) - y) >= SHINGLE:
+        at, to = np.nonzero(shingles(a[x:x + REACH + SHINGLE], SHINGLE)[:, None] == shingles(b[y:y + REACH + SHINGLE], SHINGLE))
+        if not len(at):
+            break
+        near = int((at + to).argmin())
+        x, y = x + int(at[near]), y + int(to[near])
+        n = _equal(a[x:], b[y:])
+        out.append((x, x + n, y, y + n))
+        x, y = x + n, y + n
+    return out
+
+
+def _aligned(wa: np.ndarray, wb: np.ndarray, spans) -> list[list[tuple[int, int, int, int]]]:
+    """Chains of equal runs in the order of both texts: the runs on the spans'
+    diagonals and those that lie between and around them past edits."""
+    runs = set()
+    for s, e, ks, ke in spans:
+        left, right = _equal(wa[:s][::-1], wb[:ks][::-1]), _equal(wa[e:], wb[ke:])
+        s, e, ks, ke = s - left, e + right, ks - left, ke + right
+        same = np.concatenate([[False], wa[s:e] == wb[ks:ke], [False]]).astype(np.int8)
+        for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
+            if hi - lo >= SHINGLE:
+                runs.add((s + lo, s + hi, ks + lo, ks + hi))
+    chains, recent = [], []
+    for s, e, ks, ke in sorted(runs):
+        recent = [c for c in recent if s - c[-1][1] <= GAP]
+        best = None
+        for c in recent:
+            shift = abs((s - ks) - (c[-1][0] - c[-1][2]))
+            cut = max(c[-1][1] - s, c[-1][3] - ks, 0)
+            if shift <= REACH and e - s - cut >= SHINGLE and (best is None or shift < best[0]):
+                best = shift, cut, c
+        if best:
+            best[2].append((s + best[1], e, ks + best[1], ke))
+        else:
+            chains.append([(s, e, ks, ke)])
+            recent.append(chains[-1])
+    out = []
+    for c in chains:
+        full, x, y = [], 0, 0
+        for n, (s, e, ks, ke) in enumerate(c):
+            if n:
+                full += _walk(wa[:s], wb[:ks], x, y)
+                x, y = full[-1][1], full[-1][3]
+            back = _walk(wa[x:s][::-1], wb[y:ks][::-1], 0, 0)
+            full += [(s - j, s - i, ks - v, ks - u) for i, j, u, v in back[::-1]] + [(s, e, ks, ke)]
+            x, y = e, ke
+        out.append(full + _walk(wa, wb, x, y))
+    return out
+
+
+def _maximal(chain, overlap: float) -> list[tuple[int, int, int, int]]:
+    """The longest spans from run to run of a chain whose shingles on the runs
+    are ``overlap`` of all, none inside another."""
+    s, e, ks, ke = np.array(chain, dtype=np.int64).T
+    held = np.concatenate([[0], np.cumsum(e - s - SHINGLE + 1)]) * (1 + overlap)
+    gain = held[1:] - overlap * (e + ke)  # last - first >= 0: the span from first to last holds
+    need = held[:-1] - overlap * (s + ks + 2 * (SHINGLE - 1)) - 1e-9
+    best = np.maximum.accumulate(gain[::-1])  # ascending
+    last = len(s) - 1 - np.searchsorted(best, need)
+    out, far = [], -1
+    for i, j in enumerate(last.tolist()):
+        if j > far:
+            out.append((int(s[i]), int(e[j]), int(ks[i]), int(ke[j])))
+            far = j
+    return out
+
+
+def _share(wa, wb, s: int, e: int, ks: int, ke: int) -> float:
+    p, q = np.unique(shingles(wa[s:e], SHINGLE)), np.unique(shingles(wb[ks:ke], SHINGLE))
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / (len(p) + len(q) - both)
+
+
+def _with_ends(wa, wb, span, min_words: int) -> list[tuple[int, int, int, int]]:
+    """A span under ``min_words`` words with the few equal words that stand
+    behind an edit at its ends (too few for a shingle), where that suffices."""
+    s, e, ks, ke = span
+    if e - s < min_words - 2 * END:
+        return []
+    steps = [(i, j) for i in range(1, END + 1) for j in (i, i - 1, i + 1)]
+    left = [(0, 0)] + [(i, j) for i, j in steps if 0 < j <= ks and i <= s and wa[s - i] == wb[ks - j]]
+    right = [(0, 0)] + [(i, j) for i, j in steps if j and e + i <= len(wa) and ke + j <= len(wb) and wa[e + i - 1] == wb[ke + j - 1]]
+    longer = [(s - i, e + x, ks - j, ke + y) for i, j in left for x, y in right if e - s + i + x >= min_words]
+    return sorted(longer, key=lambda r: -_share(wa, wb, *r))[:1]
 
 
 def _inner(s: int, e: int, n: int, min_words: int) -> tuple[int, int]:
@@ -123,22 +213,29 @@ def _inner(s: int, e: int, n: int, min_words: int) -> tuple[int, int]:
 
 
 def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) -> list[tuple]:
-    """Result rows of the spans of one pair that hold."""
-    out = []
-    for s, e, ks, ke in spans:
-        p, q = np.unique(shingles(wa[s:e], SHINGLE)), np.unique(shingles(wb[ks:ke], SHINGLE))
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        share = both / (len(p) + len(q) - both)
+    """Result rows of the passages of one pair that hold."""
+    out = set()
+
+    def add(s, e, ks, ke):
+        share = _share(wa, wb, s, e, ks, ke)
         if share >= overlap:
             equal = e - s == ke - ks and bool((wa[s:e] == wb[ks:ke]).all())
-            out.append((a, s, e, b, ks, share) + (_inner(s, e, len(wa), min_words) if equal else (None, None)))
+            out.add((a, s, e, b, ks, share) + (_inner(s, e, len(wa), min_words) if equal else (None, None)))
+        return share >= overlap
+
+    for chain in _aligned(wa, wb, spans):
+        whole = (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3])
+        if whole[1] - whole[0] >= min_words and add(*whole):
             continue
-        n = min(e - s, ke - ks)  # else the equal runs on the span's diagonal
-        same = np.concatenate([[False], wa[s:s + n] == wb[ks:ks + n], [False]]).astype(np.int8)
-        for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
-            if hi - lo >= min_words:
-                out.append((a, s + lo, s + hi, b, ks + lo, 1.0) + _inner(s + lo, s + hi, len(wa), min_words))
-    return out
+        for span in _maximal(chain, overlap):
+            if span[1] - span[0] < min_words:
+                for longer in _with_ends(wa, wb, span, min_words):
+                    add(*longer)
+            elif span == whole or not add(*span):  # shingles that repeat: else the equal runs
+                for s, e, ks, ke in chain:
+                    if e - s >= min_words and span[0] <= s and e <= span[1]:
+                        add(s, e, ks, ke)
+    return list(out)
 
 
 def _verifier(min_words: int, overlap: float):
@@ -147,8 +244,8 @@ def _verifier(min_words: int, overlap: float):
             out = []
             for a, b, spans, x, y in zip(*(batch.column(c) for c in ("id", "kid", "spans", "wa", "wb"))):
                 wa, wb = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                grown = {grow(wa, wb, r["s"], r["e"], r["ks"], r["ke"]) for r in spans.as_py()}
-                out += _verified(a.as_py(), b.as_py(), wa, wb, [g for g in grown if g[1] - g[0] >= min_words], min_words, overlap)
+                parts = {(r["s"], r["e"], r["ks"], r["ke"]) for r in spans.as_py()}
+                out += _verified(a.as_py(), b.as_py(), wa, wb, parts, min_words, overlap)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2)],
                 names=["doc_id", "start_word", "end_word", "keep_doc_id", "keep_start_word", "similarity", "inner_from", "inner_to"])

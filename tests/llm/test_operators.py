@@ -201,6 +201,46 @@ def test_passages_catch_repeats_and_leave_clean_documents(spark, docs_of):
     assert repeated_passages(docs_of([])).count() == 0
 
 
+def test_edited_passages_at_every_place(docs_of):
+    from riskflow.llm.passages import repeated_passages
+
+    fresh = itertools.count()
+    text = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, want = [], {}
+    for n in (51, 55, 60, 70):
+        for at in range(1, n - 1):
+            for kind in ("substitute", "insert", "delete"):
+                base, edited = text(n), []
+                edited = base[:at] + ([] if kind == "delete" else text(1)) + base[at + (kind != "insert"):]
+                a, b = shingle_set(" ".join(base), 5), shingle_set(" ".join(edited), 5)
+                if len(edited) > 50 and len(a & b) / len(a | b) >= 0.8:
+                    i = 2 * len(rows)
+                    rows += [(i, " ".join(text(at) + base + text(9))), (i + 1, " ".join(text(30) + edited + text(n - at)))]
+                    want[i + 1] = (i, n, at, kind)
+    got = {r.doc_id: r.keep_doc_id for r in repeated_passages(docs_of(rows)).collect()}
+    assert [w for d, w in want.items() if got.get(d) != w[0]] == [] and len(got) == len(want) > 400
+
+
+def test_neighbouring_edited_passages(docs_of):
+    from riskflow.llm.passages import repeated_passages
+
+    fresh = itertools.count()
+    text = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    rows, want = [], {}
+    for gap in (8, 12, 20, 25, 40):
+        for first, second in ((40, 40), (20, 60), (66, 9), (9, 66)):
+            one, two = text(80), text(80)
+            i, kept = 2 * len(rows), one + text(gap) + two
+            one[first], two[second] = text(2)
+            rows += [(i, " ".join(text(5) + kept + text(5))), (i + 1, " ".join(text(11) + one + text(gap) + two + text(4)))]
+            want[i + 1] = [(11, 91), (91 + gap, 171 + gap)]
+    got = {}
+    for r in repeated_passages(docs_of(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert got.keys() == want.keys()
+    assert all(any(s <= a and b <= e for s, e in got[d]) for d, spans in want.items() for a, b in spans)
+
+
 def test_line_dedup_brute_force(docs_of):
     from riskflow.llm.lines import dedup_lines, within_one_edit
 
