@@ -3,9 +3,10 @@ with block-max WAND by every training passage.
 
 Index: items are the documents of BM25 (k1, b as parameters, idf over the
 items); postings by item number, cut into blocks that keep their largest
-impact.  Query: a passage, i.e. a window of the training text's distinct words;
-windows overlap by at least the longest item, so a leaked item lies whole in one
-of them.  A passage retrieves all items whose score reaches the item's score
+impact.  Query: a passage, i.e. the training text's distinct words, since
+verification takes an item's shingles over the whole text: question and answer
+may stand any distance apart, and what is found does not depend on the shards.
+A passage retrieves all items whose score reaches the item's score
 against itself less the most that verification forgives: a passage that lost w
 distinct words of an item lost w or more of its shingles (k - 1 fewer if the
 item repeats a shingle), so an item that verifies misses at most the words of
@@ -115,22 +116,15 @@ class Bm25Index:
                         cursor[t] = c
         return out
 
-    def search(self, w: Words, min_window: int) -> list[tuple[int, int]]:
-        """(text of the run, item) pairs that some passage retrieves."""
+    def search(self, w: Words) -> list[tuple[int, int]]:
+        """(text of the run, item) pairs that the texts retrieve."""
         pos, term = self.find.find(w.hash)
         if not len(pos):
             return []
-        stride = max(min_window // 2, self.longest)  # a window is two strides
-        place = pos - w.first[w.doc[pos]]
-        # windows of two strides, one stride apart: a word is in the window that starts in its stride and the one before
-        win = place // stride
-        per_doc = -(-np.diff(w.first) // stride) + 1
-        base = np.cumsum(per_doc) - per_doc
-        slot = np.concatenate([base[w.doc[pos]] + win, base[w.doc[pos]] + np.maximum(win - 1, 0)])
-        key = np.unique(slot * len(self.vocab) + np.concatenate([term, term]))
+        key = np.unique(w.doc[pos] * len(self.vocab) + term)
         slot, term = key // len(self.vocab), key % len(self.vocab)
         cut = np.flatnonzero(np.diff(slot, prepend=-1))
-        doc = np.searchsorted(base, slot[cut], "right") - 1
+        doc = slot[cut]
         size = np.diff(cut, append=len(slot))
         out = set()
         for lo in range(0, len(cut), 4096):
@@ -163,7 +157,7 @@ def _shards(bench: DataFrame, id_col: str, text_col: str, items: int, chars: int
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-               item_text: str = "text", *, overlap: float = 0.8, k: int = 5, window: int = 0,
+               item_text: str = "text", *, overlap: float = 0.8, k: int = 5,
                shard_items: int = 2000, shard_chars: int = 4_000_000) -> DataFrame:
     """(id, item_id, overlap, question_overlap, answer_overlap) of every text and
     item with ``overlap`` or more of the item's k-word shingles in the text."""
@@ -182,7 +176,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_c
                 for lo, hi in slices(off):
                     w = Words(data, off[lo:hi + 1], ALNUM_WORDS)
                     last, text = -1, None
-                    for d, j in index.search(w, window):
+                    for d, j in index.search(w):
                         if d != last:
                             h = w.hash[w.first[d]:w.first[d + 1]]
                             last, text = d, {n: np.unique(shingles(h, n)) for n in range(1, k + 1)}  # by width

@@ -156,6 +156,19 @@ def test_decontamination_brute_force(spark, docs_of):
     assert find_leaks(docs_of(rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_whose_parts_stand_apart(spark, docs_of):
+    from riskflow.llm.decontaminate import find_leaks
+
+    item = lambda n, name: [f"{name}{i}" for i in range(n)]
+    q, a, long = item(20, "q"), item(13, "a"), item(59, "z")
+    bench = spark.createDataFrame([(1, " ".join(q) + "\n" + " ".join(a)), (2, " ".join(long))], "item_id long, text string")
+    rows = [(gap, " ".join(q + item(gap, "x") + a)) for gap in (0, 90, 200, 900)]
+    rows += [(1000 + at, " ".join(item(at, "y") + long[:30] + item(40, "x") + long[30:])) for at in range(0, 120, 7)]
+    want = {(d, 1 if d < 1000 else 2) for d, _ in rows}
+    for shard_items in (1, 2):
+        assert {(r.doc_id, r.item_id) for r in find_leaks(docs_of(rows), bench, shard_items=shard_items).collect()} == want
+
+
 def test_pieces_equal_the_model_and_decode(spark, docs_of):
     import sentencepiece
 
