@@ -116,16 +116,16 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _walk(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int, int, int, int]]:
-    """Equal runs (s, e, ks, ke) from (x, y) on, each a shingle or longer and
-    at most REACH words past the run before."""
+    """Equal runs (s, e, ks, ke) in words from (x, y) on, each a shingle or longer
+    and at most REACH words past the run before; ``a``, ``b`` are shingles."""
     out = []
-    while min(len(a) - x, len(b) - y) >= SHINGLE:
-        at, to = np.nonzero(shingles(a[x:x + REACH + SHINGLE], SHINGLE)[:, None] == shingles(b[y:y + REACH + SHINGLE], SHINGLE))
+    while x < len(a) and y < len(b):
+        at, to = np.nonzero(a[x:x + REACH + 1, None] == b[y:y + REACH + 1])
         if not len(at):
             break
         near = int((at + to).argmin())
         x, y = x + int(at[near]), y + int(to[near])
-        n = _equal(a[x:], b[y:])
+        n = _equal(a[x:], b[y:]) + SHINGLE - 1
         out.append((x, x + n, y, y + n))
         x, y = x + n, y + n
     return out
@@ -134,10 +134,13 @@ def _walk(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int, int,
 def _aligned(wa: np.ndarray, wb: np.ndarray, spans) -> list[list[tuple[int, int, int, int]]]:
     """Chains of equal runs in the order of both texts: the runs on the spans'
     diagonals and those that lie between and around them past edits."""
-    runs = set()
-    for s, e, ks, ke in spans:
+    runs, done = set(), {}
+    for s, e, ks, ke in sorted(spans):
+        if e <= done.get(ks - s, 0):
+            continue
         left, right = _equal(wa[:s][::-1], wb[:ks][::-1]), _equal(wa[e:], wb[ke:])
         s, e, ks, ke = s - left, e + right, ks - left, ke + right
+        done[ks - s] = e
         same = np.concatenate([[False], wa[s:e] == wb[ks:ke], [False]]).astype(np.int8)
         for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
             if hi - lo >= SHINGLE:
@@ -157,16 +160,17 @@ def _aligned(wa: np.ndarray, wb: np.ndarray, spans) -> list[list[tuple[int, int,
             chains.append([(s, e, ks, ke)])
             recent.append(chains[-1])
     out = []
+    sa, sb, edge = shingles(wa, SHINGLE), shingles(wb, SHINGLE), SHINGLE - 1
     for c in chains:
         full, x, y = [], 0, 0
         for n, (s, e, ks, ke) in enumerate(c):
             if n:
-                full += _walk(wa[:s], wb[:ks], x, y)
+                full += _walk(sa[:s - edge], sb[:ks - edge], x, y)
                 x, y = full[-1][1], full[-1][3]
-            back = _walk(wa[x:s][::-1], wb[y:ks][::-1], 0, 0)
+            back = _walk(sa[x:max(x, s - edge)][::-1], sb[y:max(y, ks - edge)][::-1], 0, 0)
             full += [(s - j, s - i, ks - v, ks - u) for i, j, u, v in back[::-1]] + [(s, e, ks, ke)]
             x, y = e, ke
-        out.append(full + _walk(wa, wb, x, y))
+        out.append(full + _walk(sa, sb, x, y))
     return out
 
 
@@ -193,17 +197,25 @@ def _share(wa, wb, s: int, e: int, ks: int, ke: int) -> float:
     return both / (len(p) + len(q) - both)
 
 
+def _ends(a: np.ndarray, b: np.ndarray, i: int = 0, j: int = 0) -> list[tuple[int, int]]:
+    """Words of both texts up to the equal words behind one-word edits."""
+    out = [(i, j)]
+    for x, y in ((i + 1, j + 1), (i, j + 1), (i + 1, j)):
+        n = _equal(a[x:END], b[y:END])
+        if n:
+            out += _ends(a, b, x + n, y + n)
+    return out
+
+
 def _with_ends(wa, wb, span, min_words: int) -> list[tuple[int, int, int, int]]:
     """A span under ``min_words`` words with the few equal words that stand
     behind an edit at its ends (too few for a shingle), where that suffices."""
     s, e, ks, ke = span
     if e - s < min_words - 2 * END:
         return []
-    steps = [(i, j) for i in range(1, END + 1) for j in (i, i - 1, i + 1)]
-    left = [(0, 0)] + [(i, j) for i, j in steps if 0 < j <= ks and i <= s and wa[s - i] == wb[ks - j]]
-    right = [(0, 0)] + [(i, j) for i, j in steps if j and e + i <= len(wa) and ke + j <= len(wb) and wa[e + i - 1] == wb[ke + j - 1]]
+    left, right = _ends(wa[max(0, s - END):s][::-1], wb[max(0, ks - END):ks][::-1]), _ends(wa[e:e + END], wb[ke:ke + END])
     longer = [(s - i, e + x, ks - j, ke + y) for i, j in left for x, y in right if e - s + i + x >= min_words]
-    return sorted(longer, key=lambda r: -_share(wa, wb, *r))[:1]
+    return sorted(longer, key=lambda r: (-_share(wa, wb, *r), r))[:1]
 
 
 def _inner(s: int, e: int, n: int, min_words: int) -> tuple[int, int]:
