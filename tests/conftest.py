@@ -6,9 +6,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,10 +22,3 @@ def spark():
 def txn_schema():
     return ("txn_id long, card long, channel string, amount double, t long, addr int, "
             "p_email string, r_email string, is_fraud int, score double, D1 long")
-
-
-def make_txn(spark, rows, schema):
-    """rows: dicts with any subset of the transaction columns."""
-    cols = [c.split()[0] for c in schema.split(", ")]
-    full = [tuple(r.get(c) for c in cols) for r in rows]
-    return spark.createDataFrame(full, schema)

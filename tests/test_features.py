@@ -3,7 +3,7 @@ window properties."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF01, make_txn
+from paths import SF01, make_txn
 from riskflow import bindings as B
 from riskflow.functions.bands import decision, recommendation, risk_band
 from riskflow.functions.features import email_features, time_features

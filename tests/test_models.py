@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from riskflow import bindings as B
 from riskflow.operators import evaluate as EV
 from riskflow.operators import models as M

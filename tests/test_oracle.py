@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from conftest import SF001
+from paths import SF001
 import __spark_entry__ as E
 from riskflow.bindings import TABLES
 

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from paths import SF01
 from riskflow import bindings as B
 from riskflow.operators import sampling as S
 

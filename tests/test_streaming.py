@@ -3,7 +3,7 @@ the batch windows; late rows are routed aside; duplicates dropped."""
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskflow import bindings as B
 from riskflow.operators.windows import prior_profile, velocity
 from riskflow.streaming import features as SF
