@@ -1,19 +1,16 @@
 """Analytics aggregates (AG-2..7, AG-11..16, AG-20/21, AG-25, AG-28/29).
 
 The reference computes about twenty rates with one pandas filter each, and
-fifty threshold scans; here each report is ONE aggregate pass: conditional
-sums (``sum(when(...))``) and percentiles side by side in a single
-``HashAggregate`` / ``ObjectHashAggregate`` with partial (map-side) merge, so
-the scan happens once and a hot group is merged from partial buffers.
+fifty threshold scans; here each report is ONE aggregate pass of conditional sums (``sum(when(...))``) with
+partial (map-side) merge; its quantiles share one distributed rank selection
+(``operators.quantiles``), so no task holds a group's values.
 
 Semantics kept from the reference:
 * rates are ``num / den`` with 0 when the denominator is 0;
 * quantiles interpolate linearly over non-null values and are 0 when empty
-  (S9: ``percentile`` = DuckDB ``quantile_cont``);
+  (S9: as DuckDB ``quantile_cont``);
 * ``flag != 1`` puts nulls on the "not" side (S8: ``~eqNullSafe(1)``);
 * grouping keys drop nulls (S7).
-``exact=False`` swaps ``percentile`` for ``approx_percentile`` (bounded memory
-per group; not interpolated, so not comparable with the exact oracle).
 """
 
 from __future__ import annotations
@@ -21,12 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def pct(c, q: float, exact: bool = True) -> Column:
-    """Quantile of non-null values, 0.0 when there are none."""
-    c = F.col(c) if isinstance(c, str) else c
-    p = F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000)
-    return F.coalesce(p.cast("double"), F.lit(0.0))
+from riskflow.operators.quantiles import quantile_values, with_quantiles
+from riskflow.session import materialize
 
 
 def safe_mean(c) -> Column:
@@ -41,28 +34,36 @@ def rate(cond: Column, label: str = "is_fraud") -> Column:
     return F.coalesce(num / F.nullif(den, F.lit(0)), F.lit(0.0)).cast("double")
 
 
-def rule_aggregates(df: DataFrame, label: str = "is_fraud", exact: bool = True,
-                    prefix: str = "card") -> DataFrame:
-    """AG-2..AG-7: the aggregate record behind rule generation, one row, one pass."""
+def _rule_quantiles(label: str, prefix: str) -> list[tuple[Column, dict[str, float]]]:
+    """The quantiles of AG-3 (velocity), AG-6 (identity hopping) and AG-7 (amounts)."""
+    y = F.col(label)
+    out = [(F.col(f"{prefix}_txn_count_{w}"), {f"velocity_{w}_p50": 0.5, f"velocity_{w}_p95": 0.95})
+           for w in ("1h", "24h", "7d")]
+    out.append((F.col("amount"), {"amount_p50": 0.5, "amount_p95": 0.95, "amount_p99": 0.99}))
+    for name, cls in (("fraud", y == 1), ("legit", ~(y == 1))):
+        for what in ("addr", "products"):
+            out.append((F.when(cls, F.col(f"{prefix}_distinct_{what}")), {f"{name}_card_distinct_{what}_p95": 0.95}))
+        for what, column in (("zscore", f"{prefix}_amt_zscore"), ("sum_24h", f"{prefix}_amt_sum_24h")):
+            out.append((F.when(cls, F.col(column)), {f"amount_{what}_{name}_p95": 0.95}))
+    return out
+
+
+def rule_aggregates(df: DataFrame, label: str = "is_fraud", prefix: str = "card") -> DataFrame:
+    """AG-2..AG-7: the aggregate record behind rule generation, one row.  The
+    columns it reads are written once, then summed in one pass and ranked in one."""
     y = F.col(label)
     fraud, legit = y == 1, ~(y == 1)
-
-    def by_class(col: str, q: float, cls: Column) -> Column:
-        return pct(F.when(cls, F.col(col)), q, exact)
-
     d1 = F.col("D1")
-    return df.agg(
+    reads = [label, "t", "amount", "D1", "p_email_is_highrisk", "emails_match", "p_email_isnull", "is_night",
+             *[f"{prefix}_{c}" for c in ("txn_count_1h", "txn_count_24h", "txn_count_7d", "distinct_addr",
+                                         "distinct_products", "amt_zscore", "amt_sum_24h")]]
+    df = materialize(df.select(*reads), "rule-aggregates")
+    q = quantile_values(df, _rule_quantiles(label, prefix))
+    sums = df.agg(
         F.count(F.lit(1)).alias("n_transactions"),
         F.coalesce(F.sum(F.when(fraud, 1)), F.lit(0)).cast("long").alias("n_fraud"),
         F.coalesce(F.avg(F.when(fraud, 1.0).otherwise(0.0)), F.lit(0.0)).alias("fraud_rate"),
         F.min("t").alias("date_min"), F.max("t").alias("date_max"),
-        # AG-3 velocity
-        pct(f"{prefix}_txn_count_1h", 0.5, exact).alias("velocity_1h_p50"),
-        pct(f"{prefix}_txn_count_1h", 0.95, exact).alias("velocity_1h_p95"),
-        pct(f"{prefix}_txn_count_24h", 0.5, exact).alias("velocity_24h_p50"),
-        pct(f"{prefix}_txn_count_24h", 0.95, exact).alias("velocity_24h_p95"),
-        pct(f"{prefix}_txn_count_7d", 0.5, exact).alias("velocity_7d_p50"),
-        pct(f"{prefix}_txn_count_7d", 0.95, exact).alias("velocity_7d_p95"),
         safe_mean(F.when(fraud, F.col(f"{prefix}_txn_count_24h"))).alias("velocity_24h_fraud_mean"),
         safe_mean(F.when(legit, F.col(f"{prefix}_txn_count_24h"))).alias("velocity_24h_legit_mean"),
         # AG-4 conditional rates
@@ -73,21 +74,8 @@ def rule_aggregates(df: DataFrame, label: str = "is_fraud", exact: bool = True,
         rate(d1 == 0, label).alias("d1_zero_fraud_rate"),
         rate(d1.isNotNull() & (d1 != 0), label).alias("d1_nonzero_fraud_rate"),
         rate(F.col("is_night") == 1, label).alias("night_fraud_rate"),
-        rate(~F.col("is_night").eqNullSafe(1), label).alias("day_fraud_rate"),
-        # AG-6 identity hopping
-        by_class(f"{prefix}_distinct_addr", 0.95, fraud).alias("fraud_card_distinct_addr_p95"),
-        by_class(f"{prefix}_distinct_addr", 0.95, legit).alias("legit_card_distinct_addr_p95"),
-        by_class(f"{prefix}_distinct_products", 0.95, fraud).alias("fraud_card_distinct_products_p95"),
-        by_class(f"{prefix}_distinct_products", 0.95, legit).alias("legit_card_distinct_products_p95"),
-        # AG-7 amounts
-        pct("amount", 0.5, exact).alias("amount_p50"),
-        pct("amount", 0.95, exact).alias("amount_p95"),
-        pct("amount", 0.99, exact).alias("amount_p99"),
-        by_class(f"{prefix}_amt_zscore", 0.95, fraud).alias("amount_zscore_fraud_p95"),
-        by_class(f"{prefix}_amt_zscore", 0.95, legit).alias("amount_zscore_legit_p95"),
-        by_class(f"{prefix}_amt_sum_24h", 0.95, fraud).alias("amount_sum_24h_fraud_p95"),
-        by_class(f"{prefix}_amt_sum_24h", 0.95, legit).alias("amount_sum_24h_legit_p95"),
-    )
+        rate(~F.col("is_night").eqNullSafe(1), label).alias("day_fraud_rate"))
+    return sums.select("*", *[F.lit(float(v or 0.0)).alias(name) for name, v in q.items()])
 
 
 def top_groups(df: DataFrame, key: str, min_n: int = 1, k: int = 5,
@@ -192,10 +180,14 @@ def distribution_stats(df: DataFrame, col: str, group: str | None = None,
     """AG-21: n, min, max, mean, median, population std and percentiles."""
     c = F.col(col)
     aggs = [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
-            F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"),
-            F.stddev_pop(c).alias("std")]
-    aggs += [F.percentile(c, q).alias(f"p{int(round(q * 100)):02d}") for q in qs]
-    return df.groupBy(group).agg(*aggs) if group else df.agg(*aggs)
+            F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")]
+    specs = [(c, {"median": 0.5} | {f"p{int(round(q * 100)):02d}": q for q in qs})]
+    if group:
+        df = materialize(df.select(group, col), "distribution")
+        return with_quantiles(df.groupBy(group).agg(*aggs), df, specs, [group])
+    df = materialize(df.select(col), "distribution")
+    values = quantile_values(df, specs)
+    return df.agg(*aggs).select("*", *[F.lit(v).cast("double").alias(k) for k, v in values.items()])
 
 
 def class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:

@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
+
 
 def confusion(df: DataFrame, threshold: float = 0.6, score: str = "score",
               label: str = "is_fraud") -> DataFrame:
@@ -145,7 +147,7 @@ def recall_at_fpr_at_most(df: DataFrame, target: float, score: str = "score",
 def recall_at_legit_quantile(df: DataFrame, err: str, label: str = "is_fraud",
                              q: float = 0.95) -> DataFrame:
     """ML-12: threshold = ``q`` quantile of the legit errors; share of fraud rows above it."""
-    thr = df.select(F.percentile(F.when(F.col(label) == 0, F.col(err)), q)).scalar()
+    thr = F.lit(quantile_values(df, [(F.when(F.col(label) == 0, F.col(err)), {"q": q})])["q"]).cast("double")
     return df.agg(thr.alias("threshold"),
                   F.coalesce(F.avg(F.when(F.col(label) == 1,
                                           (F.col(err) > thr).cast("double"))), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 Fitting is distributed where the data is: the covariance behind the PCA is
 Spark ML's (a tree aggregate of outer products), the mean is a ``Summarizer``
-aggregate, thresholds are ``percentile`` aggregates and the k-NN distances
+aggregate, thresholds are exact quantiles and the k-NN distances
 come from the blocked cosine search.  Only the d x d eigen-decomposition
 (d = 64..768) and the fitted matrices live on the driver - a bounded model,
 shipped to tasks with the pandas UDF that applies it.
@@ -20,6 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
 from riskflow.operators.vectors import knn_distance
 
 # Fixed values that must equal the reference's defaults.
@@ -133,15 +134,13 @@ def fit_gate(id_df: DataFrame, ood_ref: DataFrame | None = None, vec: str = "emb
     det = Detector(mean=mean, components=chosen, n_components=len(chosen), method=method,
                    k_neighbors=k, t_stats=ts)
     err = id_df.select(error_udf(mean, chosen)(F.col(vec)).alias("e"))
-    q = err.agg(F.percentile("e", OOD_PERCENTILE / 100).alias("t"),
-                F.percentile("e", BORDERLINE_PERCENTILE / 100).alias("b"),
-                F.percentile("e", 0.5).alias("m")).first()
+    edges = {"t": OOD_PERCENTILE / 100, "b": BORDERLINE_PERCENTILE / 100}
+    q = quantile_values(err, [("e", edges | {"m": 0.5})])
     det.pca_threshold, det.pca_borderline, det.id_pca_p50 = q["t"], q["b"], q["m"]
     n_id = id_df.count()
     kk = min(k, n_id - 1)
     knn = knn_distance(id_df, id_df, kk, exclude_self=True, q_id=id_col, p_id=id_col, **knn_kw)
-    q2 = knn.agg(F.percentile("knn_distance", OOD_PERCENTILE / 100).alias("t"),
-                 F.percentile("knn_distance", BORDERLINE_PERCENTILE / 100).alias("b")).first()
+    q2 = quantile_values(knn, [("knn_distance", edges)])
     det.knn_threshold, det.knn_borderline = q2["t"], q2["b"]
     return det
 

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import with_quantiles
+from riskflow.session import materialize
+
 
 def card_profile(df: DataFrame, key: str = "card", amount: str = "amount",
                  id_col: str = "txn_id", product: str = "channel", addr: str = "addr",
@@ -63,13 +66,10 @@ def attach_card_stats(df: DataFrame, key: str = "card", amount: str = "amount",
 def merchant_profile(df: DataFrame, product: str = "channel", amount: str = "amount",
                      label: str = "is_fraud") -> DataFrame:
     """AG-8: per product count, fraud rate, mean, median and p95 amount."""
-    return df.filter(F.col(product).isNotNull()).groupBy(product).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(label).alias("fraud_rate"),
-        F.avg(amount).alias("amt_mean"),
-        F.percentile(amount, 0.5).alias("amt_median"),
-        F.percentile(amount, 0.95).alias("amt_p95"),
-    )
+    df = materialize(df.filter(F.col(product).isNotNull()).select(product, amount, label), "merchant-profile")
+    sums = df.groupBy(product).agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("fraud_rate"),
+                                   F.avg(amount).alias("amt_mean"))
+    return with_quantiles(sums, df, [(amount, {"amt_median": 0.5, "amt_p95": 0.95})], [product])
 
 
 def card_summary(df: DataFrame, key: str = "card", limit: int = 20, recent: int = 5,

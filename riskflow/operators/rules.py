@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
+
 # Fixed values that must equal the reference's severity guidance:
 # block when catch rate > 30% and FPR < 1%.
 BLOCK_MIN_CATCH, BLOCK_MAX_FPR = 0.30, 0.01
@@ -83,13 +85,12 @@ def candidate_rules(features: DataFrame, label: str = "is_fraud",
     (a bounded list: features x quantiles)."""
     y = F.col(label)
     cols = [c for fam in NUMERIC_FAMILIES.values() for c in fam]
-    row = features.agg(*[F.percentile(F.when(y == 1, F.col(c)), list(quantiles)).alias(c)
-                         for c in cols]).first()
+    at = quantile_values(features, [(F.when(y == 1, F.col(c)), {f"{c} {q}": q for q in quantiles}) for c in cols])
     rules = []
     for fam, fcols in NUMERIC_FAMILIES.items():
         for c in fcols:
             seen = set()
-            for q, thr in zip(quantiles, row[c] or []):
+            for q, thr in ((q, at[f"{c} {q}"]) for q in quantiles):
                 if thr is None or thr in seen:
                     continue
                 seen.add(thr)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
+
 DEFAULT_SEED = 42
 _BUCKET_HEX = 4  # 16 bits
 
@@ -92,8 +94,8 @@ def stratified_split(df: DataFrame, test_frac: float = 0.2, label: str = "is_fra
 
 def time_split(df: DataFrame, test_frac: float = 0.2, t: str = "t") -> DataFrame:
     """ST-5 / S15: the latest ``test_frac`` of the time range is ``test``
-    (cut at the exact quantile of t, a scalar subquery)."""
-    cut = df.select(F.percentile(t, 1 - test_frac)).scalar()
+    (cut at the exact quantile of t)."""
+    cut = F.lit(quantile_values(df, [(t, {"cut": 1 - test_frac})])["cut"]).cast("double")
     return df.withColumn("split", F.when(F.col(t) >= cut, "test").otherwise("train"))
 
 

@@ -23,6 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
 from riskflow.operators.sampling import time_split
 from riskflow.operators.windows import rolling_lists
 
@@ -108,7 +109,7 @@ def fit_sequence_model(feats: DataFrame, label: str = "is_fraud", rank: int = 8,
     comps = pca.pc.toArray().T
     udf = error_udf(mean_vec, comps, n, len(features))
     hold = win.filter((F.col("split") == "test") & (F.col(label) == 0))
-    thr = hold.select(udf("window")["err"].alias("e")).agg(F.percentile("e", 0.95)).first()[0]
+    thr = quantile_values(hold.select(udf("window")["err"].alias("e")), [("e", {"p95": 0.95})])["p95"]
     model = SequenceModel(list(features), n, means, stds, mean_vec, comps, float(thr or 0.0))
     return model, win
 

@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import quantile_values
+from riskflow.session import materialize
+
 # Fixed values that must equal the reference's defaults: similarity floor and
 # display range of the rescale, band edges, over-fetch rule.
 DEFAULT_MIN_COS = 0.50
@@ -131,10 +134,9 @@ def knn_distance(queries: DataFrame, library: DataFrame, k: int = 5, exclude_sel
 def calibrate_similarity(queries: DataFrame, library: DataFrame, k: int = 10, **kw) -> DataFrame:
     """RT-5: pool the top-``k`` cosines of in-domain probe queries; low = p10,
     high = p95, cutoff = p5 (plus the AG-21 summary of the pool)."""
-    hits = top_k_cosine(queries, library, k, **kw)
+    hits = materialize(top_k_cosine(queries, library, k, **kw).select("cos"), "calibration")
     c = F.col("cos")
+    at = quantile_values(hits, [(c, {"calibrated_low": 0.10, "calibrated_high": 0.95, "calibrated_threshold": 0.05})])
     return hits.agg(F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"),
                     F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"),
-                    F.percentile(c, 0.10).alias("calibrated_low"),
-                    F.percentile(c, 0.95).alias("calibrated_high"),
-                    F.percentile(c, 0.05).alias("calibrated_threshold"))
+                    *[F.lit(v).cast("double").alias(name) for name, v in at.items()])

@@ -11,8 +11,8 @@ makes that key one task.  The ``split_seconds`` forms partition by
 * RANGE frames (velocity): each row is also copied, as narrow context, into
   the ceil(W / split) following buckets, so every frame lies inside one
   (key, bucket) partition.
-* running aggregates (prior profile): additive partial sums per bucket are
-  cumulated over the (small) per-bucket table and added back as offsets.
+* running aggregates (prior profile): (n, mean, M2) per bucket are merged in
+  order over the (small) per-bucket table and merged with the row's own bucket.
 * gaps (time since last): the last time of the previous non-empty bucket comes
   from the same small per-bucket table.
 """
@@ -77,9 +77,9 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
                .filter(~F.col("_ctx")))
     # last time of the previous non-empty bucket, from a table of (key, bucket) rows
     per_bucket = df.groupBy(key, b.alias("_vb")).agg(F.max(t).alias("_bmax"))
-    prev = per_bucket.select(key, "_vb", F.lag("_bmax").over(
+    prev = per_bucket.select(F.col(key).alias("_pk"), F.col("_vb").alias("_pb"), F.lag("_bmax").over(
         Window.partitionBy(key).orderBy("_vb")).alias("_prev_t"))
-    out = out.join(prev, [key, "_vb"], "left")
+    out = out.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & (F.col("_vb") == F.col("_pb")), "left").drop("_pk", "_pb")
     since = F.coalesce(F.col("_gap"), F.col(t) - F.col("_prev_t"), F.lit(-1).cast("long"))
     return out.withColumn(since_name, since).drop("_vb", "_ctx", "_gap", "_prev_t")
 
@@ -98,9 +98,10 @@ def row_numbers(df: DataFrame, key: str, t: str = "t", id_col: str = "txn_id",
     w = Window.partitionBy(key, "_rb").orderBy(F.col(t), F.col(id_col))
     cnt = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select(key, "_rb", F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
-    return (x.withColumn("_in", F.row_number().over(w)).join(off, [key, "_rb"], "left")
-             .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_rb", "_in", "_off"))
+    off = cnt.select(F.col(key).alias("_ok"), F.col("_rb").alias("_ob"), F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
+    same = F.col(key).eqNullSafe(F.col("_ok")) & F.col("_rb").eqNullSafe(F.col("_ob"))
+    return (x.withColumn("_in", F.row_number().over(w)).join(off, same, "left")
+             .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_rb", "_in", "_off", "_ok", "_ob"))
 
 
 def velocity_sql(windows: dict | None = None, key: str = "card", t: str = "t",
@@ -126,10 +127,12 @@ def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str =
     distinct counts of the strictly earlier rows (order ``t, id``).
 
     No history: mean = own amount, std = 0, counts = 0.  Std is 0 for one
-    earlier row.  z-score is 0 when std is 0.  Distinct counts are running sums
-    of first-occurrence flags, so every piece is additive; with
-    ``split_seconds`` the running sums are computed per time bucket plus an
-    offset from earlier buckets, which keeps a hot key from being one task.
+    earlier row.  z-score is 0 when std is 0.  The deviation comes from (n,
+    mean, M2), which merges without cancellation: two parts have M2 = M2a + M2b +
+    (meanb - meana)^2 na nb / n.  Distinct counts are running sums of
+    first-occurrence flags; with ``split_seconds`` everything is computed per
+    time bucket and merged with what earlier buckets hold, which keeps a hot key
+    from being one task.  Rows with a null amount count but have no amount.
     """
     prefix = prefix or key
     cur = df
@@ -137,39 +140,50 @@ def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str =
     for c in distinct_cols:
         # first occurrence of (key, value): a partially aggregated min, joined back
         fo = f"_first_{c}"
-        first = df.groupBy(key, c).agg(F.min(F.struct(t, id_col)).alias("_fo"))
-        cur = (cur.join(first, [key, c], "left")
+        first = df.groupBy(F.col(key).alias("_fk"), F.col(c).alias("_fc")).agg(F.min(F.struct(t, id_col)).alias("_fo"))
+        cur = (cur.join(first.where("_fc is not null"), F.col(key).eqNullSafe(F.col("_fk")) & (F.col(c) == F.col("_fc")), "left")
+                  .drop("_fk", "_fc")
                   .withColumn(fo, F.when(F.struct(t, id_col) == F.col("_fo"), 1).otherwise(0))
                   .drop("_fo"))
         firsts.append((c, fo))
-    parts = {"_n": F.lit(1), "_s": F.col(amount), "_q": F.col(amount) * F.col(amount)}
+    # m: rows with an amount; s: their sum; v: their M2
+    parts = {"_n": F.lit(1), "_m": F.col(amount).isNotNull().cast("long"), "_s": F.col(amount).cast("double")}
     parts.update({fo: F.col(fo) for _, fo in firsts})
     for name, expr in parts.items():
         if name not in cur.columns:
             cur = cur.withColumn(name, expr)
-    if split_seconds is None:
-        w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col)).rowsBetween(
-            Window.unboundedPreceding, -1)
-        sums = {name: F.coalesce(F.sum(name).over(w), F.lit(0)) for name in parts}
-        cur = cur.select("*", *[v.alias(f"_cum{k}") for k, v in sums.items()])
-    else:
-        b = F.floor(F.col(t) / int(split_seconds))
-        cur = cur.withColumn("_pb", b)
-        w = Window.partitionBy(key, "_pb").orderBy(F.col(t), F.col(id_col)).rowsBetween(
-            Window.unboundedPreceding, -1)
-        per_bucket = cur.groupBy(key, "_pb").agg(*[F.sum(k).alias(f"_tot{k}") for k in parts])
-        wb = Window.partitionBy(key).orderBy("_pb").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_bucket.select(key, "_pb", *[
-            F.coalesce(F.sum(f"_tot{k}").over(wb), F.lit(0)).alias(f"_off{k}") for k in parts])
-        cur = cur.select("*", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(f"_in{k}")
-                                for k in parts])
-        cur = cur.join(offsets, [key, "_pb"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    earlier = Window.unboundedPreceding, -1
+    bucket = [key] if split_seconds is None else [key, "_pb"]
+    if split_seconds is not None:
+        cur = cur.withColumn("_pb", F.floor(F.col(t) / int(split_seconds)))
+    w = Window.partitionBy(*bucket).orderBy(F.col(t), F.col(id_col)).rowsBetween(*earlier)
+    cur = cur.select("*", *[zero(F.sum(k).over(w)).alias(f"_cum{k}") for k in parts],
+                     zero(F.var_pop("_s").over(w)).alias("_cum_var"))
+    cur = cur.withColumn("_cum_v", F.col("_cum_var") * F.col("_cum_m")).drop("_cum_var")
+
+    def merged_m2(va, na, sa, vb, nb, sb):
+        """M2 of two parts; an empty part adds nothing."""
+        apart = sb / F.nullif(nb, F.lit(0)) - sa / F.nullif(na, F.lit(0))
+        return va + vb + zero(apart * apart * na * nb / F.nullif(na + nb, F.lit(0)))
+
+    if split_seconds is not None:
+        per = cur.groupBy(*bucket).agg(*[zero(F.sum(k)).alias(f"_tot{k}") for k in parts],
+                                       zero(F.var_pop("_s") * F.sum("_m")).alias("_tot_v"))
+        wb = Window.partitionBy(key).orderBy("_pb").rowsBetween(*earlier)
+        per = per.select("*", *[zero(F.sum(f"_tot{k}").over(wb)).alias(f"_off{k}") for k in parts])
+        # what each bucket adds to M2 is never negative, so the running sum does not cancel
+        adds = merged_m2(F.lit(0.0), F.col("_off_m"), F.col("_off_s"), F.col("_tot_v"), F.col("_tot_m"), F.col("_tot_s"))
+        per = per.withColumn("_add", adds).withColumn("_off_v", zero(F.sum("_add").over(wb)))
+        offsets = per.select(F.col(key).alias("_okey"), F.col("_pb").alias("_opb"), *[f"_off{k}" for k in parts], "_off_v")
+        cur = cur.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & (F.col("_pb") == F.col("_opb")), "left").drop("_okey", "_opb")
+        cur = cur.withColumn("_cum_v", merged_m2(F.col("_off_v"), F.col("_off_m"), F.col("_off_s"),
+                                                 F.col("_cum_v"), F.col("_cum_m"), F.col("_cum_s")))
         for k in parts:
-            cur = cur.withColumn(f"_cum{k}", F.col(f"_in{k}") + F.col(f"_off{k}"))
-    n, s, q = F.col("_cum_n"), F.col("_cum_s").cast("double"), F.col("_cum_q").cast("double")
-    mean = F.when(n > 0, s / n).otherwise(F.col(amount))
-    var = F.greatest(F.lit(0.0), (q - s * s / n) / (n - 1))
-    std = F.when(n > 1, F.sqrt(var)).otherwise(F.lit(0.0))
+            cur = cur.withColumn(f"_cum{k}", F.col(f"_cum{k}") + F.col(f"_off{k}"))
+    n, m, s, v = F.col("_cum_n"), F.col("_cum_m"), F.col("_cum_s").cast("double"), F.col("_cum_v")
+    mean = F.when(m > 0, s / m).otherwise(F.col(amount))
+    std = F.when(m > 1, F.sqrt(v / (m - 1))).otherwise(F.lit(0.0))
     out = (cur.withColumn(f"{prefix}_amt_mean", mean)
               .withColumn(f"{prefix}_amt_std", std)
               .withColumn(f"{prefix}_amt_zscore",

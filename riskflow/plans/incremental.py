@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskflow.operators.quantiles import with_quantiles
 from riskflow.operators.rules import auto_check
+from riskflow.session import materialize
 
 CACHE_FORMAT_VERSION = "v2"
 # Features whose change invalidates a cached case file (our column names).
@@ -148,9 +150,9 @@ def subgroup_stats(feats: DataFrame, features: list[str] = SUBGROUP_FEATURES, to
     allg = top.unionByName(fraud).unionByName(legit)
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
     long = allg.selectExpr("subgroup", f"stack({len(features)}, {pairs}) AS (feature, value)")
+    long = materialize(long, "subgroups")
     v = F.col("value")
-    return long.groupBy("subgroup", "feature").agg(
-        F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.75).alias("p75"),
-        F.percentile(v, 0.9).alias("p90"), F.percentile(v, 0.99).alias("p99"),
+    sums = long.groupBy("subgroup", "feature").agg(
         F.avg(v).alias("mean"), F.count(F.when(v != 0, 1)).alias("count_nonzero"),
         F.count(v).alias("n"))
+    return with_quantiles(sums, long, [(v, {"median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99})], ["subgroup", "feature"])

@@ -1,10 +1,9 @@
-"""Registered queries: Structured Streaming jobs over the events table replayed
-in event-time order from files (SS-1..SS-10, IO-7, IO-8).
+"""Registered queries: Structured Streaming jobs over the events table as a
+file source (SS-1..SS-10, IO-7, IO-8).
 
-Each query stages ``events`` into the shared scratch folder as one file per
-week (oldest first), runs the streaming job with ``availableNow`` (one
-micro-batch per file, state carried across batches) and returns what the
-sink wrote.  The oracle SQL states the batch answer the stream must reach.
+Each query runs its streaming job with ``availableNow`` and returns what the
+sink wrote.  The oracle SQL states the batch answer the stream must reach:
+rows and windows that the watermark (latest time less the delay) has passed.
 """
 
 from __future__ import annotations
@@ -15,35 +14,49 @@ from pyspark.sql import functions as F
 
 from riskflow import bindings as B
 from riskflow.operators.profiles import card_profile
-from riskflow.operators.windows import velocity_sql
+from riskflow.operators.windows import DEFAULT_WINDOWS, velocity_sql
 from riskflow.plans.feature_queries import _PRIOR_COLS, _PRIOR_SQL
 from riskflow.plans.registry import register
 from riskflow.plans.sqlhelp import txn_query
 from riskflow.sources import io as IO
 from riskflow.streaming import features as SF
+from riskflow.session import materialize
 from riskflow.streaming import jobs as J
 
-WEEK = 7 * 86400
 VEL_COLS = [f"card_{k}_{w}" for w in ("1h", "24h", "7d") for k in ("txn_count", "amt_sum", "amt_max")]
 VEL_DOUBLES = [c for c in VEL_COLS if "amt" in c]
-
-
-def _txn_stream(spark, sf, **stage_kw):
+#: features that the stream and the batch both have; counts and flags, so a split of a tree never falls on rounding
+STREAM_MODEL_FEATURES = ["amount", "txn_hour", "txn_dayofweek", "is_night", "p_email_isnull", "p_email_is_highrisk",
+                         "r_email_isnull", "r_email_is_highrisk", "emails_match", "card_txn_count_1h", "card_txn_count_24h",
+                         "card_txn_count_7d", "card_amt_max_24h", "card_seconds_since_last", "card_total_txns",
+                         "card_distinct_channel", "card_distinct_addr"]
+DELAY = 3600
+_SPAN = max(DEFAULT_WINDOWS.values())
+#: rows that the watermark has passed, with the number of the card's active period (idle gaps beyond the longest window end one)
+_PERIODS = f"""periods AS (
+  SELECT *, count(*) FILTER (WHERE gap > {_SPAN}) OVER (PARTITION BY card ORDER BY t, txn_id) AS period
+  FROM (SELECT *, t - lag(t) OVER (PARTITION BY card ORDER BY t, txn_id) AS gap FROM txn))"""
+_PASSED = f"t < (SELECT max(t) FROM txn) - {DELAY}"
+
+
+def _txn_stream(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ev = B.table(spark, sf, "events")
-    path = J.stage_in_time_order(ev, B.epoch_seconds(F.col("ts")), WEEK, **stage_kw)
-    return J.transactions_stream(J.read_stream(spark, path, J.EVENT_SCHEMA))
+    return J.transactions_stream(J.read_stream(spark, f"{sf}/events.parquet", J.EVENT_SCHEMA))
 
 
 @register("stream_velocity", ops=("SS-1", "WN-1"), sql=txn_query(
-    f"SELECT txn_id, card, t,\n       {velocity_sql()}\nFROM txn", VEL_DOUBLES))
+    f"""SELECT * FROM (SELECT txn_id, card, t,
+       {velocity_sql().rsplit("coalesce(t - lag(t)", 1)[0]}
+       CASE WHEN gap <= {_SPAN} THEN gap ELSE -1 END AS card_seconds_since_last
+FROM periods) WHERE {_PASSED}""", VEL_DOUBLES, _PERIODS))
 def q_stream_velocity(spark, sf):
     out = J.run_to_table(SF.stream_card_features(_txn_stream(spark, sf)), "stream-velocity")
     return out.select("txn_id", "card", "t", *VEL_COLS, "card_seconds_since_last")
 
 
 @register("stream_profile", ops=("SS-2", "WN-11"), sql=txn_query(
-    _PRIOR_SQL, ["card_amt_mean", "card_amt_std", "card_amt_zscore"]))
+    f"SELECT * FROM ({_PRIOR_SQL.replace('FROM txn', 'FROM periods').replace('PARTITION BY card', 'PARTITION BY card, period')}) "
+    f"WHERE {_PASSED}", ["card_amt_mean", "card_amt_std", "card_amt_zscore"], _PERIODS))
 def q_stream_profile(spark, sf):
     out = J.run_to_table(SF.stream_card_features(_txn_stream(spark, sf)), "stream-profile")
     return out.select(*_PRIOR_COLS)
@@ -55,8 +68,8 @@ SELECT txn_id, CAST(floor(t / 3600) % 24 AS BIGINT) AS txn_hour,
        CAST(coalesce(NOT (p_email IS NULL OR p_email = '') AND p_email = r_email, false) AS BIGINT) AS emails_match,
        card_txn_count_24h, n AS card_total_txns
 FROM (SELECT *, {velocity_sql()},
-             count(*) OVER (PARTITION BY card ORDER BY t, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
-      FROM txn)"""))
+             count(*) OVER (PARTITION BY card, period ORDER BY t, txn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n
+      FROM periods) WHERE {_PASSED}""", (), _PERIODS))
 def q_stream_engineer(spark, sf):
     out = J.run_to_table(SF.stream_engineer(_txn_stream(spark, sf)), "stream-engineer")
     return out.select("txn_id", "txn_hour", "is_night", "emails_match", "card_txn_count_24h", "card_total_txns")
@@ -96,21 +109,36 @@ def q_stream_sessions(spark, sf):
 
 @register("stream_dedup", ops=("SS-8",), sql="SELECT event_id AS txn_id FROM events")
 def q_stream_dedup(spark, sf):
-    out = J.run_to_table(J.dedup(_txn_stream(spark, sf, duplicate_next=True)), "stream-dedup")
-    return out.select("txn_id")
-
-
-@register("stream_late_routing", ops=("SS-9",))
+    """Every event is delivered twice (two sources); one of each id leaves."""
+    twice = _txn_stream(spark, sf).unionByName(_txn_stream(spark, sf))
+    return J.run_to_table(J.dedup(twice), "stream-dedup").select("txn_id")
+
+
+#: deliveries: every seventh event arrives up to ten hours after its time, every fifth a second time 1 to 16 days later
+_LAG = "CASE WHEN event_id % 7 = 0 THEN (event_id % 11) * 3600 ELSE event_id % 60 END"
+_AGAIN = "(1 + event_id % 16) * 86400"
+_TTL = 10 * 86400
+
+
+@register("stream_late_routing", ops=("SS-8", "SS-9"), sql=f"""
+WITH e AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events),
+d AS (SELECT event_id AS txn_id, t, t + {_LAG} AS arrival FROM e
+      UNION ALL SELECT event_id, t, t + {_LAG} + {_AGAIN} FROM e WHERE event_id % 5 = 0),
+x AS (SELECT *, lag(arrival) OVER (PARTITION BY txn_id ORDER BY arrival, t) AS prev,
+             max(t) OVER (ORDER BY arrival RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM d),
+y AS (SELECT *, CASE WHEN arrival - prev <= {_TTL} THEN prev END AS previous_arrival FROM x)
+SELECT txn_id, t, arrival, previous_arrival,
+       CASE WHEN previous_arrival IS NULL AND latest - t > {DELAY} THEN latest - t END AS behind,
+       CASE WHEN previous_arrival IS NOT NULL THEN 'repeated' WHEN latest - t > {DELAY} THEN 'late' ELSE 'on_time' END AS route
+FROM y""")
 def q_stream_late(spark, sf):
-    """The first week is re-delivered after the last: every replayed row is
-    late against the running watermark and lands in the side table; on-time
-    rows are every event once (rows-only check plus tests/test_streaming.py)."""
-    stream = _txn_stream(spark, sf, replay_first_at_end=True)
-    out = J.run_foreach(stream, "stream-late", J.late_router(3600))
-    on = spark.read.parquet(f"{out}/on_time").select(F.lit("on_time").alias("route"), "txn_id")
-    late = spark.read.parquet(f"{out}/late").select(F.lit("late").alias("route"), "txn_id")
-    return on.unionByName(late).groupBy("route").agg(F.count(F.lit(1)).alias("n"),
-                                                     F.countDistinct("txn_id").alias("distinct_txn"))
+    """Deliveries derived from the events (some late, some repeated) as rows with route and reason."""
+    lag = F.expr(_LAG.replace("event_id", "txn_id"))
+    again = F.when(F.col("txn_id") % 5 == 0, F.expr(_AGAIN.replace("event_id", "txn_id")))
+    sent = _txn_stream(spark, sf).select("txn_id", "t", lag.cast("long").alias("lag"), again.cast("long").alias("again"))
+    sent = sent.select("txn_id", "t", F.explode(F.filter(F.array(
+        F.col("t") + F.col("lag"), F.col("t") + F.col("lag") + F.col("again")), lambda x: x.isNotNull())).alias("arrival"))
+    return J.routed(spark, J.run_foreach(sent, "stream-late", J.arrival_router(DELAY, _TTL)))
 
 
 @register("stream_enrich", ops=("SS-10", "JN-2"), sql=txn_query("""
@@ -133,6 +161,30 @@ def q_stream_alerts(spark, sf):
     return spark.read.parquet(out).select("txn_id", "score", "risk_band", "decision")
 
 
+@register("stream_model_scores", ops=("SS-4", "ML-2"), sql=txn_query(f"""
+SELECT count(*) AS n, count(*) AS equal_scores, count(*) AS equal_bands
+FROM txn WHERE {_PASSED}"""))
+def q_stream_model(spark, sf):
+    """A classifier fitted on the batch features scores the stream inside its
+    plan; every streamed score and band equals that of the batch."""
+    from riskflow.functions.bands import risk_band
+    from riskflow.functions.features import email_features, time_features
+    from riskflow.operators.models import score, train_classifier
+    from riskflow.operators.windows import prior_profile, velocity
+    txn = email_features(time_features(B.transactions(spark, sf)))
+    batch = materialize(velocity(prior_profile(txn, split_seconds=_SPAN), split_seconds=_SPAN), "model-batch")
+    model = train_classifier(batch, STREAM_MODEL_FEATURES, max_iter=10)
+    scored = J.score_stream(SF.stream_engineer(_txn_stream(spark, sf), ["amount"]), model, STREAM_MODEL_FEATURES,
+                            keep=["txn_id"]).select("txn_id", "model_score")
+    got = J.run_to_table(scored.withColumn("risk_band", risk_band("model_score")), "stream-scores")
+    want = score(batch, model, STREAM_MODEL_FEATURES, keep=["txn_id"]).select(
+        "txn_id", F.col("model_score").alias("batch_score"), risk_band("model_score").alias("batch_band"))
+    both = got.join(want, "txn_id")
+    same = lambda c: F.sum(c.cast("long"))
+    return both.agg(F.count("*").alias("n"), same(F.col("model_score") == F.col("batch_score")).alias("equal_scores"),
+                    same(F.col("risk_band") == F.col("batch_band")).alias("equal_bands"))
+
+
 # ----------------------------------------------------------------------------- IO-7 / IO-8
 _LOG_BASE = "2024-01-01 00:00:00"
 _AS_OF = datetime(2024, 1, 1, 1, 0, 0)

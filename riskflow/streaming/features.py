@@ -1,28 +1,34 @@
 """Live per-card features over an event stream (SS-1, SS-2, SS-3).
 
-``transformWithStateInPandas`` keeps, per card:
+Events may arrive in any order within the watermark's delay: a card's new rows
+wait in its state until the watermark has passed their second, and are then
+scored in (t, txn_id) order, so the output equals the batch ``velocity`` and
+``prior_profile`` whatever the arrival order and the cut into micro-batches.
+Rows behind the watermark are left out by Spark (``jobs.arrival_router`` keeps
+them as rows).
 
-* the last 7 days as per-second (count, sum, max) - evicted on write, so the
-  state of any card, however busy, is bounded by the seconds in 7 days;
-* the running count / sum / sum of squares and the last time;
-* the channels and addresses already seen (bounded by their distinct values).
+Per card the state holds
 
-All of it lives in ONE value state per card: every state access is a round
-trip between the Python worker and the JVM, so a card costs one read and one
-write per micro-batch.
+* the rows that wait, as one Arrow buffer;
+* the last ``span`` seconds (the longest window) as per-second (count, sum, max),
+  so the busiest card's state is bounded by the seconds of that window;
+* count, mean and M2 (sum of squared deviations) of the amounts, the last time,
+  and the channels and addresses seen.
 
-Each micro-batch of a card is sorted by (t, txn_id) and scored against the
-history, so with events arriving in time order the output equals the batch
-``velocity`` + ``prior_profile`` (tests/test_streaming.py).  Events of a card
-arriving after later ones see the history that has arrived, and their time since
-last counts from the latest earlier event of the longest window; late
-events past the watermark are routed aside by ``late_router``.
-"""
+An event-time timer releases waiting rows.  Once a card has been idle for
+longer than ``span`` a second timer removes its state; a later event starts
+anew (``seconds_since_last`` -1, empty profile), also when both stand in one
+batch, so results do not depend on when the timer fires.
+
+Scoring works on arrays of a card's rows; nothing loops over rows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,9 +36,9 @@ from riskflow.operators.windows import DEFAULT_WINDOWS
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-STATE_SCHEMA = ("sec array<bigint>, sec_n array<bigint>, sec_s array<double>, sec_m array<double>, "
-                "n bigint, s double, q double, last_t bigint, chans array<string>, addrs array<bigint>")
+STATE_SCHEMA = ("waiting binary, sec array<bigint>, sec_n array<bigint>, sec_s array<double>, sec_m array<double>, "
+                "n bigint, mean double, m2 double, last_t bigint, chans array<string>, addrs array<bigint>")
+BASE = ["txn_id", "card", "t", "amount", "channel", "addr"]
 
 
 def _range_max(arr: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -60,94 +66,151 @@ def _range_max(arr: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _per_second(t: np.ndarray, a: np.ndarray):
-    """Collapse rows to per-second (second, count, sum, max)."""
+    """Collapse rows in time order to per-second (second, count, sum, max)."""
     if len(t) == 0:
         return t, np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    order = np.argsort(t, kind="stable")
-    t, a = t[order], a[order]
     uniq, start = np.unique(t, return_index=True)
     cnt = np.diff(np.append(start, len(t)))
     return uniq, cnt.astype(np.int64), np.add.reduceat(a, start), np.maximum.reduceat(a, start)
 
 
-def score_card_batch(card, batch: pd.DataFrame, st0, windows: dict, span: int, prefix: str,
-                     passthrough: list[str]):
-    """Score one card's micro-batch against its state; returns (output rows,
-    new state).
-
-    The history is kept per SECOND (count, sum, max) over the longest window:
-    windows are whole-second RANGE frames that exclude the current second, so
-    per-second aggregates give exactly the row-level answer while the state
-    of even the busiest card is bounded by the seconds in 7 days."""
-    if st0 is None:
-        h_s = np.zeros(0, np.int64); h_n = np.zeros(0, np.int64); h_sum = np.zeros(0); h_max = np.zeros(0)
-        n0, s0, q0, last_t, chans, addrs = 0, 0.0, 0.0, None, set(), set()
-    else:
-        h_s = np.asarray(st0[0], dtype=np.int64); h_n = np.asarray(st0[1], dtype=np.int64)
-        h_sum = np.asarray(st0[2], dtype=np.float64); h_max = np.asarray(st0[3], dtype=np.float64)
-        n0, s0, q0, last_t = int(st0[4]), float(st0[5]), float(st0[6]), st0[7]
-        chans, addrs = set(st0[8] or []), set(st0[9] or [])
-    # order the batch by (t, id) with NumPy (a pandas sort costs more than the maths)
-    raw_t = batch["t"].to_numpy(dtype=np.int64)
-    raw_i = batch["txn_id"].to_numpy(dtype=np.int64)
-    o = np.lexsort((raw_i, raw_t))
-    b_t, b_i = raw_t[o], raw_i[o]
-    b_a = batch["amount"].to_numpy(dtype=np.float64)[o]
-    # merge history seconds with this batch's seconds
-    bs, bn, bsum, bmax = _per_second(b_t, b_a)
-    sec = np.concatenate([h_s, bs]); cnt = np.concatenate([h_n, bn])
-    ssum = np.concatenate([h_sum, bsum]); smax = np.concatenate([h_max, bmax])
+def running_moments(x: np.ndarray, n0: int, mean0: float, m20: float):
+    """(n, mean, M2) after each of ``x``, from the moments before the first:
+    the recurrence M2 += (x - mean before)(x - mean after), whose terms are
+    never negative, so nothing cancels."""
+    n = n0 + np.arange(1, len(x) + 1)
+    shift = mean0 if n0 else (x[0] if len(x) else 0.0)
+    mean = shift + np.cumsum(x - shift) / n
+    before = np.concatenate([[mean0 if n0 else shift], mean[:-1]])
+    return n, mean, m20 + np.cumsum(np.maximum((x - before) * (x - mean), 0.0))
+
+
+def _seen_before(values: np.ndarray, known: set) -> tuple[np.ndarray, set]:
+    """(distinct non-null values before each row, all values) given those known before."""
+    valid = ~pd.isna(values)
+    kinds, first = np.unique(values[valid], return_index=True)
+    fresh = np.array([k not in known for k in kinds.tolist()], dtype=bool)
+    new = np.zeros(len(values), dtype=np.int64)
+    new[np.flatnonzero(valid)[first[fresh]]] = 1
+    return len(known) + np.cumsum(new) - new, known | set(kinds.tolist())
+
+
+@dataclass
+class CardState:
+    """What a card's next rows need to know of its earlier ones."""
+
+    sec: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sec_n: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    sec_s: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sec_m: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    n: int = 0
+    mean: float = 0.0
+    m2: float = 0.0
+    last_t: int | None = None
+    chans: set = field(default_factory=set)
+    addrs: set = field(default_factory=set)
+
+    @classmethod
+    def of(cls, row) -> "CardState":
+        kinds = (np.int64, np.int64, np.float64, np.float64)
+        parts = [np.asarray(v if v is not None else [], dtype=k) for v, k in zip(row[1:5], kinds)]
+        return cls(*parts, int(row[5]), float(row[6]), float(row[7]), row[8], set(row[9] or []), set(row[10] or []))
+
+    def row(self, waiting: bytes | None) -> tuple:
+        return (waiting, self.sec.tolist(), self.sec_n.tolist(), self.sec_s.tolist(), self.sec_m.tolist(), int(self.n),
+                float(self.mean), float(self.m2), None if self.last_t is None else int(self.last_t),
+                sorted(self.chans), sorted(self.addrs))
+
+
+def _score_run(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int, prefix: str,
+               passthrough: list[str]) -> tuple[pd.DataFrame, CardState]:
+    """Rows of one card in (t, txn_id) order without an idle gap beyond ``span``."""
+    t, a = rows["t"].to_numpy(np.int64), rows["amount"].to_numpy(np.float64)
+    parts = zip((st.sec, st.sec_n, st.sec_s, st.sec_m), _per_second(t, a))
+    sec, cnt, total, top = (np.concatenate(p) for p in parts)
     order = np.argsort(sec, kind="stable")
-    sec, cnt, ssum, smax = sec[order], cnt[order], ssum[order], smax[order]
-    if len(sec) and np.any(sec[1:] == sec[:-1]):          # a second seen in both: fold
-        uniq, start = np.unique(sec, return_index=True)
-        cnt, ssum = np.add.reduceat(cnt, start), np.add.reduceat(ssum, start)
-        smax = np.maximum.reduceat(smax, start)
+    sec, cnt, total, top = sec[order], cnt[order], total[order], top[order]
+    uniq, start = np.unique(sec, return_index=True)
+    if len(uniq) < len(sec):  # a second seen in both: fold
+        cnt, total, top = np.add.reduceat(cnt, start), np.add.reduceat(total, start), np.maximum.reduceat(top, start)
         sec = uniq
-    ccnt = np.concatenate([[0], np.cumsum(cnt)])
-    csum = np.concatenate([[0.0], np.cumsum(ssum)])
-    out = {"txn_id": b_i, "card": np.full(len(batch), card, dtype=np.int64), "t": b_t}
+    ccnt, csum = np.concatenate([[0], np.cumsum(cnt)]), np.concatenate([[0.0], np.cumsum(total)])
+    out = {"txn_id": rows["txn_id"].to_numpy(np.int64), "card": np.full(len(rows), card, dtype=np.int64), "t": t}
     for c in passthrough:
-        out[c] = batch[c].to_numpy()[o]
+        out[c] = rows[c].to_numpy()
     for w, secs in windows.items():
-        lo = np.searchsorted(sec, b_t - secs, side="left")
-        hi = np.searchsorted(sec, b_t - 1, side="right")
+        lo = np.searchsorted(sec, t - secs, side="left")
+        hi = np.searchsorted(sec, t - 1, side="right")
         out[f"{prefix}_txn_count_{w}"] = (ccnt[hi] - ccnt[lo]).astype(np.int64)
         out[f"{prefix}_amt_sum_{w}"] = np.where(hi > lo, csum[hi] - csum[lo], 0.0)
-        out[f"{prefix}_amt_max_{w}"] = _range_max(smax, lo, hi)
-    # the latest earlier event by time, in the history or in the batch
-    none = np.iinfo(np.int64).min
-    prev_t = np.concatenate([[none], b_t[:-1]])
-    if len(h_s):
-        at = np.searchsorted(h_s, b_t, side="right") - 1
-        prev_t = np.maximum(prev_t, np.where(at >= 0, h_s[np.maximum(at, 0)], none))
-    known = prev_t != none
-    since = np.where(known, b_t - np.where(known, prev_t, 0), -1)
+        out[f"{prefix}_amt_max_{w}"] = _range_max(top, lo, hi)
+    since = np.diff(t, prepend=t[0] + 1 if st.last_t is None else st.last_t)  # -1 for a first row
     out[f"{prefix}_seconds_since_last"] = since.astype(np.int64)
-    # prior profile: totals before each row = state totals + batch prefix
-    n = n0 + np.arange(len(batch))
-    s = s0 + np.concatenate([[0.0], np.cumsum(b_a)[:-1]])
-    q = q0 + np.concatenate([[0.0], np.cumsum(b_a * b_a)[:-1]])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = np.where(n > 0, s / np.maximum(n, 1), b_a)
-        var = np.where(n > 1, np.maximum(0.0, (q - s * s / np.maximum(n, 1)) / np.maximum(n - 1, 1)), 0.0)
-    std = np.where(n > 1, np.sqrt(var), 0.0)
-    out[f"{prefix}_amt_mean"] = mean
-    out[f"{prefix}_amt_std"] = std
-    out[f"{prefix}_amt_zscore"] = np.where(std > 0, (b_a - mean) / np.where(std > 0, std, 1.0), 0.0)
-    out[f"{prefix}_total_txns"] = n.astype(np.int64)
-    for col, seen, name, conv in (("channel", chans, "channel", str), ("addr", addrs, "addr", int)):
-        counts = np.empty(len(batch), dtype=np.int64)
-        for k, v in enumerate(batch[col].to_numpy()[o].tolist()):
-            counts[k] = len(seen)
-            if v is not None and not (isinstance(v, float) and np.isnan(v)):
-                seen.add(conv(v))
-        out[f"{prefix}_distinct_{name}"] = counts
-    keep = sec >= int(sec.max()) - span          # evict beyond the longest window
-    new_state = (sec[keep].tolist(), cnt[keep].tolist(), ssum[keep].tolist(), smax[keep].tolist(),
-                 int(n0 + len(batch)), float(s0 + b_a.sum()), float(q0 + (b_a * b_a).sum()),
-                 int(b_t[-1] if last_t is None else max(last_t, b_t[-1])), sorted(chans), sorted(addrs))
-    return pd.DataFrame(out), new_state
+    n, mean, m2 = running_moments(a, st.n, st.mean, st.m2)
+    n_, mean_, m2_ = (np.concatenate([[first], x[:-1]]) for first, x in ((st.n, n), (st.mean, mean), (st.m2, m2)))
+    mean_ = np.where(n_ > 0, mean_, a)
+    std = np.where(n_ > 1, np.sqrt(m2_ / np.maximum(n_ - 1, 1)), 0.0)
+    out[f"{prefix}_amt_mean"], out[f"{prefix}_amt_std"] = mean_, std
+    out[f"{prefix}_amt_zscore"] = np.where(std > 0, (a - mean_) / np.where(std > 0, std, 1.0), 0.0)
+    out[f"{prefix}_total_txns"] = n_.astype(np.int64)
+    out[f"{prefix}_distinct_channel"], chans = _seen_before(rows["channel"].to_numpy(object), st.chans)
+    addr = pd.to_numeric(rows["addr"]).astype("Int64")
+    out[f"{prefix}_distinct_addr"], addrs = _seen_before(addr.to_numpy(object), st.addrs)
+    keep = sec >= t[-1] - span  # evict beyond the longest window
+    return pd.DataFrame(out), CardState(sec[keep], cnt[keep], total[keep], top[keep], int(n[-1]), float(mean[-1]),
+                                        float(m2[-1]), int(t[-1]), chans, addrs)
+
+
+def score_rows(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int, prefix: str,
+               passthrough: list[str]) -> tuple[pd.DataFrame, CardState]:
+    """Score one card's rows, which come in (t, txn_id) order and after all
+    rows scored before; an idle gap beyond ``span`` starts anew."""
+    t = rows["t"].to_numpy(np.int64)
+    gaps = np.diff(t, prepend=t[0] if st.last_t is None else st.last_t)
+    cuts = np.flatnonzero(gaps > span)
+    out = []
+    for lo, hi in zip(np.concatenate([[0], cuts]), np.append(cuts, len(t))):
+        if lo < hi:
+            begun = CardState() if lo in cuts else st
+            part, st = _score_run(card, rows.iloc[lo:hi], begun, windows, span, prefix, passthrough)
+            out.append(part)
+    return pd.concat(out, ignore_index=True), st
+
+
+def _pack(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(buf: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(buf).read_pandas()
+
+
+def advance(card, new: pd.DataFrame | None, row, watermark_ms: int, windows: dict, span: int, prefix: str,
+            passthrough: list[str]):
+    """One card's turn: (scored rows or None, new state row or None when it
+    ends, next timer in ms or None)."""
+    st = CardState.of(row) if row is not None else CardState()
+    waiting = [_unpack(row[0])] if row is not None and row[0] is not None else []
+    waiting += [new] if new is not None and len(new) else []
+    out = None
+    if waiting:
+        rows = waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
+        ready = (rows["t"].to_numpy(np.int64) + 1) * 1000 <= watermark_ms  # no earlier row can come any more
+        if ready.any():
+            first = rows[ready]
+            order = np.lexsort((first["txn_id"].to_numpy(np.int64), first["t"].to_numpy(np.int64)))
+            out, st = score_rows(card, first.iloc[order], st, windows, span, prefix, passthrough)
+        rows = rows[~ready]
+        if len(rows):
+            timer = (int(rows["t"].min()) + 1) * 1000 - 1
+            return out, st.row(_pack(rows)), max(timer, watermark_ms + 1)
+    if st.last_t is None or (st.last_t + span + 1) * 1000 <= watermark_ms:  # nothing that can come sees it
+        return out, None, None
+    return out, st.row(None), max((st.last_t + span + 1) * 1000 - 1, watermark_ms + 1)
 
 
 def output_schema(windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
@@ -162,33 +225,49 @@ def output_schema(windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
 
 
 class CardFeatureProcessor(StatefulProcessor):
-    """SS-1 + SS-2: velocity windows and prior profile per card."""
+    """SS-1 + SS-2 with the processor API: a card's turn at new rows and at its timers."""
 
-    def __init__(self, windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
-                 passthrough: tuple = ()):
+    def __init__(self, windows: dict = DEFAULT_WINDOWS, prefix: str = "card", passthrough: tuple = ()):
         self.passthrough = [n for n, _ in passthrough]
         self.windows = dict(windows)
         self.span = max(self.windows.values())
         self.prefix = prefix
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("card", STATE_SCHEMA)
 
+    def _turn(self, key, new, timerValues):
+        row = self.state.get() if self.state.exists() else None
+        out, row, timer = advance(key[0], new, row, timerValues.getCurrentWatermarkInMs(), self.windows, self.span,
+                                  self.prefix, self.passthrough)
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if row is None:
+            self.state.clear()
+        else:
+            self.state.update(row)
+            self.handle.registerTimer(timer)
+        if out is not None:
+            yield out
+
     def handleInputRows(self, key, rows, timerValues):
-        st0 = self.state.get() if self.state.exists() else None
-        out, new_state = score_card_batch(key[0], pd.concat(list(rows), ignore_index=True), st0,
-                                          self.windows, self.span, self.prefix, self.passthrough)
-        self.state.update(new_state)
-        yield out
+        yield from self._turn(key, pd.concat(list(rows), ignore_index=True), timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._turn(key, None, timerValues)
 
     def close(self) -> None:
         pass
 
 
 def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
-                         passthrough: list[str] = (), engine: str = "applyInPandasWithState") -> DataFrame:
-    """SS-1/SS-2 on a streaming DataFrame of transactions (txn_id, card, t,
+                         passthrough: list[str] = (), engine: str = "applyInPandasWithState",
+                         delay: str = "1 hour") -> DataFrame:
+    """SS-1/SS-2 on a streaming DataFrame of transactions (txn_id, card, t, ts,
     amount, channel, addr, plus ``passthrough`` columns copied to the output).
+    ``delay`` bounds how late an event may arrive; a row leaves once the
+    watermark has passed its second.
 
     ``engine="applyInPandasWithState"`` ships each card's state with its rows
     in the Arrow batch (one round trip per batch of groups);
@@ -197,37 +276,43 @@ def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, pre
     bounded memory) and give the same rows."""
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    base = ["txn_id", "card", "t", "amount", "channel", "addr"]
-    extra = [c for c in passthrough if c not in base]
-    cols = events.select(*base, *extra)
+    extra = [c for c in passthrough if c not in ("txn_id", "card", "t")]
+    whole = "card is not null and t is not null and ts is not null and amount is not null"  # others have no features
+    cols = events.withWatermark("ts", delay).select(*BASE, "ts", *[c for c in extra if c not in BASE]).where(whole)
     types = dict(cols.dtypes)
     pt = [(c, types[c]) for c in extra]
     windows = dict(windows)
     if engine == "transformWithState":
         return cols.groupBy("card").transformWithStateInPandas(
             statefulProcessor=CardFeatureProcessor(windows, prefix, tuple(pt)),
-            outputStructType=output_schema(windows, prefix, pt), outputMode="Append", timeMode="None")
+            outputStructType=output_schema(windows, prefix, pt), outputMode="Append", timeMode="EventTime")
     span = max(windows.values())
     names = [n for n, _ in pt]
 
     def fn(key, pdfs, state):
-        st0 = state.get if state.exists else None
         parts = list(pdfs)
-        batch = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        out, new_state = score_card_batch(key[0], batch, st0, windows, span, prefix, names)
-        state.update(new_state)
-        yield out
+        new = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True) if parts else None
+        row = state.get if state.exists else None
+        out, row, timer = advance(key[0], new, row, state.getCurrentWatermarkMs(), windows, span, prefix, names)
+        if row is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(row)
+            state.setTimeoutTimestamp(timer)
+        if out is not None:
+            yield out
 
     return cols.groupBy("card").applyInPandasWithState(
         fn, outputStructType=output_schema(windows, prefix, pt), stateStructType=STATE_SCHEMA,
-        outputMode="Append", timeoutConf="NoTimeout")
+        outputMode="Append", timeoutConf="EventTimeTimeout")
 
 
-def stream_engineer(events: DataFrame) -> DataFrame:
+def stream_engineer(events: DataFrame, passthrough: list[str] = (), **kw) -> DataFrame:
     """SS-3: stateless time and e-mail columns computed per row before the
     stateful step and carried through it, so no stream-stream join is needed."""
     from riskflow.functions.features import email_features, time_features
     pre = email_features(time_features(events))
     keep = ["txn_hour", "txn_day", "txn_dayofweek", "is_night", "p_email_isnull", "p_email_is_highrisk",
-            "r_email_isnull", "r_email_is_highrisk", "emails_match", "score", "is_fraud"]
-    return stream_card_features(pre, passthrough=keep)
+            "r_email_isnull", "r_email_is_highrisk", "emails_match", "score", "is_fraud", *passthrough]
+    return stream_card_features(pre, passthrough=list(dict.fromkeys(keep)), **kw)

@@ -1,5 +1,4 @@
-"""Structured Streaming jobs (SS-4..SS-10, IO-7) and the harness that feeds
-them from files.
+"""Structured Streaming jobs (SS-4..SS-10, IO-7) over a file source.
 
 * Event time is ``ts`` (a TIMESTAMP; the driver files hold TIMESTAMP_NTZ,
   which ``withWatermark`` refuses, so it is cast under the UTC session zone).
@@ -15,94 +14,42 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskflow.session import scratch_path
+from riskflow.session import materialize, scratch_path
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-# ----------------------------------------------------------------------------- harness
-def stage_in_time_order(df: DataFrame, t, slice_seconds: int, path: str | None = None,
-                        duplicate_next: bool = False, replay_first_at_end: bool = False) -> str:
-    """Write ``df`` as one file per time slice (by the epoch-seconds expression
-    ``t``), oldest first, so a file source with ``maxFilesPerTrigger=1`` replays
-    it in event-time order (a producer appending one file per period).
-    ``duplicate_next`` re-delivers every slice together with the next one
-    (at-least-once upstream, SS-8); ``replay_first_at_end`` re-delivers the
-    first slice after the last one (late data, SS-9)."""
-    path = path or scratch_path(df.sparkSession, "stream-in")
-    x = df.withColumn("_t", t)
-    lo, hi = x.agg(F.min("_t"), F.max("_t")).first()
-    n = int((hi - lo) // slice_seconds) + 1
-
-    def piece(k):
-        return x.filter((F.col("_t") >= lo + k * slice_seconds)
-                        & (F.col("_t") < lo + (k + 1) * slice_seconds)).drop("_t")
-
-    k_out = 0
-    for k in range(n):
-        part = piece(k)
-        if duplicate_next and k > 0:
-            part = part.unionByName(piece(k - 1))
-        # one file per slice: the unit of arrival of this simulated producer
-        part.repartition(1).write.mode("append").parquet(os.path.join(path, f"slice={k_out:05d}"))
-        k_out += 1
-    if replay_first_at_end:
-        piece(0).repartition(1).write.mode("append").parquet(os.path.join(path, f"slice={k_out:05d}"))
-    return path
-
-
-def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                 .option("recursiveFileLookup", "true").parquet(path))
-
-
-def _state_partitions(spark: SparkSession) -> int:
-    """Partitions of a new stream's state: at most the cluster's cores (each
-    is a state store per micro-batch; more than cores only adds overhead)."""
-    cur = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect)
-        cores = cur
-    return max(1, min(cur, cores))
-
-
-def _start_with_state_partitions(spark: SparkSession, start):
-    """Start a query with the state partition count above (it is fixed in the
-    checkpoint at the first start), then restore the session setting."""
-    cur = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(_state_partitions(spark)))
-    try:
-        q = start()
-        q.awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", cur)
+def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A file source over ``path`` (a folder that grows, a pattern or one file)."""
+    r = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(path)
+
+
+def _run(stream: DataFrame, name: str, sink) -> str:
+    """Run over everything available; ``sink(writer, out)`` completes the
+    writer.  Returns the folder that the sink wrote."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, f"{name}-out")
+    writer = stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{name}-ck"))
+    sink(writer.trigger(availableNow=True), out).awaitTermination()
+    return out
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a streaming query over everything available into a Parquet file
     sink under the shared folder; return the written table as a batch frame."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ck = scratch_path(spark, f"{name}-ck")
-    _start_with_state_partitions(spark, lambda: (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", ck)
-              .trigger(availableNow=True).start(out)))
-    return spark.read.parquet(out)
+    out = _run(stream, name, lambda w, path: w.format("parquet").outputMode(mode).start(path))
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def run_foreach(stream: DataFrame, name: str, fn) -> str:
     """Run with a ``foreachBatch`` function ``fn(df, batch_id, out_path)``."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ck = scratch_path(spark, f"{name}-ck")
-    _start_with_state_partitions(spark, lambda: (
-        stream.writeStream.foreachBatch(lambda d, b: fn(d, b, out))
-              .option("checkpointLocation", ck).trigger(availableNow=True).start()))
-    return out
+    return _run(stream, name, lambda w, path: w.foreachBatch(lambda d, b: fn(d, b, path)).start())
 
 
 def transactions_stream(events: DataFrame) -> DataFrame:
@@ -147,33 +94,86 @@ def dedup(txn: DataFrame, delay: str = "1 day") -> DataFrame:
     return txn.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["txn_id"])
 
 
-# ----------------------------------------------------------------------------- SS-9
-def late_router(delay_seconds: int):
-    """SS-9: a ``foreachBatch`` function that splits each batch into on-time
-    and late rows against the running event-time watermark (max t seen so far
-    minus ``delay``), writes both to ``batch_id=N`` folders (overwrite: a retry
-    is idempotent) and keeps the watermark in a one-row table of the run."""
+# ----------------------------------------------------------------------------- SS-8 / SS-9
+ROUTES = ("on_time", "late", "repeated")
+
+
+def _tables(spark: SparkSession, out: str, name: str, before: int, schema: str) -> DataFrame:
+    """What earlier batches of this run kept under ``name``."""
+    if before == 0:  # no folder yet
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch_id int").parquet(os.path.join(out, name)).where(
+        F.col("batch_id") < before).drop("batch_id")
+
+
+def arrival_router(delay_seconds: int, ttl_seconds: int, id_col: str = "txn_id", t: str = "t",
+                   arrival: str = "arrival", day: int = 86400):
+    """SS-8 / SS-9: a ``foreachBatch`` function that writes every delivered row to
+    one of three folders, with the reason in numbers:
+
+    * ``repeated``: its id was delivered before, at most ``ttl_seconds`` earlier
+      (``previous_arrival`` says when); a table of ids, not the watermark, decides;
+    * ``late``: its time lies more than ``delay_seconds`` behind the latest time
+      that arrived in an earlier second (``behind`` says how much);
+    * ``on_time``: all others, and rows without id, time or arrival.
+
+    ``t`` and ``arrival`` are whole seconds; deliveries of one id in one second
+    count in the order of ``t``.  Batches come in order of arrival; where they
+    are cut makes no difference.  The folders, the table of ids and that of the
+    latest times are written per batch (a retry overwrites its own)."""
     def fn(df: DataFrame, batch_id: int, out: str) -> None:
         spark = df.sparkSession
-        wm_path = os.path.join(out, "_watermark")
-        prev = None
-        if batch_id > 0:   # batch 0 has no earlier watermark (and no folder yet)
-            prev = spark.read.parquet(wm_path).filter(F.col("batch_id") < batch_id) \
-                        .agg(F.max("max_t")).first()[0]
-        wm = None if prev is None else prev - delay_seconds
-        late = F.lit(False) if wm is None else (F.col("t") < F.lit(wm))
-        tagged = df.withColumn("late", late)
-        tagged.filter(~F.col("late")).drop("late").write.mode("overwrite").parquet(
-            os.path.join(out, "on_time", f"batch_id={batch_id}"))
-        tagged.filter(F.col("late")).drop("late").write.mode("overwrite").parquet(
-            os.path.join(out, "late", f"batch_id={batch_id}"))
-        mx = df.agg(F.max("t")).first()[0]
-        best = max(x for x in (prev, mx) if x is not None) if (prev is not None or mx is not None) else None
-        spark.createDataFrame([(batch_id, best)], "batch_id long, max_t long").write.mode("overwrite") \
-             .parquet(os.path.join(wm_path, f"b={batch_id}"))
+        df = materialize(df.withColumn("_at", F.col(arrival).cast("long")), "arrivals")
+        oldest = df.agg(F.coalesce(F.min("_at"), F.lit(0))).first()[0]
+
+        def put(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(os.path.join(out, name, f"batch_id={batch_id}"))
+
+        # when each id was delivered before, here or in an earlier batch
+        kind = dict(df.dtypes)
+        known = _tables(spark, out, "_ids", batch_id, f"{id_col} {kind[id_col]}, _at bigint, {t} {kind[t]}")
+        here = df.groupBy(id_col, "_at", t).agg(F.count("*").alias("copies"))
+        order = Window.partitionBy(id_col).orderBy("_at", t)
+        facts = (here.unionByName(known.where(F.col("_at") >= oldest - ttl_seconds).withColumn("copies", F.lit(0).cast("long")))
+                 .where(F.col(id_col).isNotNull())
+                 .withColumn("prev", F.lag("_at").over(order)).where("copies > 0"))
+        # the latest time that arrived before each second: whole days first, then the seconds of a day
+        ends = _tables(spark, out, "_latest", batch_id, "_at bigint, top bigint")
+        past = ends.where(F.col("_at") < oldest).agg(F.max("top")).first()[0]
+        earlier = Window.unboundedPreceding, -1
+        seconds = (df.select("_at", F.col(t).cast("long").alias("top")).unionByName(ends.where(F.col("_at") >= oldest))
+                   .groupBy("_at").agg(F.max("top").alias("top")).withColumn("d", F.floor(F.col("_at") / day)))
+        days = seconds.groupBy("d").agg(F.max("top").alias("top"))  # one row a day
+        days = days.select("d", F.max("top").over(Window.orderBy("d").rowsBetween(*earlier)).alias("past"))
+        in_day = F.max("top").over(Window.partitionBy("d").orderBy("_at").rowsBetween(*earlier))
+        seconds = seconds.withColumn("in_day", in_day).join(days, "d").select(
+            "_at", F.greatest("in_day", "past", F.lit(past).cast("long")).alias("latest"))
+        rows = df.join(facts, [id_col, "_at", t], "left").join(seconds, "_at", "left")
+        copy = F.row_number().over(Window.partitionBy(id_col, "_at", t).orderBy(F.lit(1)))
+        rows = rows.withColumn("_copy", F.when(F.col("copies") > 1, copy).otherwise(1))  # equal deliveries
+        previous = F.when(F.col("_copy") > 1, F.col("_at")).when(F.col("_at") - F.col("prev") <= ttl_seconds, F.col("prev"))
+        behind = F.col("latest") - F.col(t)
+        rows = (rows.withColumn("previous_arrival", previous)
+                .withColumn("behind", F.when(F.col("previous_arrival").isNull() & (behind > delay_seconds), behind))
+                .withColumn("route", F.when(F.col("previous_arrival").isNotNull(), "repeated")
+                            .when(F.col("behind").isNotNull(), "late").otherwise("on_time")))
+        rows = materialize(rows.drop("_at", "_copy", "prev", "copies", "latest"), "routed")
+        for route in ROUTES:
+            put(rows.where(F.col("route") == route).drop("route"), route)
+        put(facts.select(id_col, "_at", t), "_ids")
+        newest = df.agg(F.max("_at")).first()[0]
+        # the newest second may go on in the next batch: its latest time is kept apart
+        put(df.where("_at is not null").groupBy((F.col("_at") == F.lit(newest).cast("long")).alias("last"))
+            .agg(F.max("_at").alias("_at"), F.max(F.col(t).cast("long")).alias("top")).drop("last"), "_latest")
     return fn
 
 
+def routed(spark: SparkSession, out: str) -> DataFrame:
+    """All rows that ``arrival_router`` wrote, with their route."""
+    parts = [spark.read.parquet(os.path.join(out, r)).drop("batch_id").withColumn("route", F.lit(r)) for r in ROUTES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ----------------------------------------------------------------------------- SS-10 / SS-4
 def enrich(stream: DataFrame, profiles: DataFrame, key: str = "card") -> DataFrame:
     """SS-10: stream-static left join with a batch table (profiles, rules,
@@ -181,14 +181,21 @@ def enrich(stream: DataFrame, profiles: DataFrame, key: str = "card") -> DataFra
     return stream.join(profiles, key, "left")
 
 
-def alert_writer(min_band: str = "HIGH"):
+def score_stream(features: DataFrame, model, names: list[str], out: str = "model_score",
+                 keep: list[str] | None = None) -> DataFrame:
+    """SS-4: a fitted pipeline applied inside the streaming plan (schema aligned
+    as in batch); every row gets the score that the batch gives it."""
+    from riskflow.operators.models import score
+    return score(features, model, names, out, keep)
+
+
+def alert_writer(min_band: str = "HIGH", score: str = "score"):
     """SS-4: ``foreachBatch`` sink of banded alerts, idempotent by batch id."""
     from riskflow.functions.bands import decision, risk_band
     edge = {"MEDIUM": 0.3, "HIGH": 0.6, "CRITICAL": 0.85}[min_band]
 
     def fn(df: DataFrame, batch_id: int, out: str) -> None:
-        alerts = (df.filter(F.col("score") >= edge)
-                    .withColumn("risk_band", risk_band("score")).withColumn("decision", decision("score")))
+        alerts = (df.filter(F.col(score) >= edge)
+                    .withColumn("risk_band", risk_band(score)).withColumn("decision", decision(score)))
         alerts.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
     return fn
-

@@ -1,6 +1,9 @@
-"""Stream = batch: the stateful card processor replayed in time order equals
-the batch windows; late rows are routed aside; duplicates dropped."""
+"""Stream = batch: the stateful card processor equals the batch windows for
+any arrival order and cut into batches; state ends; late and repeated rows are
+kept as rows; scores of the stream equal those of the batch."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from paths import SF001
@@ -8,44 +11,129 @@ from riskflow import bindings as B
 from riskflow.operators.windows import prior_profile, velocity
 from riskflow.streaming import features as SF
 from riskflow.streaming import jobs as J
+from staging import stage_in_slices
 
 COLS = ["txn_id", "card_txn_count_1h", "card_txn_count_24h", "card_txn_count_7d",
         "card_amt_sum_24h", "card_amt_max_7d", "card_seconds_since_last"]
+SPAN = 604800
 
 
-def _stream(spark, **kw):
+def _stream(spark, files=1, **kw):
     ev = B.table(spark, SF001, "events")
-    path = J.stage_in_time_order(ev, B.epoch_seconds(F.col("ts")), 7 * 86400, **kw)
-    return J.transactions_stream(J.read_stream(spark, path, J.EVENT_SCHEMA))
+    path = stage_in_slices(ev, B.epoch_seconds(F.col("ts")), 7 * 86400, **kw)
+    return J.transactions_stream(J.read_stream(spark, path, J.EVENT_SCHEMA, files))
 
 
-def _round(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def _same_rows(got, want):
+    """Equal rows by id, doubles up to the order of summation."""
+    a, b = (d.toPandas().sort_values("txn_id", ignore_index=True) for d in (got, want))
+    pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-9)
+
+
+def _passed(df, delay):
+    last = df.agg(F.max("t")).first()[0]
+    return df.where(F.col("t") < last - delay)
 
 
 def test_stream_equals_batch_both_engines(spark):
-    batch = _round(velocity(B.transactions(spark, SF001)).select(*COLS))
+    batch = _passed(velocity(B.transactions(spark, SF001)), 3600).select(*COLS)
     for engine in ("applyInPandasWithState", "transformWithState"):
         out = J.run_to_table(SF.stream_card_features(_stream(spark), engine=engine), f"t-{engine}")
-        got = _round(out.select(*COLS))
-        assert got.count() == batch.count()
-        assert got.exceptAll(batch).count() == 0
+        _same_rows(out.select(*COLS), batch)
+
+
+def test_shuffled_arrival_equals_batch_within_the_watermark(spark):
+    """Weeks arrive out of order, one file a batch; the delay covers it."""
+    delay = 30 * 86400
+    txn = B.transactions(spark, SF001)
+    cols = [*COLS, "card_total_txns", "card_distinct_channel", "card_distinct_addr", "card_amt_mean", "card_amt_std"]
+    batch = velocity(prior_profile(txn))
+    ahead = B.table(spark, SF001, "events").withColumn("ts", F.expr("ts + interval 60 days")).withColumn(
+        "event_id", F.col("event_id") + 10_000_000).withColumn("user_id", F.col("user_id") + 10_000_000)
+    path = stage_in_slices(B.table(spark, SF001, "events"), B.epoch_seconds(F.col("ts")), 7 * 86400, order=[2, 0, 3, 1, 4])
+    ahead.write.mode("append").parquet(f"{path}/slice=99999")  # moves the watermark past all of the others
+    stream = J.transactions_stream(J.read_stream(spark, path, J.EVENT_SCHEMA, 1))
+    out = J.run_to_table(SF.stream_card_features(stream, delay=f"{delay} seconds"), "t-shuffled").where("txn_id < 10000000")
+    _same_rows(out.select(*cols), batch.select(*cols))
 
 
 def test_stream_profile_equals_prior_profile(spark):
     cols = ["txn_id", "card_total_txns", "card_distinct_channel", "card_distinct_addr"]
-    batch = prior_profile(B.transactions(spark, SF001)).select(*cols)
-    out = J.run_to_table(SF.stream_card_features(_stream(spark)), "t-prof").select(*cols)
+    batch = _passed(prior_profile(B.transactions(spark, SF001)), 3600).select(*cols)
+    out = J.run_to_table(SF.stream_card_features(_stream(spark, files=None)), "t-prof").select(*cols)
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
 
 
-def test_late_rows_routed(spark):
-    n = B.table(spark, SF001, "events").count()
-    out = J.run_foreach(_stream(spark, replay_first_at_end=True), "t-late", J.late_router(3600))
-    on = spark.read.parquet(f"{out}/on_time")
-    late = spark.read.parquet(f"{out}/late")
-    assert on.count() == n and on.select("txn_id").distinct().count() == n
-    assert late.count() > 0
+def _rows(times, ids=None, amounts=None):
+    n = len(times)
+    return pd.DataFrame({"txn_id": ids or list(range(n)), "card": 1, "t": times, "amount": amounts or [1.0] * n,
+                         "channel": "web", "addr": 1})
+
+
+def test_an_idle_cards_state_is_gone():
+    windows = {"7d": SPAN}
+    out, row, timer = SF.advance(1, _rows([100, 50]), None, 0, windows, SPAN, "card", [])
+    assert out is None and timer == 50_999  # both wait until the watermark has passed them
+    out, row, timer = SF.advance(1, None, row, 51_000, windows, SPAN, "card", [])
+    assert out["t"].tolist() == [50] and timer == 100_999
+    out, row, timer = SF.advance(1, None, row, 200_000, windows, SPAN, "card", [])
+    assert out["t"].tolist() == [100] and out["card_seconds_since_last"].tolist() == [50]
+    assert timer == (100 + SPAN + 1) * 1000 - 1
+    assert SF.advance(1, None, row, timer, windows, SPAN, "card", [])[1] is not None  # a row at the span's end still sees it
+    assert SF.advance(1, None, row, timer + 1, windows, SPAN, "card", []) == (None, None, None)
+
+
+def test_a_gap_ends_the_period_whenever_the_timer_fires():
+    windows = {"7d": SPAN}
+    times = [10, 20, 20 + SPAN, 21 + 2 * SPAN, 22 + 2 * SPAN]
+    at_once, _, _ = SF.advance(1, _rows(times), None, 10 ** 12, windows, SPAN, "card", [])
+    row, parts = None, []
+    for i, t in enumerate(times):
+        out, row, timer = SF.advance(1, _rows([t], [i]), row, (t + 1) * 1000, windows, SPAN, "card", [])
+        parts.append(out)
+        if timer is not None and i + 1 < len(times) and timer < times[i + 1] * 1000:
+            out, row, _ = SF.advance(1, None, row, times[i + 1] * 1000, windows, SPAN, "card", [])
+            assert out is None
+    pd.testing.assert_frame_equal(at_once, pd.concat(parts, ignore_index=True))
+    assert at_once["card_seconds_since_last"].tolist() == [-1, 10, SPAN, -1, 1]
+    assert at_once["card_total_txns"].tolist() == [0, 1, 2, 0, 1]
+
+
+def test_late_and_repeated_rows_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        t = int(rng.integers(0, 20_000))
+        rows.append((i, t, t + int(rng.integers(0, 3000))))
+        if i % 4 == 0:
+            rows.append((i, t, rows[-1][2] + int(rng.choice([0, 500, 9000]))))
+    rows += [(None, 5, 7), (None, 5, 7)]
+    delay, ttl = 600, 5000
+    want = []
+    for n, (i, t, at) in enumerate(rows):
+        before = [(a, u, m) for m, (j, u, a) in enumerate(rows) if i is not None and j == i and (a, u, m) < (at, t, n)]
+        prev = max(before)[0] if before and at - max(before)[0] <= ttl else None
+        top = max((u for _, u, a in rows if a < at), default=None)
+        behind = top - t if prev is None and top is not None and top - t > delay else None
+        want.append((i, t, at, prev, behind, "repeated" if prev is not None else "late" if behind is not None else "on_time"))
+    df = spark.createDataFrame(rows, "txn_id long, t long, arrival long")
+    for cuts in ([0, 10 ** 9], [0, 4000, 4001, 9000, 15_000, 10 ** 9]):
+        out = J.scratch_path(spark, "t-router")
+        route = J.arrival_router(delay, ttl)
+        for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            for _ in range(2):  # a retried batch replaces its own output
+                route(df.where((F.col("arrival") >= lo) & (F.col("arrival") < hi)), b, out)
+        got = J.routed(spark, out).select("txn_id", "t", "arrival", "previous_arrival", "behind", "route").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert {r[-1] for r in want} == set(J.ROUTES)
+
+
+def test_router_of_an_empty_batch(spark):
+    out = J.scratch_path(spark, "t-router")
+    empty = spark.createDataFrame([], "txn_id long, t long, arrival long")
+    J.arrival_router(60, 60)(empty, 0, out)
+    J.arrival_router(60, 60)(spark.createDataFrame([(1, 5, 9)], "txn_id long, t long, arrival long"), 1, out)
+    assert [r["route"] for r in J.routed(spark, out).collect()] == ["on_time"]
 
 
 def test_dedup_within_watermark(spark):
@@ -54,8 +142,13 @@ def test_dedup_within_watermark(spark):
     assert out.count() == n and out.select("txn_id").distinct().count() == n
 
 
+def test_streamed_scores_equal_batch_scores(spark):
+    from riskflow.plans.registry import load_all
+    row = load_all()["stream_model_scores"].fn(spark, SF001).first()
+    assert row["n"] > 0 and row["n"] == row["equal_scores"] == row["equal_bands"]
+
+
 def test_range_max_sparse_table():
-    import numpy as np
     rng = np.random.default_rng(0)
     arr = rng.random(1000)
     lo = rng.integers(0, 1000, 500)
@@ -65,11 +158,39 @@ def test_range_max_sparse_table():
     assert np.array_equal(got, want)
 
 
-def test_out_of_order_event_keeps_the_latest_time():
-    import pandas as pd
-    state, got = None, []
-    for t in ([1000, 5000], [2000], [6000]):
-        batch = pd.DataFrame({"t": t, "txn_id": t, "amount": 1.0, "channel": "web", "addr": 1})
-        out, state = SF.score_card_batch(1, batch, state, {"1h": 3600}, 604800, "card", [])
-        got += out["card_seconds_since_last"].tolist()
-    assert got == [-1, 4000, 1000, 1000] and state[7] == 6000
+def _large_amounts():
+    rng = np.random.default_rng(5)
+    return (1e9 + np.concatenate([rng.normal(size=40), [0.0] * 5, -1e9 + rng.normal(size=5), rng.normal(size=30) * 1e-3])).tolist()
+
+
+def test_deviation_of_large_amounts_in_stream_window_and_profile(spark):
+    """Amounts near 1e9 give the true deviation in all three."""
+    from statistics import pstdev, stdev
+
+    from riskflow.operators.profiles import card_profile
+    x = _large_amounts()
+    n, mean, m2 = SF.running_moments(np.array(x), 0, 0.0, 0.0)
+    parts = (0, 0.0, 0.0)
+    for lo in range(0, len(x), 7):
+        a = SF.running_moments(np.array(x[lo:lo + 7]), *parts)
+        parts = tuple(v[-1] for v in a)
+    true = [0.0] + [pstdev(x[:i]) ** 2 * i for i in range(2, len(x) + 1)]
+    assert np.allclose(m2, true, rtol=1e-6, atol=1e-6)
+    assert np.isclose(parts[2], true[-1], rtol=1e-6) and parts[0] == len(x)
+    rows = [(i, 1, "web", v, i * 90_000, 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "txn_id long, card long, channel string, amount double, t long, addr int")
+    want = [0.0, 0.0] + [stdev(x[:i]) for i in range(2, len(x))]
+    for split in (None, 7 * 86400, 100_000):
+        got = [r["card_amt_std"] for r in prior_profile(df, split_seconds=split).orderBy("txn_id").collect()]
+        assert np.allclose(got, want, rtol=1e-6, atol=1e-6), split
+    out, _ = SF.score_rows(1, _rows([i * 9000 for i in range(len(x))], amounts=x), SF.CardState(), {"7d": SPAN}, SPAN, "card", [])
+    assert np.allclose(out["card_amt_std"], want, rtol=1e-6, atol=1e-6)
+    assert np.isclose(card_profile(df).first()["card_amt_std"], stdev(x), rtol=1e-9)
+
+
+def test_prior_profile_keeps_null_keys(spark):
+    rows = [(i, None if i % 2 else 1, "web", float(i), i * 50_000, i % 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "txn_id long, card long, channel string, amount double, t long, addr int")
+    plain = prior_profile(df)
+    assert plain.count() == 20
+    _same_rows(prior_profile(df, split_seconds=86400).select(*plain.columns), plain)
