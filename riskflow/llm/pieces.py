@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from riskflow.llm.textcore import HashIndex, ranges, run_hashes, slices, utf8
 
 MARK = "▁"
-CACHE_WORDS = 300_000  # kept while a task runs: about 30 MB
-CACHE_PAIRS = 100_000  # .. and 30 MB
+CACHE_WORDS = 1_000_000  # words whose ids a worker keeps: about 60 MB
+CACHE_PAIRS = 300_000  # .. and pairs of pieces: about 80 MB
 
 
 class Vocabulary:
@@ -67,7 +67,12 @@ class Vocabulary:
                 p = p.replace(MARK, " ")
                 self.ids[p], self.score[p] = i, sp.get_score(i)
                 spelled[i] = p.encode("utf-8")
-        self.longest = max(map(len, self.ids))
+        # lengths of the pieces that end in two given characters, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                ends.setdefault(p[-2:], set()).add(len(p))
+        self.lengths_by_end = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         if any(" " in p.strip(" ") or p.endswith(" ") and p.strip(" ") for p in self.ids):
             raise ValueError("a piece has the word mark inside")
         self.lengths = np.array([len(b) for b in spelled], dtype=np.int64)
@@ -79,7 +84,7 @@ class Vocabulary:
             joined[a[:-1], a[1:]] = True
         self.cut = ~joined
         self.cut[128:, :] = self.cut[:, 128:] = False  # never inside a character, nor beside one beyond ASCII
-        self.index = HashIndex(CACHE_WORDS)
+        self.index = HashIndex(1 << 17)  # grows as needed
         self._clear()
 
     def _clear(self) -> None:
@@ -118,7 +123,7 @@ class Vocabulary:
     def walk(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each word of a sorted list: a depth-first walk of its trie."""
         last: list[str] = [""]  # last[i]: last piece of the encoding of the first i characters
-        before, longest, ids, follows = "", self.longest, self.ids, self.follows
+        before, lengths, ids, follows = "", self.lengths_by_end, self.ids, self.follows
         for word in words:
             n = min(len(word), len(before))
             same = 0
@@ -126,15 +131,20 @@ class Vocabulary:
                 same += 1
             del last[same + 1:]
             for end in range(same + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                for n in lengths.get(word[end - 2:end], ()) if end > 1 else ():
+                    start = end - n
+                    if start < 0:
+                        continue
                     p = word[start:end]
-                    if (end - start == 1 or p in ids) and self._is_whole(p):
+                    if p in ids and self._is_whole(p):
                         if not start:
                             break
                         a = last[start]
                         ok = follows.get((a, p))
                         if ok or ok is None and self._may_follow(a, p):
                             break
+                else:  # no longer piece may stand here
+                    p = word[end - 1]
                 last.append(p)
             before = word
             out, end = [], len(word)
@@ -171,8 +181,10 @@ class Vocabulary:
         new[edges[:-1]] = True
         start = np.flatnonzero(new)
         length = np.diff(start, append=len(text))
-        if self.index.size > CACHE_WORDS or len(self.follows) > CACHE_PAIRS:
+        if self.index.size > CACHE_WORDS:
             self._clear()
+        if len(self.follows) > CACHE_PAIRS:
+            self.follows.clear()
         h = run_hashes(text, start, length)
         at = self.index.find(h)
         missing = np.flatnonzero(at < 0)
