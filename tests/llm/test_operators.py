@@ -151,7 +151,9 @@ def test_decontamination_brute_force(spark, docs_of):
     got = {(r.doc_id, r.item_id) for r in find_leaks(docs_of(rows), bench, shard_items=17).collect()}
     low = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     sh = lambda w: {tuple(w[i:i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)} if w else set()
-    want = {(d, i) for d, t in rows for i, x in items if sh(low(x)) and len(sh(low(x)) & sh(low(t))) >= 0.8 * len(sh(low(x)))}
+    held = lambda x, t: len(sh(low(x))) and len(sh(low(x)) & sh(low(t))) >= 0.8 * len(sh(low(x)))
+    first = lambda x: (x or "").strip().partition("\n")[0]
+    want = {(d, i) for d, t in rows for i, x in items if held(x, t) or len(low(first(x))) >= 12 and held(first(x), t)}
     assert got == want and (500, 54) in want
     assert find_leaks(docs_of(rows), bench.limit(0)).count() == 0
 
@@ -169,6 +171,18 @@ def test_leaks_whose_parts_stand_apart(spark, docs_of):
         assert {(r.doc_id, r.item_id) for r in find_leaks(docs_of(rows), bench, shard_items=shard_items).collect()} == want
 
 
+def test_a_question_without_its_answer_and_an_answer_without_its_question(spark, docs_of):
+    from riskflow.llm.decontaminate import find_leaks
+
+    item = lambda n, name: " ".join(f"{name}{i}" for i in range(n))
+    bench = spark.createDataFrame([(1, item(20, "q") + "\n" + item(6, "a")), (2, item(11, "s") + "\n" + item(30, "b")),
+                                   (3, item(4, "t") + "\n" + item(30, "c"))], "item_id long, text string")
+    rows = [(10, "x " + item(20, "q") + " y"), (11, item(6, "a")), (12, item(11, "s")), (13, item(4, "t") + " " + item(30, "b")),
+            (14, " ".join(item(20, "q").split()[:17])), (15, " ".join(item(20, "q").split()[:16]))]
+    got = {(r.doc_id, r.item_id, round(r.question_overlap, 2), round(r.answer_overlap, 2)) for r in find_leaks(docs_of(rows), bench).collect()}
+    assert got == {(10, 1, 1.0, 0.0), (14, 1, 0.81, 0.0)}  # 16 question shingles: 13 suffice, 12 do not; 11 words are no question
+
+
 def test_pieces_equal_the_model_and_decode(spark, docs_of):
     import sentencepiece
 
