@@ -184,50 +184,6 @@ def parse_indicators(df: DataFrame, text: str = "indicator") -> DataFrame:
               .withColumn("value", F.when(is_num, val.cast("double"))))
 
 
-def unpivot(df: DataFrame, id_col: str, features: list[str]) -> DataFrame:
-    """Long form ``(id, feature, actual)`` of numeric features (``stack``)."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
-    return df.selectExpr(f"`{id_col}`", f"stack({len(features)}, {pairs}) AS (feature, actual)")
-
-
-def check_status(op: Column, actual: Column, value: Column) -> Column:
-    """RU-8: present / absent for the six operators, unknown when the value is missing."""
-    res = (F.when(op == ">=", actual >= value).when(op == ">", actual > value)
-            .when(op == "<=", actual <= value).when(op == "<", actual < value)
-            .when(op == "==", actual == value).when(op == "!=", actual != value))
-    return (F.when(actual.isNull(), "unknown")
-             .when(res.isNull(), "unknown").when(res, "present").otherwise("absent"))
-
-
-def evaluate_checks(features: DataFrame, assignments: DataFrame, checks: DataFrame,
-                    id_col: str = "txn_id", feature_cols: list[str] | None = None) -> DataFrame:
-    """RU-8 / JN-8: ``assignments`` (txn_id, pattern_id) x ``checks`` (pattern_id,
-    check_id, check_type, feature, operator, value) -> one status row per
-    transaction and check.  Features are unpivoted and equi-joined on
-    (txn_id, feature); manual checks stay manual, unknown features unknown."""
-    feature_cols = feature_cols or [c for c, t in features.dtypes
-                                    if t in ("int", "bigint", "double", "float") and c != id_col]
-    longf = unpivot(features, id_col, feature_cols)
-    known = F.col("feature").isin(feature_cols)
-    j = assignments.join(checks, "pattern_id")
-    j = j.join(longf, [id_col, "feature"], "left")
-    status = (F.when(F.col("check_type") == "manual", "manual")
-               .when(~known | F.col("feature").isNull(), "unknown")
-               .otherwise(check_status(F.col("operator"), F.col("actual"), F.col("value"))))
-    return j.withColumn("status", status)
-
-
-def check_summary(statuses: DataFrame, id_col: str = "txn_id") -> DataFrame:
-    """AG-26: counts by status per transaction (pivot with fixed values) and a
-    fit verdict: strong (>= 60% of checkable present), partial (> 0), none."""
-    p = (statuses.groupBy(id_col).pivot("status", ["present", "absent", "manual", "unknown"])
-                 .agg(F.count(F.lit(1))).fillna(0))
-    checkable = F.col("present") + F.col("absent")
-    share = F.col("present") / F.nullif(checkable, F.lit(0))
-    return p.withColumn("verdict", F.when(share >= 0.6, "strong").when(share > 0, "partial")
-                        .otherwise("none"))
-
-
 def auto_check(feature: Column, value: Column) -> Column:
     """RU-10: rule-based status for a (feature name, raw value) driver:
     1h count >= 5, 24h count >= 20, gap < 60 s, |z| >= 3, amount >= 500,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskflow import bindings as B
 from riskflow.functions import cases as C
+from riskflow.operators import checks as CH
 from riskflow.operators import evaluate as EV
 from riskflow.operators import library as L
 from riskflow.operators import models as M
@@ -87,7 +88,7 @@ def q_latency(spark, sf):
     return per.agg(F.avg("total").alias("avg_latency_ms"), F.count(F.lit(1)).alias("n_runs"))
 
 
-@register("fit_verdicts", ops=("PF-23", "PF-25"), sql="""
+@register("fit_verdicts", ops=("PF-23",), sql="""
 SELECT conv_id, turn,
        CASE WHEN contains(lower(text), 'none actually fits') OR contains(lower(text), 'no pattern from the library matches')
                  OR contains(lower(text), 'none of the retrieved') THEN 'no_fit'
@@ -95,9 +96,9 @@ SELECT conv_id, turn,
                  AND NOT contains(substr(lower(text), 1, 200), 'none') THEN 'strong'
             WHEN contains(lower(text), 'partially matches') THEN 'partial' ELSE 'no_fit' END AS verdict,
        length(text) AS n_chars
-FROM conversations WHERE role = 'assistant'""")
+FROM conversations""")
 def q_fit_verdicts(spark, sf):
-    conv = B.table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    conv = B.table(spark, sf, "conversations")
     return conv.select("conv_id", "turn", C.fit_verdict("text").alias("verdict"),
                        F.length("text").alias("n_chars"))
 
@@ -141,16 +142,15 @@ def q_indicator_checks(spark, sf):
     """Case indicators parsed into checks; every transaction is assigned the
     case whose id is its card modulo the number of cases, and its
     checks are evaluated against the transaction's features; summary per
-    transaction (rows-only: the assignment is an arbitrary binding)."""
+    transaction (rows-only: the assignment is an arbitrary binding; the given
+    documents hold no clauses, ``pattern_checks`` reaches every status)."""
     cases = L.case_library(B.table(spark, sf, "documents"))
-    checks = R.parse_indicators(L.pair_lists(cases).select(
-        F.col("case_id").alias("pattern_id"), F.col("pos").alias("check_id"), "indicator"))
-    f = _feat(spark, sf)
-    n_cases = cases.count()
+    checks = CH.compile_checks(L.pair_lists(cases).select(
+        F.col("case_id").alias("pattern_id"), F.col("pos").alias("check_id"), "indicator"), M.MODEL_FEATURES, M.CATEGORICAL)
     # document ids are dense 0..n-1 in the driver tables
-    assign = f.select("txn_id", F.pmod(F.col("card"), F.lit(n_cases)).alias("pattern_id"))
-    st = R.evaluate_checks(f, assign, checks)
-    return R.check_summary(st)
+    rows = _feat(spark, sf).withColumn("pattern_id", F.pmod(F.col("card"), F.lit(cases.count())))
+    st = CH.evaluate(rows, checks.where("indicator is not null"), M.MODEL_FEATURES, M.CATEGORICAL)
+    return CH.check_summary(st).select("txn_id", *CH.STATUSES, F.col("tier").alias("verdict"))
 
 
 @register("parse_indicators", ops=("RU-7",), sql=f"""WITH {CASES_CTE}
@@ -170,13 +170,6 @@ def q_parse_indicators(spark, sf):
     return p.select("case_id", "pos", "check_type", "feature", "operator", "value")
 
 
-@register("driver_checklist", ops=("RU-9", "RU-10", "S16", "S18"))
-def q_checklist(spark, sf):
-    f = _feat(spark, sf).filter(F.col("score") >= 0.6)
-    a = M.attribute(f, _fixed_explainer(_feat(spark, sf)), k=8)
-    return INC.driver_checklist(a)
-
-
 # ----------------------------------------------------------------------------- O-1 / O-2
 @register("fingerprint_recompute", ops=("O-1", "JN-5"))
 def q_fingerprint(spark, sf):
@@ -230,13 +223,13 @@ def q_csv(spark, sf):
 
 @register("nested_stats_json", ops=("IO-6", "IO-9"), sql="""
 SELECT CAST(conv_id AS VARCHAR) AS pattern_id, 'conversation_' || conv_id AS pattern, count(*) AS n_queries
-FROM conversations WHERE role = 'user' GROUP BY conv_id""")
+FROM conversations GROUP BY conv_id""")
 def q_nested_json(spark, sf):
-    """One nested record per conversation (a struct holding its user texts as
+    """One nested record per conversation (a struct holding its texts as
     a query list - bounded by the conversation) written as JSON, read back
     with a declared schema and flattened (explode) to (pattern_id, pattern,
     query)."""
-    conv = B.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    conv = B.table(spark, sf, "conversations")
     per = conv.groupBy("conv_id").agg(F.collect_list("text").alias("queries"))
     rec = per.select(F.array(F.struct(F.col("conv_id").cast("string").alias("pattern_id"),
                                       F.concat(F.lit("conversation_"), F.col("conv_id")).alias("pattern"),
@@ -293,18 +286,18 @@ def q_cum_share(spark, sf):
 
 @register("keyword_exclude", ops=("PF-24", "X-8"), sql=f"""
 SELECT conv_id, turn FROM conversations
-WHERE role = 'user' AND NOT coalesce(regexp_matches(lower(text), 'fraud|scam|stolen card|phishing|chargeback'), false)""")
+WHERE NOT coalesce(regexp_matches(lower(text), 'fraud|scam|stolen card|phishing|chargeback'), false)""")
 def q_keyword_exclude(spark, sf):
-    conv = B.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    conv = B.table(spark, sf, "conversations")
     return C.keyword_exclude(conv, "text", ["fraud", "scam", "stolen card", "phishing", "chargeback"]) \
             .select("conv_id", "turn")
 
 
 @register("escape_dollars", ops=("PF-25",), sql=feat_query("""
 SELECT txn_id, replace(printf('Amount $%.2f flagged', amount), '$', '\\$') AS text
-FROM feat WHERE score >= 0.6"""))
+FROM feat"""))
 def q_escape(spark, sf):
     """(The oracle's plain replace equals the look-behind rule here: the texts
     hold no already-escaped dollar.)"""
-    f = _feat(spark, sf).filter(F.col("score") >= 0.6)
+    f = _feat(spark, sf)
     return f.select("txn_id", C.escape_dollars(F.format_string("Amount $%.2f flagged", F.col("amount"))).alias("text"))

@@ -109,7 +109,8 @@ BASELINE_CHECKS = [
 def driver_checklist(attributions: DataFrame, k: int = 5, id_col: str = "txn_id") -> DataFrame:
     """RU-9: drivers kept when |shap| >= 0.05 and shap >= -0.3 (S18), the first
     ``k``; question by feature, else by family; status from the auto check when
-    the rule has one, else manual; plus three manual baseline checks per row.
+    the rule has one, else manual; the driver's value and what it does to the
+    score; plus three manual baseline checks per row.
     The question tables are fixed and tiny (broadcast)."""
     spark = attributions.sparkSession
     d = attributions.select(id_col, F.posexplode("top_drivers").alias("pos", "d")).select(
@@ -124,13 +125,16 @@ def driver_checklist(attributions: DataFrame, k: int = 5, id_col: str = "txn_id"
     d = d.join(fq, "feature", "left").join(gq, "family", "left")
     has_auto = F.col("fq").isNotNull() | F.col("family").isin(*AUTO_FAMILIES)
     status = F.when(has_auto, auto_check(F.col("feature"), F.col("value_raw"))).otherwise("manual")
+    effect = F.when(F.col("shap") > 0, "raises the score").otherwise("lowers the score")
     checks = d.select(id_col, "rank", "feature", F.coalesce("fq", "gq",
                       F.concat(F.lit("Review "), F.replace("feature", F.lit("_"), F.lit(" ")))).alias("question"),
-                      status.alias("status"), F.lit("Model-driven check").alias("category"))
+                      effect.alias("rationale"), status.alias("status"), F.col("value_raw").cast("double").alias("actual_value"),
+                      F.lit("Model-driven check").alias("category"))
     base = attributions.select(id_col, F.posexplode(F.array(*[F.lit(q) for q in BASELINE_CHECKS]))
                                .alias("i", "question")).select(
         id_col, (F.lit(100) + F.col("i")).alias("rank"), F.lit(None).cast("string").alias("feature"),
-        "question", F.lit("manual").alias("status"), F.lit("Baseline check").alias("category"))
+        "question", F.lit("asked for every flagged transaction").alias("rationale"), F.lit("manual").alias("status"),
+        F.lit(None).cast("double").alias("actual_value"), F.lit("Baseline check").alias("category"))
     return checks.unionByName(base)
 
 

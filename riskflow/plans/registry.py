@@ -81,6 +81,7 @@ def load_all() -> dict[str, Entry]:
     """Import every query module so their decorators run."""
     from riskflow.plans import (  # noqa: F401
         aggregate_queries,
+        check_queries,
         rule_queries,
         stream_queries,
         vector_queries,
