@@ -107,6 +107,8 @@ def _chains(batches: Iterator[pa.RecordBatch]):
 def _equal(x: np.ndarray, y: np.ndarray) -> int:
     """Words at the start of both that are equal."""
     n, at = min(len(x), len(y)), 0
+    if n and x[0] != y[0]:
+        return 0
     while at < n:
         diff = np.flatnonzero(x[at:min(n, at + CONTEXT)] != y[at:min(n, at + CONTEXT)])
         if len(diff):
@@ -131,9 +133,10 @@ def _walk(a: np.ndarray, b: np.ndarray, x: int, y: int) -> list[tuple[int, int,
     return out
 
 
-def _aligned(wa: np.ndarray, wb: np.ndarray, spans) -> list[list[tuple[int, int, int, int]]]:
+def _aligned(wa: np.ndarray, wb: np.ndarray, sa: np.ndarray, sb: np.ndarray, spans) -> list[list[tuple[int, int, int, int]]]:
     """Chains of equal runs in the order of both texts: the runs on the spans'
-    diagonals and those that lie between and around them past edits."""
+    diagonals and those that lie between and around them past edits
+    (``sa``, ``sb``: the texts' shingles)."""
     runs, done = set(), {}
     for s, e, ks, ke in sorted(spans):
         if e <= done.get(ks - s, 0):
@@ -141,26 +144,35 @@ def _aligned(wa: np.ndarray, wb: np.ndarray, spans) -> list[list[tuple[int, int,
         left, right = _equal(wa[:s][::-1], wb[:ks][::-1]), _equal(wa[e:], wb[ke:])
         s, e, ks, ke = s - left, e + right, ks - left, ke + right
         done[ks - s] = e
-        same = np.concatenate([[False], wa[s:e] == wb[ks:ke], [False]]).astype(np.int8)
+        same = wa[s:e] == wb[ks:ke]
+        if same.all():
+            runs.add((s, e, ks, ke))
+            continue
+        same = np.concatenate([[False], same, [False]]).astype(np.int8)
         for lo, hi in np.flatnonzero(np.diff(same)).reshape(-1, 2).tolist():
             if hi - lo >= SHINGLE:
                 runs.add((s + lo, s + hi, ks + lo, ks + hi))
-    chains, recent = [], []
+    chains, near = [], {}  # near: chains by the diagonal of their last run, in strips of REACH + 1
     for s, e, ks, ke in sorted(runs):
-        recent = [c for c in recent if s - c[-1][1] <= GAP]
-        best = None
-        for c in recent:
-            shift = abs((s - ks) - (c[-1][0] - c[-1][2]))
-            cut = max(c[-1][1] - s, c[-1][3] - ks, 0)
-            if shift <= REACH and e - s - cut >= SHINGLE and (best is None or shift < best[0]):
-                best = shift, cut, c
+        strip, best = (s - ks) // (REACH + 1), None
+        for i in sorted({i for d in (strip - 1, strip, strip + 1) for i in near.get(d, ())}):
+            at, before, kat, kbefore = chains[i][-1]
+            shift = abs((s - ks) - (at - kat))
+            if s - before > GAP or shift > REACH or best is not None and shift >= best[0]:
+                continue
+            cut = max(before - s, kbefore - ks, 0)
+            if e - s - cut >= SHINGLE:
+                best = shift, cut, i
         if best:
-            best[2].append((s + best[1], e, ks + best[1], ke))
+            _, cut, i = best
+            chains[i].append((s + cut, e, ks + cut, ke))
         else:
+            i = len(chains)
             chains.append([(s, e, ks, ke)])
-            recent.append(chains[-1])
+        held = near.setdefault(strip, [])
+        held[:] = [j for j in held if s - chains[j][-1][1] <= GAP and j != i] + [i]
     out = []
-    sa, sb, edge = shingles(wa, SHINGLE), shingles(wb, SHINGLE), SHINGLE - 1
+    edge = SHINGLE - 1
     for c in chains:
         full, x, y = [], 0, 0
         for n, (s, e, ks, ke) in enumerate(c):
@@ -224,19 +236,21 @@ def _inner(s: int, e: int, n: int, min_words: int) -> tuple[int, int]:
     return s + (min_words - ANCHOR if s else 0), e - (min_words if e < n else ANCHOR)
 
 
-def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) -> list[tuple]:
+def _verified(a: int, b: int, wa, wb, sa, sb, spans, min_words: int, overlap: float) -> list[tuple]:
     """Result rows of the passages of one pair that hold."""
     out = set()
 
     def add(s, e, ks, ke):
-        share = _share(wa, wb, s, e, ks, ke)
+        equal = e - s == ke - ks and bool((wa[s:e] == wb[ks:ke]).all())
+        share = 1.0 if equal else _share(wa, wb, s, e, ks, ke)
         if share >= overlap:
-            equal = e - s == ke - ks and bool((wa[s:e] == wb[ks:ke]).all())
             out.add((a, s, e, b, ks, share) + (_inner(s, e, len(wa), min_words) if equal else (None, None)))
         return share >= overlap
 
-    for chain in _aligned(wa, wb, spans):
+    for chain in _aligned(wa, wb, sa, sb, spans):
         whole = (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3])
+        if whole[1] - whole[0] < min_words - 2 * END:  # too short with any ends
+            continue
         if whole[1] - whole[0] >= min_words and add(*whole):
             continue
         for span in _maximal(chain, overlap):
@@ -252,12 +266,20 @@ def _verified(a: int, b: int, wa, wb, spans, min_words: int, overlap: float) ->
 
 def _verifier(min_words: int, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]):
+        last = None
         for batch in batches:
             out = []
-            for a, b, spans, x, y in zip(*(batch.column(c) for c in ("id", "kid", "spans", "wa", "wb"))):
+            spans = batch.column("spans")
+            ends = spans.offsets.to_numpy().tolist()
+            flat = spans.values
+            parts = np.stack([flat.field(c).to_numpy() for c in ("s", "e", "ks", "ke")], axis=1).tolist()
+            ids, kids = (batch.column(c).to_pylist() for c in ("id", "kid"))
+            for n, (x, y) in enumerate(zip(batch.column("wa"), batch.column("wb"))):
                 wa, wb = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                parts = {(r["s"], r["e"], r["ks"], r["ke"]) for r in spans.as_py()}
-                out += _verified(a.as_py(), b.as_py(), wa, wb, parts, min_words, overlap)
+                if kids[n] != last:  # rows of one keeper follow each other
+                    last, sb = kids[n], shingles(wb, SHINGLE)
+                each = {tuple(r) for r in parts[ends[n]:ends[n + 1]]}
+                out += _verified(ids[n], kids[n], wa, wb, shingles(wa, SHINGLE), sb, each, min_words, overlap)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[c] for r in out], t) for c, t in enumerate([pa.int64()] * 5 + [pa.float64()] + [pa.int64()] * 2)],
                 names=["doc_id", "start_word", "end_word", "keep_doc_id", "keep_start_word", "similarity", "inner_from", "inner_to"])
@@ -305,7 +327,7 @@ def _full_runs(min_words: int):
 
 
 def _only(held: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id a bitmap of ``ids`` marks, before any exchange."""
+    """Rows whose first column a bitmap of ``ids`` marks, before any exchange."""
     needed = held.sparkSession.sparkContext.broadcast(bitmap(ids.distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -358,7 +380,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id is not null")
     anchors = materialize(src.mapInArrow(_anchors(min_words), "key bigint, id bigint, pos int"), "pg-anchors")
     shared = anchors.groupBy("key").agg(F.min("id").alias("kid"), F.max("id").alias("last")).where("kid <> last").select("key", "kid")
-    hits = materialize(anchors.join(shared, "key"), "pg-hits")
+    shared = materialize(shared, "pg-shared")
+    hits = materialize(_only(anchors, shared.select("key")).join(shared, "key"), "pg-hits")  # most keys stay in one document
     places = hits.where("id = kid").groupBy("key").agg(F.min("pos").alias("kpos"))
     pairs = hits.where("id <> kid").join(places, "key").select("id", "kid", "pos", "kpos")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
