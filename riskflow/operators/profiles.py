@@ -132,10 +132,10 @@ def history_for(df: DataFrame, keys: DataFrame, key: str = "card") -> DataFrame:
 
 
 def context_window(df: DataFrame, targets: DataFrame, key: str = "card", before: int = 50,
-                   t: str = "t", id_col: str = "txn_id", split_seconds: int | None = 86400) -> DataFrame:
+                   t: str = "t", id_col: str = "txn_id", split_seconds: int | str | None = "rows") -> DataFrame:
     """JN-9: for each target row, the rows of its key up to ``before`` positions
-    earlier (and itself).  Rows are numbered per key (skew-safe: per time
-    bucket plus offsets), then range-joined on ``rn between r - before and r``
+    earlier (and itself).  Rows are numbered per key (skew-safe: per range of
+    rows plus offsets), then range-joined on ``rn between r - before and r``
     as an equi join on (key, rn bin) with bins of ``before + 1`` rows: a target
     meets only the two bins its range can touch, never all rows of its key."""
     from riskflow.operators.windows import row_numbers
@@ -146,6 +146,6 @@ def context_window(df: DataFrame, targets: DataFrame, key: str = "card", before:
                    .select(F.col(id_col).alias("target_id"), F.col(key).alias("_k"), F.col("rn").alias("_r")))
     tgt = tgt.withColumn("_bin", F.explode(F.array_distinct(F.array(
         F.floor((F.col("_r") - before) / width), F.floor(F.col("_r") / width)))))
-    j = numbered.join(tgt, (numbered[key] == tgt["_k"]) & (numbered["_bin"] == tgt["_bin"])
+    j = numbered.join(tgt, numbered[key].eqNullSafe(tgt["_k"]) & (numbered["_bin"] == tgt["_bin"])
                       & numbered["rn"].between(tgt["_r"] - before, tgt["_r"]), "inner")
     return j.withColumn("offset", F.col("_r") - F.col("rn")).drop("_k", "_r", "_bin")

@@ -244,21 +244,24 @@ def islands(df: DataFrame, key: str, gap: int, t: str = "t", id_col: str = "txn_
     the key is more than ``gap`` seconds earlier.  Adds ``island_start`` (the
     start time, with the key it identifies the island).
 
-    ``split_seconds`` partitions by ``(key, floor(t / split))``: the previous
-    row across a bucket edge and the island start carried over from earlier
-    buckets come from a per-bucket table, so a hot key is many tasks."""
+    ``split_seconds`` partitions by ``(key, floor(t / split))`` over the key's
+    seconds (rows of one second share their island), so a bucket holds at most its
+    seconds; the previous second across a bucket edge and the island start carried
+    over from earlier buckets come from a per-bucket table."""
     if split_seconds is None:
         w = Window.partitionBy(key).orderBy(t, id_col)
         prev = F.lag(t).over(w)
         x = df.withColumn("_start", F.when(prev.isNull() | (F.col(t) - prev > gap), F.col(t)))
         return x.withColumn("island_start", F.max("_start").over(
             w.rowsBetween(Window.unboundedPreceding, 0))).drop("_start")
-    b = F.floor(F.col(t) / int(split_seconds))
-    x = df.withColumn("_ib", b)
+    seconds = df.select(F.col(key).alias("_ik"), F.col(t).alias("_it")).distinct()
+    x = seconds.withColumn("_ib", F.floor(F.col("_it") / int(split_seconds)))
+    rows, key_, t_ = df, key, t
+    key, t = "_ik", "_it"
     per = x.groupBy(key, "_ib").agg(F.max(t).alias("_bmax"), F.min(t).alias("_bmin"))
     wb = Window.partitionBy(key).orderBy("_ib")
     per = per.withColumn("_prev_max", F.lag("_bmax").over(wb))
-    w = Window.partitionBy(key, "_ib").orderBy(t, id_col)
+    w = Window.partitionBy(key, "_ib").orderBy(t)
     x = x.join(per.select(key, "_ib", "_prev_max"), [key, "_ib"], "left")
     prev = F.coalesce(F.lag(t).over(w), F.col("_prev_max"))
     x = x.withColumn("_start", F.when(prev.isNull() | (F.col(t) - prev > gap), F.col(t)))
@@ -268,8 +271,8 @@ def islands(df: DataFrame, key: str, gap: int, t: str = "t", id_col: str = "txn_
     last = last.withColumn("_carry", F.max("_blast").over(
         wb.rowsBetween(Window.unboundedPreceding, -1)))
     x = x.join(last.select(key, "_ib", "_carry"), [key, "_ib"], "left")
-    return (x.withColumn("island_start", F.coalesce("_in_start", "_carry"))
-             .drop("_ib", "_prev_max", "_start", "_in_start", "_carry"))
+    x = x.select(key, t, F.coalesce("_in_start", "_carry").alias("island_start"))
+    return rows.join(x, (F.col(key_) == F.col(key)) & (F.col(t_) == F.col(t))).drop(key, t)
 
 
 def coordinated_clusters(df: DataFrame, min_score: float = 0.6, min_size: int = 3,

@@ -56,7 +56,7 @@ def scaled_windows(feats: DataFrame, model_means, model_stds, features=SEQ_FEATU
     first step)."""
     step = F.array(*[((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - m) / s)
                      for c, m, s in zip(features, model_means, model_stds)])
-    x = rolling_lists(feats, key, step, n, t, id_col, split_seconds=86400, name="_seq")
+    x = rolling_lists(feats, key, step, n, t, id_col, name="_seq")
     if complete_only:
         x = x.filter(F.size("_seq") == n)
     else:

@@ -4,11 +4,15 @@ last-n / top-k per group, fixed-length sequences (WN-1..WN-11, H1).
 All frames are declared with ``Window`` so Catalyst collapses frames that share
 partition and order keys into one ``Window`` node behind one exchange.
 
-Skew: a key (card) may hold a third of all rows.  Plain ``partitionBy(key)``
-makes that key one task.  The ``split_seconds`` forms partition by
-``(key, floor(t / split))`` instead and make every bucket self-sufficient:
-
-* RANGE frames (velocity): each row is also copied, as narrow context, into
+Skew: a key (card) may hold a third of all rows, all in one hour.  Plain
+``partitionBy(key)`` makes that key one task.  The ``split_seconds`` forms
+partition by (key, bucket) instead and make every bucket self-sufficient.  A
+bucket is a time range or, with ``ROWS``, a range of consecutive rows of about
+equal number (``row_ranges``), so a burst is cut too:
+
+* RANGE frames (velocity): windows are whole seconds, so rows first collapse to
+  one per key and second; a (key, bucket) then holds at most its seconds, however
+  many rows arrive in them.  Each second is also copied, as narrow context, into
   the ceil(W / split) following buckets, so every frame lies inside one
   (key, bucket) partition.
 * running aggregates (prior profile): (n, mean, M2) per bucket are merged in
@@ -22,10 +26,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.session import materialize
+
+ROWS = "rows"  # split by ranges of consecutive rows
+
 # The reference's rolling windows (label -> seconds).
 DEFAULT_WINDOWS = {"1h": 3600, "24h": 86400, "7d": 604800}
 
 
+def row_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` dealt to ranges of consecutive rows in ``order`` and written once,
+    with the range's number: a key that leads the order is cut wherever its rows
+    exceed a partition's share, whatever their times."""
+    return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("long")), "row-ranges")
+
+
 def _velocity_cols(w, windows: dict, prefix: str, id_col: str, amount: str) -> list[Column]:
     cols = []
     for label, sec in windows.items():
@@ -45,9 +60,9 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
     ``RANGE [-W, -1]`` seconds (same-second peers excluded, S1) and seconds
     since the previous row (-1 when first; ties broken by ``id_col``, S2).
 
-    ``split_seconds`` enables the skew-safe bucketed plan (any bucket size:
-    each row is also copied, narrow, into the ceil(W / split) later buckets its
-    windows can reach).
+    ``split_seconds`` enables the skew-safe plan: one row per key and second,
+    time buckets of any size (each second is also copied, narrow, into the
+    ceil(W / split) later buckets its windows can reach), joined back.
     """
     windows = windows or DEFAULT_WINDOWS
     prefix = prefix or key
@@ -63,38 +78,44 @@ def velocity(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amou
 
     span = int(split_seconds)
     reach = -(-max(windows.values()) // span)          # buckets a window can look back
-    b = F.floor(F.col(t) / span)
-    orig = df.withColumn("_vb", b).withColumn("_ctx", F.lit(False))
-    # narrow context copies of each row into the `reach` following buckets
-    ctx = (df.select(key, t, amount, id_col, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_o"))
-             .withColumn("_vb", b + F.col("_o")).drop("_o")
-             .withColumn("_ctx", F.lit(True)))
-    both = orig.unionByName(ctx, allowMissingColumns=True)
-    w = Window.partitionBy(key, "_vb").orderBy(F.col(t))
-    wl = Window.partitionBy(key, "_vb").orderBy(F.col(t), F.col(id_col))
-    out = (both.select("*", (F.col(t) - F.lag(t).over(wl)).alias("_gap"))
-               .select("*", *_velocity_cols(w, windows, prefix, id_col, amount))
-               .filter(~F.col("_ctx")))
-    # last time of the previous non-empty bucket, from a table of (key, bucket) rows
-    per_bucket = df.groupBy(key, b.alias("_vb")).agg(F.max(t).alias("_bmax"))
-    prev = per_bucket.select(F.col(key).alias("_pk"), F.col("_vb").alias("_pb"), F.lag("_bmax").over(
-        Window.partitionBy(key).orderBy("_vb")).alias("_prev_t"))
-    out = out.join(prev, F.col(key).eqNullSafe(F.col("_pk")) & (F.col("_vb") == F.col("_pb")), "left").drop("_pk", "_pb")
+    sec = df.groupBy(F.col(key).alias("_k"), F.col(t).alias("_t")).agg(
+        F.count(id_col).alias("_c"), F.sum(amount).alias("_s"), F.max(amount).alias("_m"), F.min(id_col).alias("_first"))
+    sec = sec.withColumn("_vb", F.floor(F.col("_t") / span))
+    # narrow context copies of each second into the `reach` following buckets
+    ctx = (sec.select("_k", "_t", "_c", "_s", "_m", "_vb", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_o"))
+           .withColumn("_vb", F.col("_vb") + F.col("_o")).drop("_o").withColumn("_ctx", F.lit(True)))
+    both = sec.withColumn("_ctx", F.lit(False)).unionByName(ctx, allowMissingColumns=True)
+    w = Window.partitionBy("_k", "_vb").orderBy("_t")
+    cols = []
+    for label, secs in windows.items():
+        wf = w.rangeBetween(-int(secs), -1)
+        cols += [F.coalesce(F.sum("_c").over(wf), F.lit(0)).alias(f"{prefix}_txn_count_{label}"),
+                 F.coalesce(F.sum("_s").over(wf), F.lit(0.0)).alias(f"{prefix}_amt_sum_{label}"),
+                 F.coalesce(F.max("_m").over(wf), F.lit(0.0)).alias(f"{prefix}_amt_max_{label}")]
+    seen = both.select("_k", "_t", "_vb", "_first", "_ctx", (F.col("_t") - F.lag("_t").over(w)).alias("_gap"), *cols).filter(~F.col("_ctx"))
+    # last second of the previous non-empty bucket, from a table of (key, bucket) rows
+    per_bucket = sec.groupBy(F.col("_k").alias("_pk"), F.col("_vb").alias("_pb")).agg(F.max("_t").alias("_bmax"))
+    prev = per_bucket.select("_pk", "_pb", F.lag("_bmax").over(Window.partitionBy("_pk").orderBy("_pb")).alias("_prev_t"))
+    seen = seen.join(prev, F.col("_k").eqNullSafe(F.col("_pk")) & F.col("_vb").eqNullSafe(F.col("_pb")), "left")
+    out = df.join(seen, F.col(key).eqNullSafe(F.col("_k")) & F.col(t).eqNullSafe(F.col("_t")))
     since = F.coalesce(F.col("_gap"), F.col(t) - F.col("_prev_t"), F.lit(-1).cast("long"))
-    return out.withColumn(since_name, since).drop("_vb", "_ctx", "_gap", "_prev_t")
+    since = F.when(F.col(id_col) == F.col("_first"), since).otherwise(F.lit(0).cast("long"))  # the others follow in its second
+    return out.withColumn(since_name, since).drop("_k", "_t", "_vb", "_first", "_ctx", "_gap", "_pk", "_pb", "_prev_t")
 
 
 def row_numbers(df: DataFrame, key: str, t: str = "t", id_col: str = "txn_id",
-                split_seconds: int | None = None, name: str = "rn") -> DataFrame:
+                split_seconds: int | str | None = None, name: str = "rn") -> DataFrame:
     """Exact 1-based position of each row within its key by (t, id).  With
-    ``split_seconds`` the numbering runs per (key, time bucket) and adds the
+    ``split_seconds`` the numbering runs per (key, bucket) and adds the
     row counts of the key's earlier buckets (a small per-bucket table), so a
-    hot key is numbered by many tasks."""
+    hot key is numbered by many tasks (``ROWS``: of about equal size)."""
     if split_seconds is None:
         w = Window.partitionBy(key).orderBy(F.col(t), F.col(id_col))
         return df.withColumn(name, F.row_number().over(w))
-    b = F.floor(F.col(t) / int(split_seconds))
-    x = df.withColumn("_rb", b)
+    if split_seconds == ROWS:
+        x = row_ranges(df, [key, t, id_col], "_rb")
+    else:
+        x = df.withColumn("_rb", F.floor(F.col(t) / int(split_seconds)))
     w = Window.partitionBy(key, "_rb").orderBy(F.col(t), F.col(id_col))
     cnt = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
@@ -122,7 +143,7 @@ def velocity_sql(windows: dict | None = None, key: str = "card", t: str = "t",
 
 def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str = "amount",
                   id_col: str = "txn_id", distinct_cols: tuple = ("channel", "addr"),
-                  prefix: str | None = None, split_seconds: int | None = None) -> DataFrame:
+                  prefix: str | None = None, split_seconds: int | str | None = None) -> DataFrame:
     """WN-11 (scope="prior", S3/S4): per key, mean / sample std / count and
     distinct counts of the strictly earlier rows (order ``t, id``).
 
@@ -130,8 +151,8 @@ def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str =
     earlier row.  z-score is 0 when std is 0.  The deviation comes from (n,
     mean, M2), which merges without cancellation: two parts have M2 = M2a + M2b +
     (meanb - meana)^2 na nb / n.  Distinct counts are running sums of
-    first-occurrence flags; with ``split_seconds`` everything is computed per
-    time bucket and merged with what earlier buckets hold, which keeps a hot key
+    first-occurrence flags; with ``split_seconds`` (or ``ROWS``) everything is
+    computed per bucket and merged with what earlier buckets hold, which keeps a hot key
     from being one task.  Rows with a null amount count but have no amount.
     """
     prefix = prefix or key
@@ -155,7 +176,9 @@ def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str =
     zero = lambda c: F.coalesce(c, F.lit(0))
     earlier = Window.unboundedPreceding, -1
     bucket = [key] if split_seconds is None else [key, "_pb"]
-    if split_seconds is not None:
+    if split_seconds == ROWS:
+        cur = row_ranges(cur, [key, t, id_col], "_pb")
+    elif split_seconds is not None:
         cur = cur.withColumn("_pb", F.floor(F.col(t) / int(split_seconds)))
     w = Window.partitionBy(*bucket).orderBy(F.col(t), F.col(id_col)).rowsBetween(*earlier)
     cur = cur.select("*", *[zero(F.sum(k).over(w)).alias(f"_cum{k}") for k in parts],
@@ -215,7 +238,7 @@ def top_k_per_group(df: DataFrame, key, k: int, order: list[Column]) -> DataFram
 
 def sequences(df: DataFrame, key: str, features: list[str], n: int = 10, t: str = "t",
               id_col: str = "txn_id", complete_only: bool = True,
-              split_seconds: int | None = 86400) -> DataFrame:
+              split_seconds: int | str | None = ROWS) -> DataFrame:
     """WN-5: rolling windows of the last ``n`` rows per key (current included),
     as ``array<array<double>>`` (skew-safe via ``rolling_lists``).
     ``complete_only`` keeps windows of size ``n``; otherwise WN-6 left-pads
@@ -233,7 +256,7 @@ def pad_sequence(seq: Column, n: int) -> Column:
 
 
 def rolling_lists(df: DataFrame, key: str, step: Column, n: int, t: str = "t", id_col: str = "txn_id",
-                  split_seconds: int | None = 86400, rows_per_bucket: int = 4096,
+                  split_seconds: int | str | None = ROWS, rows_per_bucket: int = 4096,
                   name: str = "seq") -> DataFrame:
     """WN-5: per row, the list of ``step`` values of its key's last ``n`` rows
     (current included), in (t, id) order.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskflow.functions.bands import decision, risk_band
 from riskflow.functions.features import email_features, time_features
 from riskflow.operators.profiles import attach_card_stats
-from riskflow.operators.windows import DEFAULT_WINDOWS, prior_profile, velocity
+from riskflow.operators.windows import DEFAULT_WINDOWS, ROWS, prior_profile, velocity
 
 
 AUTO = "auto"
@@ -29,8 +29,8 @@ def build_features(txn: DataFrame, scope: str = "global", split_seconds: int | s
     live-path semantics (S4).
 
     ``split_seconds`` (default: the longest window) partitions the per-card
-    windows by (card, time bucket), so a card holding a third of all rows is
-    still many tasks; ``None`` gives the single-exchange plan (one shuffle,
+    windows by (card, time bucket) over seconds, and running profiles by ranges
+    of rows, so a card holding a third of all rows in an hour is still many tasks; ``None`` gives the single-exchange plan (one shuffle,
     one sort, the profile on the same partitioning) for data without hot keys.
     """
     windows = windows or DEFAULT_WINDOWS
@@ -44,7 +44,7 @@ def build_features(txn: DataFrame, scope: str = "global", split_seconds: int | s
         # exchange); skew-split plan: partial aggregate + join (hot keys merge)
         df = attach_card_stats(df, how="window" if split_seconds is None else "join")
     elif scope == "prior":
-        df = prior_profile(df, split_seconds=split_seconds)
+        df = prior_profile(df, split_seconds=None if split_seconds is None else ROWS)
     else:
         raise ValueError("scope must be 'global' or 'prior'")
     return df.withColumn("risk_band", risk_band("score")).withColumn("decision", decision("score"))
