@@ -21,7 +21,7 @@ def keys_of(column) -> np.ndarray:
 
 
 def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bitmap of the one long column of ``keys``; at most 2^(bits - 6) words reach the driver."""
+    """Bitmap of the one long column of ``keys``; at most 2^(bits - 6) words (16 bytes each) reach the driver."""
     def run(batches):
         words = np.zeros(1 << (bits - 6), dtype=U64)
         for batch in batches:
@@ -31,8 +31,8 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(signed(words[full]))], names=["w", "b"])
 
     out = np.zeros(1 << (bits - 6), dtype=U64)
-    for r in keys.mapInArrow(run, "w bigint, b bigint").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect():
-        out[r["w"]] = r["b"] & (2 ** 64 - 1)
+    full = keys.mapInArrow(run, "w bigint, b bigint").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()  # columns, no rows
+    out[full.column("w").to_numpy()] = full.column("b").to_numpy().view(U64)
     return out
 
 
