@@ -1,14 +1,12 @@
 """Vector similarity: top-k cosine search, thresholded search, k-NN distance
 (JN-6, RT-3, RT-4, RT-5, OD-4, H4).
 
-All-pairs cosine is never materialised.  Queries and library are cut into
-blocks (by a hash of the id, so blocks are balanced); every (query block,
-library block) pair meets in one ``cogroup`` group, where a NumPy matrix
-product scores the pair and keeps only the per-query top-k of that block.
-A window over the k x (library blocks) candidates per query keeps the global
-top-k.  Work per group is bounded by the block sizes, nothing is broadcast,
-and the exchange carries each query ``library blocks`` times and each library
-row ``query blocks`` times.
+The library is cut into blocks around pivots; a query visits only blocks that
+the triangle inequality does not rule out.  Every (query block, library block)
+that meets does so in one ``cogroup`` group, where a NumPy matrix product scores
+it and keeps the first k of that block for each query (ties by library id); a
+window over these keeps the global top-k.  Work per group is bounded by the
+block sizes; nothing that grows with the data is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -29,6 +27,7 @@ BAND_EDGES = [(0.75, "Strongest match"), (0.50, "Strong match"), (0.25, "Moderat
 WEAK_BAND = "Weak match"
 
 _OUT_SCHEMA = "qid long, pid long, cos double"
+_SLACK = 1e-9  # rounding room of the bounds
 
 
 def _normalise(m: np.ndarray) -> np.ndarray:
@@ -36,61 +35,135 @@ def _normalise(m: np.ndarray) -> np.ndarray:
     return m / (n + 1e-9)
 
 
+def first_k(sims: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's ``k`` largest finite entries, ties to the first."""
+    kk = min(k, sims.shape[1])
+    kth = np.partition(sims, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk, None]
+    above, tied = sims > kth, sims == kth
+    keep = above | (tied & (np.cumsum(tied, axis=1) <= kk - above.sum(axis=1, keepdims=True)))
+    return keep & np.isfinite(sims)
+
+
 def _block_topk(k: int, exclude_self: bool, min_cos: float | None):
+    """At most ``k`` rows a query of one library block, ties by library id."""
     def fn(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({"qid": [], "pid": [], "cos": []})
-        qm = _normalise(np.stack(q["vec"].to_numpy()).astype(np.float64))
-        pm = _normalise(np.stack(p["vec"].to_numpy()).astype(np.float64))
-        qids = q["id"].to_numpy()
-        pids = p["id"].to_numpy()
-        out_q, out_p, out_c = [], [], []
-        step = max(1, 2_000_000 // max(len(p), 1))  # bound the score block in memory
-        for s in range(0, len(q), step):
-            sims = qm[s:s + step] @ pm.T
-            if exclude_self:
-                sims[qids[s:s + step, None] == pids[None, :]] = -np.inf
-            if min_cos is not None:
-                sims[sims < min_cos] = -np.inf
-            kk = min(k, sims.shape[1])
-            # k-th largest score per row; keep every entry at or above it, so a
-            # tie at the boundary is resolved later by library id, exactly
-            kth = np.partition(sims, sims.shape[1] - kk, axis=1)[:, sims.shape[1] - kk]
-            r, c = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
-            out_q.append(qids[s + r])
-            out_p.append(pids[c])
-            out_c.append(sims[r, c])
-        if not out_q:
-            return pd.DataFrame({"qid": [], "pid": [], "cos": []})
-        return pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
-                             "pid": np.concatenate(out_p).astype(np.int64),
-                             "cos": np.concatenate(out_c).astype(np.float64)})
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(q) and len(p):
+            p = p.sort_values("id")
+            qm, pm = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (q, p))
+            qids, pids = q["id"].to_numpy(), p["id"].to_numpy()
+            step = max(1, 2_000_000 // len(p))  # bound the score block in memory
+            for s in range(0, len(q), step):
+                sims = qm[s:s + step] @ pm.T
+                if exclude_self:
+                    sims[qids[s:s + step, None] == pids[None, :]] = -np.inf
+                if min_cos is not None:
+                    sims[sims < min_cos] = -np.inf
+                r, c = np.nonzero(first_k(sims, k))
+                out.append((qids[s + r].astype(np.int64), pids[c].astype(np.int64), sims[r, c]))
+        cols = [np.concatenate(x) for x in zip(*out)]
+        return pd.DataFrame(dict(zip(("qid", "pid", "cos"), cols)))
+    return fn
+
+
+def may_hold(distance: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
+    """(queries x blocks): whether a block can hold a row with a cosine of
+    ``floor`` or more, by the triangle inequality: no row of the block is nearer
+    than the pivot's distance less the block's radius, and the cosine of
+    vectors of length up to one is at most 1 - distance^2 / 2."""
+    nearest = np.maximum(distance - radius[None, :], 0.0)
+    return 1.0 - nearest * nearest / 2 >= floor[:, None] - _SLACK
+
+
+def _distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * m @ pivots.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _assigned(pivots: np.ndarray):
+    """Library rows as unit vectors with their nearest pivot and its distance."""
+    def fn(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            m = _normalise(np.stack(f["vec"].to_numpy()).astype(np.float64))
+            d = _distances(m, pivots)
+            own = d.argmin(axis=1)
+            yield pd.DataFrame({"id": f["id"], "vec": list(m), "block": own.astype(np.int64), "d": d[np.arange(len(m)), own]})
+    return fn
+
+
+def _visits(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, want: int, min_cos: float | None, second: bool):
+    """Blocks that a query goes to.  First: the nearest ones that together
+    hold ``want`` rows.  Second: all others that may hold a row as good as the
+    query's ``floor``, its k-th best so far (none yet: any row)."""
+    def fn(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            m = np.stack(f["vec"].to_numpy()).astype(np.float64)
+            m = m if second else _normalise(m)
+            d = _distances(m, pivots)
+            near = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(size[near], axis=1) - size[near]
+            home = np.zeros(d.shape, dtype=bool)
+            np.put_along_axis(home, near, before < want, axis=1)
+            go = home
+            if second:
+                floor = f["floor"].to_numpy(np.float64)
+                floor = np.where(np.isnan(floor), -2.0, floor)
+                go = ~home & may_hold(d, radius, np.maximum(floor, -2.0 if min_cos is None else min_cos))
+            yield pd.DataFrame({"id": f["id"], "vec": list(m), "blocks": [np.flatnonzero(g).astype(np.int64) for g in go]})
     return fn
 
 
 def top_k_cosine(queries: DataFrame, library: DataFrame, k: int, q_id: str = "vec_id",
                  q_vec: str = "embedding", p_id: str = "vec_id", p_vec: str = "embedding",
                  exclude_self: bool = False, min_cos: float | None = None,
-                 q_block_rows: int = 4096, p_block_rows: int = 16384) -> DataFrame:
+                 q_block_rows: int = 4096, p_block_rows: int = 16384, pivots: int = 64) -> DataFrame:
     """JN-6 + RT-3: for every query, the ``k`` library rows of highest cosine
     (ties by library id), optionally ``>= min_cos`` and excluding the same id.
-    Returns (qid, rank, pid, cos)."""
-    n_q = queries.count()
-    n_p = library.count()
-    nqb = max(1, -(-n_q // q_block_rows))
-    npb = max(1, -(-n_p // p_block_rows))
-    q = (queries.select(F.col(q_id).cast("long").alias("id"),
-                        F.col(q_vec).cast("array<double>").alias("vec"))
-                .withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nqb)))
-                .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(npb - 1)))))
-    p = (library.select(F.col(p_id).cast("long").alias("id"),
-                        F.col(p_vec).cast("array<double>").alias("vec"))
-                .withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(npb)))
-                .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-    cand = (q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb"))
-             .applyInPandas(_block_topk(k, exclude_self, min_cos), _OUT_SCHEMA))
+    Returns (qid, rank, pid, cos).
+
+    Exact without all pairs: library rows belong to the nearest of ``pivots``
+    library rows drawn by hash (what the driver holds: these and a radius and
+    size each).  A query first meets the nearest blocks that together hold k
+    rows; its k-th best cosine there rules out, by the triangle inequality, the
+    blocks that it never meets.  Blocks beyond ``p_block_rows`` are split by
+    id, and at most k rows a query leave a block."""
+    unit = "id long, vec array<double>"
+    rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("vec"))
+    p, q = rows(library, p_id, p_vec), rows(queries, q_id, q_vec)
+    drawn = p.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
+    if not drawn:
+        return queries.sparkSession.createDataFrame([], "qid long, rank int, pid long, cos double")
+    centre = _normalise(np.array([r["vec"] for r in drawn], dtype=np.float64))
+    lib = materialize(p.mapInPandas(_assigned(centre), f"{unit}, block long, d double"), "nn-library")
+    radius, size = np.zeros(len(drawn)), np.zeros(len(drawn), dtype=np.int64)
+    for r in lib.groupBy("block").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
+        radius[r["block"]], size[r["block"]] = r["r"] + _SLACK, r["n"]
+    want = k + (1 if exclude_self else 0)
+    parts = [max(1, -(-int(n) // p_block_rows)) for n in size]
+    part_of = F.element_at(F.array(*[F.lit(n) for n in parts]), (F.col("block") + 1).cast("int"))
+    home = materialize(q.mapInPandas(_visits(centre, radius, size, want, min_cos, False), f"{unit}, blocks array<long>"), "nn-home")
+    nqb = max(1, -(-home.count() // q_block_rows))
+    qb = F.pmod(F.xxhash64("id"), F.lit(nqb))
+    lib = (lib.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), part_of))
+           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nqb - 1).cast("long")))).select("block", "part", "qb", "id", "vec"))
+
+    def meet(visits: DataFrame) -> DataFrame:
+        each = (visits.withColumn("qb", qb).withColumn("block", F.explode("blocks"))
+                .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (part_of - 1).cast("long")))).select("block", "part", "qb", "id", "vec"))
+        return (each.groupBy("block", "part", "qb").cogroup(lib.groupBy("block", "part", "qb"))
+                .applyInPandas(_block_topk(k, exclude_self, min_cos), _OUT_SCHEMA))
+
+    first = materialize(meet(home), "nn-first")
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc(), F.col("pid"))
-    return (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    floor = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("cos").alias("floor"))
+    rest = home.select("id", "vec").join(floor.dropDuplicates(["id"]), "id", "left")
+    rest = rest.mapInPandas(_visits(centre, radius, size, want, min_cos, True), f"{unit}, blocks array<long>")
+    hits = first.unionByName(meet(rest))
+    return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("qid", "rank", "pid", "cos"))
 
 

@@ -104,10 +104,25 @@ def q_title_pairs(spark, sf):
     return L.similar_pairs(reps, 0.5)
 
 
-@register("greedy_dedup", ops=("X-3", "H9"))
+@register("greedy_dedup", ops=("X-3", "H9"), sql=cases_query(f""",
+{_SETS},
+near AS (
+  SELECT s.category, s.case_id, list(o.case_id) FILTER (WHERE o.case_id IS NOT NULL) AS earlier
+  FROM sets s LEFT JOIN sets o
+    ON o.category = s.category AND o.case_id < s.case_id
+   AND ({_jac('s.ind', 'o.ind')} >= 0.65 OR {_jac('s.tt', 'o.tt')} >= 0.75)
+  GROUP BY s.category, s.case_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY case_id) AS k FROM near),
+walk AS (
+  SELECT DISTINCT category, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept FROM numbered
+  UNION ALL
+  SELECT w.category, n.k, CASE WHEN list_has_any(w.kept, coalesce(n.earlier, [])) THEN w.kept ELSE list_append(w.kept, n.case_id) END
+  FROM walk w JOIN numbered n ON n.category = w.category AND n.k = w.k + 1),
+done AS (SELECT category, unnest(kept) AS case_id FROM walk QUALIFY k = max(k) OVER (PARTITION BY category))
+SELECT n.case_id, n.category, CAST(d.case_id IS NOT NULL AS BIGINT) AS keep
+FROM numbered n LEFT JOIN done d ON d.category = n.category AND d.case_id = n.case_id""").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_greedy(spark, sf):
-    """Exact order-dependent greedy keep (fixpoint rounds).  Checked against a
-    brute-force Python walk in tests/test_library.py, not by SQL."""
+    """Exact order-dependent greedy keep (fixpoint rounds)."""
     return L.greedy_keep(_cases(spark, sf))
 
 

@@ -27,6 +27,58 @@ def test_topk_blocked_equals_bruteforce(spark):
         assert got == want
 
 
+def _frame(spark, m, first=0):
+    return spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+
+
+def test_pruned_search_equals_bruteforce_with_ties_and_copies(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 5)) * 4
+    p = np.repeat(centres, 40, axis=0) + rng.normal(size=(240, 5)) * 0.1
+    p[40:80] = p[40]  # one vector forty times: ties go to the smaller ids
+    q = np.concatenate([p[::7], rng.normal(size=(10, 5))])
+    unit = lambda m: m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    sims = unit(q) @ unit(p).T
+    for kw, floor in (({"pivots": 1}, -9), ({"pivots": 12, "p_block_rows": 9, "q_block_rows": 5}, -9), ({"pivots": 300, "min_cos": 0.9}, 0.9)):
+        got = {}
+        for r in V.top_k_cosine(_frame(spark, q), _frame(spark, p), 5, **kw).collect():
+            got.setdefault(r["qid"], {})[r["rank"]] = (r["pid"], r["cos"])
+        for i in range(len(q)):
+            want = [j for j in sorted(range(len(p)), key=lambda j: (-round(sims[i, j], 12), j)) if sims[i, j] >= floor][:5]
+            mine = [got.get(i, {}).get(n + 1) for n in range(len(want))]
+            assert len(got.get(i, {})) == len(want)
+            assert np.allclose([c for _, c in mine], [sims[i, j] for j in want], atol=1e-12)
+            if 40 <= want[0] < 80 if want else False:
+                assert [j for j, _ in mine] == [40, 41, 42, 43, 44]
+
+
+def test_most_blocks_are_never_met_on_clustered_vectors():
+    rng = np.random.default_rng(4)
+    centres = V._normalise(rng.normal(size=(64, 32)))
+    x = V._normalise(np.repeat(centres, 50, axis=0) + rng.normal(size=(3200, 32)) * 0.02)
+    d = V._distances(x, centres)
+    own = d.argmin(axis=1)
+    radius = np.array([d[own == b, b].max() for b in range(64)])
+    q = x[::17]
+    sims = q @ x.T
+    floor = np.sort(sims, axis=1)[:, -5]
+    go = V.may_hold(V._distances(q, centres), radius, floor)
+    assert go.mean() < 0.1
+    for i in range(len(q)):  # nothing as good stands in a block left out
+        assert go[i][own[sims[i] >= floor[i]]].all()
+
+
+def test_first_k_keeps_at_most_k():
+    s = np.array([[1.0, 2.0, 2.0, 2.0, 0.0], [3.0, 3.0, 3.0, 3.0, 3.0], [-np.inf, 1.0, -np.inf, -np.inf, 0.0]])
+    assert V.first_k(s, 2).tolist() == [[False, True, True, False, False], [True, True, False, False, False], [False, True, False, False, True]]
+    assert V.first_k(s, 9).sum() == 12
+
+
+def test_search_of_nothing(spark):
+    some, none = _frame(spark, np.ones((3, 2))), _frame(spark, np.ones((3, 2))).where("vec_id < 0")
+    assert V.top_k_cosine(some, none, 2).count() == 0 and V.top_k_cosine(none, some, 2).count() == 0
+
+
 def test_rescale_guards(spark):
     df = spark.createDataFrame([(0.4,), (0.7,), (0.99,), (None,)], "c double")
     got = [r[0] for r in df.select(V.rescale("c")).collect()]
