@@ -6,7 +6,8 @@ stage's ``docs``.  All but the last return the columns of ``documents``; ``run``
 applies them to ``documents``.
 
 Rows with a null doc_id pass the deduplicating and decontaminating stages
-unchanged; null and empty texts stay null and empty and have no ids."""
+unchanged; null and empty texts stay null and empty and have no ids.  Further
+columns pass through, whatever their names."""
 
 from __future__ import annotations
 
@@ -17,14 +18,26 @@ from riskflow.llm.textcore import text_batches
 from riskflow.session import materialize
 
 
+def _apart(docs: DataFrame):
+    """``docs`` with names that no operator uses for all but doc_id and text, and
+    the way back to the columns as they were."""
+    own = {c: c if c in ("doc_id", "text") else f"column {i}" for i, c in enumerate(docs.columns)}
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{new}`").alias(c) for c, new in own.items()])
+
+    return docs.toDF(*own.values()), back
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts toxic go; it learns from the
     labelled documents that are not held out."""
     from riskflow.llm.toxicity import fit, score_texts
 
     text_batches(spark)
-    scorer = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_texts(docs, scorer).where("predicted = 0").select(*docs.columns)
+    plain, back = _apart(docs)
+    scorer = fit(plain, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return back(score_texts(plain, scorer).where("predicted = 0"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +46,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from riskflow.llm.lines import dedup_lines
 
     text_batches(spark)
-    cut = dedup_lines(docs).where("n_lines = 0 or n_lines > n_equal + n_near")
-    n_chars = F.when(F.col("n_equal") + F.col("n_near") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    plain, back = _apart(docs)
+    cut = dedup_lines(plain).where("n_lines = 0 or n_lines > n_equal + n_near")
+    if "n_chars" in docs.columns:
+        own = f"column {docs.columns.index('n_chars')}"
+        cut = cut.withColumn(own, F.when(F.col("n_equal") + F.col("n_near") > 0, F.length("text").cast("long")).otherwise(F.col(f"`{own}`")))
+    return back(cut)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

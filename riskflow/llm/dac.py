@@ -166,7 +166,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.encode("utf-8") for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None  # a text that holds one is encoded whole
         self.line_end = self._ids(["\n"])[0]
         if len(self.line_end) != 1:
             raise ValueError("the vocabulary has no id for a line end")
@@ -202,7 +203,7 @@ class PieceEncoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text) of a run of UTF-8 texts."""
         data, offsets = data[offsets[0]:offsets[-1]], offsets - offsets[0]
-        if WIDE_SPACE.search(data):
+        if WIDE_SPACE.search(data) or self.added and self.added.search(data):
             alone = self._ids([bytes(data[a:b]).decode("utf-8") for a, b in zip(offsets[:-1], offsets[1:])])
             return (np.array([t for x in alone for t in x], dtype=np.uint32),
                     np.array([len(x) for x in alone], dtype=np.int64))

@@ -20,8 +20,8 @@ def keys_of(column) -> np.ndarray:
     return mix(pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
 
 
-def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bitmap of the one long column of ``keys``; at most 2^(bits - 6) words (16 bytes each) reach the driver."""
+def _words(keys: DataFrame, bits: int) -> DataFrame:
+    """(w, b): the words of the bitmap that are not zero."""
     def run(batches):
         words = np.zeros(1 << (bits - 6), dtype=U64)
         for batch in batches:
@@ -30,9 +30,22 @@ def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
         full = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(signed(words[full]))], names=["w", "b"])
 
+    return keys.mapInArrow(run, "w bigint, b bigint").groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+
+
+def bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Bitmap of the one long column of ``keys``; at most 2^(bits - 6) words reach the driver."""
+    out = np.zeros(1 << (bits - 6), dtype=U64)
+    for r in _words(keys, bits).collect():
+        out[r["w"]] = r["b"] & (2 ** 64 - 1)
+    return out
+
+
+def full_bitmap(keys: DataFrame, bits: int = BITS) -> np.ndarray:
+    """``bitmap`` for key sets that fill it: its words (16 bytes each) reach the driver as columns."""
     out = np.zeros(1 << (bits - 6), dtype=U64)
-    full = keys.mapInArrow(run, "w bigint, b bigint").groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()  # columns, no rows
-    out[full.column("w").to_numpy()] = full.column("b").to_numpy().view(U64)
+    words = _words(keys, bits).toArrow()
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(U64)
     return out
 
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm.filters import bitmap, keys_of, marked
+from riskflow.llm.filters import bitmap, full_bitmap, keys_of, marked
 from riskflow.llm.graph import connected_components
 from riskflow.llm.textcore import SPACE_WORDS, Words, shingles, signed, slices, utf8
 from riskflow.session import materialize
@@ -328,7 +328,7 @@ def _full_runs(min_words: int):
 
 def _only(held: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose first column a bitmap of ``ids`` marks, before any exchange."""
-    needed = held.sparkSession.sparkContext.broadcast(bitmap(ids.distinct()))
+    needed = held.sparkSession.sparkContext.broadcast(full_bitmap(ids.distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
