@@ -19,7 +19,10 @@ from riskflow.operators import models as M
 from riskflow.operators import rules as R
 from riskflow.operators import vectors as V
 from riskflow.plans import incremental as INC
+from riskflow.functions.features import time_features
+from riskflow.operators.windows import ROWS, prior_profile
 from riskflow.plans.feature_build import build_features
+from riskflow.plans.feature_queries import _PRIOR_SQL
 from riskflow.plans.library_queries import CASES_CTE, wc
 from riskflow.plans.model_queries import _fixed_explainer
 from riskflow.plans.registry import register
@@ -175,7 +178,8 @@ def q_parse_indicators(spark, sf):
 def q_fingerprint(spark, sf):
     """Cache built from the first build; the second build changes amounts of
     one channel; only rows whose fingerprint changed are recomputed, then the
-    cache is upserted (rows-only; exactness in tests/test_incremental.py)."""
+    cache is upserted (rows-only: features of the global scope; the prior scope
+    is ``incremental_refresh``)."""
     f1 = INC.feature_fingerprint(_feat(spark, sf)).withColumn("created_at", F.lit(1))
     changed = B.transactions(spark, sf).withColumn(
         "amount", F.when(F.col("channel") == "click", F.col("amount") + 1).otherwise(F.col("amount")))
@@ -186,6 +190,30 @@ def q_fingerprint(spark, sf):
     return new_cache.groupBy("created_at").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CHANGED = """changed AS (SELECT * REPLACE (CASE WHEN channel = 'click' AND txn_id % 50 = 0 THEN amount + 1 ELSE amount END AS amount) FROM txn),
+firsts AS (SELECT card, min(struct_pack(t := t, i := txn_id)) AS f FROM txn WHERE channel = 'click' AND txn_id % 50 = 0 GROUP BY card)"""
+
+
+@register("incremental_refresh", ops=("O-1", "O-2", "WN-11"), sql=txn_query(f"""
+SELECT p.txn_id, p.card_amt_mean, p.card_amt_std, p.card_total_txns,
+       CASE WHEN struct_pack(t := p.t, i := p.txn_id) >= f.f THEN 2 ELSE 1 END AS build
+FROM ({_PRIOR_SQL.replace("FROM txn", "FROM changed")}) p LEFT JOIN firsts f USING (card)""",
+    ["card_amt_mean", "card_amt_std"], _CHANGED))
+def q_refresh(spark, sf):
+    """A stored feature table brought up to date after some amounts changed: only
+    the changed rows and later rows of their cards are computed again."""
+    txn = B.transactions(spark, sf)
+    path = scratch_path(spark, "refreshed")
+
+    def build(number):
+        return lambda rows: prior_profile(time_features(rows), split_seconds=ROWS).withColumn("build", F.lit(number))
+
+    INC.refresh(txn, path, build(1), exists=False)
+    hit = (F.col("channel") == "click") & (F.col("txn_id") % 50 == 0)
+    INC.refresh(txn.withColumn("amount", F.when(hit, F.col("amount") + 1).otherwise(F.col("amount"))), path, build(2))
+    return spark.read.parquet(path).select("txn_id", "card_amt_mean", "card_amt_std", "card_total_txns", "build")
+
+
 @register("idempotent_chain", ops=("O-2", "IO-2", "IO-3"), sql=feat_query(
     "SELECT txn_day, count(*) AS n, sum(card_txn_count_24h) AS s24 FROM feat GROUP BY txn_day"))
 def q_chain(spark, sf):

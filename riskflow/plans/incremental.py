@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 
 from riskflow.operators.quantiles import with_quantiles
 from riskflow.operators.rules import auto_check
+from riskflow.operators.windows import row_ranges
 from riskflow.session import materialize
 
 CACHE_FORMAT_VERSION = "v2"
-# Features whose change invalidates a cached case file (our column names).
+# The 22 features whose change invalidates a cached case file (our
+# column names); a column that the table lacks reads as null.
 FINGERPRINT_FEATURES = [
     "amount", "channel", "card", "card_amt_zscore", "card_txn_count_1h", "card_txn_count_24h",
     "card_txn_count_7d", "card_distinct_addr", "card_distinct_products", "p_email",
-    "p_email_is_highrisk", "emails_match", "is_night", "txn_hour", "D1",
+    "p_email_is_highrisk", "emails_match", "is_night", "txn_hour",
+    "C1", "C8", "C11", "C13", "D1", "D4", "D15", "V200",
 ]
 
 
 def _canon(df: DataFrame, c: str) -> Column:
     """Engine-independent text of a value: floats as integers of 1e-4 units
     (half-up on the binary value), other values as text, null as ``null``."""
-    t = dict(df.dtypes)[c]
-    col = F.col(c)
+    t = dict(df.dtypes).get(c, "void")
+    col = F.col(c) if c in df.columns else F.lit(None)
     if t in ("double", "float"):
         txt = F.floor(col * 10000.0 + 0.5).cast("string")
     else:
@@ -37,8 +40,7 @@ def feature_fingerprint(df: DataFrame, cols: list[str] = FINGERPRINT_FEATURES, m
                         id_col: str = "txn_id") -> DataFrame:
     """O-1: ``version:id:feature_hash:model_hash`` - one key function for reads
     and writes (S19 fixed)."""
-    have = [c for c in cols if c in df.columns]
-    fh = F.substring(F.sha2(F.concat_ws("|", *[_canon(df, c) for c in have]), 256), 1, 16)
+    fh = F.substring(F.sha2(F.concat_ws("|", *[_canon(df, c) for c in cols]), 256), 1, 16)
     mh = F.substring(F.sha2(F.lit(model_key), 256), 1, 8)
     return df.withColumn("feature_hash", fh).withColumn(
         "cache_key", F.concat_ws(":", F.lit(CACHE_FORMAT_VERSION), F.col(id_col).cast("string"), fh, mh))
@@ -56,6 +58,80 @@ def upsert(cache: DataFrame, fresh: DataFrame, key: str = "txn_id", ts: str = "c
                  .filter(F.col("_r") == 1).drop("_r"))
 
 
+# ----------------------------------------------------------------------------- content-addressed refresh
+def content_keys(txn: DataFrame, key: str = "card", t: str = "t", id_col: str = "txn_id") -> DataFrame:
+    """``txn`` with ``content_key``: a digest of the row and of all earlier rows of
+    its key (order ``t, id``), the whole input of its prior-scope features.  Sums
+    of row digests run per range of rows and are carried over by a small table,
+    so a hot key is many tasks; no feature is computed."""
+    text = F.to_json(F.struct(*sorted(txn.columns)), {"ignoreNullFields": "false"})
+    digests = [F.xxhash64(F.lit(salt), text) for salt in (1, 2)]
+    halves = {f"_h{i}{j}": half for i, h in enumerate(digests)
+              for j, half in enumerate((h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)))}
+    x = row_ranges(txn.withColumns(halves), [key, t, id_col], "_r")
+    own = Window.partitionBy(key, "_r").orderBy(t, id_col).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    per = x.groupBy(F.col(key), "_r").agg(*[F.sum(h).alias(h) for h in halves])
+    per = per.select(F.col(key).alias("_k"), F.col("_r").alias("_rr"),
+                     *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"{h}_off") for h in halves])
+    x = x.select(*txn.columns, "_r", *[F.sum(h).over(own).alias(h) for h in halves])
+    x = x.join(per, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_rr")))
+    sums = [(F.col(h) + F.col(f"{h}_off")).cast("string") for h in halves]
+    digest = F.substring(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), *sums), 256), 1, 32)
+    return x.select(*txn.columns, digest.alias("content_key"))
+
+
+def stale_features(txn: DataFrame, stored: DataFrame | None, build: Callable[[DataFrame], DataFrame], key: str = "card",
+                   id_col: str = "txn_id") -> DataFrame:
+    """Features, with ``content_key``, of the rows whose content no stored row
+    has: a change reaches its own and later rows of its key, no others.  Only the
+    rows of these keys are read again."""
+    keyed = materialize(content_keys(txn, key, id_col=id_col).select(key, id_col, "content_key"), "content-keys")
+    todo = keyed if stored is None else keyed.join(stored.select("content_key"), "content_key", "left_anti")
+    todo = materialize(todo, "content-new")
+    touched = todo.select(F.col(key).alias("_k")).distinct()
+    rows = txn.join(touched, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    return build(rows).join(todo.select(id_col, "content_key"), id_col)
+
+
+def refresh(txn: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], key: str = "card", id_col: str = "txn_id",
+            part: str = "txn_day", exists: bool = True) -> dict[str, int]:
+    """Bring the feature table at ``path`` (partitioned by ``part``) up to date
+    with ``txn``: stale rows are recomputed, rows that went are dropped, and only
+    the partitions of either are written anew.  A second run changes nothing."""
+    spark = txn.sparkSession
+    stored = spark.read.parquet(path) if exists else None
+    fresh = materialize(stale_features(txn, stored, build, key, id_col), "refresh-new")
+    if stored is None:
+        changed, gone_n = fresh, 0
+    else:
+        gone = materialize(stored.select(id_col, part).join(txn.select(id_col), id_col, "left_anti"), "refresh-gone")
+        gone_n = gone.count()
+        old_place = stored.select(id_col, part).join(fresh.select(id_col), id_col, "left_semi")
+        parts = fresh.select(part).unionByName(gone.select(part)).unionByName(old_place.select(part)).distinct()
+        kept = (stored.join(parts, part, "left_semi").join(gone.select(id_col), id_col, "left_anti")
+                .join(fresh.select(id_col), id_col, "left_anti"))
+        changed = materialize(kept.select(*fresh.columns).unionByName(fresh), "refresh-parts")
+        for r in parts.join(changed.select(part).distinct(), part, "left_anti").collect():  # partitions that lost their last row
+            _drop_partition(spark, path, part, r[part])
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    spread(changed, part).write.mode("overwrite").partitionBy(part).parquet(path)
+    return {"recomputed": fresh.count(), "dropped": gone_n}
+
+
+def _drop_partition(spark: SparkSession, path: str, part: str, value) -> None:
+    """Remove one partition's folder through the file system that Spark uses."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{part}={value}")
+    folder.getFileSystem(conf).delete(folder, True)
+
+
+def spread(df: DataFrame, part: str) -> DataFrame:
+    """Rows dealt to writers by (partition, content), so that a partition of any
+    size is written by its share of the tasks."""
+    return df.repartitionByRange(F.col(part), F.xxhash64(*df.columns))
+
+
 def run_chain(spark: SparkSession, stages: list[tuple[str, Callable[[], DataFrame], str, str]]) -> dict:
     """O-2: run ``(name, build, path, partition_col)`` stages in order.  Each
     writes with dynamic partition overwrite, so a re-run replaces exactly the
@@ -67,7 +143,7 @@ def run_chain(spark: SparkSession, stages: list[tuple[str, Callable[[], DataFram
     for name, build, path, part in stages:
         obs = Observation(name)
         df = build().observe(obs, F.count(F.lit(1)).alias("rows"))
-        df.repartition(part).write.mode("overwrite").partitionBy(part).parquet(path)
+        spread(df, part).write.mode("overwrite").partitionBy(part).parquet(path)
         counts[name] = obs.get["rows"]
     return counts
 
