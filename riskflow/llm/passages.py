@@ -49,6 +49,7 @@ from riskflow.session import materialize
 ANCHOR = 10
 WINDOW = 16
 SHINGLE = 5
+LONG = WINDOW + ANCHOR - 1  # words of a window
 GAP = 56  # words between hits of one chain
 REACH = 16  # words that an edit may take
 END = 6  # words at a passage's end that are looked through for equal ones behind an edit
@@ -57,11 +58,14 @@ PARTS = 4
 
 
 def window_minima(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the (leftmost) minimum of every window of ``h``, each once."""
-    if not len(h):
-        return np.zeros(0, dtype=np.int64)
-    w = min(window, len(h))
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(len(h) - w + 1))
+    """Position of the (leftmost) minimum of each window of ``h``, window after window."""
+    at, width = np.arange(len(h)), 1
+    while width < min(window, len(h)):  # windows of twice the width, or as much wider as is left
+        step = min(width, min(window, len(h)) - width)
+        left, right = at[:-step], at[step:]
+        at = np.where(h[left] <= h[right], left, right)
+        width += step
+    return at
 
 
 def _docs(batch):
@@ -76,15 +80,21 @@ def _anchors(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            key, doc, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, h in _docs(batch):
-                if len(h) < min_words:
+            data, off = utf8(batch.column(1))
+            out = [(np.zeros(0, np.int64),) * 3]
+            for lo, hi in slices(off):
+                w = Words(data, off[lo:hi + 1], SPACE_WORDS)
+                if len(w.hash) < LONG:
                     continue
-                s = shingles(h, ANCHOR)
+                s = shingles(w.hash, ANCHOR)
                 at = window_minima(s, WINDOW)
-                key.append(signed(s[at])), pos.append(at), doc.append(np.full(len(at), ids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(doc).astype(np.int64)),
-                                              pa.array(np.concatenate(pos).astype(np.int32))], names=["key", "id", "pos"])
+                whole = (w.doc[:len(at)] == w.doc[LONG - 1:]) & (np.diff(w.first)[w.doc[:len(at)]] >= min_words)
+                at = at[whole]
+                at = at[np.diff(at, prepend=-1) != 0]  # neighbouring windows mostly share theirs
+                doc = w.doc[at]
+                out.append((signed(s[at]), ids[lo + doc].astype(np.int64), at - w.first[doc]))
+            key, doc, pos = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos.astype(np.int32))], names=["key", "id", "pos"])
     return run
 
 
@@ -247,6 +257,10 @@ def _verified(a: int, b: int, wa, wb, sa, sb, spans, min_words: int, overlap: fl
             out.add((a, s, e, b, ks, share) + (_inner(s, e, len(wa), min_words) if equal else (None, None)))
         return share >= overlap
 
+    for shift in sorted({ks - s for s, _, ks, _ in spans}):
+        if 0 <= shift <= len(wb) - len(wa) and wa[0] == wb[shift] and (wa == wb[shift:shift + len(wa)]).all():
+            add(0, len(wa), shift, shift + len(wa))  # a copy: all other passages of the pair lie inside
+            return list(out)
     for chain in _aligned(wa, wb, sa, sb, spans):
         whole = (chain[0][0], chain[-1][1], chain[0][2], chain[-1][3])
         if whole[1] - whole[0] < min_words - 2 * END:  # too short with any ends
