@@ -196,7 +196,7 @@ firsts AS (SELECT card, min(struct_pack(t := t, i := txn_id)) AS f FROM txn WHER
 
 @register("incremental_refresh", ops=("O-1", "O-2", "WN-11"), sql=txn_query(f"""
 SELECT p.txn_id, p.card_amt_mean, p.card_amt_std, p.card_total_txns,
-       CASE WHEN struct_pack(t := p.t, i := p.txn_id) >= f.f THEN 2 ELSE 1 END AS build
+       CAST(CASE WHEN struct_pack(t := p.t, i := p.txn_id) >= f.f THEN 2 ELSE 1 END AS BIGINT) AS build
 FROM ({_PRIOR_SQL.replace("FROM txn", "FROM changed")}) p LEFT JOIN firsts f USING (card)""",
     ["card_amt_mean", "card_amt_std"], _CHANGED))
 def q_refresh(spark, sf):

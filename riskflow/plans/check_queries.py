@@ -9,13 +9,16 @@ from riskflow import bindings as B
 from riskflow.functions import cases as C
 from riskflow.operators import checks as CH
 from riskflow.operators import models as M
+from riskflow.operators import vectors as V
 from riskflow.operators.quantiles import quantile_table
 from riskflow.plans import incremental as INC
+from riskflow.plans.case_files import case_files
 from riskflow.plans.feature_build import build_features
 from riskflow.plans.model_queries import ATTR_FEATURES, ATTR_WEIGHTS, _fixed_explainer
 from riskflow.plans.registry import register
-from riskflow.plans.rule_queries import _auto_sql
+from riskflow.plans.rule_queries import _AUTO_FEATURES, _auto_sql
 from riskflow.plans.sqlhelp import feat_query, txn_query
+from riskflow.plans.vector_queries import _topk_sql
 
 CATEGORICAL = ["channel", "p_email", "r_email"]
 
@@ -49,14 +52,18 @@ _STATUS_ROWS = "\nUNION ALL ".join(
     + " AS status FROM feat JOIN hi USING (channel)" for i, p in enumerate(_MEANT))
 
 
-def _evaluated(spark, sf):
-    txn = B.transactions(spark, sf)
+def _channel_checks(txn):
+    """The compiled checks of every channel's pattern."""
     hi = quantile_table(txn.where("channel is not null"), [("amount", {"hi": 0.75})], ["channel"]).select(
         F.col("channel").alias("pattern_id"), F.floor("hi").cast("string").alias("hi"))
     texts = F.array(*[F.concat(*[F.col({"hi": "hi", "channel": "pattern_id"}[p]) if p in ("hi", "channel") else F.lit(p)
                                  for p in _pieces(t)]) for t in INDICATORS])
     checks = hi.select("pattern_id", F.posexplode(texts).alias("check_id", "indicator"))
-    checks = CH.compile_checks(checks, M.MODEL_FEATURES, CATEGORICAL)
+    return CH.compile_checks(checks, M.MODEL_FEATURES, CATEGORICAL)
+
+
+def _evaluated(spark, sf):
+    checks = _channel_checks(B.transactions(spark, sf))
     rows = _feat(spark, sf).withColumn("pattern_id", F.col("channel")).where("channel is not null")
     return CH.evaluate(rows, checks, M.MODEL_FEATURES, CATEGORICAL)
 
@@ -115,6 +122,58 @@ def q_checklist(spark, sf):
     return INC.driver_checklist(a)
 
 
+# ----------------------------------------------------------------------------- the case file
+def _case_sql() -> str:
+    signal = " OR ".join("(" + _auto_sql(f"'{c}'", f"CAST({c} AS DOUBLE)") + ") = 'present'" for c in _AUTO_FEATURES[:-1])
+    stats = ", ".join([f"avg(coalesce(CAST({c} AS DOUBLE), -999.0)) AS m{i}, stddev_pop(coalesce(CAST({c} AS DOUBLE), -999.0)) AS s{i}"
+                       for i, c in enumerate(ATTR_FEATURES)])
+    each = "\nUNION ALL ".join(
+        f"SELECT txn_id, '{c}' AS feature, {w} * (coalesce(CAST({c} AS DOUBLE), -999.0) - m{i}) / "
+        f"(CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1.0 ELSE s{i} END) AS shap FROM feat, st"
+        for i, (c, w) in enumerate(zip(ATTR_FEATURES, ATTR_WEIGHTS)))
+    ctes = f"""{_HI},
+flagged AS (SELECT * FROM (SELECT *, {signal} AS sig FROM feat) WHERE risk_band IN ('HIGH', 'CRITICAL') OR risk_band = 'MEDIUM' AND sig),
+st AS (SELECT {stats} FROM feat), u AS ({each}),
+why AS (SELECT txn_id, array_to_string(list(feature ORDER BY abs(shap) DESC, feature)[1:3], ',') AS drivers FROM u GROUP BY txn_id),
+past AS (SELECT txn_id, list(txn_id) OVER (PARTITION BY card ORDER BY t, txn_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS history FROM txn),
+shop AS (SELECT channel, count(*) AS channel_n, avg(is_fraud) AS channel_fraud_rate FROM feat WHERE channel IS NOT NULL GROUP BY channel),
+near AS ({_topk_sql(2, 0.25)}),
+counted AS (
+  SELECT txn_id, count(*) FILTER (WHERE status = 'present') AS present, count(*) FILTER (WHERE status = 'absent') AS absent,
+         count(*) FILTER (WHERE status = 'manual') AS manual, count(*) FILTER (WHERE status = 'unknown') AS unknown,
+         bool_or(check_id = 0 AND status = 'present') AS first FROM ({_STATUS_ROWS}) GROUP BY txn_id)"""
+    return feat_query("""
+SELECT f.txn_id, f.risk_band, why.drivers, f.card_total_txns, coalesce(array_to_string(past.history, ','), '') AS history,
+       shop.channel_n, shop.channel_fraud_rate, n1.pid AS match_pid, n1.cos AS match_cos,
+       c.present, c.absent, c.manual, c.unknown,
+       CASE WHEN c.present + c.absent = 0 THEN 'insufficient' WHEN c.present >= 3 AND c.present > c.absent THEN 'strong'
+            WHEN c.first AND c.absent > 0 THEN 'defining' WHEN c.present > 0 THEN 'mixed'
+            WHEN c.absent >= 2 THEN 'no_fit' ELSE 'inconclusive' END AS tier
+FROM flagged f JOIN why USING (txn_id) JOIN past USING (txn_id) JOIN shop ON shop.channel = f.channel JOIN counted c USING (txn_id)
+LEFT JOIN (SELECT * FROM near WHERE rank = 1) n1 ON n1.qid = f.txn_id % (SELECT count(*) FROM embeddings)""",
+                      ["channel_fraud_rate", "match_cos"], ctes)
+
+
+@register("case_files", ops=("RU-14", "ML-7", "AG-8", "WN-4", "RT-3", "RU-8", "AG-26", "RU-6"), sql=_case_sql())
+def q_case_files(spark, sf):
+    """The case file of every flagged transaction; its query vector is the
+    embedding whose number is the transaction's modulo their count."""
+    vectors = B.table(spark, sf, "embeddings")
+    hits = V.top_k_cosine(vectors, vectors.where("label <= 6"), 2, min_cos=0.25, exclude_self=True)
+    hits = hits.select("qid", "rank", "pid", F.col("cos").alias("similarity"), V.similarity_band("cos").alias("match_band"))
+    f = _feat(spark, sf).where("channel is not null")
+    rows = f.withColumn("pattern_id", F.col("channel")).withColumn("query_id", F.pmod("txn_id", F.lit(vectors.count())))
+    out = case_files(rows, _fixed_explainer(f), _channel_checks(B.transactions(spark, sf)), hits,
+                     numeric=M.MODEL_FEATURES, categorical=CATEGORICAL)
+    names = F.transform("attribution.top_drivers", lambda d: d["feature"])
+    return out.select(
+        "txn_id", "triage.risk_band", F.array_join(names, ",").alias("drivers"), F.col("profile.total_txns").alias("card_total_txns"),
+        F.array_join(F.transform("profile.history", lambda x: x.cast("string")), ",").alias("history"),
+        F.col("profile.channel_profile.n").alias("channel_n"), F.col("profile.channel_profile.fraud_rate").alias("channel_fraud_rate"),
+        F.try_element_at("matches", F.lit(1))["pid"].alias("match_pid"), F.try_element_at("matches", F.lit(1))["similarity"].alias("match_cos"),
+        *[F.col(f"verdict.{s}").alias(s) for s in CH.STATUSES], "verdict.tier")
+
+
 # ----------------------------------------------------------------------------- RU-6
 @register("rule_input_set", ops=("RU-6", "PF-8", "PF-9", "ST-4"), sql=txn_query("""
 SELECT txn_id, score FROM recent WHERE score >= 0.6
