@@ -30,7 +30,7 @@ at several places, as only the first of them is compared.
 Defined results: null or empty text has no passage; words are runs of other
 than ASCII white space, A-Z lower-cased; repeats inside one document and rows
 with a null id are not reported; rows that share an id count as one document
-(the first to match is compared); other columns are ignored."""
+(one of their texts is compared); other columns are ignored."""
 
 from __future__ import annotations
 
@@ -402,15 +402,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spans = materialize(
         pairs.repartition(parts, "id").sortWithinPartitions("id", "kid", "pos")
         .mapInArrow(_chains, "id bigint, kid bigint, s bigint, e bigint, ks bigint, ke bigint"), "pg-spans")
-    needed = docs.sparkSession.sparkContext.broadcast(bitmap(spans.select("id").union(spans.select("kid")).distinct()))
+    context = docs.sparkSession.sparkContext
+    needed = context.broadcast(bitmap(spans.select("id").union(spans.select("kid")).distinct()))
+    several = context.broadcast(bitmap(src.groupBy("id").count().where("count > 1").select("id")))
 
     def words(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             batch = batch.filter(pa.array(marked(needed.value, keys_of(batch.column(0)))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.tobytes() for _, h in _docs(batch)], pa.binary())], names=["id", "w"])
+                [batch.column(0), pa.array([h.tobytes() for _, h in _docs(batch)], pa.binary()),
+                 pa.array(marked(several.value, keys_of(batch.column(0))))], names=["id", "w", "several"])
 
-    held = materialize(src.mapInArrow(words, "id bigint, w binary").dropDuplicates(["id"]), "pg-words")
+    made = materialize(src.mapInArrow(words, "id bigint, w binary, several boolean"), "pg-words")
+    held = made.where("not several").select("id", "w").union(made.where("several").groupBy("id").agg(F.min("w").alias("w")))
 
     def verified(spans: DataFrame, name: str) -> DataFrame:
         each = spans.groupBy("id", "kid").agg(F.collect_list(F.struct("s", "e", "ks", "ke")).alias("spans"))
