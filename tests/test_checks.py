@@ -88,3 +88,22 @@ def test_given_rows_reach_every_status(spark):
     from riskflow.plans.registry import load_all
     got = {r["status"]: r["count"] for r in load_all()["pattern_checks"].fn(spark, SF001).groupBy("status").count().collect()}
     assert set(got) == set(CH.STATUSES) and min(got.values()) > 0
+
+
+def test_case_files_refuse_a_handful(spark):
+    from paths import SF001
+    from riskflow import bindings as B
+    from riskflow.plans.case_files import case_files
+    from riskflow.plans.check_queries import CATEGORICAL, _channel_checks
+    from riskflow.plans.feature_build import build_features
+    from riskflow.plans.model_queries import _fixed_explainer
+    from riskflow.operators import models as M
+    txn = B.transactions(spark, SF001)
+    f = build_features(txn).withColumn("pattern_id", F.col("channel")).withColumn("query_id", F.col("txn_id"))
+    none = spark.createDataFrame([], "qid long, rank int, pid long, similarity double, match_band string")
+    ids = [r["txn_id"] for r in f.where("score >= 0.6").limit(5).collect()]
+    args = dict(numeric=M.MODEL_FEATURES, categorical=CATEGORICAL)
+    full = case_files(f.where(F.col("txn_id").isin(ids)), _fixed_explainer(f), _channel_checks(txn), none, **args)
+    assert full.count() == 5 and {r["matches"] == [] and len(r["checks"]) > 5 for r in full.collect()} == {True}
+    with pytest.raises(CH.TooFewRows):
+        case_files(f.where(F.col("txn_id").isin(ids[:4])), _fixed_explainer(f), _channel_checks(txn), none, **args)
