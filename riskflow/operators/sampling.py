@@ -7,7 +7,9 @@ Exact first-n per group without a global sort: the first 4 hex digits of the
 hash give a bucket (65,536 buckets, uniform whatever the data, so no skew).
 A per-(group, bucket) count table (bounded: groups x 65,536 rows) tells each
 group its boundary bucket; rows below it are kept outright, and only rows of
-the boundary bucket are ranked, by a window over that one bucket.
+the boundary bucket are ranked, by a window over that one bucket.  The rows
+meet their group's boundary by a broadcast (one row a group), never by a shuffle
+on the group: a class that holds most of the table stays spread over all tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ def first_n_by_hash(df: DataFrame, n, id_col: str, seed: int = DEFAULT_SEED,
 
     ``n`` is an int, or a DataFrame ``(by, n)`` giving one quota per group
     (a one-column, one-row DataFrame ``(n)`` when ``by`` is None), so quotas
-    computed by Spark stay lazy.
+    computed by Spark stay lazy.  Groups are classes: their boundaries, a row
+    each, are broadcast.
     """
     gcol = by or "_g"
     cur = df if by else df.withColumn("_g", F.lit(0))
@@ -53,8 +56,8 @@ def first_n_by_hash(df: DataFrame, n, id_col: str, seed: int = DEFAULT_SEED,
                 .groupBy(gcol).agg(F.min(F.struct("_hb", "_cum", "_c", "_n")).alias("_b"))
                 .select(gcol, F.col("_b._hb").alias("_bhb"),
                         (F.col("_b._n") - (F.col("_b._cum") - F.col("_b._c"))).alias("_need")))
-    quota_all = cum.select(gcol, "_n").distinct()
-    cur = cur.join(quota_all, gcol).join(bound, gcol, "left")
+    limits = cum.select(gcol, "_n").distinct().join(bound, gcol, "left")
+    cur = cur.join(F.broadcast(limits), gcol)
     below = cur.filter(F.col("_bhb").isNull() | (F.col("_hb") < F.col("_bhb")))
     edge = cur.filter(F.col("_hb") == F.col("_bhb"))
     we = Window.partitionBy(gcol).orderBy("_h", id_col)
