@@ -1,18 +1,20 @@
 """Vector similarity: top-k cosine search, thresholded search, k-NN distance
 (JN-6, RT-3, RT-4, RT-5, OD-4, H4).
 
-The library is cut into blocks around pivots; a query visits only blocks that
-the triangle inequality does not rule out.  Every (query block, library block)
-that meets does so in one ``cogroup`` group, where a NumPy matrix product scores
-it and keeps the first k of that block for each query (ties by library id); a
-window over these keeps the global top-k.  Work per group is bounded by the
-block sizes; nothing that grows with the data is broadcast or collected.
+Library and queries are sorted by their nearest pivot and packed into rows of
+bounded size.  Packs meet in a plain cross join, which replicates nothing on disk;
+a task holds one query pack and one range of the library, keeps the k best rows of
+each query as it goes and skips blocks that the triangle inequality rules out
+against the query's k-th best so far.  A window over what the tasks kept (at most k
+rows a query and range) gives the global top-k.  Shuffles grow with the rows, not
+with their pairs; nothing that grows with the data is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ BAND_EDGES = [(0.75, "Strongest match"), (0.50, "Strong match"), (0.25, "Moderat
 WEAK_BAND = "Weak match"
 
 _OUT_SCHEMA = "qid long, pid long, cos double"
+_OUT_ARROW = pa.schema([("qid", pa.int64()), ("pid", pa.int64()), ("cos", pa.float64())])
 _SLACK = 1e-9  # rounding room of the bounds
+_NO_ID = np.iinfo(np.int64).min  # stands for a null id
+_PACK_VALUES = 1 << 19  # numbers in a pack: 4 MB
+_RANGES = 16  # library ranges that a query pack meets, a task each
 
 
 def _normalise(m: np.ndarray) -> np.ndarray:
@@ -44,28 +50,6 @@ def first_k(sims: np.ndarray, k: int) -> np.ndarray:
     return keep & np.isfinite(sims)
 
 
-def _block_topk(k: int, exclude_self: bool, min_cos: float | None):
-    """At most ``k`` rows a query of one library block, ties by library id."""
-    def fn(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if len(q) and len(p):
-            p = p.sort_values("id")
-            qm, pm = (np.stack(x["vec"].to_numpy()).astype(np.float64) for x in (q, p))
-            qids, pids = q["id"].to_numpy(), p["id"].to_numpy()
-            step = max(1, 2_000_000 // len(p))  # bound the score block in memory
-            for s in range(0, len(q), step):
-                sims = qm[s:s + step] @ pm.T
-                if exclude_self:
-                    sims[qids[s:s + step, None] == pids[None, :]] = -np.inf
-                if min_cos is not None:
-                    sims[sims < min_cos] = -np.inf
-                r, c = np.nonzero(first_k(sims, k))
-                out.append((qids[s + r].astype(np.int64), pids[c].astype(np.int64), sims[r, c]))
-        cols = [np.concatenate(x) for x in zip(*out)]
-        return pd.DataFrame(dict(zip(("qid", "pid", "cos"), cols)))
-    return fn
-
-
 def may_hold(distance: np.ndarray, radius: np.ndarray, floor: np.ndarray) -> np.ndarray:
     """(queries x blocks): whether a block can hold a row with a cosine of
     ``floor`` or more, by the triangle inequality: no row of the block is nearer
@@ -93,27 +77,130 @@ def _assigned(pivots: np.ndarray):
     return fn
 
 
-def _visits(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, want: int, min_cos: float | None, second: bool):
-    """Blocks that a query goes to.  First: the nearest ones that together
-    hold ``want`` rows.  Second: all others that may hold a row as good as the
-    query's ``floor``, its k-th best so far (none yet: any row)."""
+def _packed(prefix: str, rows: int):
+    """Rows ``(id, vec, block, d)`` of one partition, in its order, as rows of at
+    most ``rows`` vectors: flat arrays as bytes.  A null id is kept as ``_NO_ID``."""
+    kinds = (("ids", "id", np.int64), ("own", "block", np.int64), ("far", "d", np.float64))
+
+    def pack(f: pd.DataFrame) -> dict:
+        out = {prefix + name: [f[c].fillna(_NO_ID).to_numpy().astype(kind).tobytes()] for name, c, kind in kinds}
+        return out | {prefix + "vecs": [np.stack(f["vec"].to_numpy()).astype(np.float64).tobytes()]}
+
     def fn(frames):
+        held = None
         for f in frames:
-            if not len(f):
-                continue
-            m = np.stack(f["vec"].to_numpy()).astype(np.float64)
-            m = m if second else _normalise(m)
-            d = _distances(m, pivots)
-            near = np.argsort(d, axis=1, kind="stable")
-            before = np.cumsum(size[near], axis=1) - size[near]
-            home = np.zeros(d.shape, dtype=bool)
-            np.put_along_axis(home, near, before < want, axis=1)
-            go = home
-            if second:
-                floor = f["floor"].to_numpy(np.float64)
-                floor = np.where(np.isnan(floor), -2.0, floor)
-                go = ~home & may_hold(d, radius, np.maximum(floor, -2.0 if min_cos is None else min_cos))
-            yield pd.DataFrame({"id": f["id"], "vec": list(m), "blocks": [np.flatnonzero(g).astype(np.int64) for g in go]})
+            held = f if held is None else pd.concat([held, f], ignore_index=True)
+            while len(held) >= rows:
+                yield pd.DataFrame(pack(held.iloc[:rows]))
+                held = held.iloc[rows:]
+        if held is not None and len(held):
+            yield pd.DataFrame(pack(held))
+    return fn
+
+
+def _unpacked(r: dict, prefix: str):
+    ids, own, far = (np.frombuffer(r[prefix + n], kind) for n, kind in (("ids", np.int64), ("own", np.int64), ("far", np.float64)))
+    return ids, own, far, np.frombuffer(r[prefix + "vecs"], np.float64).reshape(len(ids), -1)
+
+
+def _cuts(own: np.ndarray, most: int) -> np.ndarray:
+    """Edges of the blocks of a pack: runs of one pivot, at most ``most`` rows each."""
+    runs = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+    return np.unique(np.concatenate([runs, *[np.arange(lo, hi, most) for lo, hi in zip(runs, runs[1:])]]))
+
+
+class _Best:
+    """The k best rows of each query of one pack (cosine, ties by library id)."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, pivots: np.ndarray, k: int, exclude_self: bool, min_cos: float | None):
+        self.ids, self.vecs, self.small = ids, vecs, vecs.astype(np.float32)
+        self.to_pivot = _distances(vecs, pivots)
+        self.k, self.exclude_self = k, exclude_self
+        self.least = -np.inf if min_cos is None else min_cos
+        self.cos = np.full((len(ids), k), -np.inf)
+        self.pid = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.slack = (vecs.shape[1] + 8) * 1.2e-7  # more than single precision can err on unit vectors
+
+    def meet(self, pids: np.ndarray, own: np.ndarray, far: np.ndarray, vecs: np.ndarray, q_rows: int, p_rows: int) -> None:
+        """All queries against a library pack, ``q_rows`` queries at a time."""
+        edges = _cuts(own, p_rows)
+        pivot, radius = own[edges[:-1]], np.fmax.reduceat(far, edges[:-1]) + _SLACK
+        small = vecs.astype(np.float32)
+        for s in range(0, len(self.ids), q_rows):
+            part = slice(s, min(s + q_rows, len(self.ids)))
+            d = self.to_pivot[part][:, pivot]
+            order = np.argsort(d.mean(axis=0), kind="stable")
+            step = max(1, 2_000_000 // (part.stop - part.start))  # bounds the scores in memory
+            done = 0
+            while done < len(order):  # nearest blocks first; the k-th best so far rules out others
+                floor = np.maximum(self.cos[part, -1], max(self.least, -2.0))
+                rest = order[done:]
+                rest = rest[may_hold(d[:, rest], radius[rest], floor).any(axis=0)]
+                if not len(rest):
+                    break
+                order = np.concatenate([order[:done], rest])
+                most = min(step, 4096) if np.isneginf(self.cos[part, -1]).any() else step  # a first floor soon
+                take = max(1, int(np.searchsorted(np.cumsum(edges[rest + 1] - edges[rest]), most, side="right")))
+                rows = np.concatenate([np.arange(edges[b], edges[b + 1]) for b in np.sort(rest[:take])])
+                for lo in range(0, len(rows), step):
+                    self._score(part, rows[lo:lo + step], pids, vecs, small)
+                done += take
+
+    def _score(self, part: slice, rows: np.ndarray, pids: np.ndarray, vecs: np.ndarray, small: np.ndarray) -> None:
+        sims = self.small[part] @ (small if len(rows) == len(small) else small[rows]).T
+        if np.isnan(sims).any():  # vectors that are no numbers meet nothing
+            sims[np.isnan(sims)] = -np.inf
+        if self.exclude_self:
+            q = self.ids[part]
+            if np.isin(q, pids[rows]).any():
+                sims[(q[:, None] == pids[rows][None, :]) & (q != _NO_ID)[:, None]] = -np.inf
+        floor = np.maximum(self.cos[part, -1], self.least)
+        open_ = np.flatnonzero(np.isneginf(self.cos[part, -1]))
+        if len(open_) and sims.shape[1] > self.k:  # no k rows yet: the k-th of these scores
+            kth = np.partition(sims[open_], sims.shape[1] - self.k, axis=1)[:, sims.shape[1] - self.k]
+            floor[open_] = np.maximum(floor[open_], kth - self.slack)
+        r, c = np.nonzero((sims >= (floor - self.slack).astype(np.float32)[:, None]) & (sims > -np.inf))
+        step = max(1, 4_000_000 // vecs.shape[1])  # bounds the copies of candidates
+        for lo in range(0, len(r), step):
+            self._keep(part.start + r[lo:lo + step], rows[c[lo:lo + step]], pids, vecs)
+
+    def _keep(self, q: np.ndarray, row: np.ndarray, pids: np.ndarray, vecs: np.ndarray) -> None:
+        """Candidates scored in double precision and merged with the k best."""
+        cos = np.einsum("ij,ij->i", self.vecs[q], vecs[row])
+        ok = (cos >= self.least) & (cos >= self.cos[q, -1])
+        q, row, cos = q[ok], row[ok], cos[ok]
+        hit = np.unique(q)
+        if not len(hit):
+            return
+        q = np.concatenate([np.repeat(hit, self.k), q])
+        cos, pid = np.concatenate([self.cos[hit].ravel(), cos]), np.concatenate([self.pid[hit].ravel(), pids[row]])
+        order = np.lexsort((pid, -cos, q))
+        q, cos, pid = q[order], cos[order], pid[order]
+        first = np.searchsorted(q, hit)
+        keep = first[:, None] + np.arange(self.k)
+        self.cos[hit], self.pid[hit] = cos[keep], pid[keep]
+
+    def frame(self) -> pd.DataFrame:
+        r, c = np.nonzero(np.isfinite(self.cos))
+        return pd.DataFrame({"qid": self.ids[r], "pid": self.pid[r, c], "cos": self.cos[r, c]})
+
+
+def _met(pivots: np.ndarray, k: int, exclude_self: bool, min_cos: float | None, q_rows: int, p_rows: int):
+    """Pairs of packs -> the k best rows of each query over the library packs of
+    this task; pairs of one query pack stand together."""
+    def fn(batches):
+        seen, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_buffer() for n in batch.schema.names}
+                if best is None or not all(seen[n].equals(r[n]) for n in ("q_ids", "q_vecs")):
+                    if best is not None:
+                        yield pa.RecordBatch.from_pandas(best.frame(), _OUT_ARROW, preserve_index=False)
+                    ids, _, _, vecs = _unpacked(r, "q_")
+                    seen, best = r, _Best(ids, vecs, pivots, k, exclude_self, min_cos)
+                best.meet(*_unpacked(r, "p_"), q_rows, p_rows)
+        if best is not None:
+            yield pa.RecordBatch.from_pandas(best.frame(), _OUT_ARROW, preserve_index=False)
     return fn
 
 
@@ -125,44 +212,40 @@ def top_k_cosine(queries: DataFrame, library: DataFrame, k: int, q_id: str = "ve
     (ties by library id), optionally ``>= min_cos`` and excluding the same id.
     Returns (qid, rank, pid, cos).
 
-    Exact without all pairs: library rows belong to the nearest of ``pivots``
-    library rows drawn by hash (what the driver holds: these and a radius and
-    size each).  A query first meets the nearest blocks that together hold k
-    rows; its k-th best cosine there rules out, by the triangle inequality, the
-    blocks that it never meets.  Blocks beyond ``p_block_rows`` are split by
-    id, and at most k rows a query leave a block."""
-    unit = "id long, vec array<double>"
+    Exact: library rows belong to the nearest of ``pivots`` library rows drawn by
+    hash (what the driver holds).  A block (``p_block_rows`` rows of one pivot at
+    most) is scored against ``q_block_rows`` queries at a time, unless the triangle
+    inequality shows that it holds nothing better than the k rows that each has.
+    Scores are screened in single precision and decided in double.  Disk: queries
+    and library once, then k rows a query for each of ``_RANGES`` library ranges."""
+    unit = "id long, vec array<double>, block long, d double"
     rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("id"), F.col(v).cast("array<double>").alias("vec"))
     p, q = rows(library, p_id, p_vec), rows(queries, q_id, q_vec)
     drawn = p.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     if not drawn:
         return queries.sparkSession.createDataFrame([], "qid long, rank int, pid long, cos double")
     centre = _normalise(np.array([r["vec"] for r in drawn], dtype=np.float64))
-    lib = materialize(p.mapInPandas(_assigned(centre), f"{unit}, block long, d double"), "nn-library")
-    radius, size = np.zeros(len(drawn)), np.zeros(len(drawn), dtype=np.int64)
-    for r in lib.groupBy("block").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row a pivot
-        radius[r["block"]], size[r["block"]] = r["r"] + _SLACK, r["n"]
-    want = k + (1 if exclude_self else 0)
-    parts = [max(1, -(-int(n) // p_block_rows)) for n in size]
-    part_of = F.element_at(F.array(*[F.lit(n) for n in parts]), (F.col("block") + 1).cast("int"))
-    home = materialize(q.mapInPandas(_visits(centre, radius, size, want, min_cos, False), f"{unit}, blocks array<long>"), "nn-home")
-    nqb = max(1, -(-home.count() // q_block_rows))
-    qb = F.pmod(F.xxhash64("id"), F.lit(nqb))
-    lib = (lib.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), part_of))
-           .withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nqb - 1).cast("long")))).select("block", "part", "qb", "id", "vec"))
-
-    def meet(visits: DataFrame) -> DataFrame:
-        each = (visits.withColumn("qb", qb).withColumn("block", F.explode("blocks"))
-                .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), (part_of - 1).cast("long")))).select("block", "part", "qb", "id", "vec"))
-        return (each.groupBy("block", "part", "qb").cogroup(lib.groupBy("block", "part", "qb"))
-                .applyInPandas(_block_topk(k, exclude_self, min_cos), _OUT_SCHEMA))
-
-    first = materialize(meet(home), "nn-first")
+    finite = np.isfinite(centre).all(axis=1)
+    centre = centre[finite] if finite.any() else np.zeros((1, centre.shape[1]))
+    pack_rows = max(1, _PACK_VALUES // centre.shape[1])
+
+    def packs(df: DataFrame, prefix: str, name: str, most: int | None = None) -> DataFrame:
+        at = materialize(df.mapInPandas(_assigned(centre), unit), name)
+        n = max(1, -(-at.count() // pack_rows))
+        n = n if most is None else min(n, most)
+        schema = ", ".join(f"{prefix}{c} binary" for c in ("ids", "own", "far", "vecs"))
+        dealt = at.repartitionByRange(n, "block", F.xxhash64("id")).sortWithinPartitions("block", "id")
+        return dealt.mapInPandas(_packed(prefix, pack_rows), schema).repartition(n).hint("shuffle_replicate_nl")
+
+    pairs = packs(q, "q_", "nn-queries").crossJoin(packs(p, "p_", "nn-library", _RANGES))
+    batch, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", queries.sparkSession
+    usual = spark.conf.get(batch)
+    spark.conf.set(batch, "4")  # a row is two packs
+    try:
+        hits = materialize(pairs.mapInArrow(_met(centre, k, exclude_self, min_cos, q_block_rows, p_block_rows), _OUT_SCHEMA), "nn-hits")
+    finally:
+        spark.conf.set(batch, usual)
     w = Window.partitionBy("qid").orderBy(F.col("cos").desc(), F.col("pid"))
-    floor = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("cos").alias("floor"))
-    rest = home.select("id", "vec").join(floor.dropDuplicates(["id"]), "id", "left")
-    rest = rest.mapInPandas(_visits(centre, radius, size, want, min_cos, True), f"{unit}, blocks array<long>")
-    hits = first.unionByName(meet(rest))
     return (hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
                 .select("qid", "rank", "pid", "cos"))
 

@@ -74,6 +74,46 @@ def test_first_k_keeps_at_most_k():
     assert V.first_k(s, 9).sum() == 12
 
 
+def test_query_blocks_do_not_copy_the_library(spark, monkeypatch):
+    """No side is exploded to meet the other, in any table that the search writes."""
+    x = np.random.default_rng(8).normal(size=(700, 16))
+    plans, write = [], V.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().toString())
+        return write(df, name)
+    monkeypatch.setattr(V, "materialize", seen)
+    rows = []
+    for qb, pb in [(4096, 16384), (3, 5)]:
+        got = V.top_k_cosine(_frame(spark, x), _frame(spark, x), 3, exclude_self=True, q_block_rows=qb, p_block_rows=pb)
+        rows.append(sorted(map(tuple, got.select("qid", "rank", "pid").collect())))
+        plans.append(got._jdf.queryExecution().toString())
+    assert rows[0] == rows[1] and len(rows[0]) == 2100
+    assert not any("Generate explode" in p for p in plans)
+
+
+def test_running_best_equals_bruteforce_over_packs():
+    rng = np.random.default_rng(9)
+    x = V._normalise(np.concatenate([rng.normal(size=(300, 12)), np.repeat(rng.normal(size=(1, 12)), 30, axis=0)]))
+    pivots = x[::40]
+    own = V._distances(x, pivots).argmin(axis=1)
+    order = np.argsort(own, kind="stable")
+    ids = np.arange(1000, 1000 + len(x))
+    far = V._distances(x, pivots)[np.arange(len(x)), own]
+    sims = x @ x.T
+    np.fill_diagonal(sims, -np.inf)
+    for q_rows, p_rows, cuts in ((400, 400, [0, 330]), (7, 5, [0, 3, 100, 330]), (64, 1, [0, 200, 330])):
+        best = V._Best(ids, x, pivots, 4, True, None)
+        for lo, hi in zip(cuts, cuts[1:]):
+            o = order[lo:hi]
+            best.meet(ids[o], own[o], far[o], x[o], q_rows, p_rows)
+        for i in range(len(x)):
+            want = sorted(range(len(x)), key=lambda j: (-round(sims[i, j], 10), j))[:4]
+            assert np.allclose(best.cos[i], sims[i, want], atol=1e-12)
+            if i < 300 - 1:
+                assert sorted(best.pid[i]) == sorted(ids[want])
+
+
 def test_search_of_nothing(spark):
     some, none = _frame(spark, np.ones((3, 2))), _frame(spark, np.ones((3, 2))).where("vec_id < 0")
     assert V.top_k_cosine(some, none, 2).count() == 0 and V.top_k_cosine(none, some, 2).count() == 0
