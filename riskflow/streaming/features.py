@@ -15,10 +15,11 @@ Per card the state holds
 * count, mean and M2 (sum of squared deviations) of the amounts, the last time,
   and the channels and addresses seen.
 
-An event-time timer releases waiting rows.  Once a card has been idle for
-longer than ``span`` a second timer removes its state; a later event starts
-anew (``seconds_since_last`` -1, empty profile), also when both stand in one
-batch, so results do not depend on when the timer fires.
+An event-time timer releases waiting rows.  With ``forget_idle``, once a card has
+been idle for longer than ``span`` a second timer removes its state; a later event
+starts anew (``seconds_since_last`` -1, empty profile), also when both stand in one
+batch, so results do not depend on when the timer fires.  Without it a card's profile
+and last time are kept for good (the registered queries: every row as in the batch).
 
 Scoring works on arrays of a card's rows; nothing loops over rows."""
 
@@ -162,9 +163,11 @@ def _score_run(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int
 
 
 def score_rows(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int, prefix: str,
-               passthrough: list[str]) -> tuple[pd.DataFrame, CardState]:
+               passthrough: list[str], forget_idle: bool = True) -> tuple[pd.DataFrame, CardState]:
     """Score one card's rows, which come in (t, txn_id) order and after all
-    rows scored before; an idle gap beyond ``span`` starts anew."""
+    rows scored before; with ``forget_idle`` a gap beyond ``span`` starts anew."""
+    if not forget_idle:
+        return _score_run(card, rows, st, windows, span, prefix, passthrough)
     t = rows["t"].to_numpy(np.int64)
     gaps = np.diff(t, prepend=t[0] if st.last_t is None else st.last_t)
     cuts = np.flatnonzero(gaps > span)
@@ -190,7 +193,7 @@ def _unpack(buf: bytes) -> pd.DataFrame:
 
 
 def advance(card, new: pd.DataFrame | None, row, watermark_ms: int, windows: dict, span: int, prefix: str,
-            passthrough: list[str]):
+            passthrough: list[str], forget_idle: bool = True):
     """One card's turn: (scored rows or None, new state row or None when it
     ends, next timer in ms or None)."""
     st = CardState.of(row) if row is not None else CardState()
@@ -203,11 +206,13 @@ def advance(card, new: pd.DataFrame | None, row, watermark_ms: int, windows: dic
         if ready.any():
             first = rows[ready]
             order = np.lexsort((first["txn_id"].to_numpy(np.int64), first["t"].to_numpy(np.int64)))
-            out, st = score_rows(card, first.iloc[order], st, windows, span, prefix, passthrough)
+            out, st = score_rows(card, first.iloc[order], st, windows, span, prefix, passthrough, forget_idle)
         rows = rows[~ready]
         if len(rows):
             timer = (int(rows["t"].min()) + 1) * 1000 - 1
             return out, st.row(_pack(rows)), max(timer, watermark_ms + 1)
+    if st.last_t is not None and not forget_idle:
+        return out, st.row(None), None
     if st.last_t is None or (st.last_t + span + 1) * 1000 <= watermark_ms:  # nothing that can come sees it
         return out, None, None
     return out, st.row(None), max((st.last_t + span + 1) * 1000 - 1, watermark_ms + 1)
@@ -227,7 +232,9 @@ def output_schema(windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
 class CardFeatureProcessor(StatefulProcessor):
     """SS-1 + SS-2 with the processor API: a card's turn at new rows and at its timers."""
 
-    def __init__(self, windows: dict = DEFAULT_WINDOWS, prefix: str = "card", passthrough: tuple = ()):
+    def __init__(self, windows: dict = DEFAULT_WINDOWS, prefix: str = "card", passthrough: tuple = (),
+                 forget_idle: bool = True):
+        self.forget_idle = forget_idle
         self.passthrough = [n for n, _ in passthrough]
         self.windows = dict(windows)
         self.span = max(self.windows.values())
@@ -240,14 +247,15 @@ class CardFeatureProcessor(StatefulProcessor):
     def _turn(self, key, new, timerValues):
         row = self.state.get() if self.state.exists() else None
         out, row, timer = advance(key[0], new, row, timerValues.getCurrentWatermarkInMs(), self.windows, self.span,
-                                  self.prefix, self.passthrough)
+                                  self.prefix, self.passthrough, self.forget_idle)
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         if row is None:
             self.state.clear()
         else:
             self.state.update(row)
-            self.handle.registerTimer(timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
         if out is not None:
             yield out
 
@@ -263,11 +271,12 @@ class CardFeatureProcessor(StatefulProcessor):
 
 def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, prefix: str = "card",
                          passthrough: list[str] = (), engine: str = "applyInPandasWithState",
-                         delay: str = "1 hour") -> DataFrame:
+                         delay: str = "1 hour", forget_idle: bool = True) -> DataFrame:
     """SS-1/SS-2 on a streaming DataFrame of transactions (txn_id, card, t, ts,
     amount, channel, addr, plus ``passthrough`` columns copied to the output).
     ``delay`` bounds how late an event may arrive; a row leaves once the
-    watermark has passed its second.
+    watermark has passed its second (``jobs.ended`` moves it past the last).
+    ``forget_idle`` ends the state of a card that is idle for the longest window.
 
     ``engine="applyInPandasWithState"`` ships each card's state with its rows
     in the Arrow batch (one round trip per batch of groups);
@@ -284,7 +293,7 @@ def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, pre
     windows = dict(windows)
     if engine == "transformWithState":
         return cols.groupBy("card").transformWithStateInPandas(
-            statefulProcessor=CardFeatureProcessor(windows, prefix, tuple(pt)),
+            statefulProcessor=CardFeatureProcessor(windows, prefix, tuple(pt), forget_idle),
             outputStructType=output_schema(windows, prefix, pt), outputMode="Append", timeMode="EventTime")
     span = max(windows.values())
     names = [n for n, _ in pt]
@@ -293,13 +302,14 @@ def stream_card_features(events: DataFrame, windows: dict = DEFAULT_WINDOWS, pre
         parts = list(pdfs)
         new = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True) if parts else None
         row = state.get if state.exists else None
-        out, row, timer = advance(key[0], new, row, state.getCurrentWatermarkMs(), windows, span, prefix, names)
+        out, row, timer = advance(key[0], new, row, state.getCurrentWatermarkMs(), windows, span, prefix, names, forget_idle)
         if row is None:
             if state.exists:
                 state.remove()
         else:
             state.update(row)
-            state.setTimeoutTimestamp(timer)
+            if timer is not None:
+                state.setTimeoutTimestamp(timer)
         if out is not None:
             yield out
 

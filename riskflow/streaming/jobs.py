@@ -60,6 +60,21 @@ def transactions_stream(events: DataFrame) -> DataFrame:
         "ts", F.timestamp_seconds(F.col("t")))
 
 
+def ended(spark: SparkSession, path: str, delay_seconds: int) -> DataFrame:
+    """The events under ``path`` with a mark of their end: one more event, ``delay_seconds``
+    and a second later than the last.  It moves the watermark past every event, so that
+    all leave a stateful step that releases rows behind the watermark; the mark itself
+    stays ahead of the watermark and is never released."""
+    from riskflow.bindings import epoch_seconds
+    last = spark.read.schema(EVENT_SCHEMA).parquet(path).agg(F.max(epoch_seconds(F.col("ts"))).alias("t")).where("t is not null")
+    mark = last.select(F.lit(0).cast("long").alias("event_id"),
+                       F.timestamp_seconds(F.col("t") + delay_seconds + 1).cast("timestamp_ntz").alias("ts"),
+                       F.lit(0).cast("long").alias("user_id"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+    out = scratch_path(spark, "stream-end")
+    mark.write.parquet(out)
+    return read_stream(spark, path, EVENT_SCHEMA).unionByName(read_stream(spark, out, EVENT_SCHEMA))
+
+
 # ----------------------------------------------------------------------------- SS-5..SS-8
 def tumbling_kpis(txn: DataFrame, size: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """SS-5: per window: volume, mean ticket, flagged count, highest score."""

@@ -64,6 +64,26 @@ def test_stream_profile_equals_prior_profile(spark):
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
 
 
+def test_registered_streams_give_every_row_as_the_batch(spark, tmp_path):
+    """Rows of the last hour leave, and a card idle for longer than the longest window keeps its profile."""
+    from riskflow.plans.registry import load_all
+    day = 86400
+    times = {1: [5, 5, 9 * day, 9 * day + 1, 30 * day, 30 * day + 3000], 2: [30 * day + 3599], 0: [0, 30 * day + 3600]}
+    rows = [(c, 1_704_067_200 + t, f"k{c}", float(i + c)) for c, ts in times.items() for i, t in enumerate(ts)]
+    ev = spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "event_id long, user_id long, s long, event_type string, value double")
+    ev = ev.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", F.lit('{"k": 3}').alias("props"))
+    ev.write.parquet(f"{tmp_path}/events.parquet")
+    batch = velocity(prior_profile(B.transactions(spark, str(tmp_path))))
+    for name in ("stream_velocity", "stream_profile", "stream_engineer"):
+        got = load_all()[name].fn(spark, str(tmp_path))
+        assert got.count() == len(rows), name
+        cols = [c for c in got.columns if c in batch.columns]
+        a, b = (d.select(*cols).toPandas().sort_values("txn_id", ignore_index=True) for d in (got, batch))
+        pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1e-6)  # registered doubles have six digits
+    gaps = [r["card_seconds_since_last"] for r in load_all()["stream_velocity"].fn(spark, str(tmp_path)).where("card = 1").orderBy("t", "txn_id").collect()]
+    assert gaps == [-1, 0, 9 * day - 5, 1, 21 * day - 1, 3000]
+
+
 def _rows(times, ids=None, amounts=None):
     n = len(times)
     return pd.DataFrame({"txn_id": ids or list(range(n)), "card": 1, "t": times, "amount": amounts or [1.0] * n,
