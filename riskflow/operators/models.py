@@ -14,18 +14,23 @@ from __future__ import annotations
 import re
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.session import materialize
+
 MISSING_NUM, MISSING_CAT = -999.0, -1
+#: search space of ``tune``: depths, iterations, step sizes
+TUNE_GRID = [3, 5], [10, 20], [0.1, 0.3]
 
 # Numeric model features of the engineered table.
 MODEL_FEATURES = [
@@ -84,15 +89,16 @@ def with_class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
 
 def _training_table(df: DataFrame, name: str) -> DataFrame:
     """Iterative learners read their input many times: write it once as a
-    compact Parquet table in the shared folder (lineage cut, few files)."""
-    from riskflow.session import materialize
+    compact Parquet table in the shared folder (lineage cut, few files).  The
+    class weight, a sum over the label, is added to the written table, so that
+    the input is computed once."""
     return materialize(df, name)
 
 
 def train_classifier(df: DataFrame, features: list[str], label: str = "is_fraud",
                      kind: str = "gbt", max_iter: int = 30, seed: int = 42) -> PipelineModel:
     """ML-1: class-weighted boosted trees (``kind="gbt"``) or logistic regression."""
-    data = _training_table(with_class_weight(align_schema(df, features, keep=[label]), label), "train")
+    data = with_class_weight(_training_table(align_schema(df, features, keep=[label]), "train"), label)
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     if kind == "gbt":
         clf = GBTClassifier(labelCol=label, weightCol="weight", maxIter=max_iter, maxDepth=5, seed=seed)
@@ -112,23 +118,46 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], out: str = "
 
 def tune(df: DataFrame, features: list[str], label: str = "is_fraud", parallelism: int = 4,
          seed: int = 42) -> DataFrame:
-    """ML-5: grid search maximising area under PR on a validation split
-    (``TrainValidationSplit``, models fitted in parallel).  Returns one row per
-    grid point with its metric."""
-    data = _training_table(with_class_weight(align_schema(df, features, keep=[label]), label)
-                           .withColumn(label, F.col(label).cast("double")), "tune")
+    """ML-5: grid search maximising area under PR on a validation split, models
+    fitted in parallel.  Returns one row per grid point with its metric.
+
+    Boosting adds one tree at a time, so the model of fewer iterations is the first
+    trees of the one with more: one fit per (depth, step size) serves every number of
+    iterations, and one pass over the validation rows gives the margins after each."""
+    data = with_class_weight(_training_table(align_schema(df, features, keep=[label]), "tune"), label) \
+        .withColumn(label, F.col(label).cast("double"))
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    gbt = GBTClassifier(labelCol=label, weightCol="weight", seed=seed)
-    grid = (ParamGridBuilder().addGrid(gbt.maxDepth, [3, 5]).addGrid(gbt.maxIter, [10, 20])
-            .addGrid(gbt.stepSize, [0.1, 0.3]).build())
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR")
-    tvs = TrainValidationSplit(estimator=Pipeline(stages=[va, gbt]), estimatorParamMaps=grid,
-                               evaluator=ev, trainRatio=0.8, parallelism=parallelism, seed=seed)
-    m = tvs.fit(data)
-    rows = [(i, int(p[gbt.maxDepth]), int(p[gbt.maxIter]), float(p[gbt.stepSize]), float(v))
-            for i, (p, v) in enumerate(zip(grid, m.validationMetrics))]
+    data = va.transform(data.withColumn("_rand", F.rand(seed))).select(label, "weight", "_rand", "features")
+    train, valid = data.where("_rand < 0.8"), data.where("_rand >= 0.8")  # read from the written table each time
+    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderPR", rawPredictionCol="margin")
+    depths, iterations, steps = TUNE_GRID
+
+    def fit(point):
+        depth, step = point
+        model = GBTClassifier(labelCol=label, weightCol="weight", seed=seed, maxDepth=depth, maxIter=max(iterations),
+                              stepSize=step).fit(train)
+        margins = materialize(staged_margins(valid, model, iterations).select(label, *[f"margin_{n}" for n in iterations]),
+                              "tune-margins")
+        return [ev.evaluate(margins.select(label, F.col(f"margin_{n}").alias("margin"))) for n in iterations]
+
+    points = [(d, s) for d in depths for s in steps]
+    with ThreadPool(parallelism) as pool:
+        found = dict(zip(points, pool.map(inheritable_thread_target(df.sparkSession)(fit), points)))
+    rows = [(d, n, s, float(found[d, s][iterations.index(n)])) for d in depths for n in iterations for s in steps]
     return df.sparkSession.createDataFrame(
-        rows, "trial int, max_depth int, max_iter int, step_size double, area_under_pr double")
+        [(i, *r) for i, r in enumerate(rows)], "trial int, max_depth int, max_iter int, step_size double, area_under_pr double")
+
+
+def staged_margins(df: DataFrame, model: GBTClassificationModel, iterations: list[int]) -> DataFrame:
+    """``df`` (with ``features``) with ``margin_<n>``: the weighted sum of the first n
+    trees, what a model of n iterations gives as its raw prediction."""
+    out, sums = df, F.lit(0.0)
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights), 1):
+        out = tree.setPredictionCol(f"_tree_{i}").transform(out)
+        sums = sums + F.col(f"_tree_{i}") * F.lit(float(weight))
+        if i in iterations:
+            out = out.withColumn(f"margin_{i}", sums)
+    return out.drop(*[f"_tree_{i}" for i in range(1, len(model.trees) + 1)])
 
 
 def importances(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -222,16 +251,21 @@ def format_value(v: Column) -> Column:
     """PF-15: "missing" for null/NaN, "0" for |v| < 1e-9, else 4 significant
     digits in the ``%g`` style (fixed for exponents -4..3, else scientific,
     trailing zeros removed)."""
-    sci = F.format_string("%.3e", v)
-    exp = F.regexp_extract(sci, r"e([+-][0-9]+)$", 1).cast("int")
-    fixed = None
-    for e in range(-4, 4):
-        s = F.format_string(f"%.{3 - e}f", v)
-        fixed = F.when(exp == e, s) if fixed is None else fixed.when(exp == e, s)
-    fixed = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    sci_clean = F.regexp_replace(sci, r"\.?0+e", "e")
-    return (F.when(v.isNull() | F.isnan(v), "missing").when(F.abs(v) < 1e-9, "0")
-             .when((exp >= -4) & (exp < 4), fixed).otherwise(sci_clean))
+    def digits(sci: Column) -> Column:
+        exp = F.regexp_extract(sci, r"e([+-][0-9]+)$", 1).cast("int")
+        return F.transform(F.array(exp), lambda e: given(sci, e))[0]  # named once: not computed again for each case
+
+    def given(sci: Column, exp: Column) -> Column:
+        fixed = None
+        for e in range(-4, 4):
+            s = F.format_string(f"%.{3 - e}f", v)
+            fixed = F.when(exp == e, s) if fixed is None else fixed.when(exp == e, s)
+        fixed = F.regexp_replace(F.regexp_replace(fixed, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        sci_clean = F.regexp_replace(sci, r"\.?0+e", "e")
+        return F.when((exp >= -4) & (exp < 4), fixed).otherwise(sci_clean)
+
+    text = F.transform(F.array(F.format_string("%.3e", v)), digits)[0]
+    return F.when(v.isNull() | F.isnan(v), "missing").when(F.abs(v) < 1e-9, "0").otherwise(text)
 
 
 def importance_by_category(imp: DataFrame, top: int = 3) -> DataFrame:
@@ -262,15 +296,15 @@ class LinearExplainer:
 def fit_linear_explainer(df: DataFrame, features: list[str], label: str = "is_fraud",
                          max_iter: int = 50) -> LinearExplainer:
     """Standardise with population mean / std (AG-29, zero std -> 1), fit a
-    class-weighted logistic model on the standardised columns."""
-    aligned = align_schema(df, features, keep=[label])
+    class-weighted logistic model on the standardised columns.  ``df`` is computed once."""
+    aligned = _training_table(align_schema(df, features, keep=[label]), "explainer")
     stats = aligned.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)],
                         *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)]).first()
     means = [float(stats[f"m_{i}"] or 0.0) for i in range(len(features))]
     stds = [float(stats[f"s_{i}"]) if stats[f"s_{i}"] else 1.0 for i in range(len(features))]
     z = aligned.select(F.col(label).cast("double").alias(label), *[
         ((F.col(c) - means[i]) / stds[i]).alias(c) for i, c in enumerate(features)])
-    z = _training_table(with_class_weight(z, label), "explainer")
+    z = with_class_weight(z, label)
     va = VectorAssembler(inputCols=features, outputCol="features")
     lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=max_iter, standardization=False)
     m = lr.fit(va.transform(z))
@@ -282,28 +316,25 @@ def attribute(df: DataFrame, ex: LinearExplainer, id_col: str = "txn_id", k: int
     the top ``k`` drivers by |contribution|, totals per family, positive and
     negative sums, signal balance (2x rule) and the base value."""
     aligned = align_schema(df, ex.features, keep=[id_col])
-    contrib = [(F.lit(w) * (F.col(c) - F.lit(m)) / F.lit(s)).alias(c)
-               for c, m, s, w in zip(ex.features, ex.means, ex.stds, ex.weights)]
-    structs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value_raw"),
-                                 (F.lit(w) * (F.col(c) - F.lit(m)) / F.lit(s)).alias("shap"))
-                        for c, m, s, w in zip(ex.features, ex.means, ex.stds, ex.weights)])
-    out = aligned.select(id_col, structs.alias("_all"), *[x.alias(f"_c_{c}") for x, c in
-                                                         zip(contrib, ex.features)])
-    ranked = F.array_sort("_all", lambda a, b: F.when(F.abs(a["shap"]) > F.abs(b["shap"]), -1)
-                          .when(F.abs(a["shap"]) < F.abs(b["shap"]), 1)
-                          .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1)
-                          .otherwise(0))
+    family = {c: next((f for p, f in FAMILIES if re.search(p, c)), "other") for c in ex.features}
+    place = {c: i for i, c in enumerate(sorted(ex.features))}  # equal contributions go by name
+    out = aligned.select("*", *[(F.lit(w) * (F.col(c) - F.lit(m)) / F.lit(s)).alias(f"_c_{c}")
+                                for c, m, s, w in zip(ex.features, ex.means, ex.stds, ex.weights)])
+    ranked = F.sort_array(F.array(*[F.struct(
+        F.abs(F.col(f"_c_{c}")).alias("size"), F.lit(-place[c]).alias("place"), F.lit(c).alias("feature"),
+        F.col(c).alias("value_raw"), F.col(f"_c_{c}").alias("shap"), F.lit(family[c]).alias("family"))
+        for c in ex.features]), asc=False)
     top = F.transform(F.slice(ranked, 1, k), lambda s: F.struct(
         s["feature"].alias("feature"), s["value_raw"].alias("value_raw"), s["shap"].alias("shap"),
         F.when(s["shap"] > 0, "increased fraud probability").otherwise("decreased fraud probability")
          .alias("direction"),
-        feature_family(s["feature"]).alias("family")))
+        s["family"].alias("family")))
     fam_of = {}
     for c in ex.features:
-        fam_of.setdefault(next((f for p, f in FAMILIES if re.search(p, c)), "other"), []).append(c)
+        fam_of.setdefault(family[c], []).append(c)
     fam_cols = {f: sum((F.col(f"_c_{c}") for c in cs[1:]), F.col(f"_c_{cs[0]}")) for f, cs in fam_of.items()}
-    pos = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.greatest(s["shap"], F.lit(0.0)))
-    neg = F.aggregate("_all", F.lit(0.0), lambda acc, s: acc + F.least(s["shap"], F.lit(0.0)))
+    pos = sum((F.greatest(F.col(f"_c_{c}"), F.lit(0.0)) for c in ex.features), F.lit(0.0))
+    neg = sum((F.least(F.col(f"_c_{c}"), F.lit(0.0)) for c in ex.features), F.lit(0.0))
     res = out.select(
         id_col, top.alias("top_drivers"),
         F.map_from_arrays(F.array(*[F.lit(f) for f in fam_cols]), F.array(*fam_cols.values()))
