@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from riskflow.operators.quantiles import quantile_values
 from riskflow.operators.sampling import time_split
 from riskflow.operators.windows import rolling_lists
+from riskflow.session import materialize
 
 # The reference's 16 step features, on our column names.
 SEQ_FEATURES = [
@@ -89,29 +90,47 @@ def error_udf(mean_vec: np.ndarray, comps: np.ndarray, n: int, f: int):
     return recon
 
 
-def fit_sequence_model(feats: DataFrame, label: str = "is_fraud", rank: int = 8,
-                       features=SEQ_FEATURES, n: int = SEQ_LEN, key: str = "card",
-                       t: str = "t", id_col: str = "txn_id") -> tuple[SequenceModel, DataFrame]:
-    """Fit on legitimate windows of the training time range; threshold from
-    legitimate windows of the held-out range.  Returns the model and the
-    windows with their split."""
+def sequence_windows(feats: DataFrame, label: str = "is_fraud", features=SEQ_FEATURES, n: int = SEQ_LEN,
+                     key: str = "card", t: str = "t", id_col: str = "txn_id") -> tuple[list[float], list[float], DataFrame]:
+    """The scaler, fitted on legitimate rows of the training time range, and the scaled
+    windows with their split.  ``feats`` is read several times: pass a written table.
+    The windows are built and written once; their split is read off what was written."""
     means, stds = _scaler(time_split(feats, 0.2, t).filter(F.col("split") == "train"), features, label)
-    from riskflow.session import materialize
-    # windows are read for the mean, the PCA, the threshold and the scoring: write once
-    win = materialize(time_split(scaled_windows(feats, means, stds, features, n, key, t, id_col), 0.2, t)
-                      .select(id_col, key, t, label, "split", "window"), "seq-windows")
+    win = materialize(scaled_windows(feats.select(id_col, key, t, label, *[c for c in features if c not in (id_col, key, t, label)]),
+                                     means, stds, features, n, key, t, id_col).select(id_col, key, t, label, "window"), "seq-windows")
+    return means, stds, time_split(win, 0.2, t).select(id_col, key, t, label, "split", "window")
+
+
+def fit_windows(means, stds, win: DataFrame, ranks, label: str = "is_fraud", features=SEQ_FEATURES,
+                n: int = SEQ_LEN) -> list[SequenceModel]:
+    """One model per rank on the legitimate training windows; threshold from the
+    legitimate windows of the held-out range.  The components of a lower rank are the
+    first of a higher one, so mean and covariance are computed once for all ranks, and
+    the errors of all ranks in one pass."""
     train = win.filter((F.col("split") == "train") & (F.col(label) == 0)) \
                .select(array_to_vector("window").alias("v"))
     from pyspark.ml.stat import Summarizer
     mean_vec = np.array(train.select(Summarizer.mean(F.col("v"))).first()[0].toArray())
-    k = min(rank, len(features) * n)
-    pca = PCA(k=k, inputCol="v", outputCol="p").fit(train)
-    comps = pca.pc.toArray().T
-    udf = error_udf(mean_vec, comps, n, len(features))
+    ks = [min(r, len(features) * n) for r in ranks]
+    pca = PCA(k=max(ks), inputCol="v", outputCol="p").fit(train)
+    all_comps = pca.pc.toArray().T
+    comps = [all_comps[:k] for k in ks]
     hold = win.filter((F.col("split") == "test") & (F.col(label) == 0))
-    thr = quantile_values(hold.select(udf("window")["err"].alias("e")), [("e", {"p95": 0.95})])["p95"]
-    model = SequenceModel(list(features), n, means, stds, mean_vec, comps, float(thr or 0.0))
-    return model, win
+    errors = hold.select(*[error_udf(mean_vec, c, n, len(features))("window")["err"].alias(f"e{i}") for i, c in enumerate(comps)])
+    thr = quantile_values(errors, [(f"e{i}", {f"p{i}": 0.95}) for i in range(len(ks))])
+    return [SequenceModel(list(features), n, means, stds, mean_vec, c, float(thr[f"p{i}"] or 0.0)) for i, c in enumerate(comps)]
+
+
+def fit_sequence_model(feats: DataFrame, label: str = "is_fraud", rank: int = 8,
+                       features=SEQ_FEATURES, n: int = SEQ_LEN, key: str = "card",
+                       t: str = "t", id_col: str = "txn_id") -> tuple[SequenceModel, DataFrame]:
+    """Fit on legitimate windows of the training time range; threshold from
+    legitimate windows of the held-out range.  Returns the model and the
+    windows with their split."""
+    cols = dict.fromkeys([id_col, key, t, label, *features])
+    feats = materialize(feats.select(*cols), "seq-features")   # read for the cut, the scaler and the windows
+    means, stds, win = sequence_windows(feats, label, features, n, key, t, id_col)
+    return fit_windows(means, stds, win, [rank], label, features, n)[0], win
 
 
 def score_windows(win: DataFrame, m: SequenceModel, top_steps: int = 3) -> DataFrame:
@@ -142,17 +161,19 @@ def score_windows(win: DataFrame, m: SequenceModel, top_steps: int = 3) -> DataF
 
 def sweep_sequence_params(feats: DataFrame, ranks=(4, 8), lengths=(5, 10), label: str = "is_fraud"):
     """ML-14: each (rank, window length) trial scored by ML-12 on the held-out
-    range; a small driver loop over a bounded grid, each trial a Spark job."""
-    from riskflow.session import materialize
+    range; a small driver loop over a bounded grid.  The trials of one length share
+    its windows, their covariance and the scoring pass."""
     cols = sorted(set(SEQ_FEATURES) | {"card", "t", "txn_id", label})
-    feats = materialize(feats.select(*cols), "sweep-features")   # every trial reads it twice
+    feats = materialize(feats.select(*cols), "sweep-features")   # every length reads it several times
     rows = []
     for n in lengths:
-        for r in ranks:
-            m, win = fit_sequence_model(feats, label, r, n=n)
-            scored = score_windows(win.filter(F.col("split") == "test"), m)
-            rec = scored.agg(F.coalesce(F.avg(F.when(F.col(label) == 1, F.col("is_anomaly").cast("double"))),
-                                        F.lit(0.0))).first()[0]
-            rows.append((int(n), int(r), float(m.threshold), float(rec)))
+        means, stds, win = sequence_windows(feats, label, n=n)
+        models = fit_windows(means, stds, win, ranks, label, n=n)
+        fraud = win.filter((F.col("split") == "test") & (F.col(label) == 1))
+        hits = fraud.select(*[error_udf(m.mean_vec, m.components, n, len(m.features))("window")["err"].alias(f"e{i}")
+                              for i, m in enumerate(models)])
+        recalls = hits.agg(*[F.coalesce(F.avg((F.col(f"e{i}") > m.threshold).cast("double")), F.lit(0.0))
+                             for i, m in enumerate(models)]).first()
+        rows += [(int(n), int(r), float(m.threshold), float(rec)) for r, m, rec in zip(ranks, models, recalls)]
     return feats.sparkSession.createDataFrame(
         rows, "seq_len int, rank int, threshold double, recall_at_legit_p95 double")
