@@ -41,6 +41,13 @@ def row_ranges(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id().cast("long")), "row-ranges")
 
 
+def carried(offsets: DataFrame, rows_before: str) -> DataFrame:
+    """Offsets of (key, range) for ranges of consecutive rows whose order the key leads:
+    only the first key of a range has rows in earlier ranges, so at most one row a
+    range is left, and the rows meet it by a broadcast instead of a shuffle."""
+    return F.broadcast(offsets.where(F.col(rows_before) > 0))
+
+
 def _velocity_cols(w, windows: dict, prefix: str, id_col: str, amount: str) -> list[Column]:
     cols = []
     for label, sec in windows.items():
@@ -120,9 +127,11 @@ def row_numbers(df: DataFrame, key: str, t: str = "t", id_col: str = "txn_id",
     cnt = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.select(F.col(key).alias("_ok"), F.col("_rb").alias("_ob"), F.coalesce(F.sum("_c").over(wb), F.lit(0)).alias("_off"))
+    if split_seconds == ROWS:
+        off = carried(off, "_off")
     same = F.col(key).eqNullSafe(F.col("_ok")) & F.col("_rb").eqNullSafe(F.col("_ob"))
     return (x.withColumn("_in", F.row_number().over(w)).join(off, same, "left")
-             .withColumn(name, (F.col("_in") + F.col("_off")).cast("int")).drop("_rb", "_in", "_off", "_ok", "_ob"))
+             .withColumn(name, (F.col("_in") + F.coalesce("_off", F.lit(0))).cast("int")).drop("_rb", "_in", "_off", "_ok", "_ob"))
 
 
 def velocity_sql(windows: dict | None = None, key: str = "card", t: str = "t",
@@ -199,7 +208,11 @@ def prior_profile(df: DataFrame, key: str = "card", t: str = "t", amount: str =
         adds = merged_m2(F.lit(0.0), F.col("_off_m"), F.col("_off_s"), F.col("_tot_v"), F.col("_tot_m"), F.col("_tot_s"))
         per = per.withColumn("_add", adds).withColumn("_off_v", zero(F.sum("_add").over(wb)))
         offsets = per.select(F.col(key).alias("_okey"), F.col("_pb").alias("_opb"), *[f"_off{k}" for k in parts], "_off_v")
+        if split_seconds == ROWS:
+            offsets = carried(offsets, "_off_n")
         cur = cur.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & (F.col("_pb") == F.col("_opb")), "left").drop("_okey", "_opb")
+        if split_seconds == ROWS:
+            cur = cur.withColumns({f"_off{k}": zero(F.col(f"_off{k}")) for k in [*parts, "_v"]})
         cur = cur.withColumn("_cum_v", merged_m2(F.col("_off_v"), F.col("_off_m"), F.col("_off_s"),
                                                  F.col("_cum_v"), F.col("_cum_m"), F.col("_cum_s")))
         for k in parts:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskflow.operators.quantiles import with_quantiles
 from riskflow.operators.rules import auto_check
-from riskflow.operators.windows import row_ranges
+from riskflow.operators.windows import carried, row_ranges
 from riskflow.session import materialize
 
 CACHE_FORMAT_VERSION = "v2"
@@ -60,25 +60,26 @@ def upsert(cache: DataFrame, fresh: DataFrame, key: str = "txn_id", ts: str = "c
 
 # ----------------------------------------------------------------------------- content-addressed refresh
 def content_keys(txn: DataFrame, key: str = "card", t: str = "t", id_col: str = "txn_id") -> DataFrame:
-    """``txn`` with ``content_key``: a digest of the row and of all earlier rows of
-    its key (order ``t, id``), the whole input of its prior-scope features.  Sums
-    of row digests run per range of rows and are carried over by a small table,
-    so a hot key is many tasks; no feature is computed."""
+    """Key, id and ``content_key`` of every row: a digest of the row and of all earlier
+    rows of its key (order ``t, id``), the whole input of its prior-scope features.
+    Sums of row digests run per range of rows and are carried over by a small table,
+    so a hot key is many tasks; no feature is computed, and of the columns only the
+    digests are dealt out."""
     text = F.to_json(F.struct(*sorted(txn.columns)), {"ignoreNullFields": "false"})
-    digests = [F.xxhash64(F.lit(salt), text) for salt in (1, 2)]
-    halves = {f"_h{i}{j}": half for i, h in enumerate(digests)
-              for j, half in enumerate((h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)))}
-    x = row_ranges(txn.withColumns(halves), [key, t, id_col], "_r")
+    narrow = txn.select(*dict.fromkeys([key, t, id_col]), *[F.xxhash64(F.lit(salt), text).alias(f"_d{i}") for i, salt in enumerate((1, 2))])
+    halves = {f"_h{i}{j}": half for i in (0, 1)
+              for j, half in enumerate((F.col(f"_d{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"_d{i}", 32)))}
+    x = row_ranges(narrow, [key, t, id_col], "_r").withColumns(halves)
     own = Window.partitionBy(key, "_r").orderBy(t, id_col).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(key).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    per = x.groupBy(F.col(key), "_r").agg(*[F.sum(h).alias(h) for h in halves])
-    per = per.select(F.col(key).alias("_k"), F.col("_r").alias("_rr"),
-                     *[F.coalesce(F.sum(h).over(before), F.lit(0)).alias(f"{h}_off") for h in halves])
-    x = x.select(*txn.columns, "_r", *[F.sum(h).over(own).alias(h) for h in halves])
-    x = x.join(per, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_rr")))
-    sums = [(F.col(h) + F.col(f"{h}_off")).cast("string") for h in halves]
+    per = x.groupBy(F.col(key), "_r").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(h).alias(h) for h in halves])
+    per = per.select(F.col(key).alias("_k"), F.col("_r").alias("_rr"), F.sum("_n").over(before).alias("_earlier"),
+                     *[F.sum(h).over(before).alias(f"{h}_off") for h in halves])
+    x = x.select(key, id_col, "_r", *[F.sum(h).over(own).alias(h) for h in halves])
+    x = x.join(carried(per, "_earlier"), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_rr")), "left")
+    sums = [(F.col(h) + F.coalesce(f"{h}_off", F.lit(0))).cast("string") for h in halves]
     digest = F.substring(F.sha2(F.concat_ws(":", F.col(id_col).cast("string"), *sums), 256), 1, 32)
-    return x.select(*txn.columns, digest.alias("content_key"))
+    return x.select(key, id_col, digest.alias("content_key"))
 
 
 def stale_features(txn: DataFrame, stored: DataFrame | None, build: Callable[[DataFrame], DataFrame], key: str = "card",
@@ -86,11 +87,13 @@ def stale_features(txn: DataFrame, stored: DataFrame | None, build: Callable[[Da
     """Features, with ``content_key``, of the rows whose content no stored row
     has: a change reaches its own and later rows of its key, no others.  Only the
     rows of these keys are read again."""
-    keyed = materialize(content_keys(txn, key, id_col=id_col).select(key, id_col, "content_key"), "content-keys")
-    todo = keyed if stored is None else keyed.join(stored.select("content_key"), "content_key", "left_anti")
-    todo = materialize(todo, "content-new")
-    touched = todo.select(F.col(key).alias("_k")).distinct()
-    rows = txn.join(touched, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    todo = materialize(content_keys(txn, key, id_col=id_col), "content-keys")
+    if stored is not None:
+        todo = materialize(todo.join(stored.select("content_key"), "content_key", "left_anti"), "content-new")
+    rows = txn
+    if stored is not None:
+        touched = todo.select(F.col(key).alias("_k")).distinct()
+        rows = txn.join(touched, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
     return build(rows).join(todo.select(id_col, "content_key"), id_col)
 
 
