@@ -25,8 +25,8 @@ def case_files(features: DataFrame, explainer: LinearExplainer, checks: DataFram
 
     ``features`` carry ``pattern_id`` (whose ``checks`` apply) and ``query_id``
     (whose ``matches`` (qid, rank, pid, similarity, match_band) apply).  Fewer
-    than ``min_rows`` flagged transactions are refused."""
-    features = materialize(features, "case-features")
+    than ``min_rows`` flagged transactions are refused.  ``features`` are read
+    several times: pass a written table."""
     flagged = materialize(triage(features).where("investigate"), "case-flagged")
     n = flagged.limit(min_rows).count()
     if n < min_rows:

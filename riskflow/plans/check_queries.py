@@ -19,6 +19,7 @@ from riskflow.plans.registry import register
 from riskflow.plans.rule_queries import _AUTO_FEATURES, _auto_sql
 from riskflow.plans.sqlhelp import feat_query, txn_query
 from riskflow.plans.vector_queries import _topk_sql
+from riskflow.session import materialize
 
 CATEGORICAL = ["channel", "p_email", "r_email"]
 
@@ -161,7 +162,7 @@ def q_case_files(spark, sf):
     vectors = B.table(spark, sf, "embeddings")
     hits = V.top_k_cosine(vectors, vectors.where("label <= 6"), 2, min_cos=0.25, exclude_self=True)
     hits = hits.select("qid", "rank", "pid", F.col("cos").alias("similarity"), V.similarity_band("cos").alias("match_band"))
-    f = _feat(spark, sf).where("channel is not null")
+    f = materialize(_feat(spark, sf).where("channel is not null"), "case-features")  # for the explainer and the files
     rows = f.withColumn("pattern_id", F.col("channel")).withColumn("query_id", F.pmod("txn_id", F.lit(vectors.count())))
     out = case_files(rows, _fixed_explainer(f), _channel_checks(B.transactions(spark, sf)), hits,
                      numeric=M.MODEL_FEATURES, categorical=CATEGORICAL)
