@@ -88,7 +88,7 @@ def running_moments(x: np.ndarray, n0: int, mean0: float, m20: float):
 
 def _seen_before(values: np.ndarray, known: set) -> tuple[np.ndarray, set]:
     """(distinct non-null values before each row, all values) given those known before."""
-    valid = ~pd.isna(values)
+    valid = ~(np.isnan(values) if values.dtype.kind == "f" else pd.isna(values))
     kinds, first = np.unique(values[valid], return_index=True)
     fresh = np.array([k not in known for k in kinds.tolist()], dtype=bool)
     new = np.zeros(len(values), dtype=np.int64)
@@ -123,10 +123,22 @@ class CardState:
                 sorted(self.chans), sorted(self.addrs))
 
 
-def _score_run(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int, prefix: str,
+def _whole(addr: np.ndarray) -> np.ndarray:
+    """Addresses as whole numbers, nulls kept (a column with nulls comes as doubles)."""
+    if addr.dtype.kind in "iu":
+        return addr.astype(np.int64)
+    known = ~pd.isna(addr)
+    if known.all():
+        return pd.to_numeric(addr).astype(np.int64)
+    out = np.full(len(addr), None, dtype=object)
+    out[known] = pd.to_numeric(addr[known]).astype(np.int64)
+    return out
+
+
+def _score_run(card, rows: dict, st: CardState, windows: dict, span: int, prefix: str,
                passthrough: list[str]) -> tuple[pd.DataFrame, CardState]:
-    """Rows of one card in (t, txn_id) order without an idle gap beyond ``span``."""
-    t, a = rows["t"].to_numpy(np.int64), rows["amount"].to_numpy(np.float64)
+    """Rows (arrays by column) of one card in (t, txn_id) order without an idle gap beyond ``span``."""
+    t, a = rows["t"].astype(np.int64), rows["amount"].astype(np.float64)
     parts = zip((st.sec, st.sec_n, st.sec_s, st.sec_m), _per_second(t, a))
     sec, cnt, total, top = (np.concatenate(p) for p in parts)
     order = np.argsort(sec, kind="stable")
@@ -136,9 +148,9 @@ def _score_run(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int
         cnt, total, top = np.add.reduceat(cnt, start), np.add.reduceat(total, start), np.maximum.reduceat(top, start)
         sec = uniq
     ccnt, csum = np.concatenate([[0], np.cumsum(cnt)]), np.concatenate([[0.0], np.cumsum(total)])
-    out = {"txn_id": rows["txn_id"].to_numpy(np.int64), "card": np.full(len(rows), card, dtype=np.int64), "t": t}
+    out = {"txn_id": rows["txn_id"].astype(np.int64), "card": np.full(len(t), card, dtype=np.int64), "t": t}
     for c in passthrough:
-        out[c] = rows[c].to_numpy()
+        out[c] = rows[c]
     for w, secs in windows.items():
         lo = np.searchsorted(sec, t - secs, side="left")
         hi = np.searchsorted(sec, t - 1, side="right")
@@ -154,42 +166,54 @@ def _score_run(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int
     out[f"{prefix}_amt_mean"], out[f"{prefix}_amt_std"] = mean_, std
     out[f"{prefix}_amt_zscore"] = np.where(std > 0, (a - mean_) / np.where(std > 0, std, 1.0), 0.0)
     out[f"{prefix}_total_txns"] = n_.astype(np.int64)
-    out[f"{prefix}_distinct_channel"], chans = _seen_before(rows["channel"].to_numpy(object), st.chans)
-    addr = pd.to_numeric(rows["addr"]).astype("Int64")
-    out[f"{prefix}_distinct_addr"], addrs = _seen_before(addr.to_numpy(object), st.addrs)
+    out[f"{prefix}_distinct_channel"], chans = _seen_before(rows["channel"].astype(object), st.chans)
+    out[f"{prefix}_distinct_addr"], addrs = _seen_before(_whole(rows["addr"]), st.addrs)
     keep = sec >= t[-1] - span  # evict beyond the longest window
-    return pd.DataFrame(out), CardState(sec[keep], cnt[keep], total[keep], top[keep], int(n[-1]), float(mean[-1]),
+    return pd.DataFrame(out, copy=False), CardState(sec[keep], cnt[keep], total[keep], top[keep], int(n[-1]), float(mean[-1]),
                                         float(m2[-1]), int(t[-1]), chans, addrs)
 
 
-def score_rows(card, rows: pd.DataFrame, st: CardState, windows: dict, span: int, prefix: str,
+def _arrays(rows: pd.DataFrame | dict, passthrough: list[str]) -> dict:
+    """What scoring reads of a card's rows, as arrays by column: a frame a card costs
+    more than its arithmetic."""
+    names = dict.fromkeys([c for c in BASE if c != "card"] + passthrough)
+    return {c: rows[c] if isinstance(rows, dict) else rows[c].to_numpy() for c in names}
+
+
+def _take(rows: dict, which) -> dict:
+    return {c: v[which] for c, v in rows.items()}
+
+
+def score_rows(card, rows: pd.DataFrame | dict, st: CardState, windows: dict, span: int, prefix: str,
                passthrough: list[str], forget_idle: bool = True) -> tuple[pd.DataFrame, CardState]:
     """Score one card's rows, which come in (t, txn_id) order and after all
     rows scored before; with ``forget_idle`` a gap beyond ``span`` starts anew."""
+    rows = _arrays(rows, passthrough)
     if not forget_idle:
         return _score_run(card, rows, st, windows, span, prefix, passthrough)
-    t = rows["t"].to_numpy(np.int64)
+    t = rows["t"].astype(np.int64)
     gaps = np.diff(t, prepend=t[0] if st.last_t is None else st.last_t)
     cuts = np.flatnonzero(gaps > span)
     out = []
     for lo, hi in zip(np.concatenate([[0], cuts]), np.append(cuts, len(t))):
         if lo < hi:
             begun = CardState() if lo in cuts else st
-            part, st = _score_run(card, rows.iloc[lo:hi], begun, windows, span, prefix, passthrough)
+            part, st = _score_run(card, _take(rows, slice(lo, hi)), begun, windows, span, prefix, passthrough)
             out.append(part)
-    return pd.concat(out, ignore_index=True), st
+    return out[0] if len(out) == 1 else pd.concat(out, ignore_index=True), st
 
 
-def _pack(rows: pd.DataFrame) -> bytes:
+def _pack(rows: dict) -> bytes:
     sink = pa.BufferOutputStream()
-    table = pa.Table.from_pandas(rows, preserve_index=False)
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
+    batch = pa.RecordBatch.from_arrays([pa.array(v, from_pandas=True) for v in rows.values()], names=list(rows))
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(buf: bytes) -> pd.DataFrame:
-    return pa.ipc.open_stream(buf).read_pandas()
+def _unpack(buf: bytes) -> dict:
+    batch = pa.ipc.open_stream(buf).read_next_batch()
+    return {name: v.to_numpy(zero_copy_only=False) for name, v in zip(batch.schema.names, batch.columns)}
 
 
 def advance(card, new: pd.DataFrame | None, row, watermark_ms: int, windows: dict, span: int, prefix: str,
@@ -198,19 +222,18 @@ def advance(card, new: pd.DataFrame | None, row, watermark_ms: int, windows: dic
     ends, next timer in ms or None)."""
     st = CardState.of(row) if row is not None else CardState()
     waiting = [_unpack(row[0])] if row is not None and row[0] is not None else []
-    waiting += [new] if new is not None and len(new) else []
+    waiting += [_arrays(new, passthrough)] if new is not None and len(new) else []
     out = None
     if waiting:
-        rows = waiting[0] if len(waiting) == 1 else pd.concat(waiting, ignore_index=True)
-        ready = (rows["t"].to_numpy(np.int64) + 1) * 1000 <= watermark_ms  # no earlier row can come any more
+        rows = waiting[0] if len(waiting) == 1 else {c: np.concatenate([w[c] for w in waiting]) for c in waiting[0]}
+        t = rows["t"].astype(np.int64)
+        ready = (t + 1) * 1000 <= watermark_ms  # no earlier row can come any more
         if ready.any():
-            first = rows[ready]
-            order = np.lexsort((first["txn_id"].to_numpy(np.int64), first["t"].to_numpy(np.int64)))
-            out, st = score_rows(card, first.iloc[order], st, windows, span, prefix, passthrough, forget_idle)
-        rows = rows[~ready]
-        if len(rows):
-            timer = (int(rows["t"].min()) + 1) * 1000 - 1
-            return out, st.row(_pack(rows)), max(timer, watermark_ms + 1)
+            order = np.lexsort((rows["txn_id"], t))
+            out, st = score_rows(card, _take(rows, order[ready[order]]), st, windows, span, prefix, passthrough, forget_idle)
+        if not ready.all():
+            timer = (int(t[~ready].min()) + 1) * 1000 - 1
+            return out, st.row(_pack(_take(rows, ~ready))), max(timer, watermark_ms + 1)
     if st.last_t is not None and not forget_idle:
         return out, st.row(None), None
     if st.last_t is None or (st.last_t + span + 1) * 1000 <= watermark_ms:  # nothing that can come sees it
