@@ -27,7 +27,7 @@ from riskflow.plans.library_queries import CASES_CTE, wc
 from riskflow.plans.model_queries import _fixed_explainer
 from riskflow.plans.registry import register
 from riskflow.plans.sqlhelp import feat_query, rounded, txn_query
-from riskflow.session import scratch_path
+from riskflow.session import materialize, scratch_path
 from riskflow.sources import io as IO
 
 
@@ -270,21 +270,26 @@ def q_nested_json(spark, sf):
 
 
 # ----------------------------------------------------------------------------- RT-2 / RT-6
-def _text_model(docs, text_col, dims=1 << 10):
+def _text_model(docs, id_col, text_col, dims=1 << 10):
     """RT-2 offline fallback: tokens -> hashed TF -> IDF (fitted on the library)
-    -> L2 normalised; returns a function applying it to any text column."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
+    -> L2 normalised, as sparse vectors; returns those of ``docs``, whose hashed TF
+    is written once for the fit and the vectors, and a function that embeds any
+    text column."""
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims)
     idf = IDF(inputCol="_tf", outputCol="_idf")
     norm = Normalizer(inputCol="_idf", outputCol="_n")
-    model = Pipeline(stages=[tok, tf, idf, norm]).fit(docs.withColumn("_text", F.col(text_col)))
 
-    def embed(df, col, id_col):
-        v = model.transform(df.withColumn("_text", F.col(col)))
-        return v.select(F.col(id_col).alias("vec_id"), vector_to_array("_n").alias("embedding"))
-    return embed
+    def counts(df, id_col, text_col):
+        x = df.select(F.col(id_col).alias("vec_id"), F.col(text_col).alias("_text"))
+        return tf.transform(tok.transform(x)).select("vec_id", "_tf")
+
+    def weigh(x):
+        return norm.transform(fitted.transform(x)).select("vec_id", F.col("_n").alias("embedding"))
+
+    known = materialize(counts(docs, id_col, text_col), "text-counts")
+    fitted = idf.fit(known)
+    return weigh(known), lambda df, id_col, text_col: weigh(counts(df, id_col, text_col))
 
 
 @register("text_embedding_search", ops=("RT-2", "RT-6", "PF-16", "PF-17", "RT-3"))
@@ -294,10 +299,9 @@ def q_text_search(spark, sf):
     pattern (k = 1) with its title label (rows-only: hashing is Spark's)."""
     cases = L.case_library(B.table(spark, sf, "documents"))
     docs = L.case_document(cases)
-    embed = _text_model(docs, "document")
-    lib = embed(docs, "document", "case_id")
+    lib, embed = _text_model(docs, "case_id", "document")
     f = _feat(spark, sf).filter(F.col("score") >= 0.85)
-    qv = embed(f.select("txn_id", C.query_text().alias("q")), "q", "txn_id")
+    qv = embed(f.select("txn_id", C.query_text().alias("q")), "txn_id", "q")
     hits = V.top_k_cosine(qv, lib, 1)
     return hits.join(cases.select(F.col("case_id").alias("pid"), "category"), "pid") \
                .withColumn("pattern_label", C.title_label(F.col("category")))
