@@ -107,16 +107,14 @@ def _spread(n: int, sizes: np.ndarray, idx: np.ndarray, whole: np.ndarray, val:
 
 
 def _listed(batch: pa.RecordBatch, dims: int) -> np.ndarray:
-    """Columns ``idx`` (null for vectors given whole) and ``val`` of lists as a matrix; a null vector is no number."""
-    n, idx, val = batch.num_rows, batch.column("idx"), batch.column("val")
-    none = val.is_null().to_numpy(zero_copy_only=False)
-    whole = idx.is_null().to_numpy(zero_copy_only=False) & ~none
-    sizes = pc.fill_null(pc.list_value_length(val), 0).to_numpy(zero_copy_only=False)
-    m = _spread(n, sizes, idx.flatten().to_numpy(zero_copy_only=False), whole,
-                val.flatten().to_numpy(zero_copy_only=False).astype(np.float64), dims)
-    if none.any():
-        m[none] = np.nan
-    return m
+    """Columns ``idx`` (null for vectors given whole) and ``val`` of lists as a matrix."""
+    idx, val = batch.column("idx"), batch.column("val")
+    whole = idx.is_null().to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(val).to_numpy(zero_copy_only=False)
+    places = idx.flatten().to_numpy(zero_copy_only=False)
+    if val.null_count or (sizes[whole] != dims).any() or (places >= dims).any():
+        raise ValueError(f"vectors must not be null and must have {dims} dimensions")
+    return _spread(batch.num_rows, sizes, places, whole, val.flatten().to_numpy(zero_copy_only=False).astype(np.float64), dims)
 
 
 def _binary(sizes: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -382,10 +380,10 @@ def top_k_cosine(queries: DataFrame, library: DataFrame, k: int, q_id: str = "ve
         return df.select(F.col(i).cast("long").alias("id"), idx.alias("idx"), val.alias("val"), size.alias("size"))
 
     p, q = rows(library, p_id, p_vec), rows(queries, q_id, q_vec)
-    drawn = p.where("val is not null").orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
+    drawn = p.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
     if not drawn.num_rows:
         return queries.sparkSession.createDataFrame([], "qid long, rank int, pid long, cos double")
-    dims = drawn["size"][0].as_py()
+    dims = drawn["size"][0].as_py() or 0
     centre = _normalise(_listed(drawn.combine_chunks().to_batches()[0], dims))
     finite = np.isfinite(centre).all(axis=1)
     centre = centre[finite] if finite.any() else np.zeros((1, dims))

@@ -193,6 +193,15 @@ def test_packs_hold_stored_entries_only():
         assert np.array_equal(np.concatenate([b[3] for b in back]), V._normalise(m))
 
 
+def test_null_vectors_and_other_lengths_are_refused():
+    import pyarrow as pa
+    import pytest
+    for idx, val in (([None], [None]), ([None, None], [[1.0] * 3, [1.0] * 5]), ([[0, 4]], [[1.0, 2.0]])):
+        batch = pa.RecordBatch.from_arrays([pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], ["idx", "val"])
+        with pytest.raises(ValueError, match="4 dimensions"):
+            V._listed(batch, 4)
+
+
 def test_text_search_embeds_each_document_once(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
     from riskflow.operators import library as L
